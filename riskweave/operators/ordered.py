@@ -114,16 +114,23 @@ def equal_count_bin(position: Column, count: Column, bins: int) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    levels: Sequence[float],
+    by: Sequence[str] = (),
+    count: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and level, (level, quantile, n).
 
     Counts distinct values first, ranks them with `scan`, and keeps the at most two values
     per level that hold the wanted ranks. Nothing is collected into one aggregation buffer.
+    `count` names the multiplicity column of a table that is already distinct.
     """
-    distinct = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    known = df.where(F.col(value).isNotNull())
+    if count:
+        distinct = known.select(*by, value, F.col(count).alias("_n"))
+    else:
+        distinct = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = scan(distinct, [value], ["_n"], within=by)
     wanted = F.array(*[F.lit(float(q)) for q in levels])
     at = (F.col("level") * (F.col("_n_total") - 1)).cast("double")

@@ -97,7 +97,10 @@ def constant_rate_brier(scored: DataFrame, rate: Column | float) -> DataFrame:
 
 
 def calibration_error(
-    scored: DataFrame, bins: int = 10, by: Sequence[str] = (), tie: str = "transaction_id"
+    scored: DataFrame,
+    bins: int = 10,
+    by: Sequence[str] = (),
+    tie: Sequence[str] = ("transaction_id",),
 ) -> DataFrame:
     """Expected calibration error over equal-count bins of the sorted scores."""
     return calibration_bins(scored, bins, by, tie).groupBy(*by).agg(
@@ -106,16 +109,48 @@ def calibration_error(
 
 
 def calibration_bins(
-    scored: DataFrame, bins: int = 10, by: Sequence[str] = (), tie: str = "transaction_id"
+    scored: DataFrame,
+    bins: int = 10,
+    by: Sequence[str] = (),
+    tie: Sequence[str] = ("transaction_id",),
 ) -> DataFrame:
     """Rows, score sum and positives per equal-count bin."""
-    ranked = row_positions(scored.select(*by, "p", "y", tie), ["p", tie], "position", by)
+    ranked = row_positions(scored.select(*by, "p", "y", *tie), ["p", *tie], "position", by)
     bin_ = equal_count_bin(F.col("position"), F.col("position_count"), bins)
     return ranked.groupBy(*by, bin_.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum("y").alias("sum_y")
     )
 
 
+def weighted_calibration_error(
+    cells: DataFrame, bins: int = 10, by: Sequence[str] = ()
+) -> DataFrame:
+    """The same error from weighted cells (by, p, y, w), rows ordered by (p, y). A cell that
+    crosses a bin edge is divided at the edge, so rows need not be written out."""
+    ranked = scan(cells, ["p", "y"], ["w"], within=by).where("w > 0")
+    count = F.col("w_total")
+    small, longer = F.floor(count / bins), count % bins
+
+    def start(b: Column) -> Column:
+        return b * small + F.least(b, longer)
+
+    past = F.col("w_before") + F.col("w")
+    first = equal_count_bin(F.col("w_before"), count, bins)
+    final = equal_count_bin(past - 1, count, bins)
+    parts = ranked.withColumn("bin", F.explode(F.sequence(first, final)))
+    held = F.least(past, start(F.col("bin") + 1)) - F.greatest(
+        F.col("w_before"), start(F.col("bin"))
+    )
+    sums = parts.groupBy(*by, "bin").agg(
+        F.sum(held).alias("n"),
+        F.sum(held * F.col("p")).alias("sum_p"),
+        F.sum(held * F.col("y")).alias("sum_y"),
+    )
+    return sums.groupBy(*by).agg(
+        (F.sum(F.abs(F.col("sum_p") - F.col("sum_y"))) / F.sum("n")).alias("ece")
+    )
+
+
 def reliability_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Mean score and positive rate per quantile bin. A score equal to an edge belongs to the
     bin below it; empty bins do not appear."""
