@@ -103,7 +103,9 @@ def json_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
                     elif isinstance(node, list) and node:
                         pending += [(f"{path}[{i}]", child) for i, child in enumerate(node)]
                     else:
-                        out.append((doc_key, path, json.dumps(node)))
+                        # 1 and 1.0 are the same number
+                        whole = isinstance(node, float) and node.is_integer()
+                        out.append((doc_key, path, json.dumps(int(node) if whole else node)))
             yield pd.DataFrame(out, columns=[key, "path", "value"])
 
     key_type = docs.schema[key].dataType.simpleString()
