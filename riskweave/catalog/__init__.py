@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from riskweave.catalog.common import QUERIES, SQL  # noqa: F401
 from riskweave.catalog import (
+    feature_queries,
+    metric_queries,
+    policy_queries,
     split_queries,
 )

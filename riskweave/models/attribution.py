@@ -127,7 +127,7 @@ def _linear(classifier, vectors: DataFrame, df: DataFrame) -> DataFrame:
         F.array(*[f"m{i}" for i in range(width)]).alias("m")
     )
     weights = F.array(*[F.lit(float(c)) for c in classifier.coefficients])
-    mean = means.scalar()
+    rows, mean = rows.withColumn("_mean", means.scalar()), F.col("_mean")
 
     def product(a: Column, b: Column) -> Column:
         terms = F.zip_with(a, b, lambda u, v: u * v)

@@ -155,10 +155,11 @@ def reliability_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Mean score and positive rate per quantile bin. A score equal to an edge belongs to the
     bin below it; empty bins do not appear."""
     names = {f"e{i}": i / bins for i in range(1, bins)}
-    groups = score_groups(scored)
     edges = summary_quantiles(scored, "p", names)
-    edge_list = edges.select(F.array(*names).alias("edges")).scalar()
-    below = F.size(F.filter(edge_list, lambda e: e < F.col("p")))
+    groups = score_groups(scored).withColumn(
+        "edges", edges.select(F.array(*names).alias("edges")).scalar()
+    )
+    below = F.size(F.filter("edges", lambda e: e < F.col("p")))
     return groups.groupBy(below.alias("bin")).agg(
         F.sum("n").alias("n"),
         (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_predicted"),
