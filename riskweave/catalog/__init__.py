@@ -7,5 +7,7 @@ from riskweave.catalog import (
     feature_queries,
     metric_queries,
     policy_queries,
+    resample_queries,
+    drift_queries,
     split_queries,
 )

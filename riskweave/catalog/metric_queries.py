@@ -173,7 +173,7 @@ def equal_count_bins(spark, folder):
     with_sql(EVENTS_SQL, SCORED_SQL)
     + """, e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q
   FROM scored),
-b AS (SELECT p, y, len(list_filter(q, x -> x < p)) AS bin FROM scored, e)
+b AS (SELECT p, y, len(list_filter(q, lambda x: x < p)) AS bin FROM scored, e)
 SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(avg(p), 9) AS mean_predicted,
   avg(y) AS observed_rate FROM b GROUP BY 1""",
 )
