@@ -9,5 +9,6 @@ from riskweave.catalog import (
     policy_queries,
     resample_queries,
     drift_queries,
+    request_queries,
     split_queries,
 )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.ordered import exact_quantiles, scan
+from riskweave.session import freeze
 
 FLOOR = 1e-4
 
@@ -62,7 +63,7 @@ def bin_proportions(counts: DataFrame, edges: DataFrame, by: Sequence[str] = ())
 def reference_stats(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(feature, inner_edges, proportions, null_fraction, n_reference); a column without a
     known value has no row."""
-    counts = value_counts(df, columns)
+    counts = freeze(value_counts(df, columns))
     levels = [i / bins for i in range(1, bins)]
     edges = (
         exact_quantiles(counts, "value", levels, ["feature"], count="n")

@@ -16,20 +16,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.session import shared_folder
+from riskweave.session import freeze
 
 BUCKET = "_bucket"
 
 
 def range_order(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
     """`df` with a bucket number that rises with the sort key, frozen by a checkpoint."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.repartitionByRange(n, *order)
-        .withColumn(BUCKET, F.spark_partition_id())
-        .checkpoint()
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return freeze(
+        df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id())
     )
 
 

@@ -44,7 +44,8 @@ def average_precision(
 
 
 def ranking_metrics(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision and ROC-AUC (ties count half) from one scan of the score groups."""
+    """Average precision, ROC-AUC (ties count half) and recall at 0.5 from one scan of the score
+    groups."""
     ranked = ranked_groups(groups, by)
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     negatives = F.max(F.col("n_total") - F.col("pos_total"))
@@ -52,6 +53,9 @@ def ranking_metrics(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*by).agg(
         F.when(F.max("pos_total") > 0, _average_precision()).alias("average_precision"),
         ratio(wins, F.max("pos_total") * negatives).alias("roc_auc"),
+        ratio(F.sum(F.when(F.col("p") >= 0.5, pos).otherwise(0)), F.max("pos_total")).alias(
+            "recall"
+        ),
         F.max("n_total").alias("n"),
         F.max("pos_total").alias("pos"),
     )

@@ -26,6 +26,7 @@ from riskweave.operators.ranking import (
     weighted_calibration_error,
 )
 from riskweave.options import CI_LEVELS, PER
+from riskweave.session import freeze
 
 MAX_DRAWS = 200_000_000
 # one md5 holds four 32-bit draws
@@ -135,27 +136,21 @@ def _melt(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame
     return df.withColumn("_e", F.explode(F.array(*entries))).select(*keys, "_e.*")
 
 
-def _recall(weight: Column) -> Column:
-    fraud = F.col("y") == 1
-    return ratio(F.sum(F.when(fraud & (F.col("p") >= 0.5), weight).otherwise(0)),
-                 F.sum(F.when(fraud, weight).otherwise(0)))
-
-
 def headline_bootstrap(
     scored: DataFrame, resamples: int, seed: int, method: str = "auto"
 ) -> DataFrame:
     """Average precision and recall at 0.5 with percentile intervals, one row per metric."""
-    drawn = resampled(scored, ["p", "y"], resamples, seed, method=method)
-    ap = ranking_metrics(score_groups(drawn, ["resample"], "w"), ["resample"]).select(
-        "resample", F.col("average_precision")
+    rows = freeze(scored.select("transaction_id", "p", "y"))
+    drawn = resampled(rows, ["p", "y"], resamples, seed, method=method)
+    names = ["average_precision", "recall"]
+    samples = _melt(
+        ranking_metrics(score_groups(drawn, ["resample"], "w"), ["resample"]),
+        ["resample"],
+        names,
     )
-    recall = drawn.groupBy("resample").agg(_recall(F.col("w")).alias("recall"))
-    samples = _melt(ap.join(recall, "resample"), ["resample"], ["average_precision", "recall"])
-    point_ap = ranking_metrics(score_groups(scored)).select("average_precision")
-    point_recall = scored.agg(_recall(F.lit(1)).alias("recall"))
-    return intervals(samples, ["metric"]).withColumn(
-        "point",
-        F.when(F.col("metric") == "recall", point_recall.scalar()).otherwise(point_ap.scalar()),
+    point = _melt(ranking_metrics(score_groups(rows)), [], names)
+    return intervals(samples, ["metric"]).join(
+        point.withColumnRenamed("value", "point"), "metric"
     )
 
 
@@ -182,6 +177,7 @@ def paired_delta_bootstrap(
     """Challenger minus incumbent average precision on the same resamples. `scored` holds
     (transaction_id, y, p_incumbent, p_challenger)."""
     columns = ["y", "p_incumbent", "p_challenger"]
+    scored = freeze(scored.select("transaction_id", *columns))
     drawn = resampled(scored, columns, resamples, seed, method=method)
     samples = _delta(["resample"], _both(drawn, ["resample", "y", "w"]), "w")
     point = _delta([], _both(scored, ["y"]), None)
@@ -210,7 +206,8 @@ def policy_bootstrap(
         ((confidence(p) >= t) & (p >= 0.5)).alias("c"),
         (confidence(p) < t).alias("q"),
     )
-    drawn = resampled(masked, ["y", "amount", "a", "c", "q"], resamples, seed, method=method)
+    columns = ["y", "amount", "a", "c", "q"]
+    drawn = resampled(freeze(masked), columns, resamples, seed, method=method)
     fraud, w = F.col("y") == 1, F.col("w")
     money = F.col("amount").cast("decimal(20,6)") * w
     a, c, q = F.col("a"), F.col("c"), F.col("q")
@@ -275,9 +272,9 @@ def window_bootstrap(
 ) -> DataFrame:
     """Average precision of `p` and calibration error of `p_calibrated` per `fold` and pooled
     (fold 0) over the same draws. `scored` holds (transaction_id, fold, y, p, p_calibrated)."""
-    drawn = resampled(
-        scored, ["y", "p", "p_calibrated"], resamples, seed, within="fold", method=method
-    )
+    columns = ["y", "p", "p_calibrated"]
+    rows = freeze(scored.select("transaction_id", "fold", *columns))
+    drawn = freeze(resampled(rows, columns, resamples, seed, within="fold", method=method))
     # every draw counts for its own window and once for the pool
     both = drawn.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(0))))
     keys = ["resample", "fold"]
