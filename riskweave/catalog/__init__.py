@@ -10,5 +10,8 @@ from riskweave.catalog import (
     resample_queries,
     drift_queries,
     request_queries,
+    reconcile_queries,
+    io_queries,
+    stream_queries,
     split_queries,
 )
