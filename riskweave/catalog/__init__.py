@@ -13,5 +13,6 @@ from riskweave.catalog import (
     reconcile_queries,
     io_queries,
     stream_queries,
+    model_queries,
     split_queries,
 )

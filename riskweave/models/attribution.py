@@ -31,9 +31,16 @@ def feature_labels(vectors: DataFrame) -> list[str]:
     return names
 
 
-def leaf_rules(tree) -> tuple[list[tuple[float, list[tuple[int, float, bool, float]]]], float]:
-    """(leaf value, [(feature, threshold, goes left, share of the parent's rows)]) per leaf, and
-    the tree's expected value. Only the model's own nodes pass through the driver."""
+def split_test(split) -> float | tuple[float, ...]:
+    """What goes left: a threshold (up to it) or a set of categories."""
+    if split.getClass().getSimpleName() == "CategoricalSplit":
+        return tuple(float(c) for c in split.leftCategories())
+    return float(split.threshold())
+
+
+def leaf_rules(tree) -> tuple[list[tuple[float, list[tuple]]], float]:
+    """(leaf value, [(feature, test, goes left, share of the parent's rows)]) per leaf, and the
+    tree's expected value. Only the model's own nodes pass through the driver."""
     rules, base = [], 0.0
     pending = [(tree._call_java("rootNode"), [], 1.0)]
     while pending:
@@ -44,10 +51,10 @@ def leaf_rules(tree) -> tuple[list[tuple[float, list[tuple[int, float, bool, flo
             base += share * value
             continue
         split, rows = node.split(), float(node.impurityStats().count())
-        feature, threshold = int(split.featureIndex()), float(split.threshold())
+        feature, test = int(split.featureIndex()), split_test(split)
         for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
             part = float(child.impurityStats().count()) / rows
-            pending.append((child, [*path, (feature, threshold, left, part)], share * part))
+            pending.append((child, [*path, (feature, test, left, part)], share * part))
     return rules, base
 
 
@@ -56,8 +63,10 @@ def leaf_contributions(x: np.ndarray, value: float, path: Sequence[tuple]) -> di
     through (0 or 1) or, when left out, passes the share of train rows that took this way."""
     passes: dict[int, np.ndarray] = {}
     shares: dict[int, float] = {}
-    for feature, threshold, left, part in path:
-        took = (x[:, feature] <= threshold) == left
+    for feature, test, left, part in path:
+        column = x[:, feature]
+        goes_left = np.isin(column, test) if isinstance(test, tuple) else column <= test
+        took = goes_left == left
         passes[feature] = passes.get(feature, True) & took
         shares[feature] = shares.get(feature, 1.0) * part
     features = list(passes)
