@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.scores import ratio
 from riskweave.operators.ordered import exact_quantiles, scan
 from riskweave.session import freeze
 
@@ -55,7 +56,7 @@ def bin_proportions(counts: DataFrame, edges: DataFrame, by: Sequence[str] = ())
     )
     shares = F.transform(
         F.sequence(F.lit(0), F.size("inner_edges")),
-        lambda b: F.coalesce(F.col("m")[b], F.lit(0)) / F.col("known"),
+        lambda b: ratio(F.coalesce(F.col("m")[b], F.lit(0)), F.col("known")),
     )
     return lists.select(*by, "feature", shares.alias("proportions"), "known")
 
@@ -192,7 +193,8 @@ def wasserstein(
     ranked = scan(counts, ["value"], sums=["n_ref", "n_cur"], last=["at"], within=["feature"])
     gap = F.col("value") - F.col("at_prev")
     apart = F.abs(
-        F.col("n_ref_before") / F.col("n_ref_total") - F.col("n_cur_before") / F.col("n_cur_total")
+        ratio(F.col("n_ref_before"), F.col("n_ref_total"))
+        - ratio(F.col("n_cur_before"), F.col("n_cur_total"))
     )
     spreads = reference.agg(
         *[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]
@@ -205,7 +207,12 @@ def wasserstein(
     ).select("e.*")
     return (
         ranked.groupBy("feature")
-        .agg(F.coalesce(F.sum(apart * gap), F.lit(0.0)).alias("distance"))
+        .agg(
+            F.when(
+                (F.max("n_ref_total") > 0) & (F.max("n_cur_total") > 0),
+                F.coalesce(F.sum(apart * gap), F.lit(0.0)),
+            ).alias("distance")
+        )
         .join(spreads, "feature")
         .select(
             "feature",
@@ -222,7 +229,7 @@ def jensen_shannon(
     totals = counts.groupBy("feature").agg(
         F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur")
     )
-    r, c = F.col("n_ref") / F.col("t_ref"), F.col("n_cur") / F.col("t_cur")
+    r, c = ratio(F.col("n_ref"), F.col("t_ref")), ratio(F.col("n_cur"), F.col("t_cur"))
     m = (r + c) / 2
 
     def half(x: Column) -> Column:

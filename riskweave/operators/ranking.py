@@ -33,7 +33,7 @@ def ranked_groups(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _average_precision() -> Column:
     precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
-    return F.sum(F.col("pos") / F.col("pos_total") * precision)
+    return F.sum(ratio(F.col("pos"), F.col("pos_total")) * precision)
 
 
 def average_precision(

@@ -46,7 +46,7 @@ def throughput_knee(levels: DataFrame, run: Sequence[str], gain: float = KNEE_GA
     """First level whose successor gains less than `gain`; idle levels are passed over."""
     w = Window.partitionBy(*run).orderBy("concurrency")
     grown = levels.withColumn("_next", F.lead("req_per_s").over(w)).where(
-        (F.col("req_per_s") > 0) & (F.col("_next") / F.col("req_per_s") < gain)
+        (F.col("req_per_s") > 0) & (ratio(F.col("_next"), F.col("req_per_s")) < gain)
     )
     first = F.min_by(F.struct("concurrency", "req_per_s", "p99_ms", "_next"), "concurrency")
     knee = grown.groupBy(*run).agg(first.alias("k"))

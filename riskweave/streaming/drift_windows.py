@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskweave.functions.scores import ratio
 from riskweave.operators.drift import bin_of, psi
 
 
@@ -52,7 +53,7 @@ def window_drift(
     counts = F.slice(F.array(*[f"b{b}" for b in range(bins)]), 1, F.size("proportions"))
     joined = histograms.join(
         F.broadcast(reference.select("feature", "proportions")), "feature"
-    ).withColumn("seen", F.transform(counts, lambda c: c / F.col("known")))
+    ).withColumn("seen", F.transform(counts, lambda c: ratio(c, F.col("known"))))
     value = F.when(F.col("known") > 0, psi(F.col("proportions"), F.col("seen")))
     status = (
         F.when(F.col("psi").isNull(), "all_null_in_window")
