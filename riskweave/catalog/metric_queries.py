@@ -23,6 +23,7 @@ from riskweave.operators import ranking, splits
 from riskweave.operators.ordered import equal_count_bin, row_positions
 from riskweave.operators.resample import points_per_positive
 from riskweave.operators.rolling import fold_metrics, threshold_metrics
+from riskweave.session import freeze
 
 ALL_SQL = with_sql(EVENTS_SQL, SCORED_SQL)
 
@@ -305,7 +306,7 @@ SELECT ap.*, round(average_precision / base_rate, 6) AS lift, ece,
 FROM ap JOIN e USING (fold), x""",
 )
 def folds_and_pool(spark, folder):
-    out = rounded(fold_metrics(fold_rows(spark, folder)), ["average_precision", "ece"])
+    out = rounded(fold_metrics(freeze(fold_rows(spark, folder))), ["average_precision", "ece"])
     out = rounded(out, ["fold_min", "fold_max"])
     return rounded(out.withColumn("fold", F.col("fold").cast("long")), ["lift", "fold_mean"], 6)
 

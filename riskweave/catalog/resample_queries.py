@@ -47,7 +47,7 @@ BASE_SQL = with_sql(EVENTS_SQL, TEST_SQL, draws_sql("scored"))
 def draws(spark, folder):
     return resample.resampled(
         scored_test(spark, folder), ["p", "y"], RESAMPLES, SEED, method="multinomial"
-    )
+    ).rows
 
 
 @query(

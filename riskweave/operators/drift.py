@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.scores import ratio
-from riskweave.operators.ordered import exact_quantiles, scan
-from riskweave.session import freeze
+from riskweave.operators.ordered import range_order, ranked_quantiles, scan, scan_ranged
 
 FLOOR = 1e-4
 
@@ -64,10 +63,15 @@ def bin_proportions(counts: DataFrame, edges: DataFrame, by: Sequence[str] = ())
 def reference_stats(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(feature, inner_edges, proportions, null_fraction, n_reference); a column without a
     known value has no row."""
-    counts = freeze(value_counts(df, columns))
+    known = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    # one ordered copy serves the quantiles, the bins and the missing shares
+    counts = range_order(
+        value_counts(df, columns).withColumn("_n", known), ["feature", "value"]
+    )
+    ranked = scan_ranged(counts, ["value"], ["_n"], within=["feature"])
     levels = [i / bins for i in range(1, bins)]
     edges = (
-        exact_quantiles(counts, "value", levels, ["feature"], count="n")
+        ranked_quantiles(ranked.where("_n > 0"), "value", levels, ["feature"])
         .groupBy("feature")
         .agg(F.array_sort(F.collect_set("quantile")).alias("inner_edges"))
     )

@@ -44,6 +44,17 @@ def scan(
     as rows with a non-zero value are concerned. `within` columns must not be null.
     """
     ranged = range_order(df, [*within, *order], buckets)
+    return scan_ranged(ranged, order, sums, last, within)
+
+
+def scan_ranged(
+    ranged: DataFrame,
+    order: Sequence[str],
+    sums: Sequence[str] = (),
+    last: Sequence[str] = (),
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """`scan` over a table that `range_order` already made, for [*within, *order]."""
     key = F.struct(*order)
     per_bucket = ranged.groupBy(*within, BUCKET).agg(
         *[F.sum(c).alias(f"{c}_in") for c in sums],
@@ -87,6 +98,21 @@ def scan(
     return joined.drop(BUCKET, *spare)
 
 
+def scan_small_groups(
+    df: DataFrame, order: Sequence[str], sums: Sequence[str], within: Sequence[str]
+) -> DataFrame:
+    """The sums of `scan` by a plain window. Only for groups of a proven size: each one is
+    sorted in a single task."""
+    group = Window.partitionBy(*within)
+    ahead = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    return df.select(
+        "*",
+        *[F.coalesce(F.sum(c).over(ahead), zero).alias(f"{c}_before") for c in sums],
+        *[F.sum(c).over(group).alias(f"{c}_total") for c in sums],
+    )
+
+
 def row_positions(
     df: DataFrame, order: Sequence[str], name: str = "position", within: Sequence[str] = ()
 ) -> DataFrame:
@@ -110,24 +136,22 @@ def equal_count_bin(position: Column, count: Column, bins: int) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    levels: Sequence[float],
-    by: Sequence[str] = (),
-    count: str | None = None,
+    df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and level, (level, quantile, n).
 
     Counts distinct values first, ranks them with `scan`, and keeps the at most two values
     per level that hold the wanted ranks. Nothing is collected into one aggregation buffer.
-    `count` names the multiplicity column of a table that is already distinct.
     """
     known = df.where(F.col(value).isNotNull())
-    if count:
-        distinct = known.select(*by, value, F.col(count).alias("_n"))
-    else:
-        distinct = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = scan(distinct, [value], ["_n"], within=by)
+    distinct = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked_quantiles(scan(distinct, [value], ["_n"], within=by), value, levels, by)
+
+
+def ranked_quantiles(
+    ranked: DataFrame, value: str, levels: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    """Quantiles of distinct values with counts `_n` that `scan` has ranked."""
     wanted = F.array(*[F.lit(float(q)) for q in levels])
     at = (F.col("level") * (F.col("_n_total") - 1)).cast("double")
     first, past = F.col("_n_before"), F.col("_n_before") + F.col("_n")

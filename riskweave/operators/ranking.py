@@ -12,6 +12,7 @@ from riskweave.operators.ordered import (
     equal_count_bin,
     row_positions,
     scan,
+    scan_small_groups,
     summary_quantiles,
 )
 
@@ -24,11 +25,14 @@ def score_groups(scored: DataFrame, by: Sequence[str] = (), weight: str | None =
     )
 
 
-def ranked_groups(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def ranked_groups(
+    groups: DataFrame, by: Sequence[str] = (), small: bool = False
+) -> DataFrame:
     """Score groups from the highest score down with the rows and positives above them."""
-    return scan(
-        groups.withColumn("_down", -F.col("p")), ["_down"], sums=["n", "pos"], within=by
-    )
+    down = groups.withColumn("_down", -F.col("p"))
+    if small:
+        return scan_small_groups(down, ["_down"], ["n", "pos"], by)
+    return scan(down, ["_down"], sums=["n", "pos"], within=by)
 
 
 def _average_precision() -> Column:
@@ -43,10 +47,12 @@ def average_precision(
     return ranking_metrics(score_groups(scored, by, weight), by).select(*by, "average_precision")
 
 
-def ranking_metrics(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    groups: DataFrame, by: Sequence[str] = (), small: bool = False
+) -> DataFrame:
     """Average precision, ROC-AUC (ties count half) and recall at 0.5 from one scan of the score
-    groups."""
-    ranked = ranked_groups(groups, by)
+    groups. `small` promises that every `by` group has a bounded size."""
+    ranked = ranked_groups(groups, by, small)
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     negatives = F.max(F.col("n_total") - F.col("pos_total"))
     wins = F.sum(neg * (F.col("pos_before") + pos / 2))
@@ -127,11 +133,16 @@ def calibration_bins(
 
 
 def weighted_calibration_error(
-    cells: DataFrame, bins: int = 10, by: Sequence[str] = ()
+    cells: DataFrame, bins: int = 10, by: Sequence[str] = (), small: bool = False
 ) -> DataFrame:
     """The same error from weighted cells (by, p, y, w), rows ordered by (p, y). A cell that
     crosses a bin edge is divided at the edge, so rows need not be written out."""
-    ranked = scan(cells, ["p", "y"], ["w"], within=by).where("w > 0")
+    order = ["p", "y"]
+    if small:
+        ranked = scan_small_groups(cells, order, ["w"], by)
+    else:
+        ranked = scan(cells, order, ["w"], within=by)
+    ranked = ranked.where("w > 0")
     count = F.col("w_total")
     small, longer = F.floor(count / bins), count % bins
 

@@ -11,6 +11,7 @@ number of distinct rows, not of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,17 @@ def _poisson_counts(resamples: int, seed: int):
     return counts
 
 
+@dataclass(frozen=True)
+class Draws:
+    """(resample, within, *columns, w): how often each distinct row occurs in each resample.
+
+    `small` says that a resample is known to hold at most MAX_DRAWS / resamples rows, so that
+    it may be sorted in one task."""
+
+    rows: DataFrame
+    small: bool
+
+
 def resampled(
     rows: DataFrame,
     columns: Sequence[str],
@@ -83,26 +95,27 @@ def resampled(
     tie: str = "transaction_id",
     method: str = "auto",
     max_draws: int = MAX_DRAWS,
-) -> DataFrame:
-    """(resample, within, *columns, w): how often each distinct row occurs in each resample.
-    Rows are drawn within every `within` window on its own."""
+) -> Draws:
+    """Draws rows within every `within` window on its own."""
     spark = rows.sparkSession
     by = [within] if within else []
     sizes = {
         (r[within] if within else ""): r["n"]
         for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
     }
+    affordable = sum(sizes.values()) * resamples <= max_draws
     if method == "auto":
-        method = "multinomial" if sum(sizes.values()) * resamples <= max_draws else "poisson"
+        method = "multinomial" if affordable else "poisson"
     if method == "poisson":
         groups = rows.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
         key = F.xxhash64(*by, *columns)
         drawn = _poisson_counts(resamples, seed)(key, F.col("n"))
-        return (
+        counted = (
             groups.select(*by, *columns, F.posexplode(drawn).alias("resample", "w"))
             .where("w > 0")
             .withColumn("w", F.col("w").cast("long"))
         )
+        return Draws(counted, affordable)
     placed = row_positions(rows.select(*by, *columns, tie), [tie], "position", by)
     placed = placed.select(*by, *columns, "position")
     draws = None
@@ -111,11 +124,12 @@ def resampled(
         if within:
             part = part.withColumn(within, F.lit(window).cast(rows.schema[within].dataType))
         draws = part if draws is None else draws.unionByName(part)
-    return (
+    counted = (
         draws.join(placed, [*by, "position"])
         .groupBy("resample", *by, *columns)
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    return Draws(counted, affordable)
 
 
 def intervals(samples: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -144,7 +158,9 @@ def headline_bootstrap(
     drawn = resampled(rows, ["p", "y"], resamples, seed, method=method)
     names = ["average_precision", "recall"]
     samples = _melt(
-        ranking_metrics(score_groups(drawn, ["resample"], "w"), ["resample"]),
+        ranking_metrics(
+            score_groups(drawn.rows, ["resample"], "w"), ["resample"], drawn.small
+        ),
         ["resample"],
         names,
     )
@@ -162,8 +178,10 @@ def _both(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scored.withColumn("_s", F.explode(scorers)).select(*keys, "_s.*")
 
 
-def _delta(by: Sequence[str], rows: DataFrame, weight: str | None) -> DataFrame:
-    ap = ranking_metrics(score_groups(rows, [*by, "scorer"], weight), [*by, "scorer"])
+def _delta(
+    by: Sequence[str], rows: DataFrame, weight: str | None, small: bool = False
+) -> DataFrame:
+    ap = ranking_metrics(score_groups(rows, [*by, "scorer"], weight), [*by, "scorer"], small)
 
     def of(name: str) -> Column:
         return F.max(F.when(F.col("scorer") == name, F.col("average_precision")))
@@ -179,7 +197,8 @@ def paired_delta_bootstrap(
     columns = ["y", "p_incumbent", "p_challenger"]
     scored = freeze(scored.select("transaction_id", *columns))
     drawn = resampled(scored, columns, resamples, seed, method=method)
-    samples = _delta(["resample"], _both(drawn, ["resample", "y", "w"]), "w")
+    both = _both(drawn.rows, ["resample", "y", "w"])
+    samples = _delta(["resample"], both, "w", drawn.small)
     point = _delta([], _both(scored, ["y"]), None)
     wins = F.avg(F.when(F.col("value").isNotNull(), (F.col("value") > 0).cast("double")))
     lo, hi = (F.percentile("value", F.lit(q)) for q in CI_LEVELS)
@@ -218,7 +237,7 @@ def policy_bootstrap(
     def worth(where: Column) -> Column:
         return F.coalesce(F.sum(F.when(where, money)), F.lit(0)).cast("double")
 
-    s = drawn.groupBy("resample").agg(
+    s = drawn.rows.groupBy("resample").agg(
         F.sum(w).cast("double").alias("n"),
         count(fraud).alias("frauds"),
         count(a & ~fraud).alias("fa_a"),
@@ -274,15 +293,16 @@ def window_bootstrap(
     (fold 0) over the same draws. `scored` holds (transaction_id, fold, y, p, p_calibrated)."""
     columns = ["y", "p", "p_calibrated"]
     rows = freeze(scored.select("transaction_id", "fold", *columns))
-    drawn = freeze(resampled(rows, columns, resamples, seed, within="fold", method=method))
+    drawn = resampled(rows, columns, resamples, seed, within="fold", method=method)
     # every draw counts for its own window and once for the pool
-    both = drawn.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(0))))
+    zero = F.lit(0).cast(rows.schema["fold"].dataType)
+    both = freeze(drawn.rows).withColumn("fold", F.explode(F.array(F.col("fold"), zero)))
     keys = ["resample", "fold"]
-    ap = ranking_metrics(score_groups(both, keys, "w"), keys).select(
+    ap = ranking_metrics(score_groups(both, keys, "w"), keys, drawn.small).select(
         *keys, "average_precision", "pos"
     )
     cells = both.groupBy(*keys, F.col("p_calibrated").alias("p"), "y").agg(F.sum("w").alias("w"))
-    ece = weighted_calibration_error(cells, bins, keys)
+    ece = weighted_calibration_error(cells, bins, keys, drawn.small)
     joined = ap.join(ece, keys).withColumn("ece", F.when(F.col("pos") > 0, F.col("ece")))
     samples = _melt(joined, keys, ["average_precision", "ece"])
     return intervals(samples, ["fold", "metric"]).select(

@@ -5,12 +5,13 @@ day; each batch reads the days that its windows reach back to and runs the same
 as the batch operator. A hot entity therefore never sits in one task's state store.
 
 Rows older than the watermark are dropped, as is history no window can reach. Every batch
-overwrites only its own folders, so a batch that runs again leaves the same files.
+overwrites only its own partitions, so a batch that runs again leaves the same files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,29 @@ from riskweave.sources.transactions import path_exists
 STATE_COLUMNS = ("transaction_id", "timestamp", "entity_id", "amount")
 
 
-def _state(spark: SparkSession, folder: str, batch_id: int, from_us: int) -> DataFrame | None:
-    """Earlier batches' rows from `from_us` on; the day filter prunes folders."""
+def _day_folders(spark: SparkSession, folder: str, from_day: str) -> list[str]:
+    """The state's day folders from a day on. Only the day level is listed, so a batch costs the
+    same however long the stream has run; older days may be deleted at any time."""
     if not path_exists(spark, folder):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [status.getPath().getName() for status in found]
+    return [
+        f"{folder}/{n}" for n in names if n.startswith("day=") and n >= f"day={from_day}"
+    ]
+
+
+def _history(spark: SparkSession, folder: str, batch_id: int, from_us: int) -> DataFrame | None:
+    """Earlier batches' rows from `from_us` on."""
+    from_day = datetime.fromtimestamp(from_us / 1e6, timezone.utc).strftime("%Y-%m-%d")
+    folders = _day_folders(spark, folder, from_day)
+    if not folders:
         return None
-    day = F.to_date(F.timestamp_micros(F.lit(from_us)))
-    rows = spark.read.parquet(folder).where(
-        (F.col("batch") < batch_id)
-        & (F.col("day") >= day)
-        & (F.unix_micros("timestamp") >= from_us)
-    )
-    return rows.select(*STATE_COLUMNS)
+    rows = spark.read.option("basePath", folder).parquet(*folders)
+    return rows.where(
+        (F.col("batch") < batch_id) & (F.unix_micros("timestamp") >= from_us)
+    ).select(*STATE_COLUMNS)
 
 
 def velocity_writer(
@@ -42,42 +55,49 @@ def velocity_writer(
 ):
     """A foreachBatch function."""
     reach = max(windows.values())
+    features = [
+        f"{ENTITY_PREFIX}{kind}_{label}"
+        for label in windows
+        for kind in ("count", "amt_sum", "amt_mean", "amt_ratio")
+    ]
+
+    def progress(spark: SparkSession, batch_id: int) -> int | None:
+        path = f"{state}/progress/batch={batch_id}"
+        return spark.read.parquet(path).first()["max_us"] if path_exists(spark, path) else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = freeze(batch)
-        span = rows.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
-        if span[0] is None:
-            return
-        seen = None
-        if path_exists(spark, f"{state}/progress"):
-            earlier = spark.read.parquet(f"{state}/progress").where(F.col("batch") < batch_id)
-            seen = earlier.agg(F.max("max_us")).first()[0]
-        if seen is not None:
-            rows = rows.where(F.unix_micros("timestamp") >= seen - lateness_us)
-        history = _state(spark, f"{state}/rows", batch_id, span[0] - reach)
-        fresh = rows.withColumn("_fresh", F.lit(True))
-        pool = fresh
-        if history is not None:
-            pool = fresh.unionByName(
-                history.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
+        at = F.unix_micros("timestamp")
+        first, last = rows.agg(F.min(at), F.max(at)).first()
+        seen = progress(spark, batch_id - 1)
+        top = max((t for t in (seen, last) if t is not None), default=None)
+        if first is not None:
+            if seen is not None:
+                rows = rows.where(at >= seen - lateness_us)
+            pool = rows.withColumn("_fresh", F.lit(True))
+            history = _history(spark, f"{state}/rows", batch_id, first - reach)
+            if history is not None:
+                pool = pool.unionByName(
+                    history.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
+                )
+            done = entity_velocity(pool, windows).where("_fresh")
+            done.select(*batch.columns, *features).write.mode("overwrite").parquet(
+                f"{output}/batch={batch_id}"
+            )
+            # rebalance: one file per day for a small batch, several for a hot day
+            (
+                rows.select(*STATE_COLUMNS, F.to_date("timestamp").alias("day"))
+                .withColumn("batch", F.lit(batch_id))
+                .hint("rebalance", "day")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("day", "batch")
+                .parquet(f"{state}/rows")
             )
-        features = [
-            f"{ENTITY_PREFIX}{kind}_{label}"
-            for label in windows
-            for kind in ("count", "amt_sum", "amt_mean", "amt_ratio")
-        ]
-        done = entity_velocity(pool, windows).where("_fresh")
-        done.select(*batch.columns, *features).write.mode("overwrite").parquet(
-            f"{output}/batch={batch_id}"
-        )
-        rows.select(*STATE_COLUMNS, F.to_date("timestamp").alias("day")).write.mode(
+        spark.range(1).select(F.lit(top).cast("long").alias("max_us")).write.mode(
             "overwrite"
-        ).partitionBy("day").parquet(f"{state}/rows/batch={batch_id}")
-        top = max(span[1], seen or span[1])
-        spark.range(1).select(F.lit(top).alias("max_us")).write.mode("overwrite").parquet(
-            f"{state}/progress/batch={batch_id}"
-        )
+        ).parquet(f"{state}/progress/batch={batch_id}")
 
     return write
 

@@ -19,23 +19,23 @@ def table(spark):
 
 def test_every_resample_draws_as_many_rows_as_there_are(table):
     _, df = table
-    drawn = resample.resampled(df, ["transaction_id"], 20, 1, tie="transaction_id")
+    drawn = resample.resampled(df, ["transaction_id"], 20, 1, tie="transaction_id").rows
     sizes = [r[1] for r in drawn.groupBy("resample").agg(F.sum("w")).collect()]
     assert sizes == [400] * 20
 
 
 def test_draws_depend_on_the_seed_only(table):
     _, df = table
-    a = resample.resampled(df, ["p", "y"], 5, 1, method="multinomial")
-    b = resample.resampled(df.repartition(7), ["p", "y"], 5, 1, method="multinomial")
-    c = resample.resampled(df, ["p", "y"], 5, 2, method="multinomial")
+    a = resample.resampled(df, ["p", "y"], 5, 1, method="multinomial").rows
+    b = resample.resampled(df.repartition(7), ["p", "y"], 5, 1, method="multinomial").rows
+    c = resample.resampled(df, ["p", "y"], 5, 2, method="multinomial").rows
     assert a.exceptAll(b).count() == 0
     assert a.exceptAll(c).count() > 0
 
 
 def test_windows_are_drawn_apart(table):
     _, df = table
-    drawn = resample.resampled(df, ["y"], 4, 3, within="fold", method="multinomial")
+    drawn = resample.resampled(df, ["y"], 4, 3, within="fold", method="multinomial").rows
     sizes = {r[0]: r[1] for r in drawn.groupBy("fold").agg(F.sum("w")).collect()}
     assert sizes == {1: 800, 2: 800}
 
@@ -53,16 +53,16 @@ def test_poisson_counts_agree_with_draws_on_average(table):
 
 def test_poisson_totals_have_the_right_mean(table):
     _, df = table
-    drawn = resample.resampled(df, ["y"], 200, 5, method="poisson")
+    drawn = resample.resampled(df, ["y"], 200, 5, method="poisson").rows
     means = drawn.groupBy("y").agg(F.sum("w") / 200)
     counts = dict(df.groupBy("y").count().collect())
     for y, mean in means.collect():
         assert mean == pytest.approx(counts[y], rel=0.05)
 
 
-def test_poisson_takes_over_beyond_the_draw_budget(table, monkeypatch):
+def test_poisson_takes_over_beyond_the_draw_budget(table):
     _, df = table
-    drawn = resample.resampled(df, ["y"], 10, 5, max_draws=100)
+    drawn = resample.resampled(df, ["y"], 10, 5, max_draws=100).rows
     sizes = {r[1] for r in drawn.groupBy("resample").agg(F.sum("w")).collect()}
     assert len(sizes) > 1  # Poisson totals vary, draws would not
 
