@@ -1,4 +1,4 @@
-"""F1 to F14, W1 to W5, J1, T3, A27, X1 to X6, L9, SRC7, SRC8."""
+"""F1 to F14, W1 to W5, O13, J1, T3, A27, X1 to X6, L9, SRC7, SRC8."""
 
 from __future__ import annotations
 
@@ -18,11 +18,12 @@ from riskweave.catalog.common import (
     with_sql,
 )
 from riskweave.functions import features
-from riskweave.functions.scores import display_name, logit, percent_text
+from riskweave.functions.scores import display_name, logit, percent_text, ratio
 from riskweave.functions.text import binary_label, duration_seconds, memory_mebibytes
 from riskweave.operators import velocity
 from riskweave.operators.splits import temporal_grouped_split
 from riskweave.options import VELOCITY_WINDOWS
+from riskweave.schema import numeric_columns
 from riskweave.sources.transactions import canonical
 
 
@@ -64,8 +65,6 @@ def request_time_features(spark, folder):
 )
 def model_inputs(spark, folder):
     """The numeric inputs and how many rows know them."""
-    from riskweave.schema import numeric_columns
-
     tx = features.add_time_features(events_tx(spark, folder))
     names = numeric_columns(tx)
     counts = tx.agg(*[F.count(c).alias(c) for c in names])
@@ -403,3 +402,111 @@ def unit_parsing(spark, folder):
     return texts.groupBy("event_type").agg(
         F.sum(duration_seconds(F.col("duration"))).alias("seconds"), F.sum(size).alias("mebibytes")
     )
+
+
+def line_tx(spark, folder):
+    """Line items as one stream of transactions at day grain."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, folder, "lineitem").select(
+        key.alias("transaction_id"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_extendedprice").alias("amount"),
+    )
+
+
+@query(
+    "o13_trailing_totals",
+    """WITH d AS (SELECT epoch_us(l_shipdate) AS us, count(*) AS n,
+  sum(CAST(l_extendedprice AS DECIMAL(20,6))) AS s FROM lineitem GROUP BY 1),
+w AS (SELECT us, n, coalesce(sum(n) OVER v, 0) AS n7, coalesce(sum(s) OVER v, 0) AS s7 FROM d
+  WINDOW v AS (ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING))
+SELECT us, n, CAST(n7 AS DOUBLE) AS n7, CAST(s7 AS DOUBLE) AS s7 FROM w""",
+)
+def trailing_totals(spark, folder):
+    """The week before each shipping day, over all line items."""
+    wide = velocity.stream_velocity(line_tx(spark, folder), {"7d": 604_800_000_000})
+    return wide.groupBy(F.unix_micros("timestamp").alias("us")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("f_vel_count_7d").alias("n7"),
+        F.max("f_vel_amt_sum_7d").alias("s7"),
+    )
+
+
+@query(
+    "x1_string_functions",
+    """SELECT o_orderkey, lower(trim(o_orderpriority)) AS cleaned,
+  o_orderpriority LIKE '1%' AS urgent, lower(o_orderpriority) IN ('1-urgent', '2-high') AS pressing,
+  'p_' || o_orderstatus AS prefixed, regexp_matches(o_orderpriority, '[0-9]-[MN]') AS matched,
+  substr(o_orderpriority, instr(o_orderpriority, '-') + 1) AS rest FROM orders""",
+)
+def string_functions(spark, folder):
+    text = F.col("o_orderpriority")
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.lower(F.trim(text)).alias("cleaned"),
+        text.startswith("1").alias("urgent"),
+        F.lower(text).isin("1-urgent", "2-high").alias("pressing"),
+        F.concat(F.lit("p_"), "o_orderstatus").alias("prefixed"),
+        text.rlike("[0-9]-[MN]").alias("matched"),
+        F.split(text, "-", 2)[1].alias("rest"),
+    )
+
+
+@query(
+    "x3_math_functions",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  least(greatest(l_quantity, 5), 40) AS clipped, abs(l_discount - 0.05e0) AS gap,
+  round(ln(l_quantity), 9) AS log_quantity, sqrt(l_quantity) AS root,
+  l_extendedprice / nullif(l_quantity - 10, 0) AS guarded FROM lineitem""",
+)
+def math_functions(spark, folder):
+    q = F.col("l_quantity")
+    out = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.least(F.greatest(q, F.lit(5.0)), F.lit(40.0)).alias("clipped"),
+        F.abs(F.col("l_discount") - 0.05).alias("gap"),
+        F.log(q).alias("log_quantity"),
+        F.sqrt(q).alias("root"),
+        ratio(F.col("l_extendedprice"), q - 10).alias("guarded"),
+    )
+    return rounded(out, ["log_quantity"])
+
+
+@query(
+    "x4_array_functions",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  array_to_string(list_sort(list_distinct([l_linenumber, 3, CAST(l_quantity AS INT) % 5])), ',')
+    AS distinct_sorted, len(list_filter([1, 2, 3, 4], lambda x: x <= l_linenumber)) AS edges_below
+FROM lineitem""",
+)
+def array_functions(spark, folder):
+    line = F.col("l_linenumber")
+    items = F.array(line, F.lit(3), F.col("l_quantity").cast("int") % 5)
+    text = F.transform(F.array_sort(F.array_distinct(items)), lambda x: x.cast("string"))
+    below = F.size(F.filter(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]), lambda x: x <= line))
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.array_join(text, ",").alias("distinct_sorted"),
+        below.cast("long").alias("edges_below"),
+    )
+
+
+@query(
+    "x5_json_functions",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+  '{"k":' || json_extract_string(props, '$.k') || ',"t":"' || event_type || '"}' AS doc
+FROM events""",
+)
+def json_functions(spark, folder):
+    parsed = F.from_json("props", "k int")
+    return table(spark, folder, "events").select(
+        "event_id",
+        parsed["k"].alias("k"),
+        F.to_json(F.struct(parsed["k"].alias("k"), F.col("event_type").alias("t"))).alias("doc"),
+    )

@@ -161,7 +161,7 @@ def benchmark_export(spark, folder):
   count(*) FILTER (event_type = 'error') AS frauds FROM events""",
 )
 def detection(spark, folder):
-    """Two datasets in one folder: the first in the fixed order wins. Also SRC6."""
+    """Two datasets in one folder: the first in the fixed order wins."""
     out = scratch_path(spark, "two")
     as_creditcard(spark, folder, out)
     as_sparkov(spark, folder, out)
@@ -171,6 +171,16 @@ def detection(spark, folder):
     )
 
 
+@query("src6_load_entry_point", SPARKOV_SQL.replace("'sparkov' AS data_source", "1 AS one"))
+def load_entry_point(spark, folder):
+    """The one entry point, on a folder whose dataset it has to find."""
+    out = scratch_path(spark, "found")
+    as_sparkov(spark, folder, out)
+    return canonical_out(transactions.load(spark, out), "f_city_pop", F.lit(1).alias("one")).drop(
+        "data_source"
+    )
+
+
 CURVE_SQL = with_sql(EVENTS_SQL, SCORED_SQL, curve_sql(REVIEW_THRESHOLDS))
 
 
@@ -222,18 +232,22 @@ def _metric_rows(spark, folder):
     return sinks.metric_rows(curve, "run1", "variant", METRICS, "review_threshold", "curve.")
 
 
-@query(
-    "snk4_metric_store",
-    CURVE_SQL
-    + " UNION ALL ".join(
-        f"""SELECT 'run1' AS run, 'base' AS variant, 'curve.{m}' AS metric,
+METRIC_SQL = CURVE_SQL + " UNION ALL ".join(
+    f"""SELECT 'run1' AS run, 'base' AS variant, 'curve.{m}' AS metric,
   CAST(round(review_threshold * 100) AS INT) AS step, CAST({m} AS DOUBLE) AS value FROM curve
   WHERE {m} IS NOT NULL"""
-        for m in METRICS
-    ),
+    for m in METRICS
 )
+
+
+@query("a26_metric_flattening", METRIC_SQL)
+def metric_flattening(spark, folder):
+    """Curve rows as metric steps."""
+    return _metric_rows(spark, folder)
+
+
+@query("snk4_metric_store", METRIC_SQL)
 def metric_store(spark, folder):
-    """Also A26: curve rows as metric steps."""
     out = scratch_path(spark, "metrics")
     sinks.append_metrics(
         _metric_rows(spark, folder), out, {"rounds": "200"}, {"comparison": "events"}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.ordered import scan
+from riskweave.session import freeze
 
 
 def entity_first_seen(df: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
@@ -20,9 +21,9 @@ def entity_first_seen(df: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     )
 
 
-def entity_order(df: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
+def entity_order(entities: DataFrame) -> DataFrame:
     """Entities with the number of rows ahead of them in first-seen order (ties by id)."""
-    return scan(entity_first_seen(df, extra), ["first_seen", "entity_id"], ["rows"])
+    return scan(entities, ["first_seen", "entity_id"], ["rows"])
 
 
 def with_first_seen(df: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def entity_sides(df: DataFrame, test_size: float) -> DataFrame:
     """(entity_id, side): train while the rows ahead are below the train budget."""
     budget = F.col("rows_total") * F.lit(1 - test_size)
     side = F.when(F.col("rows_before") < budget, "train").otherwise("test")
-    return entity_order(df).select("entity_id", side.alias("side"))
+    return entity_order(entity_first_seen(df)).select("entity_id", side.alias("side"))
 
 
 def temporal_grouped_split(
@@ -65,11 +66,14 @@ def nested_sides(df: DataFrame, test_size: float, inner_size: float) -> DataFram
 
 def cut_timestamps(df: DataFrame, fractions: Sequence[float]) -> DataFrame:
     """(fraction, cut): first-seen time of the first entity left out of each budget."""
+    return cuts_of(entity_first_seen(df), fractions)
+
+
+def cuts_of(entities: DataFrame, fractions: Sequence[float]) -> DataFrame:
     bad = [f for f in fractions if not 0.0 < f < 1.0]
     if bad:
         raise ValueError(f"train fractions must lie strictly between 0 and 1: {bad}")
-    ordered = entity_order(df)
-    cuts = ordered.agg(
+    cuts = entity_order(entities).agg(
         *[
             F.min(
                 F.when(
@@ -162,10 +166,11 @@ def build_folds(
     row per fraction."""
     if list(fractions) != sorted(set(fractions)):
         raise ValueError("train fractions must strictly increase")
-    cuts = [r["cut"] for r in distinct_cuts(df, fractions).collect()]
+    entities = freeze(entity_first_seen(df, [F.sum("is_fraud").alias("frauds")]))
+    cuts = [r["cut"] for r in cuts_of(entities, fractions).collect()]
     if None in cuts:
         raise ValueError(f"one of {list(fractions)} leaves no test rows")
-    entities = entity_first_seen(df, [F.sum("is_fraud").alias("frauds")])
+    cuts = sorted(set(cuts))
     counts = {r["window"]: int(r["frauds"]) for r in fold_windows(entities, cuts).collect()}
     ends = [*cuts[1:], None]
     return merge_short_windows(
