@@ -33,6 +33,9 @@ def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) ->
             F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).alias("_amt"),
             F.min("transaction_id").alias("_first_id"),
         )
+        # longs from here on: text buffers would turn the later aggregation into a sort
+        .withColumn("_first", F.xxhash64("_first_id"))
+        .drop("_first_id")
     )
     nil = F.lit(0)
     asks = [
@@ -53,11 +56,11 @@ def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) ->
         F.col("_us").alias("point"),
     )
     rows = points.select(
-        *keys, "_us", "_first_id", F.explode(F.array(own, *asks)).alias("e")
+        *keys, "_us", "_first", F.explode(F.array(own, *asks)).alias("e")
     ).select(
         *keys,
         "_us",
-        F.when(F.col("e.label") == "", F.col("_first_id")).alias("_first_id"),
+        F.when(F.col("e.label") == "", F.col("_first")).alias("_first"),
         "e.*",
         # a shifted copy sorts in front of the point at the same time
         F.when(F.col("e.label") == "", 1).otherwise(0).alias("kind"),
@@ -75,7 +78,7 @@ def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) ->
 
     same = F.col("owner_prev") == F.col(entity) if entity else F.lit(True)
     return scanned.groupBy(*keys, "_us").agg(
-        F.max("_first_id").alias("_first_id"),
+        F.max("_first").alias("_first"),
         F.max(F.when((F.col("label") == "") & same, F.col("point_prev"))).alias("_prev_us"),
         *[
             (held("", "n_before") - held(label, "n_before")).alias(f"_n_{label}")
@@ -109,7 +112,7 @@ def _features(
         )
     # rows that share a time point follow each other at distance 0, in id order
     gap = F.when(
-        F.col("transaction_id") == F.col("_first_id"), F.col("_us") - F.col("_prev_us")
+        F.xxhash64("transaction_id") == F.col("_first"), F.col("_us") - F.col("_prev_us")
     ).otherwise(F.lit(0))
     seconds = gap / F.lit(1e6)
     if entity is None:
