@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from riskweave.catalog.common import QUERIES, SQL  # noqa: F401
-from riskweave.catalog import (
+from riskweave.catalog import (  # noqa: F401  (importing a module registers its queries)
+    drift_queries,
     feature_queries,
+    io_queries,
     metric_queries,
+    model_queries,
     policy_queries,
-    resample_queries,
-    drift_queries,
-    request_queries,
     reconcile_queries,
-    io_queries,
-    stream_queries,
-    model_queries,
+    request_queries,
+    resample_queries,
     split_queries,
+    stream_queries,
 )
+from riskweave.catalog.common import QUERIES, SQL  # noqa: F401

@@ -13,7 +13,7 @@ from riskweave.catalog.common import (
     scored,
     with_sql,
 )
-from riskweave.catalog.resample_queries import RESAMPLES, SEED
+from riskweave.catalog.resample_queries import RESAMPLES, SEED, headline_sql
 from riskweave.functions.features import add_time_features
 from riskweave.operators import drift, resample
 from riskweave.operators.reconcile import flag_agreement
@@ -238,9 +238,18 @@ def agreement(spark, folder):
     return flag_agreement(by_distance, by_psi, "feature")
 
 
-@query("d8_window_performance")
+@query(
+    "d8_window_performance",
+    f"""WITH r AS ({headline_sql("train")}), c AS ({headline_sql("test")})
+SELECT metric, r.point AS reference_point, c.point AS current_point,
+  round(c.point - r.point, 6) AS change,
+  r.point BETWEEN c.ci_lower AND c.ci_upper AS reference_inside_current,
+  c.point BETWEEN r.ci_lower AND r.ci_upper AS current_inside_reference
+FROM r JOIN c USING (metric)""",
+)
 def window_performance(spark, folder):
-    """Two bootstrap tables side by side; S2 checks the tables themselves."""
+    """The bootstrap tables of both sides next to each other."""
     train, test = temporal_grouped_split(events_tx(spark, folder))
     tables = [resample.headline_bootstrap(scored(t), RESAMPLES, SEED) for t in (train, test)]
-    return drift.window_performance(*tables)
+    out = rounded(drift.window_performance(*tables), ["reference_point", "current_point"])
+    return rounded(out, ["change"], 6)

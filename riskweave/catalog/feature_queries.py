@@ -177,9 +177,9 @@ def batch_cap(spark, folder):
     return capped.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def window_sql(prefix: str, partition: str) -> str:
+def window_sql(prefix: str, partition: str, windows=VELOCITY_WINDOWS) -> str:
     cols = []
-    for label, width in VELOCITY_WINDOWS.items():
+    for label, width in windows.items():
         over = (
             f"OVER ({partition}ORDER BY us RANGE BETWEEN {width} PRECEDING AND 1 PRECEDING)"
         )
@@ -189,7 +189,7 @@ def window_sql(prefix: str, partition: str) -> str:
         )
     inner = ", ".join(cols)
     outs = []
-    for label in VELOCITY_WINDOWS:
+    for label in windows:
         n, s = f"n_{label}", f"s_{label}"
         mean = f"CASE WHEN {n} > 0 THEN {s} / {n} END"
         outs.append(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.catalog.common import (
     EVENTS_SQL,
+    ORDERS_SQL,
     SIDES_SQL,
     events_tx,
     orders_tx,
@@ -17,6 +18,7 @@ from riskweave.catalog.common import (
     scored,
     with_sql,
 )
+from riskweave.catalog.feature_queries import window_sql
 from riskweave.functions.features import add_time_features, with_absent_inputs
 from riskweave.models import attribution, calibrate, detector, grid, registry
 from riskweave.operators import velocity
@@ -72,10 +74,25 @@ def absent_inputs(spark, folder):
     return detector.score(model, test.drop("f_k", "category")).select("transaction_id", "p")
 
 
-@query("f9_velocity_columns")
+DAY = {"24h": 86_400_000_000}
+KINDS = ("count_24h", "amt_sum_24h", "amt_mean_24h", "amt_ratio_24h", "seconds_since_prev")
+
+
+@query(
+    "f9_velocity_columns",
+    f"""WITH {ORDERS_SQL},
+a AS (WITH {window_sql("f_vel_", "", DAY)}),
+b AS (WITH {window_sql("f_ent_", "PARTITION BY entity_id ", DAY)})
+"""
+    + " UNION ALL ".join(
+        f"""SELECT '{prefix}{kind}' AS "column", max({prefix}{kind}) AS largest FROM {source}"""
+        for prefix, source in (("f_vel_", "a"), ("f_ent_", "b"))
+        for kind in KINDS
+    ),
+)
 def velocity_inputs(spark, folder):
     """Velocity columns by prefix, with their ranges over the table."""
-    wide = velocity.add_velocity(orders_tx(spark, folder), {"24h": 86_400_000_000})
+    wide = velocity.add_velocity(orders_tx(spark, folder), DAY)
     names = velocity.velocity_columns(wide)
     table = wide.agg(*[F.max(c).alias(c) for c in names])
     entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("largest")) for c in names]

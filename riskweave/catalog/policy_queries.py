@@ -12,7 +12,6 @@ from riskweave.catalog.common import (
     events_tx,
     orders_tx,
     query,
-    rounded,
     scored,
     scored_events,
     scored_test,

@@ -50,10 +50,8 @@ def draws(spark, folder):
     ).rows
 
 
-@query(
-    "s2_headline_bootstrap",
-    BASE_SQL
-    + ", "
+HEADLINE_TAIL = (
+    ", "
     + ranked_sql("drawn", "resample, ")
     + f""", ap AS (SELECT 'average_precision' AS metric, resample, {AP_SQL.replace(", 9)", ", 15)")}
   AS value FROM r GROUP BY resample),
@@ -71,8 +69,17 @@ SELECT metric, {INTERVAL_SQL}, round(quantile_cont(value, 0.975) - quantile_cont
   round(CASE WHEN metric = 'recall' THEN (SELECT count(*) FILTER (p >= 0.5e0 AND y = 1)
       / CAST(sum(y) AS DOUBLE) FROM scored)
     ELSE (SELECT sum(pos / CAST(tp AS DOUBLE) * (cp / CAST(cn AS DOUBLE))) FROM r0) END, 9) AS point
-FROM samples GROUP BY metric""",
+FROM samples GROUP BY metric"""
 )
+
+
+def headline_sql(side: str) -> str:
+    """The headline bootstrap of one side of the split."""
+    chosen = TEST_SQL.replace("WHERE side = 'test'", f"WHERE side = '{side}'")
+    return with_sql(EVENTS_SQL, chosen, draws_sql("scored")) + HEADLINE_TAIL
+
+
+@query("s2_headline_bootstrap", headline_sql("test"))
 def headline(spark, folder):
     out = resample.headline_bootstrap(
         scored_test(spark, folder), RESAMPLES, SEED, "multinomial"
