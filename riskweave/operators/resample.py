@@ -30,6 +30,9 @@ from riskweave.options import CI_LEVELS, PER
 from riskweave.session import freeze
 
 MAX_DRAWS = 200_000_000
+# the drawn rows travel to the draws when there are at most this many (a few numbers each);
+# beyond that the join shuffles both sides
+BROADCAST_ROWS = 500_000
 # one md5 holds four 32-bit draws
 PER_DIGEST = 4
 
@@ -118,6 +121,8 @@ def resampled(
         return Draws(counted, affordable)
     placed = row_positions(rows.select(*by, *columns, tie), [tie], "position", by)
     placed = placed.select(*by, *columns, "position")
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
     draws = None
     for window, n in sizes.items():
         part = _draws(spark, n, resamples, seed, str(window))
