@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,16 @@ def build_session(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. A temporary one only where none is named (tests)."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    """The cluster's checkpoint folder. A temporary one only in local mode, where none is named.
+
+    Raises ValueError on a cluster that names none: a folder on the driver's own disk would be
+    invisible to the executors.
+    """
     context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None)
     if context.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskweave-"))
     return named or str(context.getCheckpointDir())
 
@@ -52,3 +59,11 @@ def freeze(df: DataFrame) -> DataFrame:
     """A table that several passes read, computed once and written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """`df` written once as Parquet below the shared folder and read again: later passes see the
+    same rows without running the plan anew, also after executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
