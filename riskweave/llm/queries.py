@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import simhash
+from riskweave.llm import simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
 }
 LLM_SQL: dict[str, str] = {}
