@@ -62,7 +62,7 @@ _SINGLES = frozenset(_LETTERS) | frozenset(LOOK_ALIKES)
 
 # Log probabilities of the channel.
 _LOOK, _MASK, _DROP, _KEEP, _NOISE, _SILENT, _REPEAT = (
-    math.log(p) for p in (0.5, 0.02, 0.9, 0.1, 0.2, 0.01, 0.3)
+    math.log(p) for p in (0.5, 0.02, 0.9, 0.1, 0.2, 0.0001, 0.3)
 )
 
 
