@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import secrets, simhash, toxicity
+import corpus_pipeline
+from riskweave.llm import packing, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +34,15 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {}
