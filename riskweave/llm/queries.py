@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskweave.llm import packing, secrets, simhash, toxicity
+from riskweave.llm import bpe, packing, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +38,16 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op10_bpe": op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {}
