@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, packing, secrets, simhash, toxicity
+from riskweave.llm import bpe, packing, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,48 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.interleaved(table(spark, folder, "documents"))
+    return placed.withColumns(
+        {"law": F.lit(sharding.LAW), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
+OP9_SQL = """
+WITH crc AS (
+  SELECT list(c ORDER BY n) AS steps FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(n))
+),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+        lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS text_crc32,
+    md5((CASE WHEN source IS NULL THEN 'true' ELSE 'false' END) || coalesce(source, '')) AS stratum,
+    ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+  FROM documents, crc
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k, doc_id, text_crc32, size) - 1 AS rk,
+    count(*) OVER (PARTITION BY stratum) AS n FROM d
+),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rk + 1) / (2 * n)::DOUBLE, stratum, rk) - 1 AS pos,
+    count(*) OVER () AS total FROM r
+),
+s AS (
+  SELECT *, CASE WHEN pos < (total % 8) * (total // 8 + 1) THEN pos // (total // 8 + 1)
+    ELSE total % 8 + (pos - (total % 8) * (total // 8 + 1)) // greatest(total // 8, 1) END AS shard FROM p
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+  (pos - shard * (total // 8) - least(shard, total % 8))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM s
+"""
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"))
 
@@ -47,7 +90,10 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {
+    "op9_sharding": OP9_SQL,
+}
