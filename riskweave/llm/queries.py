@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, packing, secrets, sharding, simhash, toxicity
+from riskweave.llm import bpe, packing, secrets, sharding, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,23 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleaved(table(spark, folder, "documents"))
     return placed.withColumns(
@@ -90,10 +107,12 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
     "op9_sharding": OP9_SQL,
 }

@@ -44,11 +44,11 @@ LOOK_ALIKES = {
 }
 _ANY = "*#"
 _HOMOGLYPHS = str.maketrans(
-    {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "к": "k", "м": "m",
-     "т": "t", "ѕ": "s", "ј": "j", "ԁ": "d", "­": None, "​": None, "‌": None,
-     "‍": None, "⁠": None, "﻿": None}
+    {"\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0445": "x", "\u0443": "y",
+     "\u0456": "i", "\u043a": "k", "\u043c": "m", "\u0442": "t", "\u0455": "s", "\u0458": "j", "\u0501": "d",
+     "\u00ad": None, "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None}
 )
-_WIDE = re.compile("[­Ā-\U0010ffff]")
+_WIDE = re.compile("[\u00ad\u0100-\U0010ffff]")
 _SIGNS = re.escape("".join(LOOK_ALIKES)) + re.escape(_ANY)
 _WORD = "a-zß-öø-ÿ"
 _TOKEN = re.compile(f"[{_WORD}{_SIGNS}]+")
