@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, packing, secrets, sharding, simhash, toxicity, warc
+from riskweave.llm import ann, bpe, packing, secrets, sharding, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,33 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return ann.nearest_neighbours(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return topk.top_products(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+    max(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0 GROUP BY ALL
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
@@ -105,6 +132,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_ann": op3_ann,
+    "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
@@ -113,6 +142,7 @@ LLM_QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
+    "op4_topk": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_sharding": OP9_SQL,
 }
