@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import ann, bpe, packing, secrets, sharding, simhash, topk, toxicity, warc
+from riskweave.llm import ann, bpe, packing, pii, secrets, sharding, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, folder, "pages"))
 
@@ -136,6 +140,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,

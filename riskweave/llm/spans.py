@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+_SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+
+
 def _running(items: Column) -> Column:
-    """struct(at, out): `items` (gap, size, hit) summed up in order, `out` with their positions."""
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"),
-    )
+    """struct(at, out): `items` (gap, size, hit, before, after) summed up in order, `out` with
+    their positions."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        span = F.struct(
+            begin.alias("start"), end.alias("end"), *[x[c].alias(c) for c in ("hit", "before", "after")]
+        )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     return F.aggregate(items, start, step)
@@ -43,20 +46,32 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>>: leftmost non-overlapping matches, positions in code points.
+def match_spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
+    """array<struct<start, end, hit, before, after>>: leftmost non-overlapping matches.
 
-    `text` must not be null and `pattern` must not match the empty string.
+    Positions are in code points, the end exclusive. `before` and `after` hold at most so many
+    characters of what stands between a match and its neighbours. `text` must not be null and
+    `pattern` must not match the empty string.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    items = F.zip_with(
-        hits,
-        gaps,
-        lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit")),
-    )
+
+    def interleaved(gaps: Column) -> Column:
+        return F.zip_with(
+            F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))),
+            F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))),
+            lambda x, g: F.struct(
+                F.length(x["gap"]).alias("gap"),
+                F.length(x["hit"]).alias("size"),
+                x["hit"].alias("hit"),
+                (F.substring(x["gap"], -before, before) if before else F.lit("")).alias("before"),
+                (F.substring(g, 1, after) if after else F.lit("")).alias("after"),
+            ),
+        )
+
     # the last gap has no match
-    items = F.filter(items, lambda x: x["hit"].isNotNull())
+    items = F.filter(
+        _let(F.split(text, pattern, -1), interleaved), lambda x: x["hit"].isNotNull()
+    )
 
     def blocks(all_items: Column) -> Column:
         last = F.floor((F.size(all_items) - 1) / BLOCK).cast("int")
@@ -75,7 +90,9 @@ def match_spans(text: Column, pattern: str) -> Column:
                     lambda p, s: F.transform(
                         p["out"],
                         lambda x: F.struct(
-                            (x["start"] + s).alias("start"), (x["end"] + s).alias("end"), x["hit"].alias("hit")
+                            (x["start"] + s).alias("start"),
+                            (x["end"] + s).alias("end"),
+                            *[x[c].alias(c) for c in ("hit", "before", "after")],
                         ),
                     ),
                 )
@@ -84,7 +101,7 @@ def match_spans(text: Column, pattern: str) -> Column:
         # as many starts as blocks; the whole sum is left out
         return _let(ahead, lambda a: shift(F.slice(a, 1, F.size(parts))))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
+    none = F.array().cast(_SPAN)
     found = _let(
         items, lambda i: F.when(F.size(i) > 0, _let(blocks(i), moved)).otherwise(none)
     )
