@@ -208,34 +208,58 @@ _RECORD = (
     "record_id string, record_type string, page string, digest string, refers string, "
     "origin string, segment int, total long, block binary"
 )
+_NAMES = [c.split()[0] for c in _RECORD.split(", ")]
+_MEASURED = "record_id string, payload_bytes long, payload_digest string"
+
+
+def _record_row(headers: dict[str, str], block: bytes) -> tuple:
+    number = lambda name: int(headers[name]) if name in headers else None
+    return (
+        headers.get("warc-record-id"),
+        headers.get("warc-type"),
+        headers.get("warc-refers-to-page"),
+        headers.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+        headers.get("warc-refers-to"),
+        headers.get("warc-segment-origin-id"),
+        number("warc-segment-number"),
+        number("warc-segment-total-length"),
+        block,
+    )
+
+
+def measured(block: bytes | None, stated: str | None) -> tuple[int | None, str | None, bytes | None]:
+    """Size, digest and bytes of the payload in a block; nulls for what is not as stated."""
+    try:
+        payload = None if block is None else payload_of(block)
+    except ValueError:
+        payload = None
+    digest = None if payload is None else hashlib.sha256(payload).hexdigest()
+    if payload is None or digest != stated:
+        return None, None, None
+    return len(payload), digest, payload
+
+
+def _archive_rows(content: bytes) -> list[tuple]:
+    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    return [_record_row(h, block) for h, block in parse_records(data)]
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return reader.load(path).select("content")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives below `path`."""
+    """A row per record of the archives below `path`, continuations among them."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _RECORD.split(", ")]
         for b in batches:
             for content in b["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [
-                    (
-                        h.get("warc-record-id"),
-                        h.get("warc-type"),
-                        h.get("warc-refers-to-page"),
-                        h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                        h.get("warc-refers-to"),
-                        h.get("warc-segment-origin-id"),
-                        int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
-                        int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                        block,
-                    )
-                    for h, block in parse_records(data)
-                ]
-                yield pd.DataFrame(rows, columns=names).astype({"segment": "Int64", "total": "Int64"})
+                yield pd.DataFrame(_archive_rows(content), columns=_NAMES).astype(
+                    {"segment": "Int64", "total": "Int64"}
+                )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInPandas(parse, _RECORD)
+    return _files(spark, path).mapInPandas(parse, _RECORD)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -251,14 +275,20 @@ def reassembled(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
     )
-    block = F.aggregate(
-        F.transform("parts", lambda p: p["block"]), F.lit(b""), lambda acc, b: F.concat(acc, b)
-    )
     numbers = F.transform("parts", lambda p: p["segment"])
-    whole = numbers == F.sequence(F.lit(1), F.size("parts"))
-    return joined.select("record_id", "total", whole.alias("_whole"), block.alias("block")).select(
-        "record_id", F.when(F.col("_whole") & (F.octet_length("block") == F.col("total")), F.col("block")).alias("block")
-    )
+    sizes = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    whole = (numbers == F.sequence(F.lit(1), F.size("parts"))) & (sizes == F.col("total"))
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            blocks = [b"".join(p) if ok else None for p, ok in zip(b["parts"], b["whole"])]
+            yield pd.DataFrame({"record_id": b["record_id"], "block": blocks})
+
+    return joined.select(
+        "record_id",
+        F.transform("parts", lambda p: p["block"]).alias("parts"),
+        F.coalesce(whole, F.lit(False)).alias("whole"),
+    ).mapInPandas(join, "record_id string, block binary")
 
 
 def read_payloads(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -266,37 +296,42 @@ def read_payloads(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     Size and digest come from the payload that was read, for a revisit from that of the record
     it refers to. They are null where a record is broken or its payload is not what the header's
-    digest says.
+    digest says. Records of one segment are measured where they are parsed; blocks of others
+    are kept until their segments meet.
     """
+    more = ["payload"] * with_payload
+    columns = _NAMES + ["payload_bytes", "payload_digest"] + more
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                rows = []
+                for row in _archive_rows(content):
+                    single = row[1] == "response" and row[6] is None
+                    found = measured(row[8], row[3]) if single else (None, None, None)
+                    kept = row if row[6] is not None else row[:8] + (None,)
+                    rows.append(kept + found[: 2 + with_payload])
+                yield pd.DataFrame(rows, columns=columns).astype(
+                    {"segment": "Int64", "total": "Int64", "payload_bytes": "Int64"}
+                )
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for number, block, stated in zip(b["record_id"], b["block"], b["digest"]):
-                try:
-                    payload = payload_of(block) if block is not None else None
-                except ValueError:
-                    payload = None
-                digest = None if payload is None else hashlib.sha256(payload).hexdigest()
-                if digest != stated:
-                    payload = digest = None
-                rows.append((number, None if payload is None else len(payload), digest, payload))
-            out = pd.DataFrame(rows, columns=["record_id", "payload_bytes", "payload_digest", "payload"])
-            yield (out if with_payload else out.drop(columns="payload")).astype({"payload_bytes": "Int64"})
-
-    records = store(read_records(spark, path), "records")
+            rows = [(i, *measured(x, d)[: 2 + with_payload]) for i, x, d in zip(b["record_id"], b["block"], b["digest"])]
+            yield pd.DataFrame(rows, columns=["record_id", *columns[9:]]).astype({"payload_bytes": "Int64"})
+
+    extra = ", payload binary" * with_payload
+    schema = f"{_RECORD}, payload_bytes long, payload_digest string{extra}"
+    records = store(_files(spark, path).mapInPandas(parse, schema), "records")
     heads = records.where("record_type <> 'continuation'")
-    responses = heads.where("record_type = 'response'").select("record_id", "segment", "digest", "block")
-    single = responses.where("segment is null").select("record_id", "block", "digest")
-    joined = reassembled(records).join(
-        responses.where("segment is not null").select("record_id", "digest"), "record_id"
-    ).select("record_id", "block", "digest")
-    schema = "record_id string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    measured = single.unionByName(joined).mapInPandas(measure, schema)
+    first = heads.where("record_type = 'response' and segment is not null").select("record_id", "digest")
+    joined = reassembled(records).join(first, "record_id").mapInPandas(measure, _MEASURED + extra)
+    single = heads.where("record_type = 'response' and segment is null").select("record_id", *columns[9:])
+    payloads = single.unionByName(joined).withColumnRenamed("record_id", "_measured")
     target = F.when(F.col("record_type") == "revisit", F.col("refers")).otherwise(F.col("record_id"))
     return (
         heads.select("record_id", "record_type", "page", "refers", target.alias("_target"))
-        .join(measured.withColumnRenamed("record_id", "_measured"), F.col("_target") == F.col("_measured"), "left")
+        .join(payloads, F.col("_target") == F.col("_measured"), "left")
         .drop("_target", "_measured")
     )
 
