@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.rows import DOC, unwrapped, wrapped
 from riskweave.llm.spans import match_spans, replace_spans, span_text
 from riskweave.session import store
 
@@ -163,14 +164,12 @@ def scan(
     """
     added = store(scan_blobs(docs, ledger, rules, text_column), "ledger")
     whole = added if ledger is None else ledger.select("blob", "rules", "spans").unionByName(added)
-    findings = current_findings(whole, rules).select(
-        F.col("blob").alias("_found_blob"), F.col("spans").alias("_found")
+    findings = current_findings(whole, rules).select(F.col("blob").alias("found_blob"), "spans")
+    joined = wrapped(docs, blob=blob_of(F.col(text_column))).join(
+        findings, F.col("blob") == F.col("found_blob"), "left"
     )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != name]
-    joined = docs.withColumn("_doc_blob", blob_of(F.col(text_column))).join(
-        findings, F.col("_doc_blob") == F.col("_found_blob"), "left"
-    )
-    return joined.select(*kept, F.coalesce("_found", F.array().cast(_SPANS)).alias(name)), added
+    spans = F.coalesce("spans", F.array().cast(_SPANS))
+    return unwrapped(joined, docs, **{name: spans}), added
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -198,12 +197,12 @@ def redact(
     All rows and columns are kept; `length_column`, where the table has it, follows the text of
     the rows that change.
     """
-    mark = "_secret_spans"
-    found, _ = scan(docs, text_column=text_column, name=mark)
-    hit = F.size(mark) > 0
-    clean = replace_spans(F.col(text_column), F.col(mark), MARK)
-    out = found.withColumn(text_column, F.when(hit, clean).otherwise(F.col(text_column)))
+    # own names: an output column of the same name would be taken for them inside expressions
+    found, _ = scan(wrapped(docs, own_text=F.col(text_column)), text_column="own_text", name="own_spans")
+    hit, old = F.size("own_spans") > 0, F.col("own_text")
+    text = F.when(hit, replace_spans(old, F.col("own_spans"), MARK)).otherwise(old)
+    changed = {text_column: text}
     if length_column in docs.columns:
-        new = F.length(text_column).cast(docs.schema[length_column].dataType)
-        out = out.withColumn(length_column, F.when(hit, new).otherwise(F.col(length_column)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        size = F.length(text).cast(docs.schema[length_column].dataType)
+        changed[length_column] = F.when(hit, size).otherwise(F.col(DOC).getField(length_column))
+    return unwrapped(found, docs, **changed)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.components import connected_components
+from riskweave.llm.rows import unwrapped, wrapped
 from riskweave.session import store
 
 WORDS = 4
@@ -170,11 +171,12 @@ def near_duplicates(
     columns are not read. An empty table gives an empty result.
     """
     marked = store(
-        docs.select(F.col(id_column), fingerprint_column(F.col(text_column)).alias("fp")), "simhash"
+        docs.select(F.col(id_column).alias("id"), fingerprint_column(F.col(text_column)).alias("fp")),
+        "simhash",
     )
-    groups = fingerprint_groups(marked, id_column, distance, segments)
+    groups = fingerprint_groups(marked, "id", distance, segments)
     return marked.join(groups, "fp").select(
-        F.col(id_column), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_column), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
 
@@ -189,13 +191,13 @@ def keep_first(
 
     Of repeated rows one stays; a group whose ids are all null keeps one row.
     """
-    mark = "_simhash"
-    marked = store(docs.withColumn(mark, fingerprint_column(F.col(text_column))), "marked")
-    slim = marked.select(F.col(id_column).alias("id"), F.col(mark).alias("fp"))
-    groups = fingerprint_groups(slim, "id", distance, segments).select(
-        F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low")
+    marked = store(
+        wrapped(docs, id=F.col(id_column), fp=fingerprint_column(F.col(text_column))), "marked"
+    )
+    groups = fingerprint_groups(marked.select("id", "fp"), "id", distance, segments).select(
+        F.col("fp").alias("group_fp"), "root", "component_id"
     )
     first = marked.join(
-        groups, (F.col(mark) == F.col("_fp")) & F.col(id_column).eqNullSafe(F.col("_low"))
+        groups, (F.col("fp") == F.col("group_fp")) & F.col("id").eqNullSafe(F.col("component_id"))
     )
-    return first.dropDuplicates(["_root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unwrapped(first.dropDuplicates(["root"]), docs)

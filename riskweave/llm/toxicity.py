@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm.rows import unwrapped, wrapped
 from riskweave.session import store
 
 SAMPLE_ROWS = 20_000  # labelled rows to learn from, at most
@@ -430,19 +431,21 @@ def _with_evidence(docs: DataFrame, text_column: str, model: ToxicityModel) -> D
     return docs.withColumn("_evidence", evidence(F.col(text_column)))
 
 
+def _score(model: ToxicityModel) -> Column:
+    z = F.lit(model.bias) + F.lit(model.slope) * F.col("_evidence")
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
 def with_scores(
     docs: DataFrame, model: ToxicityModel, text_column: str = "text", name: str = "toxicity"
 ) -> DataFrame:
-    """`docs` with the score of each whole text in a new column.
+    """`docs` with the score of each whole text in a column of that name.
 
     Null and empty texts score as texts without evidence. Repeated rows score alike. Ids,
     languages, sources and labels are not read.
     """
-    z = F.lit(model.bias) + F.lit(model.slope) * F.col("_evidence")
-    scored = _with_evidence(docs, text_column, model)
-    return scored.withColumn(name, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).drop(
-        "_evidence"
-    )
+    rows = _with_evidence(wrapped(docs, own_text=F.col(text_column)), "own_text", model)
+    return unwrapped(rows, docs, **{name: _score(model)})
 
 
 def score_documents(
@@ -453,11 +456,11 @@ def score_documents(
     Labels are learnt outside the held-out quarter only. Without usable labels every text gets
     the same score. A null id counts as not held out.
     """
-    slim = docs.select(F.col(id_column), F.col(text_column))
-    scored = with_scores(slim, fit(docs, labels, id_column, text_column), text_column, "score")
+    slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    scored = with_scores(slim, fit(docs, labels, id_column, text_column), "text", "score")
     return scored.select(
-        F.col(id_column),
-        held_out(F.col(id_column)).alias("held_out"),
+        F.col("id").alias(id_column),
+        held_out(F.col("id")).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -467,6 +470,6 @@ def keep_clean(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """`docs` without the texts whose score reaches the threshold; all columns stay."""
-    mark = "_toxicity"
-    scored = with_scores(docs, fit(docs, labels, id_column, text_column), text_column, mark)
-    return scored.where(F.col(mark) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = fit(docs, labels, id_column, text_column)
+    rows = _with_evidence(wrapped(docs, own_text=F.col(text_column)), "own_text", model)
+    return unwrapped(rows.where(_score(model) < THRESHOLD), docs)
