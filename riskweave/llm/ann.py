@@ -29,6 +29,7 @@ from riskweave.llm.vectors import (
     matrix,
     packed_vectors,
     ranked,
+    rows_for,
 )
 from riskweave.session import store
 
@@ -150,7 +151,7 @@ def nearest_in_cell(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
         x, ids = matrix(vectors["vec"]), vectors["id"].to_numpy()
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         second = vectors["second"].to_numpy()
-        wide = 2 * padded(x.shape[1])
+        wide, deep = 2 * padded(x.shape[1]), rows_for(k, ids)
         for a in range(0, len(queries), _SLICE):
             part = queries.iloc[a : a + _SLICE]
             q, own = matrix(part["vec"]), part["id"].to_numpy()
@@ -160,7 +161,7 @@ def nearest_in_cell(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
             near = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ unit.T
             near[~looks[:, second] | (own[:, None] == ids[None, :])] = -np.inf
             # the product's rounding depends on the place; what is close is measured again
-            kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(part), -2.0)
+            kth = np.partition(near, -deep, axis=1)[:, -deep] if near.shape[1] > deep else np.full(len(part), -2.0)
             i, j = np.nonzero(near >= np.maximum(kth - 1e-9, -2.0)[:, None])
             out.append(best_rows(own[i], ids[j], cosine(q[i], x[j]), k))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3

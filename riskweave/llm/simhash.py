@@ -105,8 +105,12 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _probes(segment: int, key: Column, masks: list[int]) -> Column:
-    ball = F.array(*[F.lit(m).cast("long") for m in masks])
+    ball = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
     return F.transform(
         ball, lambda m: F.struct(F.lit(segment).alias("segment"), key.bitwiseXOR(m).alias("key"))
     )
@@ -123,7 +127,7 @@ def hamming_links(
     for i, (width, radius) in enumerate(
         zip(segment_widths(segments), probe_radii(segments, distance))
     ):
-        key = F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
+        key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         shift += width
         if radius < 0:
             continue

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.vectors import best_rows, block_of, blocks_for, every_block, first_copies, matrix, packed_vectors, ranked
+from riskweave.llm.vectors import best_rows, block_of, blocks_for, every_block, first_copies, matrix, packed_vectors, ranked, rows_for
 from riskweave.session import store
 
 NEIGHBOURS = 5
@@ -25,6 +25,7 @@ LEVELS = (4, 8, 16, 32)  # segments, coarse to fine
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 8192
 _SLICE = 512
+_DEEP = 64  # more rows are not scored ahead only to find a bound
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -76,16 +77,17 @@ def _search(q, own, x, ids, coarse, k):
     the coarser levels left; the first bound of a query comes from its rows of highest bound."""
     alive = own[:, None] != ids[None, :]
     # sums of products of this size are off by less than this
+    deep = rows_for(k, ids)
     slack = 1e-9 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1])
     least = np.full(len(q), -np.inf)
     for n, stats in coarse.items():
         bound = segment_statistics(q, n) @ stats.T + slack
         bound[~alive] = -np.inf
-        if len(ids) > k:
-            top = np.argpartition(bound, -k, axis=1)[:, -k:]
+        if deep < len(ids) and deep <= _DEEP:
+            top = np.argpartition(bound, -deep, axis=1)[:, -deep:]
             known = np.take_along_axis(alive, top, axis=1)
-            score = exact_products(np.repeat(q, k, axis=0), x[top.ravel()]).reshape(len(q), k)
-            # a bound only where k rows are known
+            score = exact_products(np.repeat(q, deep, axis=0), x[top.ravel()]).reshape(len(q), deep)
+            # a bound only where so many rows are known
             worst = np.where(known.all(axis=1), score.min(axis=1), -np.inf)
             least = np.maximum(least, worst)
         alive &= bound >= least[:, None]

@@ -334,7 +334,8 @@ def _feature_counts(sample: DataFrame, table: np.ndarray, wanted: set[str] | Non
             for text in batch["text"]:
                 found = reader.features(text)
                 total.update(found if wanted is None else found & wanted)
-        yield pd.DataFrame({"feature": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"feature": list(total), "n": list(total.values())})
 
     parts = sample.select("text").mapInPandas(count, "feature string, n long")
     return parts.groupBy("feature").agg(F.sum("n").alias("n"))

@@ -24,7 +24,8 @@ def packed_vectors(df: DataFrame, id_column: str, vector_column: str, zero_allow
                 x = np.asarray(v, np.float64)
                 if x.size and np.isfinite(x).all() and (zero_allowed or x.any()):
                     rows.append((i, x.size, x.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "dim", "vec"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "dim", "vec"])
 
     slim = df.select(
         F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec")
@@ -49,8 +50,11 @@ def first_copies(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
 def best_rows(
     query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query, id, score) for each query: highest score, then smallest id."""
-    order = np.lexsort((ids, -score, query))
+    """The k best (query, id, score) for each query: highest score, then smallest id; an id
+    counts once for a query, with its best score."""
+    falling = -score if score.dtype.kind == "f" else ~score  # ~ can't overflow
+    order = np.lexsort((ids, falling, query))
+    order = order[~pd.DataFrame({"q": query[order], "i": ids[order]}).duplicated().to_numpy()]
     q = query[order]
     begin = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
     at = np.arange(len(q)) - np.maximum.accumulate(np.where(begin, np.arange(len(q)), 0))
@@ -58,6 +62,12 @@ def best_rows(
     return query[order], ids[order], score[order]
 
 
+def rows_for(k: int, ids: np.ndarray) -> int:
+    """How many best rows hold k different ids, if some ids have several rows."""
+    most = np.unique(ids, return_counts=True)[1].max(initial=1)
+    return int((k - 1) * most + 1)
+
+
 def block_of(key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 

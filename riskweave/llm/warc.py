@@ -255,9 +255,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame(_archive_rows(content), columns=_NAMES).astype(
-                    {"segment": "Int64", "total": "Int64"}
-                )
+                rows = _archive_rows(content)
+                if rows:
+                    yield pd.DataFrame(rows, columns=_NAMES).astype({"segment": "Int64", "total": "Int64"})
 
     return _files(spark, path).mapInPandas(parse, _RECORD)
 
@@ -311,9 +311,10 @@ def read_payloads(spark: SparkSession, path: str, with_payload: bool = False) ->
                     found = measured(row[8], row[3]) if single else (None, None, None)
                     kept = row if row[6] is not None else row[:8] + (None,)
                     rows.append(kept + found[: 2 + with_payload])
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"segment": "Int64", "total": "Int64", "payload_bytes": "Int64"}
-                )
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns).astype(
+                        {"segment": "Int64", "total": "Int64", "payload_bytes": "Int64"}
+                    )
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
