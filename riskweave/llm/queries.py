@@ -62,6 +62,36 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
 
+def _op5_sql() -> str:
+    """Matches and what lies between them, per rule; their lengths added up are the positions."""
+    found, spans = [], []
+    for i, rule in enumerate(secrets.RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        found.append(f"regexp_extract_all(t, {pattern}) AS h{i}, regexp_split_to_array(t, {pattern}) AS g{i}")
+        start = (
+            f"(list_sum(list_transform(g{i}[1:k], lambda x: length(x)))"
+            f" + coalesce(list_sum(list_transform(h{i}[1:k - 1], lambda x: length(x))), 0))::BIGINT"
+        )
+        hit = f"regexp_extract(z.h, {pattern}, {rule.group})" if rule.group else "z.h"
+        spans.append(
+            f"list_filter(list_transform(range(1, len(h{i}) + 1), lambda k: "
+            f"{{'s': {start}, 'r': {i}, 'k': '{rule.kind}', 'h': h{i}[k]}}), "
+            f"lambda z: length({hit}) >= {rule.least})"
+        )
+    base = [r.kind for r in secrets.BASE_RULES]
+    counts = ", ".join(f"len(list_filter(a, lambda z: z.k = '{k}')) AS n_{k}" for k in base)
+    text = "array_to_string(list_transform({}, lambda z: z.k || ':' || z.s || ':' || (z.s + length(z.h))), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {", ".join(found)} FROM d),
+s AS (SELECT doc_id, list_sort(list_concat({", ".join(spans)})) AS a FROM m)
+SELECT doc_id, {counts},
+  sha256({text.format(f"list_filter(a, lambda z: z.r < {len(base)})")}) AS base_sha256,
+  {text.format("a")} AS spans
+FROM s
+"""
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -148,6 +178,7 @@ LLM_QUERIES: dict[str, Query] = {
 }
 LLM_SQL: dict[str, str] = {
     "op4_topk": OP4_SQL,
+    "op5_secrets": _op5_sql(),
     "op8_warc": OP8_SQL,
     "op9_sharding": OP9_SQL,
 }
