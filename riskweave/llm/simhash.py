@@ -196,12 +196,20 @@ def keep_first(
     Of repeated rows one stays; a group whose ids are all null keeps one row.
     """
     marked = store(
-        wrapped(docs, id=F.col(id_column), fp=fingerprint_column(F.col(text_column))), "marked"
+        wrapped(
+            docs,
+            id=F.col(id_column),
+            fp=fingerprint_column(F.col(text_column)),
+            row=F.monotonically_increasing_id(),
+        ),
+        "marked",
     )
     groups = fingerprint_groups(marked.select("id", "fp"), "id", distance, segments).select(
         F.col("fp").alias("group_fp"), "root", "component_id"
     )
-    first = marked.join(
+    # the rows to keep are chosen among narrow ones; whole rows are joined once
+    first = marked.select("id", "fp", "row").join(
         groups, (F.col("fp") == F.col("group_fp")) & F.col("id").eqNullSafe(F.col("component_id"))
     )
-    return unwrapped(first.dropDuplicates(["root"]), docs)
+    kept = first.groupBy("root").agg(F.min("row").alias("row"))
+    return unwrapped(marked.join(kept, "row", "left_semi"), docs)
