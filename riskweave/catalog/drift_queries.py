@@ -250,6 +250,6 @@ FROM r JOIN c USING (metric)""",
 def window_performance(spark, folder):
     """The bootstrap tables of both sides next to each other."""
     train, test = temporal_grouped_split(events_tx(spark, folder))
-    tables = [resample.headline_bootstrap(scored(t), RESAMPLES, SEED) for t in (train, test)]
+    tables = [resample.headline_of_draws(scored(t), RESAMPLES, SEED) for t in (train, test)]
     out = rounded(drift.window_performance(*tables), ["reference_point", "current_point"])
     return rounded(out, ["change"], 6)

@@ -1,4 +1,4 @@
-"""F1 to F14, W1 to W5, O13, J1, T3, A27, X1 to X6, L9, SRC7, SRC8."""
+"""F1 to F13, W1 to W5, O13, J1, T3, A27, X1 to X6, L9, SRC7, SRC8."""
 
 from __future__ import annotations
 
@@ -168,15 +168,6 @@ def numeric_validation(spark, folder):
     return out.withColumn("rejected", F.array_join("rejected", ","))
 
 
-@query(
-    "f14_batch_cap",
-    "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
-)
-def batch_cap(spark, folder):
-    capped = features.within_cap(table(spark, folder, "events"), 2**62)
-    return capped.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def window_sql(prefix: str, partition: str, windows=VELOCITY_WINDOWS) -> str:
     cols = []
     for label, width in windows.items():

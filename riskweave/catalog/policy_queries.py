@@ -23,7 +23,6 @@ from riskweave.functions.scores import FRAUD, REVIEW
 from riskweave.operators import curves, policies
 from riskweave.options import (
     COST_GRID,
-    COST_SCENARIOS,
     DASHBOARD_GRID,
     DECOUPLED_POINTS,
     REVIEW_THRESHOLDS,
@@ -92,6 +91,12 @@ def decoupled_curve(spark, folder):
     return curves.decoupled_curve(scored_events(spark, folder), points)
 
 
+# own examples: name, cost of a missed fraud, of a false flag, of one review
+COST_SCENARIOS = (
+    ("small_baskets", 60.0, 8.0, 1.5),
+    ("large_invoices", 900.0, 12.0, 6.0),
+    ("slow_reviews", 150.0, 3.0, 35.0),
+)
 PRICED_SQL = (
     with_sql(
         EVENTS_SQL,
@@ -112,7 +117,7 @@ PRICED_SQL = (
 )
 def expected_cost_curve(spark, folder):
     curve = curves.review_curve(scored_events(spark, folder), COST_GRID)
-    return curves.price_curve(curve).select(
+    return curves.price_curve(curve, COST_SCENARIOS).select(
         "scenario", "review_threshold", "n_false_flags", "expected_cost"
     )
 
@@ -128,7 +133,9 @@ SELECT b.scenario, b.review_threshold AS min_cost_threshold, b.expected_cost AS
 FROM best b JOIN priced a ON a.scenario = b.scenario AND a.review_threshold = 0.5 WHERE b.k = 1""",
 )
 def price_scenarios(spark, folder):
-    return curves.price_scenarios(curves.review_curve(scored_events(spark, folder), COST_GRID))
+    return curves.price_scenarios(
+        curves.review_curve(scored_events(spark, folder), COST_GRID), COST_SCENARIOS
+    )
 
 
 @query(
@@ -140,7 +147,7 @@ def price_scenarios(spark, folder):
 def argmin_with_ties(spark, folder):
     curve = curves.review_curve(scored_events(spark, folder), COST_GRID)
     t, cost = F.col("review_threshold"), F.col("expected_cost")
-    return curves.price_curve(curve).groupBy("scenario").agg(
+    return curves.price_curve(curve, COST_SCENARIOS).groupBy("scenario").agg(
         F.min_by(t, F.struct(cost, t)).alias("first_min"), F.max(cost).alias("highest_cost")
     )
 

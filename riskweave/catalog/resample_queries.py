@@ -1,4 +1,7 @@
-"""Bootstrap intervals. The draws come from md5, so the SQL makes the same ones."""
+"""Bootstrap intervals.
+
+The `_drawn` form draws rows from md5, so the SQL makes the same draws and all values agree. The
+Poisson form is compared by its point values and by what must hold of its intervals."""
 
 from __future__ import annotations
 
@@ -8,25 +11,25 @@ from riskweave.catalog.common import EVENTS_SQL, TEST_SQL, query, rounded, score
 from riskweave.catalog.metric_queries import AP_SQL, FOLD_ROWS_SQL, fold_rows, ranked_sql
 from riskweave.operators import resample
 
-RESAMPLES, SEED, T = 100, 42, 0.75
+RESAMPLES, SEED, T = 1000, 42, 0.75
 
 
 def draws_sql(source: str, window: str = "", tie: str = "transaction_id") -> str:
-    """drawn(resample, window, row columns): the multinomial draws of `resampled`."""
+    """drawn(resample, window, row columns): the draws of `drawn_rows`."""
     part = f"PARTITION BY {window} " if window else ""
     name = f"CAST({window} AS VARCHAR)" if window else "''"
     keys = f"{window}, " if window else ""
     group = f"GROUP BY {window}" if window else ""
     picks = " UNION ALL ".join(
-        f"""SELECT {keys}resample, n, block * 4 + {k} AS j,
-      CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT) % n AS position FROM digest"""
-        for k in range(4)
+        f"""SELECT {keys}resample, n, block * 2 + {k} AS j,
+      CAST('0x' || substr(h, {1 + 16 * k}, 15) AS BIGINT) % n AS position FROM digest"""
+        for k in range(2)
     )
     match = f"draws.{window} = placed.{window} AND " if window else ""
     return f"""placed AS (SELECT *, row_number() OVER ({part}ORDER BY {tie}) - 1 AS position
   FROM {source}),
 sizes AS (SELECT {keys}count(*) AS n FROM {source} {group}),
-blocks AS (SELECT {keys}n, unnest(range((n + 3) // 4)) AS block FROM sizes),
+blocks AS (SELECT {keys}n, unnest(range((n + 1) // 2)) AS block FROM sizes),
 digest AS (SELECT {keys}n, resample, block, md5('{SEED}:' || {name} || ':'
     || CAST(resample AS VARCHAR) || ':' || CAST(block AS VARCHAR)) AS h
   FROM blocks CROSS JOIN range({RESAMPLES}) r(resample)),
@@ -45,9 +48,7 @@ BASE_SQL = with_sql(EVENTS_SQL, TEST_SQL, draws_sql("scored"))
     BASE_SQL + "SELECT CAST(resample AS INT) AS resample, p, y, count(*) AS w FROM drawn GROUP BY 1, 2, 3",
 )
 def draws(spark, folder):
-    return resample.resampled(
-        scored_test(spark, folder), ["p", "y"], RESAMPLES, SEED, method="multinomial"
-    ).rows
+    return resample.drawn_rows(scored_test(spark, folder), ["p", "y"], RESAMPLES, SEED)
 
 
 HEADLINE_TAIL = (
@@ -81,9 +82,7 @@ def headline_sql(side: str) -> str:
 
 @query("s2_headline_bootstrap", headline_sql("test"))
 def headline(spark, folder):
-    out = resample.headline_bootstrap(
-        scored_test(spark, folder), RESAMPLES, SEED, "multinomial"
-    )
+    out = resample.headline_of_draws(scored_test(spark, folder), RESAMPLES, SEED)
     return rounded(out, ["ci_lower", "ci_upper", "ci_width", "std_error", "point"])
 
 
@@ -120,9 +119,7 @@ def both_scorers(spark, folder):
   (SELECT round(value, 9) FROM d WHERE resample = -1) AS delta FROM d WHERE resample >= 0""",
 )
 def paired_delta(spark, folder):
-    out = resample.paired_delta_bootstrap(
-        both_scorers(spark, folder), RESAMPLES, SEED, "multinomial"
-    )
+    out = resample.paired_delta_of_draws(both_scorers(spark, folder), RESAMPLES, SEED)
     return rounded(out, ["ci_lower", "ci_upper", "win_share", "delta"])
 
 
@@ -179,19 +176,17 @@ SELECT metric, {INTERVAL_SQL}, count(*) FILTER (value IS NULL) AS degenerate
 FROM samples GROUP BY 1""",
 )
 def policy_intervals(spark, folder):
-    out = resample.policy_bootstrap(
-        scored_test(spark, folder), T, RESAMPLES, SEED, "multinomial"
-    )
+    out = resample.policy_of_draws(scored_test(spark, folder), T, RESAMPLES, SEED)
     return rounded(out, ["ci_lower", "ci_upper"])
 
 
-@query(
-    "s5_window_bootstrap",
+WINDOW_SQL = (
     FOLD_ROWS_SQL
     + ", "
     + draws_sql("f", "fold")
     + """, dd AS (SELECT resample, fold, p, y, p * p AS c FROM drawn UNION ALL
-  SELECT resample, 0, p, y, p * p FROM drawn), """
+  SELECT resample, 0, p, y, p * p FROM drawn UNION ALL
+  SELECT -1, fold, p, y, p * p FROM f UNION ALL SELECT -1, 0, p, y, p * p FROM f), """
     + ranked_sql("dd", "resample, fold, ")
     + f""", ap AS (SELECT resample, fold, {AP_SQL.replace(", 9)", ", 15)")} AS ap, max(tp) AS tp
   FROM r GROUP BY 1, 2),
@@ -200,19 +195,106 @@ b AS (SELECT resample, fold, c, y, ntile(10) OVER (PARTITION BY resample, fold O
 bs AS (SELECT resample, fold, bin, count(*) AS n, sum(c) AS sp, sum(y) AS sy FROM b
   GROUP BY 1, 2, 3),
 e AS (SELECT resample, fold, sum(abs(sp - sy)) / sum(n) AS ece FROM bs GROUP BY 1, 2),
-samples AS (SELECT fold, 'average_precision' AS metric, ap AS value FROM ap
-  UNION ALL SELECT fold, 'ece', CASE WHEN tp > 0 THEN ece END FROM e JOIN ap
-    USING (resample, fold))
-SELECT fold, metric, {INTERVAL_SQL}, count(*) FILTER (value IS NULL) AS degenerate
-FROM samples GROUP BY 1, 2""",
+every AS (SELECT resample, fold, 'average_precision' AS metric, ap AS value FROM ap
+  UNION ALL SELECT resample, fold, 'ece', CASE WHEN tp > 0 THEN ece END FROM e JOIN ap
+    USING (resample, fold)),
+samples AS (SELECT * FROM every WHERE resample >= 0),
+point AS (SELECT fold, metric, round(value, 9) AS point FROM every WHERE resample < 0)"""
+)
+
+
+@query(
+    "s5_window_bootstrap",
+    WINDOW_SQL
+    + f"""
+SELECT fold, metric, any_value(point) AS point, {INTERVAL_SQL},
+  round(quantile_cont(value, 0.975) - quantile_cont(value, 0.025), 9) AS ci_width,
+  count(*) FILTER (value IS NULL) AS degenerate
+FROM samples JOIN point USING (fold, metric) GROUP BY 1, 2""",
 )
 def window_intervals(spark, folder):
     rows = fold_rows(spark, folder).withColumn("p_calibrated", F.col("p") * F.col("p"))
-    out = resample.window_bootstrap(rows, RESAMPLES, SEED, method="multinomial")
-    return rounded(out, ["ci_lower", "ci_upper"])
+    out = resample.window_of_draws(rows, RESAMPLES, SEED)
+    return rounded(out, ["point", "ci_lower", "ci_upper", "ci_width"])
+
+
+def _held(df, point: str = "point"):
+    """Whether the interval holds the value of the rows themselves."""
+    return df.withColumn(
+        "holds", (F.col("ci_lower") <= F.col(point)) & (F.col(point) <= F.col("ci_upper"))
+    )
 
 
-@query("s2_headline_bootstrap_poisson")
+@query(
+    "s2_headline_bootstrap_poisson",
+    with_sql(
+        EVENTS_SQL,
+        TEST_SQL,
+        ranked_sql("scored"),
+    )
+    + """SELECT 'recall' AS metric, round(count(*) FILTER (p >= 0.5e0 AND y = 1)
+    / CAST(sum(y) AS DOUBLE), 9) AS point, 0 AS degenerate, true AS holds FROM scored
+UNION ALL SELECT 'average_precision',
+  round(sum(pos / CAST(tp AS DOUBLE) * (cp / CAST(cn AS DOUBLE))), 9), 0, true FROM r""",
+)
 def headline_poisson(spark, folder):
-    """The form for tables too large to draw row by row: one Poisson count per distinct row."""
-    return resample.headline_bootstrap(scored_test(spark, folder), RESAMPLES, SEED, "poisson")
+    out = _held(resample.headline_bootstrap(scored_test(spark, folder), RESAMPLES, SEED))
+    return rounded(out, ["point"]).select("metric", "point", "degenerate", "holds")
+
+
+@query(
+    "s3_paired_delta_poisson",
+    with_sql(
+        EVENTS_SQL,
+        TEST_SQL,
+        """long AS (SELECT 'i' AS scorer, y, p FROM scored
+  UNION ALL SELECT 'c', y, floor(p * 37 % 10) / 10e0 FROM scored)""",
+        ranked_sql("long", "scorer, "),
+        f"""ap AS (SELECT scorer, {AP_SQL.replace(", 9)", ", 15)")} AS ap FROM r GROUP BY 1)""",
+    )
+    + """SELECT round(max(ap) FILTER (scorer = 'c') - max(ap) FILTER (scorer = 'i'), 9) AS delta,
+  true AS holds FROM ap""",
+)
+def paired_poisson(spark, folder):
+    out = resample.paired_delta_bootstrap(both_scorers(spark, folder), RESAMPLES, SEED)
+    return rounded(_held(out, "delta"), ["delta"]).select("delta", "holds")
+
+
+@query(
+    "s4_policy_bootstrap_poisson",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS metric, true AS ordered, 0 AS degenerate" for k in POLICY_METRICS
+    ),
+)
+def policy_poisson(spark, folder):
+    out = resample.policy_bootstrap(scored_test(spark, folder), T, RESAMPLES, SEED)
+    return out.select("metric", (F.col("ci_lower") <= F.col("ci_upper")).alias("ordered"), "degenerate")
+
+
+@query(
+    "s5_window_bootstrap_poisson",
+    WINDOW_SQL.replace(f"range({RESAMPLES})", "range(1)")
+    + """
+SELECT fold, metric, point FROM point""",
+)
+def window_poisson(spark, folder):
+    rows = fold_rows(spark, folder).withColumn("p_calibrated", F.col("p") * F.col("p"))
+    out = resample.window_bootstrap(rows, RESAMPLES, SEED)
+    return rounded(out, ["point"]).select("fold", "metric", "point")
+
+
+@query(
+    "o14_poisson_counts",
+    with_sql(EVENTS_SQL, TEST_SQL)
+    + "SELECT y, count(*) AS n, true AS five_sigma FROM scored GROUP BY 1",
+)
+def poisson_weights(spark, folder):
+    """The mean weight of a class over all resamples is the number of its rows."""
+    scored = scored_test(spark, folder)
+    sums = {"y0": (F.col("y") == 0).cast("int"), "y1": (F.col("y") == 1).cast("int")}
+    drawn = resample.poisson_sums(resample.grouped(scored, ["p", "y"]), sums, RESAMPLES, SEED)
+    means = drawn.agg(F.avg("y0").alias("y0"), F.avg("y1").alias("y1"))
+    mean = means.select(F.posexplode(F.array("y0", "y1")).alias("y", "mean"))
+    n = scored.groupBy(F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    near = F.abs(F.col("mean") - F.col("n")) <= 5 * F.sqrt(F.col("n") / RESAMPLES)
+    return n.join(mean, "y").select("y", "n", near.alias("five_sigma"))

@@ -57,13 +57,6 @@ def numeric_or_rejected(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def within_cap(df: DataFrame, cap: int) -> DataFrame:
-    """The batch itself; the job fails when it has more than `cap` rows."""
-    size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    message = F.format_string("batch of %d rows is over the cap of " + str(cap), size)
-    return df.where(F.when(size > cap, F.raise_error(message).cast("boolean")).otherwise(True))
-
-
 def head_of_stream(df: DataFrame, n: int) -> DataFrame:
     """The first n rows in time order; all of them for n <= 0."""
     return df if n <= 0 else df.orderBy("timestamp", "transaction_id").limit(n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scores import FRAUD, LEGIT, REVIEW, decide, decide_split, ratio
 from riskweave.operators.cells import over_points, score_cells
-from riskweave.options import COST_SCENARIOS, REVIEW_THRESHOLDS
+from riskweave.options import REVIEW_THRESHOLDS
 
 
 def _lane_counts(rows: DataFrame, lane: Column, keys: Sequence[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def expected_cost(
     )
 
 
-def price_curve(curve: DataFrame, scenarios: Sequence[tuple] = COST_SCENARIOS) -> DataFrame:
+def price_curve(curve: DataFrame, scenarios: Sequence[tuple]) -> DataFrame:
     """The curve once per cost scenario, priced."""
     rows = over_points(
         curve,
@@ -96,7 +96,7 @@ def price_curve(curve: DataFrame, scenarios: Sequence[tuple] = COST_SCENARIOS) -
     )
 
 
-def price_scenarios(curve: DataFrame, scenarios: Sequence[tuple] = COST_SCENARIOS) -> DataFrame:
+def price_scenarios(curve: DataFrame, scenarios: Sequence[tuple]) -> DataFrame:
     """Cheapest threshold per scenario (the lowest among equals) against full automation."""
     t, cost = F.col("review_threshold"), F.col("expected_cost")
     return (

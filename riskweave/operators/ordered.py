@@ -77,7 +77,10 @@ def scan_ranged(
         *[F.sum(f"{c}_in").over(whole).alias(f"{c}_total") for c in sums],
         *[F.last(f"{c}_tail", ignorenulls=True).over(ahead).alias(f"{c}_lead") for c in last],
     )
-    if not within:
+    if within:
+        # equal keys compress so well that many rows may look small enough to broadcast
+        ranged = ranged.hint("merge")
+    else:
         carry = F.broadcast(carry)
     inside = (
         Window.partitionBy(*within, BUCKET)
@@ -98,21 +101,6 @@ def scan_ranged(
     return joined.drop(BUCKET, *spare)
 
 
-def scan_small_groups(
-    df: DataFrame, order: Sequence[str], sums: Sequence[str], within: Sequence[str]
-) -> DataFrame:
-    """The sums of `scan` by a plain window. Only for groups of a proven size: each one is
-    sorted in a single task."""
-    group = Window.partitionBy(*within)
-    ahead = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    return df.select(
-        "*",
-        *[F.coalesce(F.sum(c).over(ahead), zero).alias(f"{c}_before") for c in sums],
-        *[F.sum(c).over(group).alias(f"{c}_total") for c in sums],
-    )
-
-
 def row_positions(
     df: DataFrame, order: Sequence[str], name: str = "position", within: Sequence[str] = ()
 ) -> DataFrame:

@@ -1,23 +1,24 @@
 """Bootstrap intervals.
 
-Two ways to draw. `multinomial` takes n draws with replacement per resample; draw j of resample
-r comes from md5("seed:window:r:block"), so any engine gets the same rows. It costs n draws per
-resample and is kept for tables where that is affordable. `poisson` gives every row an
-independent Poisson(1) count, the usual distributed form of the bootstrap; equal rows are summed
-up first, and a group of c rows gets one Poisson(c) count per resample, so the cost follows the
-number of distinct rows, not of rows.
+Every row gets an independent Poisson(1) count per resample, the distributed form of the
+bootstrap. Equal rows are summed up first, and a group of c rows gets one Poisson(c) count. The
+counts come from the group's own hash, so they do not depend on where or how often they are
+drawn. They never become rows: a task draws the counts of its groups as a matrix and adds them
+up per resample. Statistics that need an order are computed in score buckets, each of which
+knows from a first pass what precedes it.
+
+`drawn_rows` draws with replacement row by row instead, from md5("seed:window:r:block"), so any
+engine gets the same rows. It makes n rows per resample; the `*_of_draws` functions take them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskweave.functions.scores import confidence, ratio
 from riskweave.operators.ordered import row_positions
@@ -27,114 +28,259 @@ from riskweave.operators.ranking import (
     weighted_calibration_error,
 )
 from riskweave.options import CI_LEVELS, PER
-from riskweave.session import freeze
-
-MAX_DRAWS = 200_000_000
-# the drawn rows travel to the draws when there are at most this many (a few numbers each);
-# beyond that the join shuffles both sides
-BROADCAST_ROWS = 500_000
-# one md5 holds four 32-bit draws
-PER_DIGEST = 4
-
-
-def _draws(spark, n: int, resamples: int, seed: int, window: str) -> DataFrame:
-    """(resample, position): n draws from 0..n-1 for each resample."""
-    blocks = -(-n // PER_DIGEST)
-    table = spark.range(0, resamples * blocks).select(
-        F.floor(F.col("id") / blocks).cast("int").alias("resample"),
-        (F.col("id") % blocks).alias("block"),
+from riskweave.session import store
+
+# one md5 holds two draws of 60 bits
+PER_DIGEST = 2
+# rows of a window beyond which 60 bits would draw unevenly by more than one in a million
+MOST_ROWS = 2**40
+# groups whose counts are held as one matrix
+SLICE = 1024
+_BLOCKS = 1 << 16
+
+
+def drawn_rows(
+    rows: DataFrame,
+    columns: Sequence[str],
+    resamples: int,
+    seed: int,
+    within: str | None = None,
+    tie: str = "transaction_id",
+) -> DataFrame:
+    """(resample, within, *columns, w): how often each distinct row is drawn, n draws with
+    replacement per resample and `within` window. Windows over 2^40 rows are an error."""
+    by = [within] if within else []
+    window = F.col(within).cast("string") if within else F.lit("")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("_name", window)
+    sizes = sizes.withColumn(
+        "n",
+        F.when(F.col("n") <= MOST_ROWS, F.col("n")).otherwise(
+            F.raise_error(F.lit("too many rows to draw one by one")).cast("long")
+        ),
     )
-    name = F.concat_ws(":", F.lit(seed), F.lit(window), "resample", "block")
+    blocks = F.ceil(F.col("n") / PER_DIGEST)
+    # in two steps, so that no array grows with the table
+    spread = (
+        sizes.withColumn("_of", F.explode(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)), F.lit(_BLOCKS))))
+        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        .withColumn(
+            "block", F.explode(F.sequence("_of", F.least(F.col("_of") + _BLOCKS, blocks) - 1))
+        )
+        .where("n > 0")
+    )
+    name = F.concat_ws(":", F.lit(seed), F.col("_name"), "resample", "block")
     digest = F.md5(name.cast("binary"))
     parts = F.array(
         *[
             F.struct(
                 (F.col("block") * PER_DIGEST + k).alias("j"),
-                (F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % n).alias(
-                    "position"
-                ),
+                (F.conv(F.substring(digest, 1 + 16 * k, 15), 16, 10).cast("long") % F.col("n")).alias("position"),
             )
             for k in range(PER_DIGEST)
         ]
     )
+    draws = spread.select(*by, "resample", "n", F.explode(parts).alias("d")).where("d.j < n")
+    placed = row_positions(rows.select(*by, *columns, tie), [tie], "position", by)
     return (
-        table.select("resample", F.explode(parts).alias("d"))
-        .where(F.col("d.j") < n)
-        .select("resample", "d.position")
+        draws.select(*by, "resample", "d.position")
+        .hint("merge")
+        .join(placed.select(*by, *columns, "position"), [*by, "position"])
+        .groupBy("resample", *by, *columns)
+        .agg(F.count(F.lit(1)).alias("w"))
     )
 
 
-def _poisson_counts(resamples: int, seed: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def counts(key: pd.Series, n: pd.Series) -> pd.Series:
-        drawn = [
-            np.random.Generator(np.random.Philox(key=[seed, int(k) & (2**64 - 1)])).poisson(
-                float(c), resamples
-            )
-            for k, c in zip(key, n)
-        ]
-        return pd.Series([d.astype(np.int32) for d in drawn])
-
-    return counts
-
-
-@dataclass(frozen=True)
-class Draws:
-    """(resample, within, *columns, w): how often each distinct row occurs in each resample.
-
-    `small` says that a resample is known to hold at most MAX_DRAWS / resamples rows, so that
-    it may be sorted in one task."""
+def _uniforms(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each key and resample: the SplitMix64 finaliser of their mix."""
+    with np.errstate(over="ignore"):
+        step = np.uint64(0x9E3779B97F4A7C15)
+        base = keys.astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed) * step
+        z = base[:, None] + (np.arange(1, resamples + 1, dtype=np.uint64) * step)[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _poisson_steps(mean: int) -> np.ndarray:
+    """Cumulative probabilities of a Poisson law up to where the rest is below double precision."""
+    k = np.arange(int(mean + 12 * np.sqrt(mean) + 40))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(k))))])
+    return np.cumsum(np.exp(k * np.log(mean) - mean - logs))
+
+
+def poisson_counts(keys: np.ndarray, sizes: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Counts (groups x resamples, 64-bit) of groups of `sizes` rows. Small groups are looked up
+    in the law's steps, all at once; for large ones a generator is seeded by their key."""
+    out = np.empty((len(keys), resamples), np.int64)
+    small = sizes <= 256
+    if small.any():
+        uniforms = _uniforms(keys[small], resamples, seed)
+        part = np.empty(uniforms.shape, np.int64)
+        for n in np.unique(sizes[small]):
+            at = sizes[small] == n
+            part[at] = np.searchsorted(_poisson_steps(int(n)), uniforms[at])
+        out[small] = part
+    for i in np.flatnonzero(~small):
+        rng = np.random.Generator(np.random.Philox(key=[seed, int(keys[i]) & (2**64 - 1)]))
+        out[i] = rng.poisson(float(sizes[i]), resamples)
+    return out
+
+
+def grouped(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(*columns, n, key): equal rows summed up, and the hash that their counts come from."""
+    sums = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return sums.withColumn("key", F.xxhash64(*columns))
+
+
+def poisson_sums(
+    groups: DataFrame, sums: dict[str, Column], resamples: int, seed: int
+) -> DataFrame:
+    """(resample, *sums): each expression times the counts, added up over all groups. A task
+    sends one row per resample."""
+    names = list(sums)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), resamples))
+        for b in batches:
+            values = b[names].to_numpy(float)
+            keys, sizes = b["_key"].to_numpy(np.int64), b["_size"].to_numpy(np.int64)
+            for a in range(0, len(b), SLICE):
+                z = slice(a, a + SLICE)
+                total += values[z].T @ poisson_counts(keys[z], sizes[z], resamples, seed)
+        yield pd.DataFrame(dict(zip(names, total))).assign(resample=np.arange(resamples))
+
+    schema = ", ".join(f"{n} double" for n in names) + ", resample int"
+    parts = groups.select(
+        F.col("key").alias("_key"),
+        F.col("n").alias("_size"),
+        *[v.cast("double").alias(k) for k, v in sums.items()],
+    )
+    added = parts.mapInPandas(draw, schema)
+    return added.groupBy("resample").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _slices(rows: pd.DataFrame, resamples: int, seed: int):
+    """Counts of a bucket's groups in order of score, some rows at a time."""
+    rows = rows.sort_values(["score", "y", "key"])
+    keys, sizes = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    for a in range(0, len(rows), SLICE):
+        z = slice(a, a + SLICE)
+        yield rows.iloc[z], poisson_counts(keys[z], sizes[z], resamples, seed)
+
+
+def _average_precision_part(rows, before_n, before_pos, resamples, seed) -> np.ndarray:
+    """Sum over the scores of a bucket of (positives of a score) x (precision up to it)."""
+    out = np.zeros(resamples)
+    n, pos = before_n.astype(float), before_pos.astype(float)
+    score, gained = None, np.zeros(resamples)
+
+    def close():
+        nonlocal out
+        out += gained * np.divide(pos, n, out=np.zeros(resamples), where=n > 0)
+
+    for part, counts in _slices(rows, resamples, seed):
+        scores, y = part["score"].to_numpy(), part["y"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+        all_n = np.add.reduceat(counts, cuts, axis=0)
+        all_pos = np.add.reduceat(counts * (y == 1)[:, None], cuts, axis=0)
+        for i, at in enumerate(cuts):
+            if score is None or scores[at] != score:
+                close()
+                score, gained = scores[at], np.zeros(resamples)
+            n, pos = n + all_n[i], pos + all_pos[i]
+            gained = gained + all_pos[i]
+    close()
+    return out
+
+
+def _calibration_part(rows, before_n, total_n, bins, resamples, seed) -> np.ndarray:
+    """(bins x 2 x resamples): score and label sums of the equal-count bins in this bucket. Bins
+    follow (score, label); a group that crosses an edge is divided there."""
+    out = np.zeros((bins, 2, resamples))
+    small, longer = total_n // bins, total_n % bins
+    at = before_n.astype(np.int64)
+    edges = np.stack([b * small + np.minimum(b, longer) for b in range(bins + 1)])
+    for part, counts in _slices(rows, resamples, seed):
+        score, y = part["score"].to_numpy(float), part["y"].to_numpy(float)
+        ends = at + np.cumsum(counts, axis=0)
+        starts = ends - counts
+        first, last = starts[0], ends[-1]
+        for b in range(bins):
+            hit = (edges[b] < last) & (edges[b + 1] > first)
+            if hit.any():
+                held = np.minimum(ends[:, hit], edges[b + 1][hit]) - np.maximum(starts[:, hit], edges[b][hit])
+                held = np.maximum(held, 0)
+                out[b, 0, hit] += score @ held
+                out[b, 1, hit] += y @ held
+        at = ends[-1]
+    return out
+
+
+def ranked_samples(
+    groups: DataFrame, resamples: int, seed: int, bins: int | None = None
+) -> DataFrame:
+    """Per `ranking` and resample: n, pos and, without `bins`, average_precision; with them the
+    calibration error `ece`.
+
+    `groups` holds (ranking, score, y, n, key) in ascending order of score: what comes first is
+    what has the smallest score, so the negative of a probability for average precision.
+    """
+    spark = groups.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store(
+        groups.select("ranking", "score", "y", "n", "key")
+        .repartitionByRange(parts, "ranking", "score")
+        .withColumn("bucket", F.spark_partition_id()),
+        "resample",
+    )
 
-    rows: DataFrame
-    small: bool
+    def totals(rows: pd.DataFrame) -> pd.DataFrame:
+        n = pos = np.zeros(resamples, np.int64)
+        for part, counts in _slices(rows, resamples, seed):
+            n = n + counts.sum(axis=0)
+            pos = pos + counts[(part["y"] == 1).to_numpy()].sum(axis=0)
+        return pd.DataFrame({"n": n, "pos": pos}).assign(
+            ranking=rows["ranking"].iat[0], bucket=rows["bucket"].iat[0], resample=np.arange(resamples)
+        )
 
+    head = "ranking string, bucket int, resample int"
+    sums = ranged.groupBy("ranking", "bucket").applyInPandas(totals, f"n long, pos long, {head}")
+    sums = store(sums, "resample-sums")
+    # a row per bucket and resample
+    series = Window.partitionBy("ranking", "resample")
+    ahead = series.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(
+        "ranking",
+        "bucket",
+        "resample",
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_before"),
+        F.coalesce(F.sum("pos").over(ahead), F.lit(0)).alias("pos_before"),
+        F.sum("n").over(series).alias("n_total"),
+    )
 
-def resampled(
-    rows: DataFrame,
-    columns: Sequence[str],
-    resamples: int,
-    seed: int,
-    within: str | None = None,
-    tie: str = "transaction_id",
-    method: str = "auto",
-    max_draws: int = MAX_DRAWS,
-) -> Draws:
-    """Draws rows within every `within` window on its own."""
-    spark = rows.sparkSession
-    by = [within] if within else []
-    sizes = {
-        (r[within] if within else ""): r["n"]
-        for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    affordable = sum(sizes.values()) * resamples <= max_draws
-    if method == "auto":
-        method = "multinomial" if affordable else "poisson"
-    if method == "poisson":
-        groups = rows.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("n"))
-        key = F.xxhash64(*by, *columns)
-        drawn = _poisson_counts(resamples, seed)(key, F.col("n"))
-        counted = (
-            groups.select(*by, *columns, F.posexplode(drawn).alias("resample", "w"))
-            .where("w > 0")
-            .withColumn("w", F.col("w").cast("long"))
-        )
-        return Draws(counted, affordable)
-    placed = row_positions(rows.select(*by, *columns, tie), [tie], "position", by)
-    placed = placed.select(*by, *columns, "position")
-    if sum(sizes.values()) <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    draws = None
-    for window, n in sizes.items():
-        part = _draws(spark, n, resamples, seed, str(window))
-        if within:
-            part = part.withColumn(within, F.lit(window).cast(rows.schema[within].dataType))
-        draws = part if draws is None else draws.unionByName(part)
-    counted = (
-        draws.join(placed, [*by, "position"])
-        .groupBy("resample", *by, *columns)
-        .agg(F.count(F.lit(1)).alias("w"))
+    def finish(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        before = before.sort_values("resample")
+        n, pos, total = (before[c].to_numpy() for c in ("n_before", "pos_before", "n_total"))
+        out = pd.DataFrame({"resample": np.arange(resamples)}).assign(ranking=before["ranking"].iat[0])
+        if bins is None:
+            return out.assign(bin=0, a=_average_precision_part(rows, n, pos, resamples, seed), b=0.0)
+        found = _calibration_part(rows, n, total, bins, resamples, seed)
+        return pd.concat([out.assign(bin=i, a=found[i, 0], b=found[i, 1]) for i in range(bins)])
+
+    pieces = (
+        ranged.groupBy("ranking", "bucket")
+        .cogroup(carry.groupBy("ranking", "bucket"))
+        .applyInPandas(finish, "resample int, ranking string, bin int, a double, b double")
     )
-    return Draws(counted, affordable)
+    keys = ["ranking", "resample"]
+    whole = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    added = pieces.groupBy(*keys, "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    if bins is None:
+        value = added.select(*keys, "a").join(whole, keys)
+        return value.select(*keys, "n", "pos", F.when(F.col("pos") > 0, F.col("a") / F.col("pos")).alias("average_precision"))
+    gap = added.groupBy(*keys).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+    return gap.join(whole, keys).select(*keys, "n", "pos", ratio(F.col("gap"), F.col("n")).alias("ece"))
 
 
 def intervals(samples: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -155,26 +301,31 @@ def _melt(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame
     return df.withColumn("_e", F.explode(F.array(*entries))).select(*keys, "_e.*")
 
 
-def headline_bootstrap(
-    scored: DataFrame, resamples: int, seed: int, method: str = "auto"
-) -> DataFrame:
-    """Average precision and recall at 0.5 with percentile intervals, one row per metric."""
-    rows = freeze(scored.select("transaction_id", "p", "y"))
-    drawn = resampled(rows, ["p", "y"], resamples, seed, method=method)
+def _headline(samples: DataFrame, rows: DataFrame) -> DataFrame:
     names = ["average_precision", "recall"]
-    samples = _melt(
-        ranking_metrics(
-            score_groups(drawn.rows, ["resample"], "w"), ["resample"], drawn.small
-        ),
-        ["resample"],
-        names,
-    )
     point = _melt(ranking_metrics(score_groups(rows)), [], names)
-    return intervals(samples, ["metric"]).join(
+    return intervals(_melt(samples, ["resample"], names), ["metric"]).join(
         point.withColumnRenamed("value", "point"), "metric"
     )
 
 
+def headline_bootstrap(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """Average precision and recall at 0.5 with percentile intervals, one row per metric."""
+    groups = store(grouped(scored, ["p", "y"]), "groups")
+    ranking = groups.select(F.lit("p").alias("ranking"), (-F.col("p")).alias("score"), "y", "n", "key")
+    ap = ranked_samples(ranking, resamples, seed)
+    caught = ((F.col("p") >= 0.5) & (F.col("y") == 1)).cast("int")
+    hits = poisson_sums(groups, {"hits": caught}, resamples, seed)
+    samples = ap.join(hits, "resample").withColumn("recall", ratio(F.col("hits"), F.col("pos")))
+    return _headline(samples, scored)
+
+
+def headline_of_draws(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """`headline_bootstrap` of rows drawn one by one."""
+    drawn = drawn_rows(scored, ["p", "y"], resamples, seed)
+    return _headline(ranking_metrics(score_groups(drawn, ["resample"], "w"), ["resample"]), scored)
+
+
 def _both(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     scorers = F.array(
         F.struct(F.lit("incumbent").alias("scorer"), F.col("p_incumbent").alias("p")),
@@ -183,28 +334,15 @@ def _both(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scored.withColumn("_s", F.explode(scorers)).select(*keys, "_s.*")
 
 
-def _delta(
-    by: Sequence[str], rows: DataFrame, weight: str | None, small: bool = False
-) -> DataFrame:
-    ap = ranking_metrics(score_groups(rows, [*by, "scorer"], weight), [*by, "scorer"], small)
-
+def _delta(by: Sequence[str], ap: DataFrame) -> DataFrame:
     def of(name: str) -> Column:
         return F.max(F.when(F.col("scorer") == name, F.col("average_precision")))
 
     return ap.groupBy(*by).agg((of("challenger") - of("incumbent")).alias("value"))
 
 
-def paired_delta_bootstrap(
-    scored: DataFrame, resamples: int, seed: int, method: str = "auto"
-) -> DataFrame:
-    """Challenger minus incumbent average precision on the same resamples. `scored` holds
-    (transaction_id, y, p_incumbent, p_challenger)."""
-    columns = ["y", "p_incumbent", "p_challenger"]
-    scored = freeze(scored.select("transaction_id", *columns))
-    drawn = resampled(scored, columns, resamples, seed, method=method)
-    both = _both(drawn.rows, ["resample", "y", "w"])
-    samples = _delta(["resample"], both, "w", drawn.small)
-    point = _delta([], _both(scored, ["y"]), None)
+def _paired(samples: DataFrame, scored: DataFrame) -> DataFrame:
+    point = _delta([], ranking_metrics(score_groups(_both(scored, ["y"]), ["scorer"]), ["scorer"]))
     wins = F.avg(F.when(F.col("value").isNotNull(), (F.col("value") > 0).cast("double")))
     lo, hi = (F.percentile("value", F.lit(q)) for q in CI_LEVELS)
     return samples.agg(
@@ -215,14 +353,31 @@ def paired_delta_bootstrap(
     ).withColumn("delta", point.scalar())
 
 
-def policy_bootstrap(
-    scored: DataFrame, t: float, resamples: int, seed: int, method: str = "auto"
-) -> DataFrame:
-    """Intervals on the differences between one cut at 0.5 (A) and the review band at t (C),
-    taken within each resample. A resample without fraud, without a false alert of A or without
-    a flag of C is degenerate for every metric."""
+PAIR = ["y", "p_incumbent", "p_challenger"]
+
+
+def paired_delta_bootstrap(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """Challenger minus incumbent average precision on the same counts. `scored` holds
+    (transaction_id, y, p_incumbent, p_challenger)."""
+    both = _both(grouped(scored, PAIR), ["y", "n", "key"])
+    ranking = both.select(F.col("scorer").alias("ranking"), (-F.col("p")).alias("score"), "y", "n", "key")
+    ap = ranked_samples(ranking, resamples, seed).withColumnRenamed("ranking", "scorer")
+    return _paired(_delta(["resample"], ap), scored)
+
+
+def paired_delta_of_draws(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """`paired_delta_bootstrap` of rows drawn one by one."""
+    both = _both(drawn_rows(scored, PAIR, resamples, seed), ["resample", "y", "w"])
+    keys = ["resample", "scorer"]
+    return _paired(_delta(["resample"], ranking_metrics(score_groups(both, keys, "w"), keys)), scored)
+
+
+POLICY = ["y", "amount", "a", "c", "q"]
+
+
+def _policy_rows(scored: DataFrame, t: float) -> DataFrame:
     p = F.col("p")
-    masked = scored.select(
+    return scored.select(
         "transaction_id",
         "y",
         "amount",
@@ -230,36 +385,65 @@ def policy_bootstrap(
         ((confidence(p) >= t) & (p >= 0.5)).alias("c"),
         (confidence(p) < t).alias("q"),
     )
-    columns = ["y", "amount", "a", "c", "q"]
-    drawn = resampled(freeze(masked), columns, resamples, seed, method=method)
-    fraud, w = F.col("y") == 1, F.col("w")
+
+
+def _policy_sums() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Conditions whose rows are counted, and those whose amounts are added up."""
+    fraud, a, c, q = F.col("y") == 1, F.col("a"), F.col("c"), F.col("q")
+    counted = {
+        "n": F.lit(True),
+        "frauds": fraud,
+        "fa_a": a & ~fraud,
+        "fa_c": c & ~fraud,
+        "flags_c": c,
+        "hits_c": c & fraud,
+        "queue": q,
+        "queue_legit": q & ~fraud,
+        "missed_a": ~a & fraud,
+        "missed_c": ~c & ~q & fraud,
+    }
+    worth = {
+        "amt": fraud,
+        "amt_missed_a": ~a & fraud,
+        "amt_missed_c": ~c & ~q & fraud,
+        "amt_caught_c": c & fraud,
+        "amt_surfaced_c": (c | q) & fraud,
+        "amt_surfaced_a": a & fraud,
+    }
+    return counted, worth
+
+
+def policy_bootstrap(scored: DataFrame, t: float, resamples: int, seed: int) -> DataFrame:
+    """Intervals on the differences between one cut at 0.5 (A) and the review band at t (C),
+    taken within each resample. A resample without fraud, without a false alert of A or without
+    a flag of C is degenerate for every metric."""
+    counted, worth = _policy_sums()
+    amount = F.coalesce(F.col("amount"), F.lit(0.0))
+    sums = {k: F.coalesce(v, F.lit(False)).cast("double") for k, v in counted.items()}
+    sums |= {k: F.when(v, amount).otherwise(0.0) for k, v in worth.items()}
+    groups = grouped(_policy_rows(scored, t), POLICY)
+    return _policy_intervals(poisson_sums(groups, sums, resamples, seed))
+
+
+def policy_of_draws(scored: DataFrame, t: float, resamples: int, seed: int) -> DataFrame:
+    """`policy_bootstrap` of rows drawn one by one."""
+    counted, worth = _policy_sums()
+    w = F.col("w")
     money = F.col("amount").cast("decimal(20,6)") * w
-    a, c, q = F.col("a"), F.col("c"), F.col("q")
-
-    def count(where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, w)), F.lit(0)).cast("double")
-
-    def worth(where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, money)), F.lit(0)).cast("double")
-
-    s = drawn.rows.groupBy("resample").agg(
-        F.sum(w).cast("double").alias("n"),
-        count(fraud).alias("frauds"),
-        count(a & ~fraud).alias("fa_a"),
-        count(c & ~fraud).alias("fa_c"),
-        count(c).alias("flags_c"),
-        count(c & fraud).alias("hits_c"),
-        count(q).alias("queue"),
-        count(q & ~fraud).alias("queue_legit"),
-        count(~a & fraud).alias("missed_a"),
-        count(~c & ~q & fraud).alias("missed_c"),
-        worth(fraud).alias("amt"),
-        worth(~a & fraud).alias("amt_missed_a"),
-        worth(~c & ~q & fraud).alias("amt_missed_c"),
-        worth(c & fraud).alias("amt_caught_c"),
-        worth((c | q) & fraud).alias("amt_surfaced_c"),
-        worth(a & fraud).alias("amt_surfaced_a"),
+
+    def total(where: Column, what: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, what)), F.lit(0)).cast("double")
+
+    drawn = drawn_rows(_policy_rows(scored, t), POLICY, resamples, seed)
+    return _policy_intervals(
+        drawn.groupBy("resample").agg(
+            *[total(v, w).alias(k) for k, v in counted.items()],
+            *[total(v, money).alias(k) for k, v in worth.items()],
+        )
     )
+
+
+def _policy_intervals(s: DataFrame) -> DataFrame:
     col = F.col
     usable = (col("frauds") > 0) & (col("fa_a") > 0) & (col("flags_c") > 0)
     metrics = {
@@ -291,29 +475,60 @@ def policy_bootstrap(
     )
 
 
-def window_bootstrap(
-    scored: DataFrame, resamples: int, seed: int, bins: int = 10, method: str = "auto"
-) -> DataFrame:
-    """Average precision of `p` and calibration error of `p_calibrated` per `fold` and pooled
-    (fold 0) over the same draws. `scored` holds (transaction_id, fold, y, p, p_calibrated)."""
-    columns = ["y", "p", "p_calibrated"]
-    rows = freeze(scored.select("transaction_id", "fold", *columns))
-    drawn = resampled(rows, columns, resamples, seed, within="fold", method=method)
-    # every draw counts for its own window and once for the pool
-    zero = F.lit(0).cast(rows.schema["fold"].dataType)
-    both = freeze(drawn.rows).withColumn("fold", F.explode(F.array(F.col("fold"), zero)))
-    keys = ["resample", "fold"]
-    ap = ranking_metrics(score_groups(both, keys, "w"), keys, drawn.small).select(
-        *keys, "average_precision", "pos"
+WINDOW = ["y", "p", "p_calibrated"]
+
+
+def _window_intervals(ap: DataFrame, ece: DataFrame, scored: DataFrame, bins: int) -> DataFrame:
+    """Interval, width and the value of the rows themselves, per fold and metric."""
+    names = ["average_precision", "ece"]
+
+    def melted(ap: DataFrame, ece: DataFrame, keys: Sequence[str]) -> DataFrame:
+        joined = ap.select(*keys, "average_precision", "pos").join(ece.select(*keys, "ece"), keys)
+        joined = joined.withColumn("ece", F.when(F.col("pos") > 0, F.col("ece")))
+        return _melt(joined, keys, names)
+
+    pooled = _pooled(scored.groupBy("fold", *WINDOW).agg(F.count(F.lit(1)).alias("w")), scored)
+    point = melted(*_window_values(pooled, ["fold"], bins), ["fold"])
+    out = intervals(melted(ap, ece, ["resample", "fold"]), ["fold", "metric"])
+    return out.join(point.withColumnRenamed("value", "point"), ["fold", "metric"]).select(
+        "fold", "metric", "point", "ci_lower", "ci_upper", "ci_width", "degenerate"
     )
+
+
+def _pooled(weighted: DataFrame, scored: DataFrame) -> DataFrame:
+    """Every row for its own fold and once more for fold 0."""
+    zero = F.lit(0).cast(scored.schema["fold"].dataType)
+    return store(weighted.withColumn("fold", F.explode(F.array(F.col("fold"), zero))), "pooled")
+
+
+def _window_values(both: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
     cells = both.groupBy(*keys, F.col("p_calibrated").alias("p"), "y").agg(F.sum("w").alias("w"))
-    ece = weighted_calibration_error(cells, bins, keys, drawn.small)
-    joined = ap.join(ece, keys).withColumn("ece", F.when(F.col("pos") > 0, F.col("ece")))
-    samples = _melt(joined, keys, ["average_precision", "ece"])
-    return intervals(samples, ["fold", "metric"]).select(
-        "fold", "metric", "ci_lower", "ci_upper", "degenerate"
+    return ranking_metrics(score_groups(both, keys, "w"), keys), weighted_calibration_error(cells, bins, keys)
+
+
+def window_bootstrap(scored: DataFrame, resamples: int, seed: int, bins: int = 10) -> DataFrame:
+    """Average precision of `p` and calibration error of `p_calibrated` per `fold` and pooled
+    (fold 0) over the same counts. `scored` holds (transaction_id, fold, y, p, p_calibrated)."""
+    kind = scored.schema["fold"].dataType
+    groups = grouped(scored, ["fold", *WINDOW])
+    # every count stands for its own window and once for the pool
+    both = store(
+        groups.withColumn("ranking", F.explode(F.array(F.col("fold").cast("string"), F.lit("0")))), "groups"
     )
 
+    def samples(score: Column, bins: int | None = None) -> DataFrame:
+        found = ranked_samples(both.withColumn("score", score), resamples, seed, bins)
+        return found.withColumn("fold", F.col("ranking").cast(kind))
+
+    return _window_intervals(samples(-F.col("p")), samples(F.col("p_calibrated"), bins), scored, bins)
+
+
+def window_of_draws(scored: DataFrame, resamples: int, seed: int, bins: int = 10) -> DataFrame:
+    """`window_bootstrap` of rows drawn one by one."""
+    drawn = drawn_rows(scored, WINDOW, resamples, seed, within="fold")
+    ap, ece = _window_values(_pooled(drawn, scored), ["resample", "fold"], bins)
+    return _window_intervals(ap, ece, scored, bins)
+
 
 def points_per_positive(scored: DataFrame) -> DataFrame:
     """Recall points that one more caught positive adds."""

@@ -1,12 +1,12 @@
 import glob
 import os
-import re
 
 import duckdb
 import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from riskweave.catalog import QUERIES
 
 # one of each family; tools/check_oracle.py compares all of them
 CHECKED = [
@@ -64,11 +64,11 @@ def test_flagship(spark):
 def test_every_sql_has_a_query():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert not [n for n in queries if "pipeline" in n or re.match(r"op\d+_", n)]
+    assert set(QUERIES) <= set(queries)
 
 
 SURVEYED = {
-    "SRC": 8, "SNK": 5, "F": 14, "P": 10, "W": 8, "J": 12, "A": 28, "M": 16, "S": 8, "D": 8,
+    "SRC": 8, "SNK": 5, "F": 13, "P": 10, "W": 8, "J": 12, "A": 28, "M": 16, "S": 8, "D": 8,
     "L": 12, "T": 3, "X": 6, "R": 5,
 }
 

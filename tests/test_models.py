@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from riskweave.functions.features import class_weights, missing_inputs, within_cap
+from riskweave.functions.features import class_weights, missing_inputs
 from riskweave.models import attribution, calibrate, detector, grid, registry
 from riskweave.operators.drift import reference_stats
 from riskweave.operators.ranking import average_precision
@@ -91,12 +91,6 @@ def test_decisions_add_up(tx, linear):
         assert (r["decision"] == "review") == (r["confidence"] < 0.8)
 
 
-def test_batch_cap_fails_the_job(tx):
-    assert within_cap(tx, 600).count() == 600
-    with pytest.raises(Exception, match="over the cap"):
-        within_cap(tx, 599).count()
-
-
 def test_saved_bundle_scores_alike(spark, tx, linear, tmp_path):
     reference = reference_stats(tx, ["amount", "f_a"])
     detector.save_bundle(linear, reference, str(tmp_path))

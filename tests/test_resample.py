@@ -19,31 +19,31 @@ def table(spark):
 
 def test_every_resample_draws_as_many_rows_as_there_are(table):
     _, df = table
-    drawn = resample.resampled(df, ["transaction_id"], 20, 1, tie="transaction_id").rows
+    drawn = resample.drawn_rows(df, ["transaction_id"], 20, 1, tie="transaction_id")
     sizes = [r[1] for r in drawn.groupBy("resample").agg(F.sum("w")).collect()]
     assert sizes == [400] * 20
 
 
 def test_draws_depend_on_the_seed_only(table):
     _, df = table
-    a = resample.resampled(df, ["p", "y"], 5, 1, method="multinomial").rows
-    b = resample.resampled(df.repartition(7), ["p", "y"], 5, 1, method="multinomial").rows
-    c = resample.resampled(df, ["p", "y"], 5, 2, method="multinomial").rows
+    a = resample.drawn_rows(df, ["p", "y"], 5, 1)
+    b = resample.drawn_rows(df.repartition(7), ["p", "y"], 5, 1)
+    c = resample.drawn_rows(df, ["p", "y"], 5, 2)
     assert a.exceptAll(b).count() == 0
     assert a.exceptAll(c).count() > 0
 
 
 def test_windows_are_drawn_apart(table):
     _, df = table
-    drawn = resample.resampled(df, ["y"], 4, 3, within="fold", method="multinomial").rows
+    drawn = resample.drawn_rows(df, ["y"], 4, 3, within="fold")
     sizes = {r[0]: r[1] for r in drawn.groupBy("fold").agg(F.sum("w")).collect()}
     assert sizes == {1: 800, 2: 800}
 
 
 def test_poisson_counts_agree_with_draws_on_average(table):
     data, df = table
-    exact = {r["metric"]: r for r in resample.headline_bootstrap(df, 300, 1, "multinomial").collect()}
-    loose = {r["metric"]: r for r in resample.headline_bootstrap(df, 300, 1, "poisson").collect()}
+    exact = {r["metric"]: r for r in resample.headline_of_draws(df, 300, 1).collect()}
+    loose = {r["metric"]: r for r in resample.headline_bootstrap(df, 300, 1).collect()}
     for name in ("average_precision", "recall"):
         assert exact[name]["point"] == pytest.approx(loose[name]["point"])
         assert exact[name]["ci_lower"] < exact[name]["point"] < exact[name]["ci_upper"]
@@ -51,20 +51,51 @@ def test_poisson_counts_agree_with_draws_on_average(table):
             assert exact[name][end] == pytest.approx(loose[name][end], abs=0.03)
 
 
-def test_poisson_totals_have_the_right_mean(table):
+def test_poisson_counts_have_the_law():
+    keys = np.arange(4000, dtype=np.int64) * 7919
+    for size in (1, 3, 200, 5000):
+        counts = resample.poisson_counts(keys, np.full(4000, size), 5, 9)
+        assert counts.dtype == np.int64
+        assert counts.mean() == pytest.approx(size, abs=5 * np.sqrt(size / counts.size))
+        assert counts.var() == pytest.approx(size, rel=0.1)
+        again = resample.poisson_counts(keys[::-1], np.full(4000, size), 5, 9)
+        assert (again[::-1] == counts).all()  # the key decides, not the place
+    big = resample.poisson_counts(np.array([1]), np.array([10**11]), 2, 1)
+    assert (abs(big - 10**11) < 10**7).all()
+
+
+def test_poisson_sums_have_the_right_mean(table):
     _, df = table
-    drawn = resample.resampled(df, ["y"], 200, 5, method="poisson").rows
-    means = drawn.groupBy("y").agg(F.sum("w") / 200)
+    sums = {f"y{k}": (F.col("y") == k).cast("int") for k in (0, 1)}
+    drawn = resample.poisson_sums(resample.grouped(df, ["p", "y"]), sums, 500, 5)
+    means = drawn.agg(F.avg("y0"), F.avg("y1")).first()
     counts = dict(df.groupBy("y").count().collect())
-    for y, mean in means.collect():
-        assert mean == pytest.approx(counts[y], rel=0.05)
+    for y in (0, 1):
+        assert means[y] == pytest.approx(counts[y], rel=0.03)
 
 
-def test_poisson_takes_over_beyond_the_draw_budget(table):
+def test_ranked_samples_against_sorting(table, spark, monkeypatch):
+    """Average precision and calibration error of each resample, from the counts themselves."""
+    monkeypatch.setattr(resample, "SLICE", 7)
     _, df = table
-    drawn = resample.resampled(df, ["y"], 10, 5, max_draws=100).rows
-    sizes = {r[1] for r in drawn.groupBy("resample").agg(F.sum("w")).collect()}
-    assert len(sizes) > 1  # Poisson totals vary, draws would not
+    groups = resample.grouped(df, ["p", "y"]).collect()
+    keys, sizes = np.array([g["key"] for g in groups]), np.array([g["n"] for g in groups])
+    counts = resample.poisson_counts(keys, sizes, 6, 3)
+    frame = resample.grouped(df, ["p", "y"]).withColumn("ranking", F.lit("x"))
+    ap = resample.ranked_samples(frame.withColumn("score", -F.col("p")), 6, 3).collect()
+    ece = resample.ranked_samples(frame.withColumn("score", F.col("p")), 6, 3, 10).collect()
+    for r in range(6):
+        rows = [(g["p"], g["y"]) for g, c in zip(groups, counts[:, r]) for _ in range(c)]
+        rows.sort()
+        p, y = np.array(rows).T
+        total, value = y.sum(), 0.0
+        for s in sorted(set(p), reverse=True):
+            value += y[p == s].sum() / total * y[p >= s].sum() / (p >= s).sum()
+        assert next(x for x in ap if x["resample"] == r)["average_precision"] == pytest.approx(value)
+        parts = np.array_split(np.arange(len(p)), 10)
+        gap = sum(abs(p[i].sum() - y[i].sum()) for i in parts) / len(p)
+        found = next(x for x in ece if x["resample"] == r)
+        assert found["n"] == len(p) and found["ece"] == pytest.approx(gap)
 
 
 def test_resamples_without_a_positive_are_counted(spark):

@@ -107,7 +107,8 @@ def test_export_without_amount_is_missing_not_zero(spark, tmp_path):
 
 def test_first_known_dataset_wins(spark, tmp_path):
     folder = stage(tmp_path, fraudTrain=SPARKOV, creditcard=CARDS)
-    assert transactions.detect_source(spark, folder).name == "sparkov"
+    assert transactions.telling_file(transactions.file_names(spark, folder)) == "fraudTrain.csv"
+    assert {r[0] for r in transactions.load(spark, folder).select("data_source").collect()} == {"sparkov"}
 
 
 def test_an_empty_folder_is_an_error(spark, tmp_path):
@@ -115,13 +116,19 @@ def test_an_empty_folder_is_an_error(spark, tmp_path):
         transactions.load(spark, str(tmp_path))
 
 
-def test_specs_name_what_their_readers_stamp(spark, tmp_path):
-    texts = {"sparkov": SPARKOV, "ieee_cis": COMMERCE, "amazon_fdb": EXPORT, "ulb_creditcard": CARDS}
-    for spec in transactions.SOURCES:
-        folder = tmp_path / spec.name
+def test_readers_stamp_their_dataset(spark, tmp_path):
+    cases = {
+        "fraudTrain.csv": (SPARKOV, "sparkov"),
+        "train_transaction.csv": (COMMERCE, "ieee_cis"),
+        "fdb_train.csv": (EXPORT, "amazon_fdb"),
+        "creditcard.csv": (CARDS, "ulb_creditcard"),
+    }
+    assert list(cases) == list(transactions.READERS)
+    for name, (text, stamp) in cases.items():
+        folder = tmp_path / stamp
         folder.mkdir()
-        (folder / spec.primary).write_text(texts[spec.name])
-        assert transactions.load(spark, str(folder)).first()["data_source"] == spec.name
+        (folder / name).write_text(text)
+        assert transactions.load(spark, str(folder)).first()["data_source"] == stamp
 
 
 def test_loaded_tables_split_cleanly(spark, tmp_path):
