@@ -128,6 +128,33 @@ def drift_report(spark, folder):
     return rounded(_features(spark, folder), ["psi"])
 
 
+@query(
+    "d4_absent_column_per_day",
+    LONG_SQL
+    + """ SELECT DISTINCT CAST(strftime(timestamp, '%Y-%m-%d') AS VARCHAR) AS day, 'amount' AS feature,
+  'missing_from_window' AS status
+FROM tx JOIN side ON tx.entity_id = side.entity_id WHERE side = 'test'""",
+)
+def absent_per_day(spark, folder):
+    """A column that no window has is reported for each window."""
+    train, test = drift_sides(spark, folder)
+    reference = drift.reference_stats(train, COLUMNS)
+    days = test.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")).drop("amount")
+    rows = drift.drift_features(reference, days, 0.1, 0.25, COLUMNS, ["day"])
+    return rows.where("status = 'missing_from_window'").select("day", "feature", "status")
+
+
+@query(
+    "d4_empty_window",
+    LONG_SQL + " SELECT DISTINCT feature, 'all_null_in_window' AS status FROM edges",
+)
+def empty_window(spark, folder):
+    train, test = drift_sides(spark, folder)
+    reference = drift.reference_stats(train, COLUMNS)
+    rows = drift.drift_features(reference, test.where("false"), 0.1, 0.25, COLUMNS)
+    return rows.select("feature", "status")
+
+
 @query(
     "d4_drift_summary",
     LONG_SQL

@@ -17,6 +17,7 @@ from riskweave.catalog.common import (
     table,
     with_sql,
 )
+from riskweave.catalog.split_queries import NULL_ENTITIES_SQL, null_entities
 from riskweave.functions import features
 from riskweave.functions.scores import display_name, logit, percent_text, ratio
 from riskweave.functions.text import binary_label, duration_seconds, memory_mebibytes
@@ -219,6 +220,15 @@ def entity_velocity(spark, folder):
     return _velocity_only(velocity.entity_velocity(events_tx(spark, folder)))
 
 
+@query(
+    "w2_velocity_with_missing_entities",
+    with_sql(NULL_ENTITIES_SQL, window_sql("f_ent_", "PARTITION BY entity_id ")),
+)
+def velocity_with_missing_entities(spark, folder):
+    """Rows without an entity are one entity."""
+    return _velocity_only(velocity.entity_velocity(null_entities(spark, folder)))
+
+
 @query(
     "w3_stream_gap",
     with_sql(ORDERS_SQL)

@@ -273,3 +273,15 @@ def metric_read_back(spark, folder):
         rows.withColumn("value", F.when(wrong, F.col("value") + 1).otherwise(F.col("value"))), out
     )
     return sinks.metric_store_differences(sinks.read_metrics(spark, out, "run1"), rows)
+
+
+@query(
+    "snk1_report_with_an_empty_column",
+    "SELECT event_type, count(*) AS n, CAST(NULL AS VARCHAR) AS note FROM events GROUP BY 1",
+)
+def report_with_an_empty_column(spark, folder):
+    """A column of nulls is still there when a report is read back."""
+    out = scratch_path(spark, "report")
+    counts = table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_report(counts.withColumn("note", F.lit(None).cast("string")), out, "types", "events")
+    return spark.read.json(f"{out}/types").select("event_type", "n", "note")

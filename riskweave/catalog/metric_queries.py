@@ -15,6 +15,7 @@ from riskweave.catalog.common import (
     scored,
     scored_events,
     scored_test,
+    stand_in,
     with_sql,
 )
 from riskweave.catalog.split_queries import FOLDS_SQL, OPTIONS, cuts_sql
@@ -280,9 +281,14 @@ def fold_rows(spark, folder):
     tx = events_tx(spark, folder)
     folds = splits.build_folds(tx, OPTIONS.train_fractions, OPTIONS.min_test_fraud)
     placed = splits.assign_folds(tx, folds).where(F.col("fold").isNotNull())
-    return scored(tx).join(
-        placed.select("transaction_id", F.col("fold").cast("long").alias("fold")),
+    return placed.select(
         "transaction_id",
+        "timestamp",
+        "entity_id",
+        "amount",
+        F.col("is_fraud").alias("y"),
+        stand_in(F.col("amount")).alias("p"),
+        F.col("fold").cast("long").alias("fold"),
     )
 
 

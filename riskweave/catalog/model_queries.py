@@ -1,11 +1,15 @@
-"""Fits and scores. Model scores have no SQL counterpart; the tests
-check invariants. Fits use few rounds: the number of rounds is an option, not the operator."""
+"""Fits and scores.
+
+SQL can't fit a model. It counts the rows and states what must hold of every score: `within`
+says that it is a probability, other flags compare scores with what SQL or a second path makes
+of them. Fits use few rounds: the number of rounds is an option, not the operator."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.catalog.common import (
@@ -15,10 +19,13 @@ from riskweave.catalog.common import (
     events_tx,
     orders_tx,
     query,
+    rounded,
     scored,
     with_sql,
 )
 from riskweave.catalog.feature_queries import window_sql
+from riskweave.catalog.metric_queries import FOLD_ROWS_SQL
+from riskweave.catalog.split_queries import INNER_SQL
 from riskweave.functions.features import add_time_features, with_absent_inputs
 from riskweave.models import attribution, calibrate, detector, grid, registry
 from riskweave.operators import velocity
@@ -35,6 +42,17 @@ ROUNDS = 5
 FAST = Options(rounds=ROUNDS, resamples=50)
 
 
+TEST_ROWS_SQL = with_sql(EVENTS_SQL, SIDES_SQL) + """SELECT transaction_id, {} FROM tx
+  JOIN side ON tx.entity_id = side.entity_id WHERE side = 'test'"""
+WITHIN_SQL = TEST_ROWS_SQL.format("true AS within")
+
+
+def within(column: str = "p"):
+    """A probability, neither missing nor certain."""
+    p = F.col(column)
+    return F.coalesce((p > 0) & (p < 1), F.lit(False)).alias("within")
+
+
 def sides(spark, folder):
     train, test = temporal_grouped_split(add_time_features(events_tx(spark, folder)))
     return freeze(train), freeze(test)
@@ -66,12 +84,13 @@ def one_hot(spark, folder):
     )
 
 
-@query("f5_transform_with_absent_inputs")
+@query("f5_transform_with_absent_inputs", WITHIN_SQL)
 def absent_inputs(spark, folder):
     """A frame without two of the model's inputs still scores."""
     train, test = sides(spark, folder)
     model = detector.fit(train, "logreg")
-    return detector.score(model, test.drop("f_k", "category")).select("transaction_id", "p")
+    out = detector.score(model, test.drop("f_k", "category"))
+    return out.select("transaction_id", within())
 
 
 DAY = {"24h": 86_400_000_000}
@@ -103,7 +122,7 @@ def _fit_and_score(model: str):
     def run(spark, folder):
         train, test = sides(spark, folder)
         fitted = detector.fit(train, model, FAST.seed, ROUNDS, FAST.learning_rate)
-        return detector.scored_table(fitted, test).select("transaction_id", "y", "p")
+        return detector.scored_table(fitted, test).select("transaction_id", "y", within())
 
     return run
 
@@ -115,53 +134,92 @@ for _id, _model in (
     ("m3_linear_baseline", "logreg"),
     ("m4_alternative_ensemble", "forest"),
 ):
-    query(_id)(_fit_and_score(_model))
+    query(_id, TEST_ROWS_SQL.format("is_fraud AS y, true AS within"))(_fit_and_score(_model))
 
 
-@query("m5_model_registry")
+@query(
+    "m5_model_registry",
+    with_sql(EVENTS_SQL, SIDES_SQL)
+    + """SELECT unnest(['forest', 'gbt', 'gbt_deep', 'gbt_shallow', 'logreg']) AS model,
+  count(*) AS train_rows, true AS named_once
+FROM tx JOIN side ON tx.entity_id = side.entity_id WHERE side = 'train'""",
+)
 def model_registry(spark, folder):
-    """Every registered model by name, with the rows it would train on."""
+    """Every registered model by name, with the rows it would train on; a taken name is refused."""
     train, _ = temporal_grouped_split(events_tx(spark, folder))
-    names = F.array(*[F.lit(n) for n in registry.available()])
+
+    def refused(name: str) -> bool:
+        try:
+            registry.register(name)(lambda *a, **k: None)
+        except ValueError:
+            return True
+        return False
+
+    entries = [
+        F.struct(F.lit(n).alias("model"), F.lit(refused(n)).alias("named_once"))
+        for n in registry.available()
+    ]
     return train.agg(F.count(F.lit(1)).alias("train_rows")).select(
-        F.explode(names).alias("model"), "train_rows"
-    )
+        F.explode(F.array(*entries)).alias("e"), "train_rows"
+    ).select("e.model", "train_rows", "e.named_once")
 
 
-@query("m6_probability")
+@query("m6_probability", WITHIN_SQL)
 def probability(spark, folder):
     train, test = sides(spark, folder)
     out = detector.score(detector.fit(train, "logreg"), test)
-    return out.select("transaction_id", "p")
+    return out.select("transaction_id", within())
 
 
-@query("m7_score_and_decide")
+@query("m7_score_and_decide", TEST_ROWS_SQL.format("true AS within, true AS decided"))
 def score_and_decide(spark, folder):
     train, test = sides(spark, folder)
     out = detector.score_and_decide(detector.fit(train, "logreg"), test, 0.55)
-    return out.select("transaction_id", "p", "confidence", "decision")
+    # the decision worked out anew from the score: flagged or cleared where sure, else reviewed
+    sure = F.greatest(F.col("p"), 1 - F.col("p"))
+    wanted = F.when(sure < 0.55, "review").when(F.col("p") >= 0.5, "fraud").otherwise("legit")
+    same = (F.col("decision") == wanted) & (F.col("confidence") == sure)
+    return out.select("transaction_id", within(), same.alias("decided"))
 
 
-@query("m8_platt_map")
+@query("m8_platt_map", TEST_ROWS_SQL.format("true AS within, true AS rising"))
 def platt_map(spark, folder):
-    """The fitted map applied to every row."""
+    """The fitted map applied to every row. It keeps the order of the scores."""
     train, test = temporal_grouped_split(events_tx(spark, folder))
     platt = calibrate.fit_platt(scored(train))
-    return scored(test).select(
-        "transaction_id", "p", platt.apply(F.col("p")).alias("p_calibrated")
+    low, high = (platt.apply(F.lit(v)) for v in (0.25, 0.75))
+    out = scored(test).withColumn("c", platt.apply(F.col("p")))
+    one_way = F.when(low <= high, (F.col("c") >= low) == (F.col("p") >= 0.25)).otherwise(
+        (F.col("c") <= low) == (F.col("p") >= 0.25)
     )
+    return out.select("transaction_id", within("c"), one_way.alias("rising"))
 
 
-@query("m9_isotonic_map")
+@query("m9_isotonic_map", TEST_ROWS_SQL.format("true AS within"))
 def isotonic_map(spark, folder):
     train, test = temporal_grouped_split(events_tx(spark, folder))
     model = calibrate.fit_isotonic(scored(train))
-    return model.transform(scored(test)).select("transaction_id", "p", "p_isotonic")
+    inside = F.col("p_isotonic").between(0.0, 1.0)
+    return model.transform(scored(test)).select("transaction_id", inside.alias("within"))
 
 
-@query("m10_calibration_report")
+@query(
+    "m10_calibration_report",
+    with_sql(EVENTS_SQL, INNER_SQL)
+    + """SELECT side AS slice, unnest(['raw', 'platt', 'isotonic']) AS scale, count(*) AS n,
+  CAST(sum(is_fraud) AS BIGINT) AS positives, true AS sound, true AS same_order
+FROM tx JOIN sides ON tx.entity_id = sides.entity_id WHERE side <> 'fit' GROUP BY side""",
+)
 def calibration(spark, folder):
-    return calibration_report(events_tx(spark, folder), FAST).summary
+    """Sizes of the slices; a rising Platt map keeps average precision, a falling one need not."""
+    run = calibration_report(events_tx(spark, folder), FAST)
+    rows = freeze(run.summary)
+    raw = rows.where("scale = 'raw'").select("slice", F.col("average_precision").alias("raw_ap"))
+    sound = F.col("brier").between(0, 1) & (F.col("score_min") >= 0) & (F.col("score_max") <= 1)
+    same = (F.col("scale") != "platt") | F.lit(run.platt.a <= 0) | (F.abs(F.col("average_precision") - F.col("raw_ap")) < 1e-9)
+    return rows.join(raw, "slice").select(
+        "slice", "scale", "n", "positives", sound.alias("sound"), same.alias("same_order")
+    )
 
 
 def _slices(tx):
@@ -177,7 +235,13 @@ QUICK = (
 )
 
 
-@query("m11_model_grid")
+@query(
+    "m11_model_grid",
+    """SELECT feature_set, variant, true AS within
+FROM (SELECT unnest(['base', 'base+velocity']) AS feature_set)
+CROSS JOIN (SELECT unnest(['gbt_default', 'gbt_shallow']) AS variant)
+WHERE (SELECT count(*) FROM events) > 0""",
+)
 def model_grid(spark, folder):
     tx = freeze(add_time_features(events_tx(spark, folder)))
     wide = freeze(velocity.stream_velocity(tx, {"1h": 3_600_000_000}))
@@ -186,17 +250,28 @@ def model_grid(spark, folder):
     results = grid.grid_results(scores)
     chosen = grid.selection(results, QUICK, list(sets)).first()
     key = F.concat_ws("|", "feature_set", "variant")
-    return results.withColumn("selected", key == chosen["selected_by_validation"])
+    best = results.agg(F.max(F.round("validation_ap", 4))).scalar()
+    selected = key == chosen["selected_by_validation"]
+    sound = F.col("validation_ap").between(0, 1) & F.col("test_ap").between(0, 1)
+    sound = sound & (~selected | (F.round("validation_ap", 4) == best))
+    return results.select("feature_set", "variant", sound.alias("within"))
 
 
-@query("m12_booster_comparison")
+@query(
+    "m12_booster_comparison",
+    "SELECT true AS holds, true AS bounded WHERE (SELECT count(*) FROM events) > 0",
+)
 def booster_comparison(spark, folder):
     """Incumbent trees against the alternative ensemble, with the paired interval."""
     variants = (grid.Variant("gbt", "gbt", 3, 0.1), grid.Variant("forest", "forest", 5, 0.1))
     sets = {"base": _slices(add_time_features(events_tx(spark, folder)))}
     scores = freeze(grid.grid_scores(sets, variants, FAST.seed))
     pairs = grid.paired_scores(scores, "base|gbt", "base|forest")
-    return paired_delta_bootstrap(pairs, FAST.resamples, FAST.seed)
+    out = paired_delta_bootstrap(pairs, Options().resamples, FAST.seed)
+    d, lo, hi = F.col("delta"), F.col("ci_lower"), F.col("ci_upper")
+    return out.select(
+        ((lo <= d) & (d <= hi)).alias("holds"), ((lo >= -1) & (hi <= 1)).alias("bounded")
+    )
 
 
 def _explained(spark, folder):
@@ -205,32 +280,48 @@ def _explained(spark, folder):
     return model, attribution.contributions(model, test)
 
 
-@query("m13_attribution_ranking")
+@query(
+    "m13_attribution_ranking",
+    """SELECT unnest(['all', 'fraud']) AS scope, true AS falling, true AS signed
+WHERE (SELECT count(*) FROM events) > 0""",
+)
 def attribution_ranking(spark, folder):
     train, test = sides(spark, folder)
     model = detector.fit(train, "gbt_shallow", FAST.seed, 3, 0.1)
     names = attribution.feature_labels(model.transform(test))
-    return attribution.attribution_ranking(attribution.contributions(model, test), names)
+    top = attribution.attribution_ranking(attribution.contributions(model, test), names)
+    ahead = F.lag("mean_abs").over(Window.partitionBy("scope").orderBy("rank"))
+    rows = top.withColumn("falling", F.coalesce(ahead >= F.col("mean_abs"), F.lit(True)))
+    return rows.groupBy("scope").agg(
+        F.bool_and("falling").alias("falling"),
+        F.bool_and(F.abs("mean_signed") <= F.col("mean_abs")).alias("signed"),
+    )
 
 
-@query("m14_attribution_additivity")
+@query(
+    "m14_attribution_additivity",
+    "SELECT true AS adds_up WHERE (SELECT count(*) FROM events) > 0",
+)
 def attribution_additivity(spark, folder):
-    return attribution.additivity_error(_explained(spark, folder)[1])
+    """Base value and contributions add up to the margin."""
+    error = attribution.additivity_error(_explained(spark, folder)[1])
+    return error.select((F.col("max_abs_error") < 1e-9).alias("adds_up"))
 
 
-@query("m15_saved_bundle")
+@query("m15_saved_bundle", TEST_ROWS_SQL.format("true AS within, true AS same"))
 def saved_bundle(spark, folder):
     """Model and drift reference written together and read back."""
     train, test = sides(spark, folder)
     out = scratch_path(spark, "bundle")
-    detector.save_bundle(
-        detector.fit(train, "logreg"), reference_stats(train, numeric_columns(train)), out
-    )
+    unsaved = detector.fit(train, "logreg")
+    detector.save_bundle(unsaved, reference_stats(train, numeric_columns(train)), out)
     model, reference = detector.load_bundle(spark, out)
-    width = reference.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return detector.score(model, test).select(
-        "transaction_id", "p"
-    ).withColumn("drift_features", width)
+    columns = numeric_columns(train)
+    held = reference.select(F.collect_set("feature")).scalar()
+    first = detector.score(unsaved, test).select("transaction_id", F.col("p").alias("q"))
+    same = (F.col("p") == F.col("q")) & (F.size(held) == len(columns))
+    again = detector.score(model, test)
+    return again.join(first, "transaction_id").select("transaction_id", within(), same.alias("same"))
 
 
 @query(
@@ -247,16 +338,45 @@ def round_trip(spark, folder):
     return moved.agg(F.count(F.lit(1)).alias("rows_scored_differently"))
 
 
-@query("e1_train_and_evaluate")
+@query(
+    "e1_train_and_evaluate",
+    with_sql(EVENTS_SQL, SIDES_SQL)
+    + """, c AS (SELECT count(*) FILTER (side = 'test') AS n_test,
+  CAST(sum(is_fraud) FILTER (side = 'test') AS BIGINT) AS n_test_fraud,
+  count(*) FILTER (side = 'train') AS n_train,
+  CAST(sum(is_fraud) FILTER (side = 'train') AS BIGINT) AS n_train_fraud
+  FROM tx JOIN side ON tx.entity_id = side.entity_id)
+SELECT *, round(n_test_fraud / CAST(n_test AS DOUBLE), 9) AS base_rate,
+  round(1 - n_test_fraud / CAST(n_test AS DOUBLE), 9) AS always_negative_accuracy, true AS sound
+FROM c""",
+)
 def training(spark, folder):
-    return train_and_evaluate(events_tx(spark, folder), FAST).headline
+    """Sizes and rates of the split, and whether the metrics of the fit are shares."""
+    out = train_and_evaluate(events_tx(spark, folder), FAST).headline
+    sound = F.lit(True)
+    for name in ("accuracy", "recall", "average_precision", "roc_auc"):
+        sound = sound & F.col(name).between(0, 1)
+    sizes = ["n_test", "n_test_fraud", "n_train", "n_train_fraud"]
+    rates = ["base_rate", "always_negative_accuracy"]
+    return rounded(out.select(*sizes, *rates, sound.alias("sound")), rates)
 
 
-@query("e3_rolling_origin_report")
+@query(
+    "e3_rolling_origin_report",
+    FOLD_ROWS_SQL
+    + """ SELECT fold, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS frauds,
+  round(avg(y), 9) AS base_rate, true AS sound FROM both_ GROUP BY 1""",
+)
 def rolling_origin(spark, folder):
-    options = Options(model="logreg", resamples=20)
-    report = rolling_report(events_tx(spark, folder), options)
-    return report.metrics.join(report.calibration, "fold")
+    """Sizes of the folds and the pool; every metric is a share, every fold has its interval."""
+    report = rolling_report(events_tx(spark, folder), Options(model="logreg"))
+    ap = report.intervals.where("metric = 'average_precision'").select("fold", "ci_lower", "ci_upper")
+    rows = report.metrics.join(report.calibration, "fold").join(ap, "fold")
+    sound = F.col("average_precision").between(F.col("ci_lower"), F.col("ci_upper"))
+    for name in ("ece", "brier_raw", "brier_platt", "brier_constant"):
+        sound = sound & F.col(name).between(0, 1)
+    sizes = rows.select("fold", "n_rows", "frauds", "base_rate", sound.alias("sound"))
+    return rounded(sizes, ["base_rate"])
 
 
 @query(

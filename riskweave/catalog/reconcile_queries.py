@@ -127,3 +127,16 @@ def consistency_guard(spark, folder):
     wrong = (F.col("review_threshold") == 0.7).cast("int")
     stored = rebuilt.withColumn("fraud_missed", F.col("fraud_missed") + wrong)
     return reconcile.count_mismatches(rebuilt, stored, "review_threshold", columns)
+
+
+@query(
+    "j7_keys_with_slashes",
+    "SELECT event_id, unnest(['/a/b', '/a~1b']) AS path FROM events WHERE event_type = 'error'",
+)
+def keys_with_slashes(spark, folder):
+    """A key that holds a slash is not two keys."""
+    rows = table(spark, folder, "events").where("event_type = 'error'")
+    flat = F.concat(F.lit('{"a/b": '), F.col("event_id"), F.lit("}"))
+    deep = F.concat(F.lit('{"a": {"b": '), F.col("event_id"), F.lit("}}"))
+    left, right = (rows.select("event_id", d.alias("doc")) for d in (flat, deep))
+    return reconcile.json_differences(left, right, "event_id", "doc").select("event_id", "path")

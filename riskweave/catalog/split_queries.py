@@ -34,6 +34,45 @@ def temporal_split(spark, folder):
     )
 
 
+NULL_ENTITIES_SQL = EVENTS_SQL.replace(
+    "CAST(user_id AS VARCHAR) AS entity_id",
+    "CASE WHEN event_id % 10 > 0 THEN CAST(user_id AS VARCHAR) END AS entity_id",
+)
+
+
+def null_entities(spark, folder):
+    """Every tenth event has no entity."""
+    tenth = F.col("transaction_id").cast("long") % 10 == 0
+    return events_tx(spark, folder).withColumn(
+        "entity_id", F.when(~tenth, F.col("entity_id"))
+    )
+
+
+@query(
+    "p1_split_with_missing_entities",
+    with_sql(NULL_ENTITIES_SQL, SIDES_SQL)
+    + """SELECT transaction_id, tx.entity_id, side FROM tx
+  JOIN side ON tx.entity_id IS NOT DISTINCT FROM side.entity_id""",
+)
+def split_with_missing_entities(spark, folder):
+    train, test = splits.temporal_grouped_split(null_entities(spark, folder))
+    keep = ["transaction_id", "entity_id"]
+    return train.select(*keep, F.lit("train").alias("side")).unionByName(
+        test.select(*keep, F.lit("test").alias("side"))
+    )
+
+
+@query(
+    "p3_first_seen_with_missing_entities",
+    with_sql(NULL_ENTITIES_SQL)
+    + """SELECT transaction_id, epoch_us(min(timestamp) OVER (PARTITION BY entity_id)) AS first_us
+FROM tx""",
+)
+def first_seen_with_missing_entities(spark, folder):
+    rows = splits.with_first_seen(null_entities(spark, folder))
+    return rows.select("transaction_id", F.unix_micros("first_seen").alias("first_us"))
+
+
 INNER_SQL = f"""{SIDES_SQL},
 train AS (SELECT tx.* FROM tx JOIN side ON tx.entity_id = side.entity_id WHERE side = 'train'),
 {order_sql("train", "inner_")},

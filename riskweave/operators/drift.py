@@ -13,14 +13,16 @@ from riskweave.operators.ordered import range_order, ranked_quantiles, scan, sca
 FLOOR = 1e-4
 
 
+def known_double(column: str) -> Column:
+    """The column as a number; NaN counts as missing."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, value, n) over all columns, summed per distinct value before the shuffle.
     NaN counts as missing."""
     entries = [
-        F.struct(
-            F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")
-        )
-        for c in columns
+        F.struct(F.lit(c).alias("feature"), known_double(c).alias("value")) for c in columns
     ]
     return (
         df.select(*by, F.explode(F.array(*entries)).alias("e"))
@@ -148,9 +150,28 @@ def drift_features(
             "null_fraction_reference",
         )
     )
-    if not absent or by:
+    if not by:
+        # an empty window has no value of any feature
+        rows = rows.unionByName(
+            known.where(F.col("feature").isin(present))
+            .join(rows.select("feature"), "feature", "left_anti")
+            .select(
+                "feature",
+                F.lit(None).cast("double").alias("psi"),
+                F.lit("all_null_in_window").alias("status"),
+                F.lit(None).cast("double").alias("null_fraction"),
+                "null_fraction_reference",
+            )
+        )
+    if not absent:
         return rows
-    gone = known.where(F.col("feature").isin(absent)).select(
+    lost = known.where(F.col("feature").isin(absent))
+    if by:
+        # a row for each window and column
+        names = F.array(*[F.lit(c) for c in absent])
+        lost = window.select(*by).distinct().withColumn("feature", F.explode(names)).join(F.broadcast(lost), "feature")
+    gone = lost.select(
+        *by,
         "feature",
         F.lit(None).cast("double").alias("psi"),
         F.lit("missing_from_window").alias("status"),

@@ -85,6 +85,13 @@ def require_equal(mismatches: DataFrame, what: str) -> None:
         raise MismatchError(f"{what}: {[r.asDict() for r in found]}")
 
 
+def escaped(name: str) -> str:
+    """A key as a part of a path: as in JSON pointers, and brackets, which mark list places."""
+    for plain, code in (("~", "~0"), ("/", "~1"), ("[", "~2")):
+        name = name.replace(plain, code)
+    return name
+
+
 def json_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, value): every leaf of a JSON document, array items by position. Documents
     spread over the tasks; each one is flattened on its own."""
@@ -99,7 +106,7 @@ def json_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
                 while pending:
                     path, node = pending.pop()
                     if isinstance(node, dict) and node:
-                        pending += [(f"{path}/{name}", child) for name, child in node.items()]
+                        pending += [(f"{path}/{escaped(name)}", child) for name, child in node.items()]
                     elif isinstance(node, list) and node:
                         pending += [(f"{path}[{i}]", child) for i, child in enumerate(node)]
                     else:
@@ -122,8 +129,8 @@ def json_differences(
     def kept(df: DataFrame) -> DataFrame:
         leaves = json_leaves(df, key, text)
         for name in ignored_keys:
-            at = F.concat(F.col("path"), F.lit("/"))
-            leaves = leaves.where(~at.contains(f"/{name}/") & ~at.contains(f"/{name}["))
+            at, part = F.concat(F.col("path"), F.lit("/")), f"/{escaped(name)}"
+            leaves = leaves.where(~at.contains(f"{part}/") & ~at.contains(f"{part}["))
         for path in ignored_paths:
             inside = (
                 (F.col("path") == path)

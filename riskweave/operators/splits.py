@@ -26,10 +26,16 @@ def entity_order(entities: DataFrame) -> DataFrame:
     return scan(entities, ["first_seen", "entity_id"], ["rows"])
 
 
+def join_entities(df: DataFrame, entities: DataFrame, how: str = "inner") -> DataFrame:
+    """By `entity_id`, where a missing entity is one like any other."""
+    right = entities.withColumnRenamed("entity_id", "_entity")
+    return df.join(right, F.col("entity_id").eqNullSafe(F.col("_entity")), how).drop("_entity")
+
+
 def with_first_seen(df: DataFrame) -> DataFrame:
     """Each row's entity minimum timestamp, by a join: a window on a hot entity is one task,
     a skewed join is split by AQE."""
-    return df.join(entity_first_seen(df).drop("rows"), "entity_id")
+    return join_entities(df, entity_first_seen(df).drop("rows"))
 
 
 def entity_sides(df: DataFrame, test_size: float) -> DataFrame:
@@ -46,20 +52,20 @@ def temporal_grouped_split(
     sides = entity_sides(df, test_size)
     test_entities = sides.where(F.col("side") == "test").select("entity_id")
     return (
-        df.join(test_entities, "entity_id", "left_anti"),
-        df.join(test_entities, "entity_id", "left_semi"),
+        join_entities(df, test_entities, "left_anti"),
+        join_entities(df, test_entities, "left_semi"),
     )
 
 
 def nested_sides(df: DataFrame, test_size: float, inner_size: float) -> DataFrame:
     """(entity_id, side) with the train side split again: fit, calibration, test."""
     outer = entity_sides(df, test_size)
-    train = df.join(outer.where("side = 'train'").select("entity_id"), "entity_id", "left_semi")
+    train = join_entities(df, outer.where("side = 'train'").select("entity_id"), "left_semi")
     inner = entity_sides(train, inner_size).select(
         "entity_id",
         F.when(F.col("side") == "train", "fit").otherwise("calibration").alias("inner_side"),
     )
-    return outer.join(inner, "entity_id", "left").select(
+    return join_entities(outer, inner, "left").select(
         "entity_id", F.coalesce("inner_side", "side").alias("side")
     )
 

@@ -8,13 +8,14 @@ the range order spreads what is left.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.ordered import scan
 from riskweave.options import VELOCITY_WINDOWS
+from riskweave.schema import NO_ENTITY
 
 STREAM_PREFIX = "f_vel_"
 ENTITY_PREFIX = "f_ent_"
@@ -129,11 +130,19 @@ def stream_velocity(
     return _features(df, windows, None, STREAM_PREFIX)
 
 
+def _with_named_entities(df: DataFrame, body: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`body` over rows whose missing entity has a name; the missing ones are null again after."""
+    named = df.withColumns(
+        {"_given": F.col("entity_id"), "entity_id": F.coalesce(F.col("entity_id").cast("string"), F.lit(NO_ENTITY))}
+    )
+    return body(named).withColumn("entity_id", F.col("_given")).drop("_given")
+
+
 def entity_velocity(
     df: DataFrame, windows: Mapping[str, int] = VELOCITY_WINDOWS
 ) -> DataFrame:
     """The same per `entity_id`, with fractional gaps."""
-    return _features(df, windows, "entity_id", ENTITY_PREFIX)
+    return _with_named_entities(df, lambda d: _features(d, windows, "entity_id", ENTITY_PREFIX))
 
 
 def entities_repeat(df: DataFrame) -> DataFrame:
@@ -160,11 +169,9 @@ def add_velocity(df: DataFrame, windows: Mapping[str, int] = VELOCITY_WINDOWS) -
 def daily_running_count(df: DataFrame) -> DataFrame:
     """`entity_daily_tx_count`: this entity's earlier transactions on the same calendar day."""
     keyed = df.withColumn("_day", F.to_date("timestamp"))
-    counted = scan(
+    counted = _with_named_entities(
         keyed.withColumn("_one", F.lit(1).cast("long")),
-        ["timestamp", "transaction_id"],
-        ["_one"],
-        within=["entity_id", "_day"],
+        lambda d: scan(d, ["timestamp", "transaction_id"], ["_one"], within=["entity_id", "_day"]),
     )
     return counted.withColumnRenamed("_one_before", "entity_daily_tx_count").drop(
         "_day", "_one", "_one_total"

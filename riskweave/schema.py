@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 CORE = ("transaction_id", "timestamp", "entity_id", "amount", "category", "is_fraud")
+# Fixed value: the text that stands for a missing entity.
+NO_ENTITY = "nan"
 FEATURE_PREFIX = "f_"
 TIME_FEATURES = ("hour_of_day", "day_of_week")
 

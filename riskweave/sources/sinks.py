@@ -19,9 +19,11 @@ def write_report(report: DataFrame, folder: str, name: str, source: str) -> None
     """A snapshot named after the data source, and the latest report beside it. The plan runs
     once: the second copy is read from the first."""
     snapshot = f"{folder}/{name}_{source}"
-    report.withColumn("data_source", F.lit(source)).write.mode("overwrite").json(snapshot)
-    spark = report.sparkSession
-    spark.read.json(snapshot).write.mode("overwrite").json(f"{folder}/{name}")
+    stamped = report.withColumn("data_source", F.lit(source))
+    keep = {"mode": "overwrite", "ignoreNullFields": False}  # a column of nulls is kept
+    stamped.write.json(snapshot, **keep)
+    again = report.sparkSession.read.schema(stamped.schema).json(snapshot)
+    again.write.json(f"{folder}/{name}", **keep)
 
 
 def score_export(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskweave.functions.scores import ratio
-from riskweave.operators.drift import bin_of, psi
+from riskweave.operators.drift import bin_of, known_double, psi
 
 
 def window_histograms(
@@ -19,8 +19,12 @@ def window_histograms(
     bins: int = 10,
 ) -> DataFrame:
     """(window_start, feature, n, known, b0..): counts per bin of the reference's edges."""
+    # a column that the stream lacks has no known value
     entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+        F.struct(
+            F.lit(c).alias("feature"),
+            (known_double(c) if c in stream.columns else F.lit(None).cast("double")).alias("value"),
+        )
         for c in columns
     ]
     long = (
