@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWN: set[str] = set()
 
 
 def build_session(
@@ -50,9 +53,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named or str(context.getCheckpointDir())
 
 
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    """Removes a session's own folder when the driver's Python ends, whatever storage it is in."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone by then
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(conf).delete(target, True)
+
+    atexit.register(drop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, visible to every executor."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, visible to every executor. All paths of a session
+    lie in one folder, which goes away with it."""
+    own = f"{shared_folder(spark).rstrip('/')}/riskweave-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        _drop_at_exit(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame) -> DataFrame:
