@@ -25,6 +25,7 @@ from riskweave.catalog.common import (
 )
 from riskweave.catalog.feature_queries import window_sql
 from riskweave.catalog.metric_queries import FOLD_ROWS_SQL
+from riskweave.catalog.policy_queries import COST_SCENARIOS
 from riskweave.catalog.split_queries import INNER_SQL
 from riskweave.functions.features import add_time_features, with_absent_inputs
 from riskweave.models import attribution, calibrate, detector, grid, registry
@@ -33,6 +34,8 @@ from riskweave.operators.drift import reference_stats
 from riskweave.operators.resample import paired_delta_bootstrap
 from riskweave.operators.splits import temporal_grouped_split
 from riskweave.options import Options
+from riskweave.plans.comparison import compare_variants
+from riskweave.plans.cost import priced_points
 from riskweave.plans.rolling_report import rolling_report
 from riskweave.plans.training import calibration_report, train_and_evaluate
 from riskweave.schema import numeric_columns
@@ -257,6 +260,49 @@ def model_grid(spark, folder):
     return results.select("feature_set", "variant", sound.alias("within"))
 
 
+FOUR = (
+    grid.Variant("three_rounds", "gbt", 3, 0.1),
+    grid.Variant("three_shallow", "gbt_shallow", 3, 0.1),
+    grid.Variant("line", "logreg", 3, 0.1),
+    grid.Variant("five_trees", "forest", 5, 0.1),
+)
+
+
+@query(
+    "m11_comparison_plan",
+    """SELECT s || '|' || v AS challenger, true AS holds, true AS bounded
+FROM (SELECT unnest(['base', 'base+velocity']) AS s)
+CROSS JOIN (SELECT unnest(['three_rounds', 'three_shallow', 'line', 'five_trees']) AS v)
+WHERE s || '|' || v <> 'base|three_rounds' AND (SELECT count(*) FROM events) > 0""",
+)
+def comparison_plan(spark, folder):
+    """Four variants on both feature sets, each against the incumbent on the same resamples."""
+    tx = events_tx(spark, folder)
+    out = compare_variants(tx, FOUR, {"1h": 3_600_000_000, "24h": 86_400_000_000}, FAST).deltas
+    d, lo, hi = F.col("delta"), F.col("ci_lower"), F.col("ci_upper")
+    return out.select(
+        "challenger",
+        ((lo <= d) & (d <= hi)).alias("holds"),
+        ((lo >= -1) & (hi <= 1)).alias("bounded"),
+    )
+
+
+@query(
+    "a5_priced_calibrated_scores",
+    f"""SELECT unnest({[s[0] for s in COST_SCENARIOS]!r}) AS scenario, true AS cheapest, true AS saves
+WHERE (SELECT count(*) FROM events) > 0""",
+)
+def priced_calibrated_scores(spark, folder):
+    """The cheapest point of each scenario, against every other point of its curve."""
+    found = priced_points(events_tx(spark, folder), COST_SCENARIOS, FAST)
+    low = found.curve.groupBy("scenario").agg(F.min("expected_cost").alias("low"))
+    return found.cheapest.join(low, "scenario").select(
+        "scenario",
+        (F.col("min_expected_cost") == F.col("low")).alias("cheapest"),
+        (F.col("savings_vs_full_automation") >= 0).alias("saves"),
+    )
+
+
 @query(
     "m12_booster_comparison",
     "SELECT true AS holds, true AS bounded WHERE (SELECT count(*) FROM events) > 0",

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from riskweave.functions.features import add_time_features
 from riskweave.models import calibrate, detector
 from riskweave.operators import ranking, resample, rolling, splits
-from riskweave.operators.reconcile import count_mismatches
+from riskweave.operators.reconcile import count_mismatches, require_equal
 from riskweave.options import OPERATING_THRESHOLD, Options
-from riskweave.session import freeze
+from riskweave.session import freeze, store
 
 
 @dataclass(frozen=True)
@@ -85,12 +85,15 @@ def calibration_by_fold(scores: DataFrame) -> DataFrame:
 def rolling_report(tx: DataFrame, options: Options = Options()) -> RollingReport:
     rows = add_time_features(tx)
     folds = splits.build_folds(rows, options.train_fractions, options.min_test_fraud)
+    audit = store(splits.leakage_audit(rows, folds), "audit")
+    # before any fit: a fold that leaks is an error, not a line in a report
+    require_equal(audit.where((F.col("straddling_rows") > 0) | F.col("train_seen_after_cut")), "leakage between folds")
     scores = fold_scores(rows, folds, options)
     pooled = rolling.with_pool(scores)
     return RollingReport(
         folds,
         scores,
-        splits.leakage_audit(rows, folds),
+        audit,
         rolling.fold_metrics(scores, calibrated="p_calibrated"),
         rolling.threshold_metrics(pooled, (0.5, OPERATING_THRESHOLD), ["fold"]),
         calibration_by_fold(pooled),
