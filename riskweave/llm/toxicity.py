@@ -26,6 +26,7 @@ from riskweave.session import store
 
 SAMPLE_ROWS = 20_000  # labelled rows to learn from, at most
 THRESHOLD = 0.3
+SUPPORT = 0.1  # what the second and third heaviest words count
 PREFIXES = range(3, 8)
 MEMO_ENTRIES = 400_000
 CHUNK = 1 << 20
@@ -232,7 +233,9 @@ class Reader:
 
 @dataclass
 class Scorer:
-    """Evidence of a text: the weights of its three heaviest words, summed."""
+    """Evidence of a text: the weight of its heaviest word, supported by those of two more.
+
+    One word can be enough, and several words of little weight do not add up to it."""
 
     reader: Reader
     weights: dict[str, float]
@@ -254,7 +257,8 @@ class Scorer:
                 if len(self.clean) >= MEMO_ENTRIES:
                     self.clean.clear()
                 self.clean.add(token)
-        return sum(sorted(heavy)[-3:])
+        top = sorted(heavy)[-3:]
+        return top[-1] + SUPPORT * sum(top[:-1]) if top else 0.0
 
 
 @dataclass
