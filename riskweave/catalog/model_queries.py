@@ -2,7 +2,7 @@
 
 SQL can't fit a model. It counts the rows and states what must hold of every score: `within`
 says that it is a probability, other flags compare scores with what SQL or a second path makes
-of them. Fits use few rounds: the number of rounds is an option, not the operator."""
+of them. Fits and intervals have the full budgets of `Options`."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ from riskweave.operators import velocity
 from riskweave.operators.drift import reference_stats
 from riskweave.operators.resample import paired_delta_bootstrap
 from riskweave.operators.splits import temporal_grouped_split
-from riskweave.options import Options
+from riskweave.options import VELOCITY_WINDOWS, Options
 from riskweave.plans.comparison import compare_variants
 from riskweave.plans.cost import priced_points
 from riskweave.plans.rolling_report import rolling_report
@@ -41,8 +41,7 @@ from riskweave.plans.training import calibration_report, train_and_evaluate
 from riskweave.schema import numeric_columns
 from riskweave.session import freeze, scratch_path
 
-ROUNDS = 5
-FAST = Options(rounds=ROUNDS, resamples=50)
+FULL = Options()
 
 
 TEST_ROWS_SQL = with_sql(EVENTS_SQL, SIDES_SQL) + """SELECT transaction_id, {} FROM tx
@@ -124,7 +123,7 @@ def velocity_inputs(spark, folder):
 def _fit_and_score(model: str):
     def run(spark, folder):
         train, test = sides(spark, folder)
-        fitted = detector.fit(train, model, FAST.seed, ROUNDS, FAST.learning_rate)
+        fitted = detector.fit(train, model, FULL.seed, FULL.rounds, FULL.learning_rate)
         return detector.scored_table(fitted, test).select("transaction_id", "y", within())
 
     return run
@@ -215,7 +214,7 @@ FROM tx JOIN sides ON tx.entity_id = sides.entity_id WHERE side <> 'fit' GROUP B
 )
 def calibration(spark, folder):
     """Sizes of the slices; a rising Platt map keeps average precision, a falling one need not."""
-    run = calibration_report(events_tx(spark, folder), FAST)
+    run = calibration_report(events_tx(spark, folder), FULL)
     rows = freeze(run.summary)
     raw = rows.where("scale = 'raw'").select("slice", F.col("average_precision").alias("raw_ap"))
     sound = F.col("brier").between(0, 1) & (F.col("score_min") >= 0) & (F.col("score_max") <= 1)
@@ -232,9 +231,10 @@ def _slices(tx):
     return grid.Slices(train, test, freeze(inner), freeze(validation))
 
 
-QUICK = (
-    grid.Variant("gbt_default", "gbt", 3, 0.1),
-    grid.Variant("gbt_shallow", "gbt_shallow", 3, 0.05),
+# the published budgets: 400 small steps for shallow trees
+PAIR = (
+    grid.Variant("gbt_default", "gbt", FULL.rounds, FULL.learning_rate),
+    grid.Variant("gbt_shallow", "gbt_shallow", 2 * FULL.rounds, FULL.learning_rate / 2),
 )
 
 
@@ -247,11 +247,11 @@ WHERE (SELECT count(*) FROM events) > 0""",
 )
 def model_grid(spark, folder):
     tx = freeze(add_time_features(events_tx(spark, folder)))
-    wide = freeze(velocity.stream_velocity(tx, {"1h": 3_600_000_000}))
+    wide = freeze(velocity.stream_velocity(tx, VELOCITY_WINDOWS))
     sets = {"base": _slices(tx), "base+velocity": _slices(wide)}
-    scores = freeze(grid.grid_scores(sets, QUICK, FAST.seed))
+    scores = freeze(grid.grid_scores(sets, PAIR, FULL.seed))
     results = grid.grid_results(scores)
-    chosen = grid.selection(results, QUICK, list(sets)).first()
+    chosen = grid.selection(results, PAIR, list(sets)).first()
     key = F.concat_ws("|", "feature_set", "variant")
     best = results.agg(F.max(F.round("validation_ap", 4))).scalar()
     selected = key == chosen["selected_by_validation"]
@@ -260,6 +260,7 @@ def model_grid(spark, folder):
     return results.select("feature_set", "variant", sound.alias("within"))
 
 
+# fits as short as the names say, which the SQL counterpart lists
 FOUR = (
     grid.Variant("three_rounds", "gbt", 3, 0.1),
     grid.Variant("three_shallow", "gbt_shallow", 3, 0.1),
@@ -278,7 +279,7 @@ WHERE s || '|' || v <> 'base|three_rounds' AND (SELECT count(*) FROM events) > 0
 def comparison_plan(spark, folder):
     """Four variants on both feature sets, each against the incumbent on the same resamples."""
     tx = events_tx(spark, folder)
-    out = compare_variants(tx, FOUR, {"1h": 3_600_000_000, "24h": 86_400_000_000}, FAST).deltas
+    out = compare_variants(tx, FOUR, VELOCITY_WINDOWS, FULL).deltas
     d, lo, hi = F.col("delta"), F.col("ci_lower"), F.col("ci_upper")
     return out.select(
         "challenger",
@@ -294,7 +295,7 @@ WHERE (SELECT count(*) FROM events) > 0""",
 )
 def priced_calibrated_scores(spark, folder):
     """The cheapest point of each scenario, against every other point of its curve."""
-    found = priced_points(events_tx(spark, folder), COST_SCENARIOS, FAST)
+    found = priced_points(events_tx(spark, folder), COST_SCENARIOS, FULL)
     low = found.curve.groupBy("scenario").agg(F.min("expected_cost").alias("low"))
     return found.cheapest.join(low, "scenario").select(
         "scenario",
@@ -309,11 +310,11 @@ def priced_calibrated_scores(spark, folder):
 )
 def booster_comparison(spark, folder):
     """Incumbent trees against the alternative ensemble, with the paired interval."""
-    variants = (grid.Variant("gbt", "gbt", 3, 0.1), grid.Variant("forest", "forest", 5, 0.1))
+    variants = [grid.Variant(m, m, FULL.rounds, FULL.learning_rate) for m in ("gbt", "forest")]
     sets = {"base": _slices(add_time_features(events_tx(spark, folder)))}
-    scores = freeze(grid.grid_scores(sets, variants, FAST.seed))
+    scores = freeze(grid.grid_scores(sets, variants, FULL.seed))
     pairs = grid.paired_scores(scores, "base|gbt", "base|forest")
-    out = paired_delta_bootstrap(pairs, Options().resamples, FAST.seed)
+    out = paired_delta_bootstrap(pairs, FULL.resamples, FULL.seed)
     d, lo, hi = F.col("delta"), F.col("ci_lower"), F.col("ci_upper")
     return out.select(
         ((lo <= d) & (d <= hi)).alias("holds"), ((lo >= -1) & (hi <= 1)).alias("bounded")
@@ -322,7 +323,7 @@ def booster_comparison(spark, folder):
 
 def _explained(spark, folder):
     train, test = sides(spark, folder)
-    model = detector.fit(train, "gbt_shallow", FAST.seed, 3, 0.1)
+    model = detector.fit(train, "gbt_shallow", FULL.seed, FULL.rounds, FULL.learning_rate)
     return model, attribution.contributions(model, test)
 
 
@@ -333,7 +334,7 @@ WHERE (SELECT count(*) FROM events) > 0""",
 )
 def attribution_ranking(spark, folder):
     train, test = sides(spark, folder)
-    model = detector.fit(train, "gbt_shallow", FAST.seed, 3, 0.1)
+    model = detector.fit(train, "gbt_shallow", FULL.seed, FULL.rounds, FULL.learning_rate)
     names = attribution.feature_labels(model.transform(test))
     top = attribution.attribution_ranking(attribution.contributions(model, test), names)
     ahead = F.lag("mean_abs").over(Window.partitionBy("scope").orderBy("rank"))
@@ -377,7 +378,7 @@ def saved_bundle(spark, folder):
 def round_trip(spark, folder):
     train, test = sides(spark, folder)
     out = scratch_path(spark, "bundle")
-    model = detector.fit(train, "gbt_shallow", FAST.seed, 3, 0.1)
+    model = detector.fit(train, "gbt_shallow", FULL.seed, FULL.rounds, FULL.learning_rate)
     detector.save_bundle(model, reference_stats(train, ["amount"]), out)
     again, _ = detector.load_bundle(spark, out)
     moved = detector.rescored_rows(model, again, test)
@@ -398,7 +399,7 @@ FROM c""",
 )
 def training(spark, folder):
     """Sizes and rates of the split, and whether the metrics of the fit are shares."""
-    out = train_and_evaluate(events_tx(spark, folder), FAST).headline
+    out = train_and_evaluate(events_tx(spark, folder), FULL).headline
     sound = F.lit(True)
     for name in ("accuracy", "recall", "average_precision", "roc_auc"):
         sound = sound & F.col(name).between(0, 1)
@@ -415,7 +416,7 @@ def training(spark, folder):
 )
 def rolling_origin(spark, folder):
     """Sizes of the folds and the pool; every metric is a share, every fold has its interval."""
-    report = rolling_report(events_tx(spark, folder), Options(model="logreg"))
+    report = rolling_report(events_tx(spark, folder), FULL)
     ap = report.intervals.where("metric = 'average_precision'").select("fold", "ci_lower", "ci_upper")
     rows = report.metrics.join(report.calibration, "fold").join(ap, "fold")
     sound = F.col("average_precision").between(F.col("ci_lower"), F.col("ci_upper"))
