@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is padded to a power of two and turned by fast pseudo-rotations: random signs and a
-Hadamard transform, three times. Each half of the turned vector hashes to its largest signed
-axis, and the pair is the cell of a table. A query looks up the cells of lowest cost, its own
+Hadamard transform, three times. Of the turned vector at most HASH_WIDTH components count, so
+that the number of cells does not grow with the dimension. Each half of them hashes to its
+largest signed axis, and the pair is the cell of a table. A query looks up the cells of lowest cost, its own
 first. Rows of a table are dealt by the first axis and checked for the second one where they
 meet; candidates are reranked by their exact cosine in the same place, so no candidate pairs
 are written down.
 
 Every row is in every table. Buckets of any size are split into blocks of a bounded number of
-rows, and all of them are searched.
+rows, and all of them are searched. Queries for which the cells hold fewer rows than wanted are
+compared with all rows of their length.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from riskweave.llm.vectors import (
 from riskweave.session import store
 
 TABLES = 16
-PROBES = 160  # of the cells of a table, for each query
+PROBES = 160  # of the cells of a table, for each query; more where vectors are wider than the hash
 NEIGHBOURS = 5
+HASH_WIDTH = 64
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 4096
 SEED = 42
@@ -58,7 +61,7 @@ def padded(dim: int) -> int:
 
 
 def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
-    """Unit vectors, padded and turned by the rotation of a table."""
+    """The components that count of unit vectors, padded and turned by the rotation of a table."""
     width = padded(x.shape[1])
     signs = np.random.default_rng([seed, table, width]).choice([-1.0, 1.0], (3, width))
     y = np.zeros((len(x), width))
@@ -67,7 +70,7 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     for s in signs:
         y = hadamard(y * s)
-    return y
+    return y[:, :HASH_WIDTH]
 
 
 def _axes(half: np.ndarray) -> np.ndarray:
@@ -96,6 +99,11 @@ def probes(y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order // b.shape[1], order % b.shape[1]
 
 
+def probes_for(dim: int, count: int) -> int:
+    """Twice as many at 128 components, five times at 768: the hash says less of wide vectors."""
+    return count * max(1, (padded(dim) // (HASH_WIDTH // 2)).bit_length() - 1)
+
+
 def _by_dim(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
     for dim, rows in batch.groupby("dim"):
         yield int(dim), rows, matrix(rows["vec"])
@@ -129,7 +137,7 @@ def probed(queries: DataFrame, tables: int, count: int, seed: int) -> DataFrame:
                     out = []
                     for a in range(0, len(x), _SLICE):
                         part = rows.iloc[a : a + _SLICE]
-                        first, second = probes(rotated(x[a : a + _SLICE], t, seed), count)
+                        first, second = probes(rotated(x[a : a + _SLICE], t, seed), probes_for(dim, count))
                         for f, s, i, v in zip(first, second, part["id"], part["vec"]):
                             out += [(dim, t, int(c), s[f == c].astype("<i4").tobytes(), i, v) for c in np.unique(f)]
                     yield pd.DataFrame(out, columns=["dim", "tab", "cell", "seconds", "id", "vec"])
@@ -151,7 +159,7 @@ def nearest_in_cell(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
         x, ids = matrix(vectors["vec"]), vectors["id"].to_numpy()
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         second = vectors["second"].to_numpy()
-        wide, deep = 2 * padded(x.shape[1]), rows_for(k, ids)
+        wide, deep = 2 * min(padded(x.shape[1]), HASH_WIDTH), rows_for(k, ids)
         for a in range(0, len(queries), _SLICE):
             part = queries.iloc[a : a + _SLICE]
             q, own = matrix(part["vec"]), part["id"].to_numpy()
@@ -178,7 +186,8 @@ def nearest_neighbours(
     count: int = PROBES,
     seed: int = SEED,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k rows of largest cosine found for each query.
+    """(query_id, rank, vec_id, score): k rows of largest cosine found for each query, or all
+    that there are.
 
     A query does not find rows with its own id. Ties go to the smaller id. Rows with a null id
     and vectors that are null, empty, zero or hold a null or non-finite component take no part;
@@ -187,34 +196,71 @@ def nearest_neighbours(
     """
     base = store(packed_vectors(vectors, id_column, vector_column, False), "vectors")
     asked = store(packed_vectors(queries, id_column, vector_column, False).dropDuplicates(), "queries")
-    key = ["dim", "tab", "cell"]
     look = store(probed(asked, tables, count, seed), "probes")
     # at most a row for each table and first axis, for each length of vectors
-    sizes = indexed(base, tables, seed, False).groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    asks = look.groupBy(*key).agg(F.count(F.lit(1)).alias("asks"))
+    sizes = indexed(base, tables, seed, False).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("rows"))
+    found = store(ranked(_met(indexed(base, tables, seed, True), sizes, look, k), k), "found")
+    short = short_queries(base, asked, found, k)
+    if short.isEmpty():
+        return found
+    # a query's other vectors are in `found` or in the pass over all rows
+    rest = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return rest.unionByName(ranked(_all_met(base, short, k), k))
+
+
+_CELL = ["dim", "tab", "cell"]
+
+
+def _met(rows: DataFrame, sizes: DataFrame, look: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest rows of each block of a cell for the queries there."""
+    asks = look.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("asks"))
     blocks = store(
-        sizes.join(asks, key).select(
-            *key,
+        sizes.join(asks, _CELL).select(
+            *_CELL,
             blocks_for(F.col("rows"), VECTOR_BLOCK).alias("parts"),
             blocks_for(F.col("asks"), QUERY_BLOCK).alias("turns"),
         ),
         "blocks",
     )
     bounded = F.broadcast(blocks)
-    dealt = indexed(base, tables, seed, True).join(bounded, key).select(
-        *key, block_of(F.col("id"), F.col("parts")).alias("part"), every_block(F.col("turns")).alias("turn"),
+    dealt = rows.join(bounded, _CELL).select(
+        *_CELL, block_of(F.col("id"), F.col("parts")).alias("part"), every_block(F.col("turns")).alias("turn"),
         "second", "id", "vec",
     )
-    asking = look.join(bounded, key).select(
-        *key, every_block(F.col("parts")).alias("part"), block_of(F.col("id"), F.col("turns")).alias("turn"),
+    asking = look.join(bounded, _CELL).select(
+        *_CELL, every_block(F.col("parts")).alias("part"), block_of(F.col("id"), F.col("turns")).alias("turn"),
         "seconds", "id", "vec",
     )
-    group = [*key, "part", "turn"]
-    found = (
+    group = [*_CELL, "part", "turn"]
+    return (
         dealt.groupBy(*group)
         .cogroup(asking.groupBy(*group))
         .applyInPandas(
             lambda v, q: nearest_in_cell(v, q, k), "query_id long, vec_id long, score double"
         )
     )
-    return ranked(found, k)
+
+
+def short_queries(base: DataFrame, asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The vectors (id, dim, vec) of the queries with fewer than `k` rows found, though there may
+    be more: ids are counted once for each length of a query's vectors."""
+    counts = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"))
+    few = asked.join(counts, "id", "left").where(F.coalesce("have", F.lit(0)) < k)
+    ids = base.select("dim", "id").distinct()
+    # a row for each length of vectors
+    there = ids.groupBy("dim").agg(F.count(F.lit(1)).alias("ids"))
+    own = ids.withColumn("own", F.lit(1))
+    each = few.select("id", "dim", "have").distinct().join(F.broadcast(there), "dim").join(own, ["dim", "id"], "left")
+    most = each.groupBy("id").agg(
+        F.sum(F.col("ids") - F.coalesce("own", F.lit(0))).alias("most"), F.first("have").alias("have")
+    )
+    more = most.where(F.coalesce("have", F.lit(0)) < F.col("most")).select("id")
+    return store(few.join(more, "id", "left_semi").select("id", "dim", "vec"), "short")
+
+
+def _all_met(base: DataFrame, short: DataFrame, k: int) -> DataFrame:
+    """The nearest among all rows of a query's length: one cell for each length."""
+    none = {"tab": F.lit(0), "cell": F.lit(0)}
+    rows = base.withColumns(none | {"second": F.lit(0)})
+    sizes = rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("rows"))
+    return _met(rows, sizes, short.withColumns(none | {"seconds": F.unhex(F.lit("00000000"))}), k)

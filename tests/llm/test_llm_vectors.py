@@ -134,3 +134,35 @@ def test_recall(spark):
     got = rows_of(ann.nearest_neighbours(df, df.where("vec_id % 50 = 0")))
     hits = sum(len(true[q] & {i for i, _ in got[q]}) for q in true)
     assert hits >= 0.9 * 5 * len(true)
+
+
+@pytest.mark.parametrize("count, dim", [(3, 64), (10, 64), (20, 300)])
+def test_small_tables_are_found_whole(spark, count, dim):
+    """With the default parameters, all neighbours in tables smaller or little larger than k."""
+    rng = np.random.default_rng(count)
+    rows = [(i, rng.normal(size=dim).tolist(), 0) for i in range(count)] + [(100, [1.0, 2.0], 0), (101, [2.0, -1.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = rows_of(ann.nearest_neighbours(df, df))
+    for i in range(count):
+        assert len(got[i]) == min(5, count - 1)
+    assert [j for j, _ in got[100]] == [101] and [j for j, _ in got[101]] == [100]
+
+
+def test_wide_vectors_keep_their_recall():
+    """Probed cells hold the neighbours of clustered vectors of 768 dimensions."""
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(200, 768))
+    x = centre[np.arange(2000) % 200] + 0.5 * rng.normal(size=(2000, 768))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[:20] @ unit.T
+    near[np.arange(20), np.arange(20)] = -2
+    true = np.argsort(-near, axis=1)[:, :5]
+    hit = np.zeros(true.shape, bool)
+    for t in range(ann.TABLES):
+        y = ann.rotated(x, t)
+        first, second = ann.cells(y)
+        a, b = ann.probes(y[:20], ann.PROBES)
+        for q in range(20):
+            looked = set(zip(a[q], b[q]))
+            hit[q] |= [(first[j], second[j]) in looked for j in true[q]]
+    assert hit.mean() >= 0.9
