@@ -29,6 +29,7 @@ THRESHOLD = 0.3
 SUPPORT = 0.1  # what the second and third heaviest words count
 PREFIXES = range(3, 8)
 MEMO_ENTRIES = 400_000
+RUN_MEMO = 64  # characters of a remembered run
 CHUNK = 1 << 20
 
 # Character classes: 0 is everything that ends a word, then a-z, then the lower-case letters of
@@ -54,13 +55,12 @@ _WIDE = re.compile("[\u00ad\u0100-\U0010ffff]")
 _SIGNS = re.escape("".join(LOOK_ALIKES)) + re.escape(_ANY)
 _WORD = "a-zß-öø-ÿ"
 _TOKEN = re.compile(f"[{_WORD}{_SIGNS}]+")
-_SPACED = re.compile(
-    rf"(?<![{_WORD}{_SIGNS}])[{_WORD}{_SIGNS}](?:[ ._\-~][{_WORD}{_SIGNS}]){{3,}}(?![{_WORD}{_SIGNS}])"
-)
 _PLAIN = re.compile(f"[{_WORD}]+")
 _LETTER = re.compile(f"[{_WORD}]")
-_DRAWN = re.compile(r"(.)\1\1")
-_SINGLES = frozenset(_LETTERS) | frozenset(LOOK_ALIKES)
+_DRAWN = re.compile(r"(.)\1")
+_ENDS = "!|+" + _ANY  # signs that may also be marks behind a word
+_GROUP = 2  # letters in a group of a spaced-out word, at most
+_SPACED_LETTERS = 3  # letters in a spaced-out word, at least
 
 # Log probabilities of the channel.
 _LOOK, _MASK, _DROP, _KEEP, _NOISE, _SILENT, _REPEAT = (
@@ -189,11 +189,31 @@ def disguised(token: str) -> bool:
     return _LETTER.search(token) is not None
 
 
+def spaced_out(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of short tokens that can be a word spelt out, whatever separates
+    them. A token counts without the marks at its end."""
+    start = None
+    for at, token in enumerate([*tokens, "." * (_GROUP + 1)]):
+        if len(token) <= _GROUP or len(token.rstrip(_ENDS)) <= _GROUP:
+            start = at if start is None else start
+        elif start is not None:
+            run, first, start = tokens[start:at], start, None
+            letters = sum(len(t) for t in run)
+            if len(run) > 1 and letters >= _SPACED_LETTERS and _LETTER.search("".join(run)):
+                yield first, at
+
+
 def restore(text: str | None, model: list[float]) -> str:
     """The words of a text, disguised ones as decoded, in order."""
-    low = fold(text)
-    low = _SPACED.sub(lambda m: decode(m.group(), model), low)
-    return " ".join(decode(t, model) if disguised(t) else t for t in _TOKEN.findall(low))
+    tokens, words, done = _TOKEN.findall(fold(text)), [], 0
+
+    def plain(part: list[str]) -> list[str]:
+        return [decode(t, model) if disguised(t) else t for t in part]
+
+    for start, end in spaced_out(tokens):
+        words += [*plain(tokens[done:start]), decode(" ".join(tokens[start:end]), model)]
+        done = end
+    return " ".join(words + plain(tokens[done:]))
 
 
 def word_features(word: str) -> list[str]:
@@ -214,16 +234,29 @@ class Reader:
         if found is None:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
-            found = self.memo[token] = _PLAIN.findall(decode(token, self.model))
+            found = _PLAIN.findall(decode(token, self.model))
+            if _PLAIN.fullmatch(token) and token not in found:
+                found.append(token)  # doubled letters are mostly meant
+            self.memo[token] = found
+        return found
+
+    def spelt(self, run: str) -> list[str]:
+        """Words of a spaced-out run; long runs hardly come twice and are not remembered."""
+        found = self.memo.get(run)
+        if found is None:
+            found = decode(run, self.model).split()
+            if len(run) <= RUN_MEMO:
+                if len(self.memo) >= MEMO_ENTRIES:
+                    self.memo.clear()
+                self.memo[run] = found
         return found
 
     def tokens(self, text: str | None) -> set[str]:
         """Distinct tokens, decoded runs of spaced-out letters among them."""
-        low = fold(text)
-        found = set(_TOKEN.findall(low))
-        if len(_SINGLES & found) >= 2:
-            for run in _SPACED.findall(low):
-                found.update(decode(run, self.model).split())
+        tokens = _TOKEN.findall(fold(text))
+        found = set(tokens)
+        for start, end in spaced_out(tokens):
+            found.update(self.spelt(" ".join(tokens[start:end])))
         return found
 
     def features(self, text: str | None) -> set[str]:

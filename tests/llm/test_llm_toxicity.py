@@ -114,3 +114,19 @@ def test_edge_rows(spark, corpus):
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.score_documents(empty_documents(spark), labels).count() == 0
     assert toxicity.with_scores(docs, toxicity.fit(docs, none), "text", "score").columns.count("score") == 1
+
+
+def test_any_spacing_and_repetition_is_decoded():
+    bad = ["moron", "idiot", "scum"]
+    model = toxicity.language_model(toxicity.trigram_counts([" ".join(PLAIN + bad)] * 20)).ravel().tolist()
+    reader = toxicity.Reader(model)
+
+    def words(text):
+        return {w for t in reader.tokens(text) for w in reader.words(t)}
+
+    for text in ["i  d  i  o  t", "i, d, i, o, t", "i/d/i/o/t", "i\nd\ni\no\nt", "id io t", "iddiot", "iidiioott", "i d i o t!!!"]:
+        assert "idiot" in words(f"walking under {text}"), text
+        assert toxicity.restore(f"walking under {text}", model) == "walking under idiot", text
+    assert "moron" in words("mooron") and "scum" in words("s c u m!")
+    assert "letter" in words("green letter")
+    assert toxicity.restore("1 2 3 and 40 50", model) == "1 2 3 and 40 50"
