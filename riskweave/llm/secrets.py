@@ -62,7 +62,8 @@ MORE_RULES = (
     ),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", contains=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", contains=("xox",)),
-    Rule("url", r"://[^\s:/@]{1,256}:[^\s/@]{1,256}@", contains=("://",)),
+    # a run holds no "/", so none is read again from a later "://"
+    Rule("url", r"://[^\s:/@]+:[^\s/@]+@", version=2, contains=("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
 MARK = "[SECRET]"

@@ -86,3 +86,12 @@ def test_redaction_and_edge_rows(spark):
     assert secrets.redact(overlapping).first().text == "x [SECRET] y"
     assert secrets.report(empty_documents(spark)).count() == 0
     assert secrets.redact(empty_documents(spark)).count() == 0
+
+
+def test_long_passwords_in_urls(spark):
+    """Also where a run without an end is as long as a text."""
+    rows = [(1, "see http://user:" + "Zx-" * 200 + "@host"), (2, "http://" + "u" * 300 + ":pw@host")]
+    rows.append((3, "http://" + "z" * 200_000 + " ://b:" + "y:" * 100_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean == {1: "see http[SECRET]host", 2: "http[SECRET]host", 3: rows[2][1]}
