@@ -12,7 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import ann, bpe, packing, pii, secrets, sharding, simhash, topk, toxicity, warc
+from riskweave.llm import (
+    alignment,
+    ann,
+    bpe,
+    codes,
+    mixing,
+    packing,
+    pii,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,6 +177,65 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compressed(table(spark, folder, "embeddings")).drop("label")
+
+
+def _op12_sql() -> str:
+    """Rounds of assignment and replacement, one after the other, in plain integer SQL."""
+    distance = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = """WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (
+  SELECT vec_id, label, j, q[j * (len(q) // 8) + 1 : (j + 1) * (len(q) // 8)] AS v FROM k, range(8) r(j)
+),
+b0 AS MATERIALIZED (
+  SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, v FROM p
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)
+)"""
+    for n in range(6):
+        parts += f""",
+a{n} AS MATERIALIZED (
+  SELECT p.j, p.v, arg_min(b.e, struct_pack(d := {distance}, e := b.e)) AS e
+  FROM p JOIN b{n} b ON p.j = b.j GROUP BY p.vec_id, p.j, p.v
+),
+m{n} AS MATERIALIZED (
+  SELECT j, e, list(f ORDER BY i) AS v FROM (
+    SELECT j, e, i, CAST(floor(sum(v[i])::DOUBLE / count(*)) AS BIGINT) AS f
+    FROM (SELECT j, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{n}) GROUP BY j, e, i) GROUP BY j, e
+),
+b{n + 1} AS MATERIALIZED (
+  SELECT b.j, b.e, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} m ON b.j = m.j AND b.e = m.e
+)"""
+    return (
+        parts
+        + f""",
+f AS MATERIALIZED (
+  SELECT p.vec_id, any_value(p.label) AS label, p.j, min(struct_pack(d := {distance}, e := b.e)) AS z
+  FROM p JOIN b6 b ON p.j = b.j GROUP BY p.vec_id, p.j
+),
+c AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', z.e), '' ORDER BY j) AS code,
+    sum(z.d)::BIGINT AS error FROM f GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY j, e)) FROM b6) AS codebooks_sha256
+FROM c"""
+    )
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -174,6 +247,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
+    "op11_mixing": op11_mixing,
+    "op12_codes": op12_codes,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
@@ -181,4 +257,5 @@ LLM_SQL: dict[str, str] = {
     "op5_secrets": _op5_sql(),
     "op8_warc": OP8_SQL,
     "op9_sharding": OP9_SQL,
+    "op12_codes": _op12_sql(),
 }
