@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +35,15 @@ MEMO_ENTRIES = 400_000
 RUN_MEMO = 64  # characters of a remembered run
 CHUNK = 1 << 20
 
-# Character classes: 0 is everything that ends a word, then a-z, then the lower-case letters of
-# Latin-1, and last all other letters.
+MODEL_ROWS = 1 << 20  # trigrams that tasks are sent, the most frequent; the rest back off
+
+# The letters counted in a table of their own, as most texts have no others: a-z and the
+# lower-case letters of Latin-1. Class 0 is everything that ends a word.
 _LATIN = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
 _LETTERS = [chr(c) for c in range(97, 123)] + _LATIN
-OTHER = len(_LETTERS) + 1
-CLASSES = OTHER + 1
-_CLASS = {ch: i + 1 for i, ch in enumerate(_LETTERS)}
+_OTHER = len(_LETTERS) + 1  # any other letter, counted by its code point
+_CLASSES = _OTHER + 1
+_BITS = 21  # of a code point
 
 # Readings of look-alike signs.
 LOOK_ALIKES = {
@@ -46,86 +51,224 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e",
 }
 _ANY = "*#"
+# Letters that look like Latin ones; resolved only where a word mixes scripts.
 _HOMOGLYPHS = str.maketrans(
     {"\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0445": "x", "\u0443": "y",
      "\u0456": "i", "\u043a": "k", "\u043c": "m", "\u0442": "t", "\u0455": "s", "\u0458": "j", "\u0501": "d",
-     "\u00ad": None, "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None}
+     "\u03bf": "o", "\u03b1": "a", "\u03b9": "i", "\u03c1": "p", "\u03bd": "v", "\u03ba": "k"}
 )
+_INVISIBLE = {0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None}
 _WIDE = re.compile("[\u00ad\u0100-\U0010ffff]")
 _SIGNS = re.escape("".join(LOOK_ALIKES)) + re.escape(_ANY)
 _WORD = "a-zß-öø-ÿ"
 _TOKEN = re.compile(f"[{_WORD}{_SIGNS}]+")
 _PLAIN = re.compile(f"[{_WORD}]+")
 _LETTER = re.compile(f"[{_WORD}]")
+# the same for letters and marks of any script, for texts that have others than the above
+_TOKEN_ANY = regex.compile(rf"[\p{{L}}\p{{M}}{_SIGNS}]+")
+_PLAIN_ANY = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER_ANY = regex.compile(r"\p{L}")
+_MIXED = regex.compile(r"(?=.*\p{Latin})(?=.*[\p{Cyrillic}\p{Greek}])", regex.DOTALL)
+# scripts written without spaces: short runs of characters stand for words
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_GRAMS = (2, 3, 4)
 _DRAWN = re.compile(r"(.)\1")
 _ENDS = "!|+" + _ANY  # signs that may also be marks behind a word
 _GROUP = 2  # letters in a group of a spaced-out word, at most
 _SPACED_LETTERS = 3  # letters in a spaced-out word, at least
+_SOFT = "~"  # between groups of which one is as long as a short word
 
 # Log probabilities of the channel.
-_LOOK, _MASK, _DROP, _KEEP, _NOISE, _SILENT, _REPEAT = (
-    math.log(p) for p in (0.5, 0.02, 0.9, 0.1, 0.2, 0.0001, 0.3)
+_LOOK, _MASK, _DROP, _KEEP, _EVEN, _NOISE, _SILENT, _REPEAT = (
+    math.log(p) for p in (0.5, 0.02, 0.9, 0.1, 0.5, 0.2, 0.0001, 0.3)
 )
 
 
 def fold(text: str | None) -> str:
-    """Lower case, with look-alike letters of other scripts and invisible characters resolved."""
+    """Lower case; beyond Latin-1 also compatibility forms (full-width and mathematical letters,
+    accents on their own) in their plain form, and no invisible characters."""
     low = (text or "").lower()
-    return low.translate(_HOMOGLYPHS) if _WIDE.search(low) else low
+    if _WIDE.search(low):
+        low = unicodedata.normalize("NFKC", low.translate(_INVISIBLE)).lower()
+    return low
 
 
-def _class_table() -> np.ndarray:
-    """Class of each code point below 0x250, and of any other letter at 0x250."""
-    table = np.zeros(0x251, np.int32)
-    for cp in range(0x250):
-        ch = chr(cp)
-        table[cp] = _CLASS.get(ch, OTHER if ch.isalpha() else 0)
-    table[0x250] = OTHER
-    return table
+def is_wide(text: str) -> bool:
+    return _WIDE.search(text) is not None
 
 
-_TABLE = _class_table()
+def tokens_of(folded: str) -> list[str]:
+    """Runs of letters, marks and signs that can hide letters. Letters of other scripts that look
+    Latin become Latin inside words that mix scripts, and only there."""
+    if not is_wide(folded):
+        return _TOKEN.findall(folded)
+    found = _TOKEN_ANY.findall(folded)
+    return [t.translate(_HOMOGLYPHS) if not t.isascii() and _MIXED.match(t) else t for t in found]
 
 
-def trigram_counts(texts: Iterable[str | None]) -> np.ndarray:
-    """How often each class follows each pair of classes; texts start and end with a boundary."""
-    total = np.zeros(CLASSES**3, np.int64)
-    for text in texts:
+def is_plain(token: str) -> bool:
+    """Whether a token has letters and marks only."""
+    if _PLAIN.fullmatch(token):
+        return True
+    return not token.isascii() and _PLAIN_ANY.fullmatch(token) is not None
+
+
+def has_letter(token: str) -> bool:
+    if _LETTER.search(token):
+        return True
+    return not token.isascii() and _LETTER_ANY.search(token) is not None
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: the class, and the code point itself for letters and marks, else 0."""
+    points = np.zeros(0x110000, np.int64)
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    for run in _PLAIN_ANY.finditer(every):
+        a, b = ord(run[0][0]), ord(run[0][-1])
+        points[a : b + 1] = np.arange(a, b + 1)
+    points[0xD800:0xE000] = 0
+    classes = np.where(points > 0, _OTHER, 0).astype(np.int32)
+    for k, ch in enumerate(_LETTERS):
+        classes[ord(ch)] = k + 1
+    return classes, points
+
+
+_CLASS_POINTS = np.array([0] + [ord(c) for c in _LETTERS], np.int64)
+
+
+def packed(a, b, c):
+    """Three code points as one number."""
+    return (a << 2 * _BITS) | (b << _BITS) | c
+
+
+class GramCounts:
+    """How often each letter follows each two others, over all texts added. Code points are
+    counted as they are, none is folded into a class with others; 0 stands for all that is not a
+    letter, and for the ends of texts."""
+
+    def __init__(self) -> None:
+        self.dense = np.zeros(_CLASSES**3, np.int64)
+        self.wide: list[np.ndarray] = []
+        self.held = 0
+        self.sparse: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, text: str | None) -> None:
         low = fold(text)
+        classes, letters = _tables()
         for at in range(0, len(low), CHUNK):
             # two characters of context, and the closing boundary at the end
             part = low[max(0, at - 2) : at + CHUNK]
-            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes = _TABLE[np.minimum(points, 0x250)]
             head = [0, 0] if at == 0 else []
             tail = [0] if at + CHUNK >= len(low) else []
-            codes = np.concatenate([np.array(head, np.int32), codes, np.array(tail, np.int32)])
-            grams = (codes[:-2] * CLASSES + codes[1:-1]) * CLASSES + codes[2:]
-            total += np.bincount(grams, minlength=CLASSES**3)
-    return total
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.concatenate([np.array(head, np.uint32), points, np.array(tail, np.uint32)])
+            codes = classes[points]
+            grams = (codes[:-2] * _CLASSES + codes[1:-1]) * _CLASSES + codes[2:]
+            if int(codes.max(initial=0)) == _OTHER:
+                other = (codes[:-2] == _OTHER) | (codes[1:-1] == _OTHER) | (codes[2:] == _OTHER)
+                p = letters[points]
+                self.wide.append(packed(p[:-2], p[1:-1], p[2:])[other])
+                self.held += len(self.wide[-1])
+                grams = grams[~other]
+                if self.held > 1 << 22:
+                    self._merge()
+            self.dense += np.bincount(grams, minlength=_CLASSES**3)
+
+    def _merge(self) -> None:
+        keys = np.concatenate([self.sparse[0], *self.wide])
+        n = np.concatenate([self.sparse[1], np.ones(self.held, np.int64)])
+        kinds, place = np.unique(keys, return_inverse=True)
+        self.sparse = kinds, np.bincount(place, n, len(kinds)).astype(np.int64)
+        self.wide, self.held = [], 0
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(packed trigram, count) of all that occurred."""
+        self._merge()
+        k = np.flatnonzero(self.dense)
+        c = _CLASS_POINTS
+        own = packed(c[k // _CLASSES**2], c[k // _CLASSES % _CLASSES], c[k % _CLASSES])
+        return np.concatenate([own, self.sparse[0]]), np.concatenate([self.dense[k], self.sparse[1]])
+
+
+def trigram_counts(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    total = GramCounts()
+    for text in texts:
+        total.add(text)
+    return total.counted()
+
+
+class LanguageModel:
+    """Log probability of a letter after two others, discounted towards shorter contexts. A
+    trigram that is not held backs off to pairs and single letters."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.n = np.asarray(grams, np.int64)[order], np.asarray(n, np.float64)[order]
+        self._index()
+
+    def _index(self) -> None:
+        low = (1 << _BITS) - 1
+
+        def summed(keys, n):
+            kinds, place = np.unique(keys, return_inverse=True)
+            return dict(zip(kinds.tolist(), zip(np.bincount(place, n, len(kinds)).tolist(), np.bincount(place).tolist())))
+
+        self.after_two = summed(self.grams >> _BITS, self.n)
+        pairs, place = np.unique(self.grams & ((1 << 2 * _BITS) - 1), return_inverse=True)
+        pair_n = np.bincount(place, self.n, len(pairs))
+        self.pairs = dict(zip(pairs.tolist(), pair_n.tolist()))
+        self.after_one = summed(pairs >> _BITS, pair_n)
+        letters = summed(pairs & low, pair_n)
+        self.letters = {c: n for c, (n, _) in letters.items()}
+        self.total, self.kinds = float(pair_n.sum()), len(self.letters) + 1
+        self.memo: dict[int, float] = {}
+
+    def __getstate__(self):
+        return {"grams": self.grams, "n": self.n}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._index()
+
+    def log(self, a: int, b: int, c: int) -> float:
+        key = packed(a, b, c)
+        found = self.memo.get(key)
+        if found is None:
+            if len(self.memo) > MODEL_ROWS:
+                self.memo.clear()
+            found = self.memo[key] = math.log(self._chance(a, b, c, key))
+        return found
 
+    def _chance(self, a: int, b: int, c: int, key: int) -> float:
+        p = (self.letters.get(c, 0.0) + 1.0) / (self.total + self.kinds)
+        n, kinds = self.after_one.get(b, (0.0, 1))
+        p = (self.pairs.get((b << _BITS) | c, 0.0) + kinds * p) / (n + kinds)
+        n, kinds = self.after_two.get((a << _BITS) | b, (0.0, 1))
+        at = int(np.searchsorted(self.grams, key))
+        own = float(self.n[at]) if at < len(self.grams) and self.grams[at] == key else 0.0
+        return (own + kinds * p) / (n + kinds)
 
-def language_model(counts: np.ndarray) -> np.ndarray:
-    """Log probability of each class after two others, discounted towards shorter contexts."""
-    tri = counts.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
-    bi = tri.sum(axis=0)
-    uni = bi.sum(axis=0)
-    p1 = (uni + 1.0) / (uni.sum() + CLASSES)
+    def alphabet(self, like: str) -> str:
+        """Letters that a masked one may be: a-z beside Latin letters or none, else those that the
+        corpus has in the block of 256 code points of a letter beside it."""
+        for ch in like:
+            if ord(ch) > 0x24F and _LETTER_ANY.match(ch) and not _UNSPACED.match(ch):
+                block = ord(ch) >> 8
+                return "".join(sorted(chr(c) for c in self.letters if c >> 8 == block))
+        return "".join(_LETTERS[:26])
 
-    def mix(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        kinds = (table > 0).sum(axis=-1, keepdims=True)
-        n = table.sum(axis=-1, keepdims=True)
-        return (table + np.maximum(kinds, 1) * shorter) / (n + np.maximum(kinds, 1))
 
-    p2 = mix(bi, np.broadcast_to(p1, bi.shape))
-    return np.log(mix(tri, np.broadcast_to(p2, tri.shape)))
+def language_model(counts: tuple[np.ndarray, np.ndarray]) -> LanguageModel:
+    return LanguageModel(*counts)
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
+def _lattice(token: str, model: LanguageModel) -> list[list[tuple[str, float]]]:
     """Per run of equal characters: the readings, each with its channel log probability.
 
     A reading is the text it puts out; a space is a boundary.
     """
+    masked = model.alphabet(token) if any(c in token for c in _ANY) else ""
     steps: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(token):
@@ -134,10 +277,12 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             end += 1
         run = end - at
         at = end
-        if ch in " ._-~":
+        if ch == _SOFT:
+            steps.append([(" ", _EVEN), ("", _EVEN)])
+        elif ch in " ._-":
             steps.append([(" ", _KEEP), ("", _DROP)])
         elif ch in LOOK_ALIKES or ch in _ANY:
-            letters = LOOK_ALIKES.get(ch) or "".join(_LETTERS[:26])
+            letters = LOOK_ALIKES.get(ch) or masked
             cost = (_LOOK if ch in LOOK_ALIKES else _MASK) - math.log(len(letters)) * (ch in _ANY)
             # a reading of the whole run as one letter or as one for each sign, or as noise
             copies = {1, min(run, 2)} if ch in LOOK_ALIKES else {1}
@@ -152,20 +297,21 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def decode(token: str, model: list[float]) -> str:
-    """The likeliest reading of a folded token or spaced-out run; `model` is the flat log table."""
+def decode(token: str, model: LanguageModel) -> str:
+    """The likeliest reading of a folded token or spaced-out run."""
+    log = model.log
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
 
     def push(state, score, path, text):
         a, b = state
         for ch in text:
-            c = _CLASS.get(ch, 0)
+            c = 0 if ch == " " else ord(ch)
             if c or b:  # one boundary stands for many
-                score += model[(a * CLASSES + b) * CLASSES + c]
+                score += log(a, b, c)
                 a, b = b, c
         return (a, b), score, (path, text) if text else path
 
-    for readings in _lattice(token):
+    for readings in _lattice(token, model):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for state, (score, path) in states.items():
             for text, cost in readings:
@@ -184,9 +330,9 @@ def decode(token: str, model: list[float]) -> str:
 
 def disguised(token: str) -> bool:
     """Whether a token has letters and something that can hide others."""
-    if _PLAIN.fullmatch(token):
+    if is_plain(token):
         return _DRAWN.search(token) is not None
-    return _LETTER.search(token) is not None
+    return has_letter(token)
 
 
 def spaced_out(tokens: list[str]) -> Iterator[tuple[int, int]]:
@@ -199,23 +345,45 @@ def spaced_out(tokens: list[str]) -> Iterator[tuple[int, int]]:
         elif start is not None:
             run, first, start = tokens[start:at], start, None
             letters = sum(len(t) for t in run)
-            if len(run) > 1 and letters >= _SPACED_LETTERS and _LETTER.search("".join(run)):
+            if len(run) > 1 and letters >= _SPACED_LETTERS and has_letter("".join(run)):
                 yield first, at
 
 
-def restore(text: str | None, model: list[float]) -> str:
+def joined(run: list[str]) -> str:
+    """A spaced-out run. Single letters belong together more likely than not; beside a group
+    that could be a word of its own, the boundary is as likely as none."""
+    out = [run[0]]
+    for a, b in zip(run, run[1:]):
+        out += [" " if len(a) == len(b) == 1 else _SOFT, b]
+    return "".join(out)
+
+
+def restore(text: str | None, model: LanguageModel) -> str:
     """The words of a text, disguised ones as decoded, in order."""
-    tokens, words, done = _TOKEN.findall(fold(text)), [], 0
+    tokens, words, done = tokens_of(fold(text)), [], 0
 
     def plain(part: list[str]) -> list[str]:
         return [decode(t, model) if disguised(t) else t for t in part]
 
     for start, end in spaced_out(tokens):
-        words += [*plain(tokens[done:start]), decode(" ".join(tokens[start:end]), model)]
+        words += [*plain(tokens[done:start]), decode(joined(tokens[start:end]), model)]
         done = end
     return " ".join(words + plain(tokens[done:]))
 
 
+def words_of(decoded: str) -> list[str]:
+    """Words of a decoded token. Scripts without spaces give short runs of characters instead."""
+    if decoded.isascii():
+        return _PLAIN.findall(decoded)
+    out = []
+    for word in _PLAIN_ANY.findall(decoded):
+        if len(word) > 1 and _UNSPACED.search(word):
+            out += [word[i : i + k] for k in _GRAMS for i in range(len(word) - k + 1)]
+        else:
+            out.append(word)
+    return out
+
+
 def word_features(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:k] for k in PREFIXES if k <= len(word)]
 
@@ -224,19 +392,21 @@ def word_features(word: str) -> list[str]:
 class Reader:
     """Distinct restored words of texts. Readings of tokens are remembered up to a bound."""
 
-    model: list[float]
+    model: LanguageModel
     memo: dict[str, list[str]] = field(default_factory=dict)
 
     def words(self, token: str) -> list[str]:
         if not disguised(token):
-            return [token] if _LETTER.search(token) else []
+            if token.isascii():
+                return [token] if _LETTER.search(token) else []
+            return words_of(token)
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
-            found = _PLAIN.findall(decode(token, self.model))
-            if _PLAIN.fullmatch(token) and token not in found:
-                found.append(token)  # doubled letters are mostly meant
+            found = words_of(decode(token, self.model))
+            if is_plain(token):  # doubled letters are mostly meant
+                found += [w for w in words_of(token) if w not in found]
             self.memo[token] = found
         return found
 
@@ -253,10 +423,10 @@ class Reader:
 
     def tokens(self, text: str | None) -> set[str]:
         """Distinct tokens, decoded runs of spaced-out letters among them."""
-        tokens = _TOKEN.findall(fold(text))
+        tokens = tokens_of(fold(text))
         found = set(tokens)
         for start, end in spaced_out(tokens):
-            found.update(self.spelt(" ".join(tokens[start:end])))
+            found.update(self.spelt(joined(tokens[start:end])))
         return found
 
     def features(self, text: str | None) -> set[str]:
@@ -298,13 +468,13 @@ class Scorer:
 class ToxicityModel:
     """What tasks need to score: bounded by the number of classes and by the sample."""
 
-    log_table: np.ndarray
+    letters: LanguageModel
     weights: dict[str, float]
     bias: float
     slope: float
 
     def scorer(self) -> Scorer:
-        return Scorer(Reader(self.log_table.ravel().tolist()), self.weights)
+        return Scorer(Reader(self.letters), self.weights)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.bias + self.slope * evidence, -30, 30)))
@@ -314,30 +484,25 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _table(model: ToxicityModel | np.ndarray) -> list[float]:
-    return np.asarray(model).ravel().tolist()
-
-
 def corpus_trigrams(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(gram, n) over every text. Each task adds its texts up before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CLASSES**3, np.int64)
+        total = GramCounts()
         for batch in batches:
-            total += trigram_counts(batch["text"])
-        gram = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": gram, "n": total[gram]})
+            for text in batch["text"]:
+                total.add(text)
+        grams, n = total.counted()
+        yield pd.DataFrame({"gram": grams, "n": n})
 
     parts = docs.select(F.col(text_column).alias("text")).mapInPandas(count, "gram long, n long")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _collect_trigrams(docs: DataFrame, text_column: str) -> np.ndarray:
-    """At most one row for each of the possible trigrams reaches the driver."""
-    found = corpus_trigrams(docs, text_column).toPandas()
-    total = np.zeros(CLASSES**3, np.int64)
-    total[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return total
+def corpus_model(docs: DataFrame, text_column: str = "text", rows: int = MODEL_ROWS) -> LanguageModel:
+    """From the counts of all texts; the `rows` most frequent trigrams reach driver and tasks."""
+    found = corpus_trigrams(docs, text_column).orderBy(F.desc("n"), "gram").limit(rows).toPandas()
+    return LanguageModel(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
 
 def labelled_sample(
@@ -362,11 +527,12 @@ def labelled_sample(
     return joined.dropDuplicates(["_id"]).select("text", "toxic")
 
 
-def _feature_counts(sample: DataFrame, table: np.ndarray, wanted: set[str] | None) -> DataFrame:
+def _feature_counts(sample: DataFrame, letters: LanguageModel, wanted: set[str] | None) -> DataFrame:
     """(feature, n): in how many texts it stands; only `wanted` ones if given."""
+    shared = sample.sparkSession.sparkContext.broadcast(letters)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Reader(_table(table)), Counter()
+        reader, total = Reader(shared.value), Counter()
         for batch in batches:
             for text in batch["text"]:
                 found = reader.features(text)
@@ -430,7 +596,7 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
 ) -> ToxicityModel:
     """Language model of all of `docs`, weights and calibration of a bounded labelled sample."""
-    table = language_model(_collect_trigrams(docs, text_column))
+    letters = corpus_model(docs, text_column)
     sample = store(labelled_sample(docs, labels, id_column, text_column, sample_rows), "labelled")
     toxic_rows, clean_rows = sample.where("toxic = 1"), sample.where("toxic <> 1")
     sizes = {
@@ -442,14 +608,14 @@ def fit(
     (toxic, toxic_size), (clean, clean_size) = (sizes.get(k, (0, 0)) for k in (True, False))
     if not toxic or not clean:  # nothing to tell apart: every text gets the sample's share
         p = (toxic + 1) / (toxic + clean + 2) if toxic + clean else 0.0
-        return ToxicityModel(table, {}, math.log(p / (1 - p)) if p else -30.0, 0.0)
-    positive = _feature_counts(toxic_rows, table, None).where("n >= 3").toPandas()
+        return ToxicityModel(letters, {}, math.log(p / (1 - p)) if p else -30.0, 0.0)
+    positive = _feature_counts(toxic_rows, letters, None).where("n >= 3").toPandas()
     positive = dict(zip(positive["feature"], positive["n"].astype(int)))
-    negative = _feature_counts(clean_rows, table, set(positive)).toPandas()
+    negative = _feature_counts(clean_rows, letters, set(positive)).toPandas()
     negative = dict(zip(negative["feature"], negative["n"].astype(int)))
     share = min(0.9, (toxic_size or 0) / max(1, (toxic_size or 0) + (clean_size or 0)))
     weights = select_weights(positive, negative, toxic, clean, max(share, 1e-6))
-    model = ToxicityModel(table, weights, 0.0, 1.0)
+    model = ToxicityModel(letters, weights, 0.0, 1.0)
     seen = _with_evidence(sample, "text", model).select("_evidence", "toxic").toPandas()
     model.bias, model.slope = fit_logistic(
         seen["_evidence"].to_numpy(float), (seen["toxic"] == 1).to_numpy(float)
@@ -479,8 +645,9 @@ def with_scores(
 ) -> DataFrame:
     """`docs` with the score of each whole text in a column of that name.
 
-    Null and empty texts score as texts without evidence. Repeated rows score alike. Ids,
-    languages, sources and labels are not read.
+    Null and empty texts score as texts without evidence. Words of all scripts count, in scripts
+    without spaces runs of 2 to 4 characters. Repeated rows score alike. Ids, languages, sources
+    and labels are not read.
     """
     rows = _with_evidence(wrapped(docs, own_text=F.col(text_column)), "own_text", model)
     return unwrapped(rows, docs, **{name: _score(model)})
@@ -507,7 +674,8 @@ def score_documents(
 def keep_clean(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """`docs` without the texts whose score reaches the threshold; all columns stay."""
+    """`docs` without the texts whose score reaches the threshold; all columns stay. A text
+    without any evidence stays, also where labels are so few that it scores like the rest."""
     model = fit(docs, labels, id_column, text_column)
     rows = _with_evidence(wrapped(docs, own_text=F.col(text_column)), "own_text", model)
-    return unwrapped(rows.where(_score(model) < THRESHOLD), docs)
+    return unwrapped(rows.where((_score(model) < THRESHOLD) | (F.col("_evidence") <= 0)), docs)
