@@ -29,17 +29,18 @@ from riskweave.catalog.policy_queries import COST_SCENARIOS
 from riskweave.catalog.split_queries import INNER_SQL
 from riskweave.functions.features import add_time_features, with_absent_inputs
 from riskweave.models import attribution, calibrate, detector, grid, registry
+from riskweave.models.forest import probabilities, unpacked
 from riskweave.operators import velocity
 from riskweave.operators.drift import reference_stats
 from riskweave.operators.resample import paired_delta_bootstrap
 from riskweave.operators.splits import temporal_grouped_split
 from riskweave.options import VELOCITY_WINDOWS, Options
-from riskweave.plans.comparison import compare_variants
+from riskweave.plans.comparison import compare_variants, sliced, without_dead_columns
 from riskweave.plans.cost import priced_points
 from riskweave.plans.rolling_report import rolling_report
 from riskweave.plans.training import calibration_report, train_and_evaluate
 from riskweave.schema import numeric_columns
-from riskweave.session import freeze, scratch_path
+from riskweave.session import freeze, scratch_path, store
 
 FULL = Options()
 
@@ -224,34 +225,29 @@ def calibration(spark, folder):
     )
 
 
-def _slices(tx):
-    train, test = temporal_grouped_split(tx)
-    train, test = freeze(train), freeze(test)
-    inner, validation = temporal_grouped_split(train)
-    return grid.Slices(train, test, freeze(inner), freeze(validation))
-
-
-# the published budgets: 400 small steps for shallow trees
-PAIR = (
+# The published variants, the first of them the incumbent. The slow and the shallow
+# one take twice the rounds at half the step.
+FOUR = (
     grid.Variant("gbt_default", "gbt", FULL.rounds, FULL.learning_rate),
+    grid.Variant("gbt_slow", "gbt", 2 * FULL.rounds, FULL.learning_rate / 2),
     grid.Variant("gbt_shallow", "gbt_shallow", 2 * FULL.rounds, FULL.learning_rate / 2),
+    grid.Variant("gbt_deep", "gbt_deep", FULL.rounds, FULL.learning_rate),
 )
+GRID_SQL = f"""(SELECT unnest(['base', 'base+velocity']) AS feature_set)
+CROSS JOIN (SELECT unnest({[v.name for v in FOUR]!r}) AS variant)"""
 
 
 @query(
     "m11_model_grid",
-    """SELECT feature_set, variant, true AS within
-FROM (SELECT unnest(['base', 'base+velocity']) AS feature_set)
-CROSS JOIN (SELECT unnest(['gbt_default', 'gbt_shallow']) AS variant)
-WHERE (SELECT count(*) FROM events) > 0""",
+    f"SELECT feature_set, variant, true AS within FROM {GRID_SQL} WHERE (SELECT count(*) FROM events) > 0",
 )
 def model_grid(spark, folder):
-    tx = freeze(add_time_features(events_tx(spark, folder)))
-    wide = freeze(velocity.stream_velocity(tx, VELOCITY_WINDOWS))
-    sets = {"base": _slices(tx), "base+velocity": _slices(wide)}
-    scores = freeze(grid.grid_scores(sets, PAIR, FULL.seed))
-    results = grid.grid_results(scores)
-    chosen = grid.selection(results, PAIR, list(sets)).first()
+    """Four variants, with and without the velocity columns of stream and entities."""
+    tx = store(add_time_features(events_tx(spark, folder)))
+    wide, _ = without_dead_columns(sliced(velocity.add_velocity(tx, VELOCITY_WINDOWS), FULL))
+    sets = {"base": sliced(tx, FULL), "base+velocity": wide}
+    results = store(grid.grid_results(grid.grid_scores(sets, FOUR, FULL.seed)))
+    chosen = grid.selection(results, FOUR, list(sets)).first()
     key = F.concat_ws("|", "feature_set", "variant")
     best = results.agg(F.max(F.round("validation_ap", 4))).scalar()
     selected = key == chosen["selected_by_validation"]
@@ -260,21 +256,11 @@ def model_grid(spark, folder):
     return results.select("feature_set", "variant", sound.alias("within"))
 
 
-# fits as short as the names say, which the SQL counterpart lists
-FOUR = (
-    grid.Variant("three_rounds", "gbt", 3, 0.1),
-    grid.Variant("three_shallow", "gbt_shallow", 3, 0.1),
-    grid.Variant("line", "logreg", 3, 0.1),
-    grid.Variant("five_trees", "forest", 5, 0.1),
-)
-
-
 @query(
     "m11_comparison_plan",
-    """SELECT s || '|' || v AS challenger, true AS holds, true AS bounded
-FROM (SELECT unnest(['base', 'base+velocity']) AS s)
-CROSS JOIN (SELECT unnest(['three_rounds', 'three_shallow', 'line', 'five_trees']) AS v)
-WHERE s || '|' || v <> 'base|three_rounds' AND (SELECT count(*) FROM events) > 0""",
+    f"""SELECT feature_set || '|' || variant AS challenger, true AS holds, true AS bounded
+FROM {GRID_SQL}
+WHERE feature_set || '|' || variant <> 'base|gbt_default' AND (SELECT count(*) FROM events) > 0""",
 )
 def comparison_plan(spark, folder):
     """Four variants on both feature sets, each against the incumbent on the same resamples."""
@@ -311,8 +297,8 @@ def priced_calibrated_scores(spark, folder):
 def booster_comparison(spark, folder):
     """Incumbent trees against the alternative ensemble, with the paired interval."""
     variants = [grid.Variant(m, m, FULL.rounds, FULL.learning_rate) for m in ("gbt", "forest")]
-    sets = {"base": _slices(add_time_features(events_tx(spark, folder)))}
-    scores = freeze(grid.grid_scores(sets, variants, FULL.seed))
+    sets = {"base": sliced(add_time_features(events_tx(spark, folder)), FULL)}
+    scores = grid.grid_scores(sets, variants, FULL.seed)
     pairs = grid.paired_scores(scores, "base|gbt", "base|forest")
     out = paired_delta_bootstrap(pairs, FULL.resamples, FULL.seed)
     d, lo, hi = F.col("delta"), F.col("ci_lower"), F.col("ci_upper")
@@ -323,7 +309,7 @@ def booster_comparison(spark, folder):
 
 def _explained(spark, folder):
     train, test = sides(spark, folder)
-    model = detector.fit(train, "gbt_shallow", FULL.seed, FULL.rounds, FULL.learning_rate)
+    model = detector.fit(train, "gbt", FULL.seed, FULL.rounds, FULL.learning_rate)
     return model, attribution.contributions(model, test)
 
 
@@ -334,7 +320,7 @@ WHERE (SELECT count(*) FROM events) > 0""",
 )
 def attribution_ranking(spark, folder):
     train, test = sides(spark, folder)
-    model = detector.fit(train, "gbt_shallow", FULL.seed, FULL.rounds, FULL.learning_rate)
+    model = detector.fit(train, "gbt", FULL.seed, FULL.rounds, FULL.learning_rate)
     names = attribution.feature_labels(model.transform(test))
     top = attribution.attribution_ranking(attribution.contributions(model, test), names)
     ahead = F.lag("mean_abs").over(Window.partitionBy("scope").orderBy("rank"))
@@ -428,14 +414,18 @@ def rolling_origin(spark, folder):
 
 @query(
     "u1_interchangeable_scorers",
-    "SELECT CAST(0 AS BIGINT) AS rows_scored_differently WHERE (SELECT count(*) FROM events) > 0",
+    """SELECT unnest(['gbt', 'logreg']) AS model, CAST(0 AS BIGINT) AS rows_scored_differently
+WHERE (SELECT count(*) FROM events) > 0""",
 )
 def interchangeable_scorers(spark, folder):
-    """The fitted pipeline against the same linear model as a vectorised Python function."""
+    """The fitted pipelines against the same models as plain Python functions: a linear model by
+    its weights, trees walked node by node."""
     train, test = sides(spark, folder)
-    model = detector.fit(train, "logreg")
-    linear = model.stages[-1]
+    settings = [("gbt", FULL.rounds, FULL.learning_rate), ("logreg", FULL.rounds, FULL.learning_rate)]
+    trees, line = detector.fit_all(train, settings, FULL.seed)
+    linear = line.stages[-1]
     weights, intercept = linear.coefficients.toArray(), float(linear.intercept)
+    packed = trees.stages[-1].getOrDefault("forest")
 
     @F.pandas_udf("double")
     def by_hand(x: pd.Series) -> pd.Series:
@@ -444,11 +434,22 @@ def interchangeable_scorers(spark, folder):
         margin = np.stack(x.to_numpy()) @ weights + intercept
         return pd.Series(1 / (1 + np.exp(-margin)))
 
-    ready = with_absent_inputs(test, detector.expected_inputs(model))
-    both = model.transform(ready).select(
-        vector_to_array("probability")[1].alias("p"),
-        by_hand(vector_to_array("features")).alias("q"),
-    )
-    return both.agg(
-        F.count_if(F.abs(F.col("p") - F.col("q")) > 1e-12).alias("rows_scored_differently")
+    @F.pandas_udf("double")
+    def by_walking(x: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(probabilities(unpacked(packed).walked(np.stack(x.to_numpy()).astype(float))))
+
+    def differing(model, name, own, other):
+        ready = with_absent_inputs(test, detector.expected_inputs(model))
+        both = model.transform(ready).select(
+            own.alias("p"), other(vector_to_array("features")).alias("q")
+        )
+        far = F.coalesce(F.abs(F.col("p") - F.col("q")) > 1e-12, F.lit(True))
+        return both.agg(F.count_if(far).alias("rows_scored_differently")).select(
+            F.lit(name).alias("model"), "rows_scored_differently"
+        )
+
+    return differing(trees, "gbt", F.col("p"), by_walking).unionByName(
+        differing(line, "logreg", vector_to_array("probability")[1], by_hand)
     )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,7 +13,9 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.features import with_absent_inputs
 from riskweave.functions.scores import display_name
+from riskweave.models.boosting import BoosterModel
 from riskweave.models.detector import expected_inputs
+from riskweave.models.forest import Forest, unpacked
 
 
 def feature_labels(vectors: DataFrame) -> list[str]:
@@ -27,97 +27,97 @@ def feature_labels(vectors: DataFrame) -> list[str]:
     names = []
     for _, name in slots:
         block = "cat" if "_hot_" in name else "num"
-        names.append(f"{block}__{name.removesuffix('_filled').replace('_hot_', '_')}")
+        plain = name.removesuffix("_filled").removesuffix("_number")
+        names.append(f"{block}__{plain.replace('_hot_', '_')}")
     return names
 
 
-def split_test(split) -> float | tuple[float, ...]:
-    """What goes left: a threshold (up to it) or a set of categories."""
-    if split.getClass().getSimpleName() == "CategoricalSplit":
-        return tuple(float(c) for c in split.leftCategories())
-    return float(split.threshold())
+Step = tuple[int, float, bool, bool, float]  # feature, cut, missing goes left, went left, share
 
 
-def leaf_rules(tree) -> tuple[list[tuple[float, list[tuple]]], float]:
-    """(leaf value, [(feature, test, goes left, share of the parent's rows)]) per leaf, and the
-    tree's expected value. Only the model's own nodes pass through the driver."""
-    rules, base = [], 0.0
-    pending = [(tree._call_java("rootNode"), [], 1.0)]
+def leaf_paths(forest: Forest, tree: int) -> tuple[list[tuple[float, list[Step]]], float]:
+    """(value, steps from the root) of every leaf, and the tree's expected value. A step's share
+    is the part of the parent's train rows that took it."""
+    paths, expected = [], 0.0
+    pending = [(int(forest.start[tree]), [], 1.0)]
     while pending:
-        node, path, share = pending.pop()
-        if node.subtreeDepth() == 0:
-            value = float(node.prediction())
-            rules.append((value, path))
-            base += share * value
+        node, steps, reach = pending.pop()
+        if forest.left[node] < 0:
+            value = float(forest.value[node])
+            paths.append((value, steps))
+            expected += reach * value
             continue
-        split, rows = node.split(), float(node.impurityStats().count())
-        feature, test = int(split.featureIndex()), split_test(split)
-        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-            part = float(child.impurityStats().count()) / rows
-            pending.append((child, [*path, (feature, test, left, part)], share * part))
-    return rules, base
+        test = int(forest.feature[node]), float(forest.cut[node]), bool(forest.missing_left[node])
+        for child, left in ((int(forest.left[node]), True), (int(forest.right[node]), False)):
+            share = float(forest.count[child]) / float(forest.count[node])
+            pending.append((child, [*steps, (*test, left, share)], reach * share))
+    return paths, expected
 
 
-def leaf_contributions(x: np.ndarray, value: float, path: Sequence[tuple]) -> dict:
-    """Shapley values of one leaf for all rows of x: a feature on the path either lets a row
-    through (0 or 1) or, when left out, passes the share of train rows that took this way."""
+def leaf_contributions(x: np.ndarray, value: float, steps: Sequence[Step]) -> dict[int, np.ndarray]:
+    """Shapley values of one leaf for all rows of x. A feature on the path lets a row through (1)
+    or not (0); left out, it passes the share of train rows that took this way.
+
+    The weighted sum over all subsets of the others is the integral over t in [0, 1] of the
+    product of share * (1 - t) + pass * t, a polynomial, which Gauss-Legendre nodes, half as many
+    as there are features, integrate exactly.
+    """
     passes: dict[int, np.ndarray] = {}
     shares: dict[int, float] = {}
-    for feature, test, left, part in path:
+    for feature, cut, missing_left, left, share in steps:
         column = x[:, feature]
-        goes_left = np.isin(column, test) if isinstance(test, tuple) else column <= test
-        took = goes_left == left
-        passes[feature] = passes.get(feature, True) & took
-        shares[feature] = shares.get(feature, 1.0) * part
+        took = np.where(np.isnan(column), missing_left, column <= cut) == left
+        passes[feature] = passes[feature] & took if feature in passes else took
+        shares[feature] = shares.get(feature, 1.0) * share
     features = list(passes)
     m = len(features)
-    out = {}
-    for i in features:
-        others = [f for f in features if f != i]
-        reach = np.zeros(len(x))
-        for size in range(m):
-            weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-            for known in combinations(others, size):
-                part = np.full(len(x), weight)
-                for f in others:
-                    part = part * (passes[f] if f in known else shares[f])
-                reach += part
-        out[i] = value * reach * (passes[i] - shares[i])
-    return out
+    if not m:
+        return {}
+    through = np.stack([passes[f] for f in features]).astype(np.float64)
+    share = np.array([shares[f] for f in features])[:, None]
+    reach = np.zeros_like(through)
+    nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    for t, weight in zip((nodes + 1) / 2, weights / 2):
+        factor = share * (1 - t) + through * t
+        ahead, behind = np.ones_like(factor), np.ones_like(factor)
+        np.cumprod(factor[:-1], axis=0, out=ahead[1:])
+        behind[:-1] = np.cumprod(factor[:0:-1], axis=0)[::-1]
+        reach += weight * ahead * behind
+    found = value * reach * (through - share)
+    return dict(zip(features, found))
 
 
 def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Every row with `contributions` (one per slot), `base` and `margin`, in log-odds. Rows stay
-    in their partitions; the forest's leaf rules travel with the tasks."""
+    in their partitions; the packed trees travel with the tasks."""
     classifier = model.stages[-1]
     ready = with_absent_inputs(df, expected_inputs(model))
     vectors = PipelineModel(model.stages[:-1]).transform(ready)
     kind = type(classifier).__name__
     if kind.startswith("LogisticRegression"):
         return _linear(classifier, vectors, df)
-    if not kind.startswith("GBT"):
+    if not isinstance(classifier, BoosterModel):
         raise ValueError(f"contributions need boosted trees or a linear model, not {kind}")
-    # probability = sigmoid(2 * margin) in Spark's boosted trees
-    scales = [2.0 * w for w in classifier.treeWeights]
-    trees = [leaf_rules(t) for t in classifier.trees]
-    base = float(sum(s * b for s, (_, b) in zip(scales, trees)))
-    raw = classifier.transform(vectors).select(
-        *df.columns,
-        vector_to_array("features").alias("x"),
-        (2 * vector_to_array("rawPrediction")[1]).alias("margin"),
+    packed = classifier.getOrDefault("forest")
+    raw = vectors.select(
+        *[F.col(f"`{c}`") for c in df.columns], vector_to_array("features").alias("x")
     )
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = unpacked(packed)
+        trees = [leaf_paths(forest, t) for t in range(forest.trees)]
+        base = forest.base + sum(expected for _, expected in trees)
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack(batch["x"].to_numpy())
+            x = np.stack(batch["x"].to_numpy()).astype(np.float64)
             total = np.zeros_like(x)
-            for scale, (rules, _) in zip(scales, trees):
-                for value, path in rules:
-                    for feature, part in leaf_contributions(x, value, path).items():
-                        total[:, feature] += scale * part
+            for paths, _ in trees:
+                for value, steps in paths:
+                    for feature, part in leaf_contributions(x, value, steps).items():
+                        total[:, feature] += part
             out = batch.drop(columns=["x"])
+            out["margin"] = forest.margins(x)
             out["contributions"] = list(total)
             out["base"] = base
             yield out

@@ -10,6 +10,7 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from riskweave.functions.features import class_weights, with_absent_inputs
 from riskweave.functions.scores import confidence, decide
 from riskweave.models import registry
+from riskweave.models.boosting import Booster, BoosterModel
 from riskweave.schema import numeric_columns
+from riskweave.session import side_by_side
 
 
 def usable_inputs(train: DataFrame) -> tuple[list[str], list[str]]:
@@ -30,16 +33,19 @@ def usable_inputs(train: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, ["category"] if "category" in wanted and known["category"] else []
 
 
-def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> list:
+def preprocessor(
+    numeric: Sequence[str], categorical: Sequence[str], filled_up: bool = True
+) -> list:
     """Stages from canonical columns to `features`: one-hot block first (an unseen category is
-    all zeros), then every number and a flag for its absence. Boosted trees in Spark take no
-    NaN, so a missing number is the train median plus its flag."""
+    all zeros), then every number. For models that take no NaN a missing number is filled up
+    with the train median (of Spark's Imputer, whose rank is right to 0.1 %), and a flag for its
+    absence comes behind; the others get NaN."""
     indexed = [f"{c}_index" for c in categorical]
     hot = [f"{c}_hot" for c in categorical]
-    filled = [f"{c}_filled" for c in numeric]
+    filled = [f"{c}_filled" if filled_up else f"{c}_number" for c in numeric]
     casts = ", ".join(
-        f"CAST(`{c}` AS DOUBLE) AS `{c}_number`, "
-        f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`"
+        f"CAST(`{c}` AS DOUBLE) AS `{c}_number`"
+        + (f", CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" if filled_up else "")
         for c in numeric
     )
     stages = [SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__")]
@@ -53,6 +59,11 @@ def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> list:
             ),
             OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         ]
+    if not filled_up:
+        assembled = VectorAssembler(
+            inputCols=[*hot, *filled], outputCol="features", handleInvalid="keep"
+        )
+        return [*stages, assembled]
     return [
         *stages,
         Imputer(
@@ -76,21 +87,42 @@ def fit(
     rounds: int = 200,
     learning_rate: float = 0.1,
 ) -> PipelineModel:
+    return fit_all(train, [(model, rounds, learning_rate)], seed)[0]
+
+
+def fit_all(
+    train: DataFrame, settings: Sequence[tuple[str, int, float]], seed: int = 42
+) -> list[PipelineModel]:
+    """A fit per (model, rounds, learning_rate) on the same rows, side by side. Rows are prepared
+    and coded once for all boosted trees."""
     numeric, categorical = usable_inputs(train)
-    classifier = registry.create(model, seed, rounds, learning_rate)
-    stages = [*preprocessor(numeric, categorical), classifier]
-    return Pipeline(stages=stages).fit(balanced(train))
+    rows = balanced(train)
+    classifiers = [registry.create(name, seed, rounds, rate) for name, rounds, rate in settings]
+    boosters = [c for c in classifiers if isinstance(c, Booster)]
+    if boosters:
+        ahead = Pipeline(stages=preprocessor(numeric, categorical, filled_up=False)).fit(rows)
+        coded = boosters[0].coded(ahead.transform(rows))
+
+    def one(classifier) -> PipelineModel:
+        if isinstance(classifier, Booster):
+            return PipelineModel([*ahead.stages, classifier.fitted(coded)])
+        return Pipeline(stages=[*preprocessor(numeric, categorical), classifier]).fit(rows)
+
+    return side_by_side(one, classifiers)
 
 
 def expected_inputs(model: PipelineModel) -> dict[str, str]:
     """Input names and types of a fitted pipeline, read from its stages."""
     out: dict[str, str] = {}
     for stage in model.stages:
-        name = type(stage).__name__
-        if name.startswith("StringIndexer"):
+        if isinstance(stage, StringIndexerModel):
             out.update({c: "string" for c in stage.getInputCols()})
-        elif name.startswith("Imputer"):
-            out.update({c.removesuffix("_number"): "double" for c in stage.getInputCols()})
+        elif isinstance(stage, VectorAssembler):
+            for c in stage.getInputCols():
+                for end in ("_filled", "_number"):
+                    if c.endswith(end):
+                        out[c.removesuffix(end)] = "double"
+                        break
     return out
 
 
@@ -98,7 +130,9 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds `p`, the probability of fraud. Inputs the frame lacks count as missing."""
     ready = with_absent_inputs(df, expected_inputs(model))
     scored = model.transform(ready)
-    return scored.withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
+    if not isinstance(model.stages[-1], BoosterModel):  # which adds `p` itself
+        scored = scored.withColumn("p", vector_to_array("probability")[1])
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns if c != "p"], "p")
 
 
 def score_and_decide(model: PipelineModel, df: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -13,7 +13,7 @@ from riskweave.models import calibrate, detector
 from riskweave.operators import ranking, resample, rolling, splits
 from riskweave.operators.reconcile import count_mismatches, require_equal
 from riskweave.options import OPERATING_THRESHOLD, Options
-from riskweave.session import freeze, store
+from riskweave.session import side_by_side, store
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,9 @@ def fold_scores(tx: DataFrame, folds: list[splits.Fold], options: Options) -> Da
             rows, options.model, options.seed, options.rounds, options.learning_rate
         )
 
-    seen = freeze(splits.with_first_seen(tx))
-    parts = []
-    for fold in folds:
+    seen = store(splits.with_first_seen(tx), "seen")
+
+    def one(fold: splits.Fold) -> DataFrame:
         first = F.col("first_seen")
         train = seen.where(first < F.lit(fold.cut))
         test = seen.where(first >= F.lit(fold.cut))
@@ -46,10 +46,9 @@ def fold_scores(tx: DataFrame, folds: list[splits.Fold], options: Options) -> Da
         cut = splits.cut_timestamp(
             train.drop("first_seen"), 1 - options.calibration_size
         )
-        model = fit(train)
-        slice_model = fit(train.where(first < F.lit(cut)))
-        held = freeze(
-            detector.scored_table(slice_model, train.where(first >= F.lit(cut)))
+        model, slice_model = side_by_side(fit, [train, train.where(first < F.lit(cut))])
+        held = store(
+            detector.scored_table(slice_model, train.where(first >= F.lit(cut))), "held"
         )
         platt = calibrate.fit_platt(held)
         rate = held.agg(F.avg("y").alias("rate")).first()["rate"]
@@ -57,13 +56,16 @@ def fold_scores(tx: DataFrame, folds: list[splits.Fold], options: Options) -> Da
         other = detector.scored_table(slice_model, test).select(
             "transaction_id", F.col("p").alias("p_raw_slice")
         )
-        parts.append(
+        return store(
             own.join(other, "transaction_id")
             .withColumn("p_calibrated", platt.apply(F.col("p_raw_slice")))
             .withColumn("slice_rate", F.lit(rate))
-            .withColumn("fold", F.lit(fold.index))
+            .withColumn("fold", F.lit(fold.index)),
+            "fold",
         )
-    return freeze(reduce(DataFrame.unionByName, parts))
+
+    # as many folds as there are train fractions
+    return reduce(DataFrame.unionByName, side_by_side(one, folds))
 
 
 def calibration_by_fold(scores: DataFrame) -> DataFrame:

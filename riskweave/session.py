@@ -7,11 +7,16 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _OWN: set[str] = set()
+T, R = TypeVar("T"), TypeVar("R")
 
 
 def build_session(
@@ -81,9 +86,25 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(fn: Callable[[T], R], items: Sequence[T], at_once: int = 8) -> list[R]:
+    """`fn` of every item, several at a time, so that jobs too small for the cluster share it.
+    For a bounded number of items, such as the fits of a grid. The first error is raised."""
+    if len(items) < 2:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(min(at_once, len(items))) as pool:
+        # each thread gets the caller's local properties
+        return [f.result() for f in [pool.submit(inheritable_thread_target(fn), i) for i in items]]
+
+
 def store(df: DataFrame, name: str = "stored") -> DataFrame:
     """`df` written once as Parquet below the shared folder and read again: later passes see the
     same rows without running the plan anew, also after executors are lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to `path` to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)

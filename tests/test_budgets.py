@@ -20,8 +20,8 @@ FITS = {
     "m10_calibration_report": "gbt",
     "m11_model_grid": "gbt",
     "m12_booster_comparison": "gbt",
-    "m13_attribution_ranking": "gbt_shallow",
-    "m14_attribution_additivity": "gbt_shallow",
+    "m13_attribution_ranking": "gbt",
+    "m14_attribution_additivity": "gbt",
     "m16_round_trip": "gbt_shallow",
     "a5_priced_calibrated_scores": "gbt",
     "e1_train_and_evaluate": "gbt",
@@ -34,7 +34,11 @@ def test_first_fit_has_all_rounds(spark, monkeypatch, name):
     def fit(train, model="gbt", seed=42, rounds=200, learning_rate=0.1):
         raise Seen(model, rounds, learning_rate)
 
+    def fit_all(train, settings, seed=42):
+        raise Seen(*settings[0])
+
     monkeypatch.setattr(detector, "fit", fit)
+    monkeypatch.setattr(detector, "fit_all", fit_all)
     with pytest.raises(Seen) as seen:
         # the smallest tables have too few days for folds
         QUERIES[name](spark, SMALL.replace("sf0.001", "sf0.01") if name.startswith("e3") else SMALL)

@@ -1,5 +1,6 @@
 import math
 from datetime import datetime, timedelta
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -134,7 +135,7 @@ def test_contributions_rebuild_the_margin(tx, name):
 def test_leaf_contributions_are_shapley_values():
     """One leaf, two features, against the definition."""
     x = np.array([[0.0, 0.0], [0.0, 9.0], [9.0, 9.0]])
-    path = [(0, 5.0, True, 0.25), (1, 5.0, True, 0.5)]
+    path = [(0, 5.0, False, True, 0.25), (1, 5.0, False, True, 0.5)]
     got = attribution.leaf_contributions(x, 8.0, path)
     for i, (a, b) in enumerate([(1, 1), (1, 0), (0, 0)]):
         def value(knows_a, knows_b, a=a, b=b):
@@ -145,6 +146,31 @@ def test_leaf_contributions_are_shapley_values():
         assert got[0][i] == pytest.approx(first) and got[1][i] == pytest.approx(second)
 
 
+def test_contributions_equal_subset_enumeration():
+    """Five features, one of them twice on the path and one missing, against all subsets."""
+    rng = np.random.default_rng(5)
+    steps = [(0, 0.2, True, True, 0.4), (1, 0.5, False, False, 0.7), (2, 0.1, False, True, 0.3),
+             (0, -0.5, False, False, 0.8), (3, 0.0, True, True, 0.9), (4, 0.3, False, True, 0.25)]
+    x = rng.normal(size=(40, 5))
+    x[::7, 3] = np.nan
+    got = attribution.leaf_contributions(x, 3.0, steps)
+    share = {0: 0.4 * 0.8, 1: 0.7, 2: 0.3, 3: 0.9, 4: 0.25}
+    for row, values in enumerate(x):
+        passes = {f: 1.0 for f in share}
+        for f, cut, missing_left, left, _ in steps:
+            goes_left = missing_left if np.isnan(values[f]) else values[f] <= cut
+            passes[f] *= goes_left == left
+        for i in share:
+            others = [f for f in share if f != i]
+            want = 0.0
+            for size in range(len(share)):
+                weight = math.factorial(size) * math.factorial(4 - size) / math.factorial(5)
+                for known in combinations(others, size):
+                    part = math.prod(passes[f] if f in known else share[f] for f in others)
+                    want += weight * 3.0 * part * (passes[i] - share[i])
+            assert got[i][row] == pytest.approx(want, abs=1e-12)
+
+
 def test_ranking_keeps_the_sign_beside_the_size(spark):
     df = spark.createDataFrame(
         [([2.0, 0.5], 1), ([-2.0, 0.5], 0)], "contributions array<double>, is_fraud int"
