@@ -17,8 +17,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ PIECE_VOCABULARY = "piece_bpe_32k.model"
 BLOCK_LINKS = 1 << 19
 BLOCK_DOCUMENTS = 1 << 14
 SLAB = 1 << 15  # pieces of a text that are aligned at a time
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 MEMO_LENGTH = 64
 
 # Neither tokenizer has a token that runs from a visible character into a space, so both end one
@@ -54,48 +55,60 @@ def byte_alphabet() -> dict[str, int]:
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from a[i] and b[j] on are equal one to one, by exponential probing."""
-    most = min(len(a) - i, len(b) - j)
-    run, step = 0, 1
-    while run < most and a[i + run : i + run + step] == b[j + run : j + run + step]:
-        run += step
+    p, q, step = i, j, 1
+    while True:
+        x, y = a[p : p + step], b[q : q + step]
+        if x != y:
+            break
+        p += len(x)
+        q += len(y)
+        if len(x) < step:  # both lists end here
+            return p - i
         step *= 2
-    if run >= most:
-        return most
-    while step > 1:  # the slice holds a difference: keep to its equal halves
+    while step > 1:  # the slices hold a difference: keep to their equal halves
         step //= 2
-        if a[i + run : i + run + step] == b[j + run : j + run + step]:
-            run += step
-    return min(run, most)
+        x = a[p : p + step]
+        if len(x) == step and x == b[q : q + step]:
+            p += step
+            q += step
+    return p - i
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Token counts of both sides up to the end of each group. Both lists rise and end alike."""
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
+    """Places of the tokens of both sides that do not end a group: their ends have no
+    counterpart. Both lists rise and end alike."""
+    inner_a: list[int] = []
+    inner_b: list[int] = []
     i = j = 0
     n = len(a)
     while i < n:
-        run = run_length(a, b, i, j)
-        if run:
-            cuts_a.extend(range(i + 1, i + run + 1))
-            cuts_b.extend(range(j + 1, j + run + 1))
+        x, y = a[i], b[j]
+        if x == y:
+            run = run_length(a, b, i, j)
             i += run
             j += run
-            if i == n:
-                break
-        x, y = a[i], b[j]
+            continue
         while x != y:
             if x < y:
+                inner_a.append(i)
                 i += 1
                 x = a[i]
             else:
+                inner_b.append(j)
                 j += 1
                 y = b[j]
-        i += 1
+        i += 1  # the shift of the indices has changed
         j += 1
-        cuts_a.append(i)
-        cuts_b.append(j)
-    return cuts_a, cuts_b
+    return inner_a, inner_b
+
+
+Slabs = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _objects(items: list[bytes]) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
 
 
 class TwoEncoders:
@@ -118,12 +131,14 @@ class TwoEncoders:
         alphabet = byte_alphabet()
         size = self.a.get_vocab_size(with_added_tokens=True)
         names = [self.a.id_to_token(i) or "" for i in range(size)]
-        self.bytes_a = [bytes(alphabet.get(c, 0) for c in t) for t in names]
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a = _objects([bytes(alphabet.get(c, 0) for c in t) for t in names])
+        self.bytes_b = _objects([self._piece(i) for i in range(self.b.get_piece_size())])
         self.length_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
-        self.name_a = [str(i) for i in range(len(self.bytes_a))]
-        self.name_b = [str(i) for i in range(len(self.bytes_b))]
+        # decimal ids with the marks that may stand behind them
+        self.name_a, self.last_a = (_objects([b"%d%b" % (i, m) for i in range(size)]) for m in (b",", b"|"))
+        pieces = range(len(self.bytes_b))
+        self.name_b, self.last_b = (_objects([b"%d%b" % (i, m) for i in pieces]) for m in (b",", b";"))
         self.space = self.b.piece_to_id("▁")
         self.fast = self._ranked(vocabulary_path(byte_vocabulary))
         self.memo: dict[str, tuple[bytes, bytes]] = {}
@@ -177,24 +192,30 @@ class TwoEncoders:
             sizes = np.array([len(t) for t in texts], np.int64)
             first = self._byte_ids(some, sizes)
             second = [y if p else [self.space] for p, y in zip(some, self.b.encode(some, num_threads=1))]
-            flat = np.array([i for y in second for i in y], "<u4")
-            raw, at = flat.tobytes(), np.cumsum([0] + [4 * len(y) for y in second]).tolist()
+            flat = np.fromiter(chain.from_iterable(second), "<u4")
+            ends = np.cumsum([0] + [len(y) for y in second])
+            raw, at = flat.tobytes(), (4 * ends).tolist()
             second = [raw[p:q] for p, q in zip(at, at[1:])]
-            good = zip(self._same(self.bytes_a, first, texts), self._same(self.bytes_b, second, texts))
-            for p, x, y, (u, v) in zip(some, first, second, good):
-                out[p] = (x, y) if u and v else (b"", b"")
+            good = self._same(self.bytes_b, self.length_b, flat, ends, texts, sizes)
+            if self.fast is None:  # ranks hold every byte, so nothing can get lost on that side
+                ids = np.frombuffer(b"".join(first), "<u4")
+                cut = np.cumsum([0] + [len(x) // 4 for x in first])
+                good = [u and v for u, v in zip(good, self._same(self.bytes_a, self.length_a, ids, cut, texts, sizes))]
+            for p, x, y, fine in zip(some, first, second, good):
+                out[p] = (x, y) if fine else (b"", b"")
         return out
 
     @staticmethod
-    def _same(table: list[bytes], ids: list[bytes], texts: list[bytes]) -> list[bool]:
-        """Whether each text's bytes come back from its ids."""
-        flat = [table[i] for i in memoryview(b"".join(ids)).cast("I")]
-        ends = np.cumsum([len(x) // 4 for x in ids])
-        size = np.cumsum([0] + [len(t) for t in flat])[ends]
-        if b"".join(flat) == b"".join(texts) and (size == np.cumsum([len(t) for t in texts])).all():
+    def _same(
+        table: np.ndarray, length: np.ndarray, ids: np.ndarray, ends: np.ndarray, texts: list[bytes], sizes: np.ndarray
+    ) -> list[bool]:
+        """Whether each text's bytes come back from its ids, ids[ends[k]:ends[k + 1]]."""
+        flat = table[ids].tolist()
+        held = np.diff(np.r_[0, length[ids].cumsum()][ends])
+        if (held == sizes).all() and b"".join(flat) == b"".join(texts):
             return [True] * len(texts)
-        parts = zip([0, *ends.tolist()], ends.tolist())
-        return [b"".join(flat[p:q]) == t for (p, q), t in zip(parts, texts)]
+        at = ends.tolist()
+        return [b"".join(flat[p:q]) == t for p, q, t in zip(at, at[1:], texts)]
 
     def _found(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         memo = self.memo
@@ -202,31 +223,50 @@ class TwoEncoders:
             return [memo[p] for p in pieces]
         except KeyError:
             pass
-        new = list(dict.fromkeys(p for p in pieces if p not in memo))
-        if len(memo) + len(new) > self.memo_entries:
-            memo.clear()
-            new = list(dict.fromkeys(pieces))
+        found = list(map(memo.get, pieces))
+        gaps = [k for k, f in enumerate(found) if f is None]
+        new = list(dict.fromkeys([pieces[k] for k in gaps]))
         fresh: dict[str, tuple[bytes, bytes]] = {}
         for k in range(0, len(new), 10_000):
             fresh |= self._learn(new[k : k + 10_000])
+        for k in gaps:
+            found[k] = fresh[pieces[k]]
+        if len(memo) + len(new) > self.memo_entries:
+            memo.clear()
         memo.update((p, v) for p, v in fresh.items() if len(p) <= MEMO_LENGTH)
-        return [fresh[p] if p in fresh else memo[p] for p in pieces]
-
-    def encode(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides, in slabs that end at a common byte. Empty for a null or empty
-        text and for one whose bytes do not come back from both."""
-        if not text:
-            return []
-        pieces = _CUT.split(text)
-        slabs, held = [], 0
-        for k in range(0, len(pieces), SLAB):
-            found = self._found(pieces[k : k + SLAB])
-            x = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-            y = np.frombuffer(b"".join([f[1] for f in found]), "<u4")
-            slabs.append((x, y))
-            held += int(self.length_a[x].sum())
-        # every piece gives its own bytes or none at all
-        return slabs if held == len(text.encode()) + 1 else []
+        return found
+
+    def encode(self, text: str | None) -> Slabs:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[Slabs]:
+        """For each text the ids of both sides, in slabs that end at a common byte. Empty for a
+        null or empty text and for one whose bytes do not come back from both. New pieces of
+        several texts are learnt at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append((text, _CUT.split(text) if text else []))
+            size += len(held[-1][1])
+            if size >= SLAB:
+                yield from self._slabs(held)
+                held, size = [], 0
+        yield from self._slabs(held)
+
+    def _slabs(self, held: list[tuple[str | None, list[str]]]) -> Iterator[Slabs]:
+        every = [p for _, pieces in held for p in pieces]
+        found = [f for k in range(0, len(every), SLAB) for f in self._found(every[k : k + SLAB])]
+        at = 0
+        for text, pieces in held:
+            slabs, size = [], 0
+            for k in range(at, at + len(pieces), SLAB):
+                some = found[k : min(k + SLAB, at + len(pieces))]
+                x = np.frombuffer(b"".join([f[0] for f in some]), "<u4")
+                y = np.frombuffer(b"".join([f[1] for f in some]), "<u4")
+                slabs.append((x, y))
+                size += int(self.length_a[x].sum())
+            at += len(pieces)
+            # every piece gives its own bytes or none at all
+            yield slabs if text and size == len(text.encode()) + 1 else []
 
 
 @lru_cache(maxsize=2)
@@ -238,24 +278,35 @@ def encoders(byte_vocabulary: str, piece_vocabulary: str) -> TwoEncoders:
 def groups_of(e: TwoEncoders, slab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Group ends of a slab, as token counts of both sides."""
     x, y = slab
-    a, b = align(e.length_a[x].cumsum().tolist(), e.length_b[y].cumsum().tolist())
-    return np.array(a, np.int64), np.array(b, np.int64)
+    inner = align(e.length_a[x].cumsum().tolist(), e.length_b[y].cumsum().tolist())
+    out = []
+    for ids, places in zip(slab, inner):
+        ends = np.ones(len(ids), bool)
+        ends[places] = False
+        out.append(np.flatnonzero(ends) + 1)
+    return out[0], out[1]
 
 
 def groups_text(
     e: TwoEncoders, slab: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]
-) -> str:
-    """`a1,a2|b1;a3|b2,b3`: decimal ids of both sides, group by group."""
-    names_a, names_b = e.name_a, e.name_b
-    x = [names_a[i] for i in slab[0].tolist()]
-    y = [names_b[i] for i in slab[1].tolist()]
-    out, i, j = [], 0, 0
-    for p, q in zip(ends[0].tolist(), ends[1].tolist()):
-        left = x[i] if p - i == 1 else ",".join(x[i:p])
-        right = y[j] if q - j == 1 else ",".join(y[j:q])
-        out.append(f"{left}|{right}")
-        i, j = p, q
-    return ";".join(out)
+) -> bytes:
+    """`a1,a2|b1;a3|b2,b3`: decimal ids of both sides, group by group.
+
+    Every id is put, with the mark behind it, in its place of the whole."""
+    x, y = slab
+    a, b = ends
+    if not len(a):
+        return b""
+    parts = np.empty(len(x) + len(y), object)
+    # in front of a group's A ids stand the B ids of earlier groups, of its B ids also its A ids
+    before_b, with_a = np.r_[0, b[:-1]], a
+    first = e.name_a[x]
+    first[a - 1] = e.last_a[x[a - 1]]
+    parts[np.arange(len(x)) + np.repeat(before_b, np.diff(np.r_[0, a]))] = first
+    second = e.name_b[y]
+    second[b - 1] = e.last_b[y[b - 1]]
+    parts[np.arange(len(y)) + np.repeat(with_a, np.diff(np.r_[0, b]))] = second
+    return b"".join(parts.tolist())[:-1]
 
 
 def aligned_documents(
@@ -275,9 +326,9 @@ def aligned_documents(
         e = encoders(byte_vocabulary, piece_vocabulary)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["_id"], batch["_text"]):
+            for doc, slabs in zip(batch["_id"], e.encode_all(batch["_text"])):
                 parts, at = ([], [], [], []), [0, 0]
-                for slab in e.encode(text):
+                for slab in slabs:
                     ends = groups_of(e, slab)
                     for k in (0, 1):
                         parts[k].append(slab[k].astype(np.int32))
@@ -326,11 +377,11 @@ def _blocks(
             return both[_BLOCK]
 
         for batch in batches:
-            for doc, text in zip(batch["_id"], batch["_text"]):
+            for doc, slabs in zip(batch["_id"], e.encode_all(batch["_text"])):
                 n_a, n_b, n_groups, digest, own = 0, 0, 0, None, []
-                for slab in e.encode(text):
+                for slab in slabs:
                     ends = groups_of(e, slab)
-                    part = groups_text(e, slab, ends).encode()
+                    part = groups_text(e, slab, ends)
                     if digest is None:
                         digest = hashlib.sha256(part)
                     else:
