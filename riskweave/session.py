@@ -91,9 +91,10 @@ def side_by_side(fn: Callable[[T], R], items: Sequence[T], at_once: int = 8) ->
     For a bounded number of items, such as the fits of a grid. The first error is raised."""
     if len(items) < 2:
         return [fn(i) for i in items]
+    # each thread gets the caller's local properties and tags
+    carried = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(min(at_once, len(items))) as pool:
-        # each thread gets the caller's local properties
-        return [f.result() for f in [pool.submit(inheritable_thread_target(fn), i) for i in items]]
+        return [f.result() for f in [pool.submit(carried(fn), i) for i in items]]
 
 
 def store(df: DataFrame, name: str = "stored") -> DataFrame:

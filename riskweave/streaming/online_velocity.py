@@ -4,6 +4,10 @@ State is a table of the entities' recent time points, written per micro-batch an
 day; each batch reads the days that its windows reach back to and runs the same skew-safe scan
 as the batch operator. A hot entity therefore never sits in one task's state store.
 
+The gap to an entity's latest transaction may reach back further than any window. It comes from a
+second table, a row per entity that a batch touched; every so often a batch writes all entities'
+latest times in one, and older ones are no longer read.
+
 Rows older than the watermark are dropped, as is history no window can reach. Every batch
 overwrites only its own partitions, so a batch that runs again leaves the same files.
 """
@@ -23,6 +27,8 @@ from riskweave.session import freeze
 from riskweave.sources.transactions import path_exists
 
 STATE_COLUMNS = ("transaction_id", "timestamp", "entity_id", "amount")
+MERGE_EVERY = 16  # batches whose latest times are read one by one
+SINCE = f"{ENTITY_PREFIX}seconds_since_prev"
 
 
 def _day_folders(spark: SparkSession, folder: str, from_day: str) -> list[str]:
@@ -50,6 +56,17 @@ def _history(spark: SparkSession, folder: str, batch_id: int, from_us: int) -> D
     ).select(*STATE_COLUMNS)
 
 
+def _latest(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """(entity_id, last_us) over all batches before this one, from the last merged one on."""
+    merged = (batch_id - 1) // MERGE_EVERY * MERGE_EVERY if batch_id else 0
+    paths = [f"{folder}/batch={n}" for n in range(merged, batch_id)]
+    paths = [path for path in paths if path_exists(spark, path)]
+    if not paths:
+        return None
+    rows = spark.read.parquet(*paths)
+    return rows.groupBy("entity_id").agg(F.max("last_us").alias("last_us"))
+
+
 def velocity_writer(
     output: str, state: str, windows: Mapping[str, int] = VELOCITY_WINDOWS, lateness_us: int = 0
 ):
@@ -59,7 +76,7 @@ def velocity_writer(
         f"{ENTITY_PREFIX}{kind}_{label}"
         for label in windows
         for kind in ("count", "amt_sum", "amt_mean", "amt_ratio")
-    ]
+    ] + [SINCE]
 
     def progress(spark: SparkSession, batch_id: int) -> int | None:
         path = f"{state}/progress/batch={batch_id}"
@@ -82,6 +99,19 @@ def velocity_writer(
                     history.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
                 )
             done = entity_velocity(pool, windows).where("_fresh")
+            own = rows.groupBy("entity_id").agg(F.max(at).alias("last_us"))
+            latest = _latest(spark, f"{state}/latest", batch_id)
+            if latest is not None:
+                # rows without a predecessor in reach, at most one per entity and batch
+                same = F.col("entity_id").eqNullSafe(F.col("_entity"))
+                before = latest.withColumnsRenamed({"entity_id": "_entity", "last_us": "_last_us"})
+                gap = (at - F.col("_last_us")) / F.lit(1e6)
+                done = done.join(before, same & F.col(SINCE).isNull(), "left").withColumn(
+                    SINCE, F.coalesce(SINCE, gap)
+                )
+                if batch_id % MERGE_EVERY == 0:
+                    own = own.unionByName(latest).groupBy("entity_id").agg(F.max("last_us").alias("last_us"))
+            own.write.mode("overwrite").parquet(f"{state}/latest/batch={batch_id}")
             done.select(*batch.columns, *features).write.mode("overwrite").parquet(
                 f"{output}/batch={batch_id}"
             )
@@ -95,6 +125,10 @@ def velocity_writer(
                 .partitionBy("day", "batch")
                 .parquet(f"{state}/rows")
             )
+        elif batch_id % MERGE_EVERY == 0:
+            latest = _latest(spark, f"{state}/latest", batch_id)
+            if latest is not None:
+                latest.write.mode("overwrite").parquet(f"{state}/latest/batch={batch_id}")
         spark.range(1).select(F.lit(top).cast("long").alias("max_us")).write.mode(
             "overwrite"
         ).parquet(f"{state}/progress/batch={batch_id}")

@@ -43,6 +43,7 @@ def test_stream_features_equal_the_batch_operator(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     want = entity_velocity(batch(spark, entries), WINDOWS)
     names = ["transaction_id", *[c for c in got.columns if c.startswith("f_ent_")]]
+    assert set(names) == {"transaction_id", *[c for c in want.columns if c.startswith("f_ent_")]}
     assert rows(got, *names[:3]) == rows(want, *names[:3])
     assert got.select(names).exceptAll(want.select(names)).count() == 0
 
@@ -79,8 +80,40 @@ def test_alerts_leave_out_legit_rows_and_survive_a_restart(spark, tmp_path):
 
     run(batch(spark, [(0, "a", 95.0), (1, "a", 5.0), (2, "b", 60.0)]))
     run(batch(spark, [(3, "a", 99.0)], 10))
-    got = rows(spark.read.parquet(f"{tmp_path}/out"), "transaction_id", "decision", "true_is_fraud")
-    assert got == [("t000", "fraud", 1), ("t002", "review", 1), ("t010", "fraud", 1)]
+    found = replay.written_alerts(spark, f"{tmp_path}/out")
+    got = rows(found, "transaction_id", "row_index", "decision", "true_is_fraud")
+    assert got == [("t000", 0, "fraud", 1), ("t002", 2, "review", 1), ("t010", 3, "fraud", 1)]
+    assert len(found.columns) == 10
+
+
+def test_a_batch_of_alerts_that_runs_again_keeps_its_numbers(spark, tmp_path):
+    def scorer(df):
+        return df.withColumn("p", F.lit(0.9))
+
+    write = replay.alert_writer(scorer, 0.5, str(tmp_path))
+    parts = [batch(spark, [(s, "a", 60.0) for s in range(k * 10, k * 10 + 4)], k * 10) for k in range(3)]
+    for n in (0, 1, 1, 0, 2):
+        write(parts[n], n)
+    got = rows(replay.written_alerts(spark, str(tmp_path)), "row_index", "transaction_id")
+    ids = [r["transaction_id"] for p in parts for r in p.orderBy("timestamp").collect()]
+    assert got == list(enumerate(ids))
+
+
+def test_gaps_reach_back_beyond_all_windows(spark, tmp_path, monkeypatch):
+    """Entities that come back after days, over batches that merge the latest times."""
+    monkeypatch.setattr(online_velocity, "MERGE_EVERY", 2)
+    day = 86_400
+    entries = [(0, "a", 1.0), (5, "b", 2.0), (3 * day, "a", 3.0), (4 * day, "c", 1.0), (9 * day, "b", 2.0), (9 * day + 7, "a", 1.0)]
+    write = online_velocity.velocity_writer(f"{tmp_path}/out", f"{tmp_path}/state", WINDOWS)
+    whole = batch(spark, entries)
+    for n in range(len(entries)):
+        piece = whole.where(F.col("transaction_id") == f"t{n:03d}")
+        write(piece, n)
+        if n % 2:
+            write(piece, n)  # runs again
+    got = spark.read.parquet(f"{tmp_path}/out")
+    name = "f_ent_seconds_since_prev"
+    assert rows(got, "transaction_id", name) == rows(entity_velocity(whole, WINDOWS), "transaction_id", name)
 
 
 def test_event_log_holds_no_feature_values(spark):
