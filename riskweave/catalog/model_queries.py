@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskweave.catalog.common import (
     EVENTS_SQL,
     ORDERS_SQL,
+    SCORE,
     SIDES_SQL,
     events_tx,
     orders_tx,
@@ -185,25 +186,74 @@ def score_and_decide(spark, folder):
     return out.select("transaction_id", within(), same.alias("decided"))
 
 
-@query("m8_platt_map", TEST_ROWS_SQL.format("true AS within, true AS rising"))
+def _platt_sql(steps: int = 12) -> str:
+    """Newton steps from (0, 0), one after the other, on the train side's log-odds."""
+    clipped = "greatest(least(p, 1 - 1e-12), 1e-12)"
+    out = f"""z AS MATERIALIZED (SELECT ln({clipped} / (1 - {clipped})) AS z, is_fraud AS y FROM tx
+  JOIN side ON tx.entity_id = side.entity_id, LATERAL (SELECT {SCORE} AS p) WHERE side = 'train'),
+s0 AS MATERIALIZED (SELECT 0e0 AS a, 0e0 AS b)"""
+    for k in range(steps):
+        out += f""",
+g{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((q - y) * z) + 1e-9 * count(*) * any_value(a) AS ga,
+  sum(q - y) + 1e-9 * count(*) * any_value(b) AS gb, sum(q * (1 - q) * z * z) + 1e-9 * count(*) AS haa,
+  sum(q * (1 - q) * z) AS hab, sum(q * (1 - q)) + 1e-9 * count(*) AS hbb
+  FROM (SELECT z, y, a, b, 1 / (1 + exp(-(a * z + b))) AS q FROM z, s{k})),
+s{k + 1} AS MATERIALIZED (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a,
+  b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{k})"""
+    return out + f""", scored AS (SELECT transaction_id, {SCORE} AS p FROM tx
+  JOIN side ON tx.entity_id = side.entity_id WHERE side = 'test')
+SELECT transaction_id, round(a, 6) AS a, round(b, 6) AS b,
+  round(1 / (1 + exp(-(a * ln({clipped} / (1 - {clipped})) + b))), 6) AS p_platt
+FROM scored, s{steps}"""
+
+
+@query("m8_platt_map", with_sql(EVENTS_SQL, SIDES_SQL, _platt_sql()))
 def platt_map(spark, folder):
-    """The fitted map applied to every row. It keeps the order of the scores."""
+    """The fitted map and its value for every row."""
     train, test = temporal_grouped_split(events_tx(spark, folder))
     platt = calibrate.fit_platt(scored(train))
-    low, high = (platt.apply(F.lit(v)) for v in (0.25, 0.75))
-    out = scored(test).withColumn("c", platt.apply(F.col("p")))
-    one_way = F.when(low <= high, (F.col("c") >= low) == (F.col("p") >= 0.25)).otherwise(
-        (F.col("c") <= low) == (F.col("p") >= 0.25)
+    return scored(test).select(
+        "transaction_id",
+        F.round(F.lit(platt.a), 6).alias("a"),
+        F.round(F.lit(platt.b), 6).alias("b"),
+        F.round(platt.apply(F.col("p")), 6).alias("p_platt"),
     )
-    return out.select("transaction_id", within("c"), one_way.alias("rising"))
 
 
-@query("m9_isotonic_map", TEST_ROWS_SQL.format("true AS within"))
+# two digits: SQL compares all pairs of distinct scores
+COARSE = "floor(1e2 * amount / (amount + 20e0)) / 1e2"
+
+
+@query(
+    "m9_isotonic_map",
+    with_sql(
+        EVENTS_SQL,
+        SIDES_SQL,
+        f"""d AS (SELECT p, sum(is_fraud) AS y, count(*) AS n FROM (SELECT {COARSE} AS p, is_fraud FROM tx
+  JOIN side ON tx.entity_id = side.entity_id WHERE side = 'train') GROUP BY p)""",
+        """c AS (SELECT p, y, n, row_number() OVER (ORDER BY p) AS i, sum(y) OVER (ORDER BY p) AS cy,
+  sum(n) OVER (ORDER BY p) AS cn FROM d)""",
+        # of all stretches from j on that reach i or beyond, the least mean; of those the largest
+        """m AS (SELECT j.i AS j, k.i AS k, (k.cy - j.cy + j.y) / CAST(k.cn - j.cn + j.n AS DOUBLE) AS mean
+  FROM c j JOIN c k ON j.i <= k.i)""",
+        """least AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM m)""",
+        """iso AS (SELECT c.p, max(low) AS rate FROM least JOIN c ON c.i = least.i GROUP BY 1)""",
+        f"""t AS (SELECT transaction_id, {COARSE} AS p FROM tx
+  JOIN side ON tx.entity_id = side.entity_id WHERE side = 'test')""",
+        """u AS (SELECT t.transaction_id, t.p, max(x.p) FILTER (x.p <= t.p) AS lo, min(x.p) FILTER (x.p >= t.p) AS hi
+  FROM t, iso x GROUP BY 1, 2)""",
+    )
+    + """SELECT transaction_id, round(CASE WHEN a.rate IS NULL THEN b.rate WHEN b.rate IS NULL OR lo = hi THEN a.rate
+  ELSE a.rate + (b.rate - a.rate) * (u.p - lo) / (hi - lo) END, 9) AS p_isotonic
+FROM u LEFT JOIN iso a ON a.p = lo LEFT JOIN iso b ON b.p = hi""",
+)
 def isotonic_map(spark, folder):
+    """By pooling in small blocks, against the largest of the least means."""
     train, test = temporal_grouped_split(events_tx(spark, folder))
-    model = calibrate.fit_isotonic(scored(train))
-    inside = F.col("p_isotonic").between(0.0, 1.0)
-    return model.transform(scored(test)).select("transaction_id", inside.alias("within"))
+    coarse = F.floor(F.lit(1e2) * F.col("amount") / (F.col("amount") + F.lit(20.0))) / F.lit(1e2)
+    model = calibrate.fit_isotonic(train.select(F.col("is_fraud").alias("y"), coarse.alias("p")), block_rows=16)
+    found = model.transform(test.select("transaction_id", coarse.alias("p")))
+    return rounded(found.select("transaction_id", "p_isotonic"), ["p_isotonic"])
 
 
 @query(

@@ -106,8 +106,10 @@ def fit_all(
     def one(classifier) -> PipelineModel:
         if isinstance(classifier, Booster):
             return PipelineModel([*ahead.stages, classifier.fitted(coded)])
-        return Pipeline(stages=[*preprocessor(numeric, categorical), classifier]).fit(rows)
+        own = registry.with_unit_penalty(classifier, weight)
+        return Pipeline(stages=[*preprocessor(numeric, categorical), own]).fit(rows)
 
+    weight = rows.agg(F.sum("weight")).first()[0] or 0.0
     return side_by_side(one, classifiers)
 
 

@@ -18,6 +18,7 @@ from riskweave.models.boosting import Booster, Growth
 
 Factory = Callable[[int, int, float], Estimator]
 _FACTORIES: dict[str, Factory] = {}
+UNIT_PENALTY = 1.0  # stands for one over the sum of the weights, which a factory does not know
 _COLUMNS = {"featuresCol": "features", "labelCol": "is_fraud", "weightCol": "weight"}
 
 
@@ -67,7 +68,16 @@ def _forest(seed: int, rounds: int, rate: float) -> Estimator:
 
 @register("logreg")
 def _logreg(seed: int, rounds: int, rate: float) -> Estimator:
-    """Linear baseline; inputs are scaled by the estimator."""
+    """Linear baseline; inputs are scaled by the estimator. The penalty is that of one row, see
+    `with_unit_penalty`."""
     return LogisticRegression(
-        maxIter=max(1000, rounds), regParam=0.0, standardization=True, **_COLUMNS
+        maxIter=max(1000, rounds), regParam=UNIT_PENALTY, standardization=True, **_COLUMNS
     )
+
+
+def with_unit_penalty(classifier: Estimator, weight: float) -> Estimator:
+    """An L2 penalty of half the squared coefficients beside the summed loss. Spark takes it as a
+    part of the mean loss, so it needs the sum of the weights."""
+    if isinstance(classifier, LogisticRegression) and classifier.getRegParam() == UNIT_PENALTY:
+        return classifier.copy({classifier.regParam: 1.0 / max(weight, 1.0)})
+    return classifier

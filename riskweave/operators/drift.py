@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scores import ratio
 from riskweave.operators.ordered import range_order, ranked_quantiles, scan, scan_ranged
+from riskweave.session import store
 
 FLOOR = 1e-4
 
@@ -130,7 +131,8 @@ def drift_features(
     counts = value_counts(window, present, by)
     shares = bin_proportions(counts, reference, by).withColumnRenamed("proportions", "seen")
     missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
-    nulls = counts.groupBy(*by, "feature").agg((missing / F.sum("n")).alias("null_fraction"))
+    # a row for each (window and) column, read several times
+    nulls = store(counts.groupBy(*by, "feature").agg((missing / F.sum("n")).alias("null_fraction")), "nulls")
     known = reference.select(
         "feature", "proportions", F.col("null_fraction").alias("null_fraction_reference")
     )
@@ -154,7 +156,7 @@ def drift_features(
         # an empty window has no value of any feature
         rows = rows.unionByName(
             known.where(F.col("feature").isin(present))
-            .join(rows.select("feature"), "feature", "left_anti")
+            .join(nulls.select("feature"), "feature", "left_anti")
             .select(
                 "feature",
                 F.lit(None).cast("double").alias("psi"),
@@ -211,10 +213,13 @@ def paired_counts(reference: DataFrame, window: DataFrame, columns: Sequence[str
 
 
 def wasserstein(
-    reference: DataFrame, window: DataFrame, columns: Sequence[str], floor: float = 0.001
+    reference: DataFrame, window: DataFrame, columns: Sequence[str], floor: float = 0.001,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """First Wasserstein distance per column over the reference's standard deviation."""
-    counts = paired_counts(reference, window, columns).withColumn("at", F.col("value"))
+    """First Wasserstein distance per column over the reference's standard deviation. `counts` are
+    the paired counts of these columns, where they are known already."""
+    counts = paired_counts(reference, window, columns) if counts is None else counts
+    counts = counts.withColumn("at", F.col("value"))
     ranked = scan(counts, ["value"], sums=["n_ref", "n_cur"], last=["at"], within=["feature"])
     gap = F.col("value") - F.col("at_prev")
     apart = F.abs(
@@ -247,10 +252,11 @@ def wasserstein(
 
 
 def jensen_shannon(
-    reference: DataFrame, window: DataFrame, columns: Sequence[str]
+    reference: DataFrame, window: DataFrame, columns: Sequence[str], counts: DataFrame | None = None
 ) -> DataFrame:
-    """Jensen-Shannon distance (natural log) between the value shares of each column."""
-    counts = paired_counts(reference, window, columns)
+    """Jensen-Shannon distance (natural log) between the value shares of each column. `counts` are
+    the paired counts of these columns, where they are known already."""
+    counts = paired_counts(reference, window, columns) if counts is None else counts
     totals = counts.groupBy("feature").agg(
         F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur")
     )
@@ -276,9 +282,9 @@ def distance_drift(
 ) -> DataFrame:
     """(feature, method, score, drifted): Jensen-Shannon for columns with few distinct reference
     values, normed Wasserstein for the others."""
+    counts = store(paired_counts(reference, window, columns), "paired")  # each table counted once
     kinds = (
-        value_counts(reference, columns)
-        .where(F.col("value").isNotNull())
+        counts.where("n_ref > 0")
         .groupBy("feature")
         .agg((F.count(F.lit(1)) <= max_categories).alias("few"))
     )
@@ -287,11 +293,11 @@ def distance_drift(
     parts = []
     if few:
         parts.append(
-            jensen_shannon(reference, window, few).withColumn("method", F.lit("jensen_shannon"))
+            jensen_shannon(reference, window, few, counts.where(F.col("feature").isin(few))).withColumn("method", F.lit("jensen_shannon"))
         )
     if many:
         parts.append(
-            wasserstein(reference, window, many).withColumn("method", F.lit("wasserstein"))
+            wasserstein(reference, window, many, counts=counts.where(F.col("feature").isin(many))).withColumn("method", F.lit("wasserstein"))
         )
     table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return table.select(

@@ -122,6 +122,71 @@ def test_isotonic_is_monotone_and_clipped(spark):
     assert got == sorted(got) and got[0] == 0.0 and got[-1] == 1.0 and got[2] == 0.5
 
 
+def max_of_least_means(p, y):
+    """Distinct scores and their rates: of all stretches up to a place the largest of the least
+    means of those that reach beyond it."""
+    kinds = np.unique(p)
+    total = [(y[p == v].sum(), (p == v).sum()) for v in kinds]
+    n = len(kinds)
+
+    def mean(j, k):
+        return sum(t for t, _ in total[j : k + 1]) / sum(c for _, c in total[j : k + 1])
+
+    return kinds, [max(min(mean(j, k) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["rising", "falling", "noise", "level"])
+def test_isotonic_fit_in_blocks_of_any_size(spark, kind):
+    rng = np.random.default_rng(11)
+    p = np.round(rng.uniform(0, 1, 260), 2 if kind == "noise" else 3)
+    chance = {"rising": p, "falling": 1 - p, "noise": 0.3 + 0.4 * p, "level": 0 * p}[kind]
+    y = (rng.random(260) < chance).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+    kinds, want = max_of_least_means(p, y)
+    for block in (4, 1000):
+        model = calibrate.fit_isotonic(df, block)
+        got = {r["p"]: r["p_isotonic"] for r in model.transform(df.select("p")).distinct().collect()}
+        assert [got[v] for v in kinds] == pytest.approx(want, abs=1e-12)
+        steps = model.steps.orderBy("lo").collect()
+        assert all(a["hi"] < b["lo"] and a["rate"] < b["rate"] for a, b in zip(steps, steps[1:]))
+
+
+def test_isotonic_of_nothing_and_of_nulls(spark):
+    schema = "p double, y int"
+    some = calibrate.fit_isotonic(spark.createDataFrame([(0.5, 1), (None, 0)], schema))
+    asked = spark.createDataFrame([(None,), (0.1,), (0.9,)], "p double")
+    assert [r["p_isotonic"] for r in some.transform(asked).orderBy("p").collect()] == [None, 1.0, 1.0]
+    none = calibrate.fit_isotonic(spark.createDataFrame([], schema))
+    assert {r["p_isotonic"] for r in none.transform(asked).collect()} == {None}
+
+
+def test_platt_on_separable_and_single_class_rows(spark):
+    for rows_ in ([(0.1, 0), (0.2, 0), (0.8, 1)], [(0.3, 0), (0.4, 0)]):
+        platt = calibrate.fit_platt(spark.createDataFrame(rows_, "p double, y int"))
+        assert math.isfinite(platt.a) and math.isfinite(platt.b)
+    assert calibrate.fit_platt(spark.createDataFrame([], "p double, y int")) == calibrate.PlattMap(1.0, 0.0)
+
+
+def test_the_linear_penalty_is_that_of_one_row(spark):
+    """Against Newton steps on the summed loss plus half the squared scaled coefficients."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-1.5 * x))).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "f_x double, is_fraud int")
+    df = df.withColumn("amount", F.lit(None).cast("double"))
+    line = detector.fit(df, "logreg").stages[-1]
+    w = len(y) / (2 * np.bincount(y))[y]
+    z = x / x.std(ddof=1)
+    design, at = np.column_stack([np.ones(300), z]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ at))
+        grad = design.T @ (w * (p - y)) + [0, at[1]]
+        at = at - np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag([0, 1.0]), grad)
+    assert line.coefficients[0] * x.std(ddof=1) == pytest.approx(at[1], rel=1e-2)
+    free = line.coefficients[0] * x.std(ddof=1)
+    assert free < 1.1 * at[1]
+
+
 @pytest.mark.parametrize("name", ["gbt", "gbt_shallow", "logreg"])
 def test_contributions_rebuild_the_margin(tx, name):
     model = detector.fit(tx, name, 1, 4, 0.2)
