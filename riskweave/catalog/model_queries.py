@@ -6,6 +6,8 @@ of them. Fits and intervals have the full budgets of `Options`."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -36,9 +38,10 @@ from riskweave.operators.drift import reference_stats
 from riskweave.operators.resample import paired_delta_bootstrap
 from riskweave.operators.splits import temporal_grouped_split
 from riskweave.options import VELOCITY_WINDOWS, Options
+from riskweave.plans import rolling_report as rolling_plan
 from riskweave.plans.comparison import compare_variants, sliced, without_dead_columns
 from riskweave.plans.cost import priced_points
-from riskweave.plans.rolling_report import rolling_report
+from riskweave.plans.rolling_report import check_headline, headline, rolling_report
 from riskweave.plans.training import calibration_report, train_and_evaluate
 from riskweave.schema import numeric_columns
 from riskweave.session import freeze, scratch_path, store
@@ -462,6 +465,31 @@ def rolling_origin(spark, folder):
     return rounded(sizes, ["base_rate"])
 
 
+@query(
+    "j12_same_headline",
+    with_sql(EVENTS_SQL, SIDES_SQL)
+    + """SELECT count(*) FILTER (side = 'train') AS n_train, count(*) FILTER (side = 'test') AS n_test,
+  CAST(sum(is_fraud) FILTER (side = 'test') AS BIGINT) AS n_test_fraud,
+  CAST(0 AS BIGINT) AS differing, CAST(1 AS BIGINT) AS differing_after_a_change
+FROM tx JOIN side ON tx.entity_id = side.entity_id""",
+)
+def same_headline(spark, folder):
+    """The last fold against its stored headline, and against one with another metric."""
+    report = rolling_report(events_tx(spark, folder), replace(FULL, train_fractions=(0.8,)))
+    last = report.folds[-1].index
+    stored = store(headline(report, last), "headline")
+    check_headline(report, last, stored)
+    other = stored.withColumn("average_precision", F.col("average_precision") + 0.001)
+
+    def differing(table):
+        return rolling_plan.same_headline(report, last, table).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    return stored.select(
+        "n_train", "n_test", "n_test_fraud",
+        differing(stored).alias("differing"), differing(other).alias("differing_after_a_change"),
+    )
+
+
 @query(
     "u1_interchangeable_scorers",
     """SELECT unnest(['gbt', 'logreg']) AS model, CAST(0 AS BIGINT) AS rows_scored_differently

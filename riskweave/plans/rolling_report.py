@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.features import add_time_features
 from riskweave.models import calibrate, detector
-from riskweave.operators import ranking, resample, rolling, splits
+from riskweave.operators import resample, rolling, splits
 from riskweave.operators.reconcile import count_mismatches, require_equal
 from riskweave.options import OPERATING_THRESHOLD, Options
 from riskweave.session import side_by_side, store
@@ -103,11 +103,32 @@ def rolling_report(tx: DataFrame, options: Options = Options()) -> RollingReport
     )
 
 
-def same_metrics(scores: DataFrame, fold: int, stored: DataFrame) -> DataFrame:
-    """Differences between a fold's headline and a stored one; empty when both describe the
-    same model and split."""
-    own = scores.where(F.col("fold") == fold)
-    rebuilt = ranking.ranking_metrics(ranking.score_groups(own)).select(
-        F.lit("headline").alias("report"), "n", "pos", F.round("average_precision", 4).alias("ap")
+HEADLINE = (
+    "n_train", "n_test", "n_test_fraud", "average_precision", "ci_lower", "ci_upper", "recall",
+)
+
+
+def headline(report: RollingReport, fold: int) -> DataFrame:
+    """One row: what identifies the model and split of a fold. Metrics are rounded to 4 digits."""
+    own = F.col("fold") == fold
+    sizes = report.audit.where(own).select("fold", F.col("train_rows").alias("n_train"))
+    plain = report.metrics.where(own).select(
+        "fold", F.col("n_rows").alias("n_test"), F.col("frauds").alias("n_test_fraud"), "average_precision"
     )
-    return count_mismatches(rebuilt, stored, "report", ["n", "pos", "ap"])
+    interval = report.intervals.where(own & (F.col("metric") == "average_precision")).select(
+        "fold", "ci_lower", "ci_upper"
+    )
+    half = report.thresholds.where(own & (F.col("threshold") == 0.5)).select("fold", "recall")
+    row = sizes.join(plain, "fold").join(interval, "fold").join(half, "fold")
+    metrics = HEADLINE[3:]
+    return row.select("fold", *HEADLINE[:3], *[F.round(m, 4).alias(m) for m in metrics])
+
+
+def same_headline(report: RollingReport, fold: int, stored: DataFrame) -> DataFrame:
+    """The fold's headline beside a stored one (a row of `headline`), where any field differs;
+    empty when both describe the same model and split."""
+    return count_mismatches(headline(report, fold), stored, "fold", HEADLINE)
+
+
+def check_headline(report: RollingReport, fold: int, stored: DataFrame) -> None:
+    require_equal(same_headline(report, fold, stored), "headline of a fold")
