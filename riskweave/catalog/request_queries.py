@@ -451,3 +451,54 @@ def failure_gate(spark, folder):
     )
     classes = ["failed_5xx", "failed_other_status", "failed_connection"]
     return requests.failure_gate(phases, classes, ["run"])
+
+
+RELEASE_SQL = COUNTERS_SQL + """, f AS (SELECT run, count(*) FILTER (status = 500) AS n FROM log GROUP BY 1),
+b AS (SELECT DISTINCT run || instance AS instance FROM log WHERE run = 'run0'),
+a AS (SELECT DISTINCT run || instance AS instance FROM log WHERE run = 'run2'),
+r AS (SELECT max(t1) - max(start_us) FILTER (instance = 'i1') AS margin FROM log),
+k AS (SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS kept),
+g AS (SELECT 'no failures in ' || run AS "check", n = 0 AS holds, CAST(n AS VARCHAR) AS found FROM f
+  UNION ALL SELECT 'rollout ended under load', margin > 0, CAST(margin AS VARCHAR) FROM r
+  UNION ALL SELECT 'every instance replaced', n > 0 AND kept = 0, CAST(kept AS VARCHAR) FROM k
+  UNION ALL SELECT 'counters complete', bool_and(requests >= 0) AND (SELECT abs((SELECT sum(requests) FROM c0)
+    - count(*) FILTER (start_us < t0 + (t1 - t0) / 2 AND instance <> 'i7')) <= 2 FROM log),
+    CAST(sum(requests) AS VARCHAR) FROM dl)"""
+
+
+def release(spark, folder):
+    rows = log(spark, folder)
+    bad = rows.select("run", (F.col("status") == 500).cast("long").alias("failed"))
+    end = F.max(F.when(F.col("instance") == "i1", F.col("start_us")))
+    rollout = rows.agg(end.alias("rollout_end_us"), F.max("t1").alias("load_end_us"))
+    named = rows.withColumn("instance", F.concat("run", "instance"))
+    before, after = counters(spark, folder)
+    sent = rows.where(
+        (F.col("start_us") < F.col("t0") + (F.col("t1") - F.col("t0")) / 2) & (F.col("instance") != "i7")
+    )
+    return requests.release_gate(
+        requests.failure_gate(bad, ["failed"], ["run"]),
+        rollout,
+        requests.replaced(named.where("run = 'run0'"), named.where("run = 'run2'")),
+        requests.counters_complete(
+            before, requests.counter_delta(before, after), sent.agg(F.count(F.lit(1)).alias("n")).scalar()
+        ),
+        "run",
+    )
+
+
+@query("l12_release_gate", "WITH " + RELEASE_SQL + " SELECT * FROM g")
+def release_gate(spark, folder):
+    """Failures of every phase, the end of the rollout, replaced instances and counters."""
+    return release(spark, folder)
+
+
+@query(
+    "l12_release_passes",
+    "WITH "
+    + RELEASE_SQL
+    + """ SELECT bool_and(holds) AS passes,
+  array_to_string(list_sort(list("check") FILTER (NOT holds)), '; ') AS problems FROM g""",
+)
+def release_passes(spark, folder):
+    return requests.gate_passes(release(spark, folder))

@@ -322,3 +322,43 @@ def failure_gate(phases: DataFrame, classes: Sequence[str], by: Sequence[str]) -
     return sums.select(
         *by, total.alias("failed_total"), F.array_join(violated, ",").alias("problems")
     )
+
+
+def release_gate(
+    failures: DataFrame, rollout: DataFrame, replacement: DataFrame, counters: DataFrame, by: str
+) -> DataFrame:
+    """(check, holds, found): everything that a release under load must show.
+
+    `failures` is `failure_gate`'s table, a check per phase; `rollout` one row (rollout_end_us,
+    load_end_us); `replacement` and `counters` are the rows of `replaced` and
+    `counters_complete`. What was not measured (a null) does not hold.
+    """
+    phases = failures.select(
+        F.concat(F.lit("no failures in "), F.col(by)).alias("check"),
+        (F.col("failed_total") == 0).alias("holds"),
+        F.col("failed_total").cast("string").alias("found"),
+    )
+    margin = F.col("load_end_us") - F.col("rollout_end_us")
+    ended = rollout.select(
+        F.lit("rollout ended under load").alias("check"), (margin > 0).alias("holds"), margin.cast("string").alias("found")
+    )
+    new = replacement.select(
+        F.lit("every instance replaced").alias("check"),
+        F.col("every_instance_replaced").alias("holds"),
+        F.col("instances_kept").cast("string").alias("found"),
+    )
+    whole = counters.select(
+        F.lit("counters complete").alias("check"),
+        (F.col("monotone") & F.col("total_matches")).alias("holds"),
+        F.col("delta_total").cast("string").alias("found"),
+    )
+    rows = phases.unionByName(ended).unionByName(new).unionByName(whole)
+    return rows.withColumn("holds", F.coalesce("holds", F.lit(False)))
+
+
+def gate_passes(gate: DataFrame) -> DataFrame:
+    """One row: whether all checks hold, and those that do not, by name."""
+    failing = F.array_sort(F.collect_list(F.when(~F.col("holds"), F.col("check"))))
+    return gate.agg(
+        F.coalesce(F.bool_and("holds"), F.lit(False)).alias("passes"), F.array_join(failing, "; ").alias("problems")
+    )

@@ -147,3 +147,19 @@ def test_gate_lists_violations(spark):
     got = {r["phase"]: r for r in requests.failure_gate(df, ["a", "b", "c"], ["phase"]).collect()}
     assert (got["steady"]["failed_total"], got["steady"]["problems"]) == (0, "")
     assert (got["restart"]["failed_total"], got["restart"]["problems"]) == (3, "a,c")
+
+
+def test_release_gate_names_what_does_not_hold(spark):
+    failures = spark.createDataFrame([("steady", 0), ("rollout", 3)], "phase string, failed_total long")
+    rollout = spark.createDataFrame([(5, 9)], "rollout_end_us long, load_end_us long")
+    new = spark.createDataFrame([(2, 0, True)], "instances_after long, instances_kept long, every_instance_replaced boolean")
+    counted = spark.createDataFrame([(10, True, None)], "delta_total long, monotone boolean, total_matches boolean")
+    gate = requests.release_gate(failures, rollout, new, counted, "phase")
+    assert {r["check"]: r["holds"] for r in gate.collect()} == {
+        "no failures in steady": True, "no failures in rollout": False, "rollout ended under load": True,
+        "every instance replaced": True, "counters complete": False,
+    }
+    assert tuple(requests.gate_passes(gate).first()) == (False, "counters complete; no failures in rollout")
+    late = spark.createDataFrame([(9, 9)], "rollout_end_us long, load_end_us long")
+    again = requests.release_gate(failures, late, new, counted, "phase")
+    assert "rollout ended under load" in requests.gate_passes(again).first()["problems"]
