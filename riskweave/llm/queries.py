@@ -7,6 +7,7 @@ parameters; digests and counts of its columns are derived here.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from riskweave.llm import (
     toxicity,
     warc,
 )
+from riskweave.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,27 +74,51 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# what an earlier run read by: the rule of URLs was narrower before its second version
+EARLIER_RULES = [
+    replace(r, version=1, pattern=r"://[^\s:/@]{1,256}:[^\s/@]{1,256}@") if r.kind == "url" else r
+    for r in secrets.RULES
+]
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.report(table(spark, folder, "documents"))
+    """The whole table against a ledger in which an earlier instalment of it, half of the rows,
+    was read by earlier rules: their blobs are read again by the raised rule only."""
+    docs, ledger = table(spark, folder, "documents"), scratch_path(spark, "secret-ledger")
+    secrets.scan_into(docs.where(F.xxhash64("doc_id") >= 0), ledger, EARLIER_RULES)
+    return secrets.report(docs, ledger=ledger)
+
+
+# (kind, pattern, characters at least, group they are counted in), written apart from the operator
+SECRETS_SQL = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", r"AKIA[A-Z0-9]+", 20, 0),
+    ("hex", r"[0-9a-f]+", 24, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]*", 0, 0),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("url", r"://[^\s:/@]+:[^\s/@]+@", 0, 0),
+]
 
 
 def _op5_sql() -> str:
     """Matches and what lies between them, per rule; their lengths added up are the positions."""
     found, spans = [], []
-    for i, rule in enumerate(secrets.RULES):
-        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    for i, (kind, plain, least, group) in enumerate(SECRETS_SQL):
+        pattern = "'" + plain.replace("'", "''") + "'"
         found.append(f"regexp_extract_all(t, {pattern}) AS h{i}, regexp_split_to_array(t, {pattern}) AS g{i}")
         start = (
             f"(list_sum(list_transform(g{i}[1:k], lambda x: length(x)))"
             f" + coalesce(list_sum(list_transform(h{i}[1:k - 1], lambda x: length(x))), 0))::BIGINT"
         )
-        hit = f"regexp_extract(z.h, {pattern}, {rule.group})" if rule.group else "z.h"
+        hit = f"regexp_extract(z.h, {pattern}, {group})" if group else "z.h"
         spans.append(
             f"list_filter(list_transform(range(1, len(h{i}) + 1), lambda k: "
-            f"{{'s': {start}, 'r': {i}, 'k': '{rule.kind}', 'h': h{i}[k]}}), "
-            f"lambda z: length({hit}) >= {rule.least})"
+            f"{{'s': {start}, 'r': {i}, 'k': '{kind}', 'h': h{i}[k]}}), "
+            f"lambda z: length({hit}) >= {least})"
         )
-    base = [r.kind for r in secrets.BASE_RULES]
+    base = ["assign", "access", "hex"]
     counts = ", ".join(f"len(list_filter(a, lambda z: z.k = '{k}')) AS n_{k}" for k in base)
     text = "array_to_string(list_transform({}, lambda z: z.k || ':' || z.s || ':' || (z.s + length(z.h))), ',')"
     return f"""

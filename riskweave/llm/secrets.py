@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.rows import DOC, unwrapped, wrapped
@@ -125,8 +125,9 @@ def scan_blobs(
         )
         done = read.where(F.size("_read") == len(rules)).select("blob")
         todo = (
-            blobs.join(done, "blob", "left_anti")
-            .dropDuplicates(["blob"])
+            # copies go before the joins, so that a text of many rows is one row there
+            blobs.dropDuplicates(["blob"])
+            .join(done, "blob", "left_anti")
             .join(read, "blob", "left")
             .withColumn("rules", F.array_except(every, F.coalesce("_read", F.array().cast("array<string>"))))
         )
@@ -173,10 +174,44 @@ def scan(
     return unwrapped(joined, docs, **{name: spans}), added
 
 
-def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, counts of the base kinds, digest of the base spans, all spans as text."""
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger kept in a folder, all instalments of it; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(LEDGER_SCHEMA).parquet(folder)
+
+
+def scan_into(
+    docs: DataFrame,
+    folder: str,
+    rules: Sequence[Rule] = RULES,
+    text_column: str = "text",
+    name: str = "spans",
+) -> DataFrame:
+    """`scan` against the ledger kept in `folder`, which gets the new rows as one more instalment.
+
+    An instalment that fails leaves nothing behind, and one that is run again finds nothing left
+    to read.
+    """
+    spark = docs.sparkSession
+    scan_blobs(docs, read_ledger(spark, folder), rules, text_column).write.mode("append").parquet(folder)
+    findings = current_findings(read_ledger(spark, folder), rules).select(F.col("blob").alias("found_blob"), "spans")
+    joined = wrapped(docs, blob=blob_of(F.col(text_column))).join(findings, F.col("blob") == F.col("found_blob"), "left")
+    return unwrapped(joined, docs, **{name: F.coalesce("spans", F.array().cast(_SPANS))})
+
+
+def report(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ledger: str | None = None
+) -> DataFrame:
+    """Per row: id, counts of the base kinds, digest of the base spans, all spans as text.
+
+    With the folder of a ledger only pairs of blob and rule version that it lacks are read."""
     slim = docs.select(F.col(id_column), F.col(text_column))
-    found, _ = scan(slim, text_column=text_column)
+    if ledger is None:
+        found, _ = scan(slim, text_column=text_column)
+    else:
+        found = scan_into(slim, ledger, text_column=text_column)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     counts = [
         F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

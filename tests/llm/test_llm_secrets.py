@@ -95,3 +95,30 @@ def test_long_passwords_in_urls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean == {1: "see http[SECRET]host", 2: "http[SECRET]host", 3: rows[2][1]}
+
+
+def test_a_kept_ledger_over_instalments(spark, tmp_path):
+    """Rows come in two steps, a rule is raised in between; only what is unread is read."""
+    docs, folder = spark.read.parquet(f"{SMALL}/documents.parquet"), f"{tmp_path}/ledger"
+    assert secrets.read_ledger(spark, folder) is None
+    first = docs.where("doc_id < 120")
+    older = [replace(r, version=1, pattern=r.pattern.replace("+", "{1,3}")) if r.kind == "url" else r for r in secrets.RULES]
+    secrets.scan_into(first, folder, older)
+    assert secrets.read_ledger(spark, folder).count() == first.select("text").distinct().count()
+    got = secrets.report(docs, ledger=folder)
+    assert sorted(map(str, got.collect())) == sorted(map(str, secrets.report(docs).collect()))
+    ledger = secrets.read_ledger(spark, folder)
+    pairs = ledger.selectExpr("blob", "explode(rules) AS rule")
+    assert pairs.count() == pairs.distinct().count()  # no pair is read twice
+    again = {tuple(r.rules) for r in ledger.collect() if len(r.rules) == 1}
+    assert again == {("url@2",)}
+    before = ledger.count()
+    secrets.scan_into(docs, folder)  # run again: nothing left to read
+    assert secrets.read_ledger(spark, folder).count() == before
+
+
+def test_the_ledger_takes_edge_rows(spark, tmp_path):
+    docs = edge_documents(spark)
+    got = secrets.report(docs, ledger=f"{tmp_path}/a").collect()
+    assert sorted(map(str, got)) == sorted(map(str, secrets.report(docs).collect()))
+    assert secrets.report(empty_documents(spark), ledger=f"{tmp_path}/b").count() == 0
