@@ -93,7 +93,7 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 SECRETS_SQL = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
-    ("hex", r"[0-9a-f]+", 24, 0),
+    ("hex", r"[0-9a-f]{24,}", 24, 0),  # the same as runs of 24 or more, in fewer matches
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]*", 0, 0),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
