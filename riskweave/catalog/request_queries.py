@@ -197,7 +197,7 @@ def top_leaves(spark, folder):
 
 
 HOUR_SQL = LOG_SQL + """, hb AS (SELECT run, (start_us - t0) // 3600000000 * 3600 AS offset_s,
-  count(*) AS requests, count(*) FILTER (status <> 200) AS failed, max(t0) / 1e6 AS t0_s,
+  count(*) AS requests, count(*) FILTER (status <> 200) AS failed,
   floor((max(t1) - max(t0)) / 1e6) AS dur FROM log GROUP BY 1, 2)"""
 
 
@@ -211,11 +211,11 @@ def hour_buckets(spark, folder):
     )
 
 
-# 2024-01-03, 2024-01-06 and 2024-01-09 UTC
+# seconds after the first request: two, five and eight days
 WINDOWS = [
-    ("early", None, 1704240000.0),
-    ("middle", 1704240000.0, 1704499200.0),
-    ("late", 1704758400.0, None),
+    ("early", None, 172800.0),
+    ("middle", 172800.0, 432000.0),
+    ("late", 691200.0, None),
     ("never", 1.0, 2.0),
 ]
 
@@ -224,10 +224,10 @@ WINDOWS = [
     "l5_bucket_windows",
     "WITH "
     + HOUR_SQL
-    + """, wd("window", lo, hi) AS (VALUES ('early', NULL, 1704240000e0),
-  ('middle', 1704240000e0, 1704499200e0), ('late', 1704758400e0, NULL), ('never', 1e0, 2e0)),
+    + """, wd("window", lo, hi) AS (VALUES ('early', NULL, 172800e0),
+  ('middle', 172800e0, 432000e0), ('late', 691200e0, NULL), ('never', 1e0, 2e0)),
 x AS (SELECT run, "window", offset_s, requests, failed, offset_s + 3600 <= dur
-    AND (lo IS NULL OR t0_s + offset_s >= lo) AND (hi IS NULL OR t0_s + offset_s + 3600 <= hi)
+    AND (lo IS NULL OR offset_s >= lo) AND (hi IS NULL OR offset_s + 3600 <= hi)
     AS inside FROM hb CROSS JOIN wd)
 SELECT run, "window", count(*) FILTER (inside) AS full_buckets,
   min(offset_s) FILTER (inside) AS from_s, max(offset_s + 3600) FILTER (inside) AS to_s,
@@ -243,7 +243,7 @@ def bucket_windows(spark, folder):
         hour_buckets(spark, folder),
         WINDOWS,
         ["run"],
-        F.col("t0") / 1e6,
+        F.lit(0.0),
         F.lit(3600),
         F.floor((F.col("t1") - F.col("t0")) / 1e6),
     )
@@ -254,15 +254,14 @@ def bucket_windows(spark, folder):
     "WITH "
     + HOUR_SQL
     + """ SELECT run, count(*) AS full_buckets, CAST(sum(requests) AS BIGINT) AS requests FROM hb
-WHERE offset_s + 3600 <= dur AND t0_s + offset_s >= 1704240000e0
-  AND t0_s + offset_s + 3600 <= 1704758400e0 GROUP BY 1""",
+WHERE offset_s + 3600 <= dur AND offset_s >= 172800e0 AND offset_s + 3600 <= 691200e0 GROUP BY 1""",
 )
 def contained_buckets(spark, folder):
     out = requests.bucket_windows(
         hour_buckets(spark, folder),
-        [("span", 1704240000.0, 1704758400.0)],
+        [("span", 172800.0, 691200.0)],
         ["run"],
-        F.col("t0") / 1e6,
+        F.lit(0.0),
         F.lit(3600),
         F.floor((F.col("t1") - F.col("t0")) / 1e6),
     )
