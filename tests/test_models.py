@@ -309,3 +309,21 @@ def test_business_case_and_its_guard(tx, linear):
         business.check_against_stored(
             scored, stored.withColumn("fraud_missed", F.col("fraud_missed") + 1)
         )
+
+
+def test_a_grid_goes_on_where_it_ended(tx, tmp_path, monkeypatch):
+    half = tx.where("transaction_id < 't0300'"), tx.where("transaction_id >= 't0300'")
+    sets = {"base": grid.Slices(*half, *half)}
+    variants = [grid.Variant("a", "gbt", 2, 0.1), grid.Variant("b", "gbt_shallow", 2, 0.1)]
+    first = grid.grid_scores(sets, variants[:1], 1, str(tmp_path)).count()
+    assert first == 2 * half[1].count()
+    asked = []
+    fit_all = detector.fit_all
+    monkeypatch.setattr(detector, "fit_all", lambda t, s, seed: asked.append([x[0] for x in s]) or fit_all(t, s, seed))
+    scores = grid.grid_scores(sets, variants, 1, str(tmp_path))
+    assert asked == [["gbt_shallow"], ["gbt_shallow"]] and scores.count() == 2 * first
+    assert {tuple(r) for r in scores.select("variant", "slice").distinct().collect()} == {
+        (v, s) for v in "ab" for s in ("test", "validation")
+    }
+    asked.clear()
+    assert grid.grid_scores(sets, variants, 1, str(tmp_path)).count() == 2 * first and asked == []
