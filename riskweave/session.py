@@ -91,8 +91,9 @@ def side_by_side(fn: Callable[[T], R], items: Sequence[T], at_once: int = 8) ->
     For a bounded number of items, such as the fits of a grid. The first error is raised."""
     if len(items) < 2:
         return [fn(i) for i in items]
-    # each thread gets the caller's local properties and tags
-    carried = inheritable_thread_target(SparkSession.getActiveSession())
+    # each thread gets the caller's local properties; a thread of its own has no active session
+    session = SparkSession.getActiveSession()
+    carried = inheritable_thread_target(session) if session else inheritable_thread_target
     with ThreadPoolExecutor(min(at_once, len(items))) as pool:
         return [f.result() for f in [pool.submit(carried(fn), i) for i in items]]
 

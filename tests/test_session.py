@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from riskweave.session import shared_folder, store
+from riskweave.session import shared_folder, side_by_side, store
 
 
 def fake(master, conf):
@@ -29,3 +29,13 @@ def test_local_mode_takes_a_temporary_folder():
 def test_store_reads_the_same_rows(spark):
     assert store(spark.range(5), "five").count() == 5
     assert store(spark.range(0), "none").count() == 0
+
+
+def test_side_by_side_nests(spark):
+    def outer(n):
+        return sum(side_by_side(lambda k: spark.range(k + 1).count(), [n, n + 1]))
+
+    assert side_by_side(outer, [0, 1, 2]) == [3, 5, 7]
+    assert side_by_side(outer, []) == []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(lambda n: 1 // n, [1, 0])
