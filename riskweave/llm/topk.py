@@ -3,17 +3,22 @@
 A vector is cut into segments; each keeps its mean and its deviation. For two vectors the sum
 over segments of s ((mean - mean')^2 + (dev - dev')^2) is a lower bound of their squared
 distance, so with |q|^2 + |v|^2 - 2 <q, v> = distance^2 it bounds the inner product from above.
-More and shorter segments bound more tightly. Pairs are tested coarse to fine against the best
-scores known so far, and exact products are computed for the survivors only.
 
-Queries and rows meet in blocks of bounded size; every pair of blocks is searched.
+The segments follow the query: its components are put in order of size, the largest first. At
+the coarsest level the leading quarter are segments of their own, of one component each, and all
+others are one segment. Each finer level splits further components off that one. So most of
+the query's length is known exactly early on, also where vectors have no structure of their own.
+A level is worked out for the rows that the coarser ones left; the last one is the product.
+
+Queries and rows meet in blocks of bounded size; every pair of blocks is searched. One block of
+rows in sixteen is searched first: what it finds is each query's bound in all the others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.vectors import best_rows, block_of, blocks_for, every_block, first_copies, matrix, packed_vectors, ranked, rows_for
@@ -21,26 +26,31 @@ from riskweave.session import store
 
 NEIGHBOURS = 5
 SCALE = 256.0
-LEVELS = (4, 8, 16, 32)  # segments, coarse to fine
+LEVELS = (16, 20, 24, 28, 32, 40, 48, 64)  # components out of 64 that are known, coarse to fine
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 8192
-_SLICE = 512
-_DEEP = 64  # more rows are not scored ahead only to find a bound
+SEED_STRIDE = 16  # one block of rows in so many is searched first
+_FIRST = 128  # rows searched before there is a bound; each further run is twice as long
+_DEEP = 64  # beyond so many rows for one id in k, all are scored
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    """floor(256 x) of each component; whole numbers in double precision."""
-    return np.floor(SCALE * x)
+    """floor(256 x) of each component; whole numbers in double precision, cut to its range."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(SCALE * x))
+
 
+def levels_of(dim: int) -> list[int]:
+    return sorted({-(-dim * n // LEVELS[-1]) for n in LEVELS})
 
-def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Means and deviations of the segments, scaled so that plain products of two rows bound
-    their inner product. Short rows are padded with zeros, which change no product."""
-    width = -(-x.shape[1] // segments)
-    full = np.zeros((len(x), width * segments))
-    full[:, : x.shape[1]] = x
-    parts = full.reshape(len(x), segments, width)
-    return np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1) * np.sqrt(width)
+
+def rest_bound(sum_a, squares_a, sum_b, squares_b, width: int):
+    """No inner product of two segments of `width` components with these sums and sums of squares
+    is higher."""
+    mean = sum_a * sum_b / width
+    dev_a = np.sqrt(np.maximum(squares_a - sum_a * sum_a / width, 0))
+    dev_b = np.sqrt(np.maximum(squares_b - sum_b * sum_b / width, 0))
+    return mean + dev_a * dev_b
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,47 +67,72 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_in_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): the k best rows of a block for each query of a block."""
-    out = []
+    """(query_id, vec_id, score): the k best rows of a block for each query of a block, without
+    those below the query's `least`."""
+    out = [np.zeros((0, 3), np.int64)]
     if len(vectors) and len(queries):
         vectors = first_copies(vectors, k + 1)
-        x, ids = quantised(matrix(vectors["vec"])), vectors["id"].to_numpy()
-        levels = [n for n in LEVELS if n < x.shape[1]]
-        coarse = {n: segment_statistics(x, n) for n in levels}
-        for a in range(0, len(queries), _SLICE):
-            part = queries.iloc[a : a + _SLICE]
-            q, own = quantised(matrix(part["vec"])), part["id"].to_numpy()
-            out.append(_search(q, own, x, ids, coarse, k))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-
-def _search(q, own, x, ids, coarse, k):
-    """Queries against all rows of a block. A level's statistics are worked out for pairs that
-    the coarser levels left; the first bound of a query comes from its rows of highest bound."""
-    alive = own[:, None] != ids[None, :]
-    # sums of products of this size are off by less than this
-    deep = rows_for(k, ids)
-    slack = 1e-9 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1])
-    least = np.full(len(q), -np.inf)
-    for n, stats in coarse.items():
-        bound = segment_statistics(q, n) @ stats.T + slack
-        bound[~alive] = -np.inf
-        if deep < len(ids) and deep <= _DEEP:
-            top = np.argpartition(bound, -deep, axis=1)[:, -deep:]
-            known = np.take_along_axis(alive, top, axis=1)
-            score = exact_products(np.repeat(q, deep, axis=0), x[top.ravel()]).reshape(len(q), deep)
-            # a bound only where so many rows are known
-            worst = np.where(known.all(axis=1), score.min(axis=1), -np.inf)
-            least = np.maximum(least, worst)
-        alive &= bound >= least[:, None]
-    out = [], [], []
-    for a in range(len(q)):
-        j = np.flatnonzero(alive[a])
-        score = exact_products(np.broadcast_to(q[a], (len(j), q.shape[1])), x[j])
-        for column, values in zip(out, best_rows(np.full(len(j), own[a]), ids[j], score, k)):
-            column.append(values)
-    return [np.concatenate(c).astype(np.int64) for c in out]
+        block = Block(quantised(matrix(vectors["vec"])), vectors["id"].to_numpy(), k)
+        for q, own, least in zip(quantised(matrix(queries["vec"])), queries["id"], queries["least"]):
+            out.append(block.best(q, own, least))
+    return pd.DataFrame(np.concatenate(out), columns=["query_id", "vec_id", "score"])
+
+
+class Block:
+    """A block of rows, searched one query at a time. `products` counts the multiplied components."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
+        self.x, self.ids, self.k = x, ids, k
+        self.by_component = np.ascontiguousarray(x.T)
+        self.sums, self.squares = x.sum(axis=1), (x * x).sum(axis=1)
+        # a query's own id takes up to that many more rows
+        self.deep = rows_for(k, ids)
+        self.levels = levels_of(x.shape[1])
+        self.top = np.abs(x).max(initial=0)
+        self.products = 0
+
+    def best(self, q: np.ndarray, own: int, least: float) -> np.ndarray:
+        """(query_id, vec_id, score) of the k best rows that score `least` or more."""
+        scores, rows, size = np.zeros(0, np.int64), np.zeros(0, np.int64), len(self.ids)
+        start, run = 0, size if least > -np.inf or self.deep > _DEEP else _FIRST
+        while start < size:
+            end = min(size, start + run)
+            alive = start + np.flatnonzero(self.ids[start:end] != own)
+            alive = self._survivors(q, alive, least)
+            scores = np.r_[scores, exact_products(np.broadcast_to(q, (len(alive), len(q))), self.x[alive])]
+            rows = np.r_[rows, alive]
+            if self.deep <= _DEEP and len(scores) >= self.deep:
+                # so many rows hold k different ids
+                least = max(least, np.partition(scores, -self.deep)[-self.deep])
+                keep = scores >= least
+                scores, rows = scores[keep], rows[keep]
+            start, run = end, 2 * run
+        return np.stack(best_rows(np.full(len(rows), own), self.ids[rows], scores, self.k), axis=1).astype(np.int64)
+
+    def _survivors(self, q: np.ndarray, alive: np.ndarray, least: float) -> np.ndarray:
+        dim = len(q)
+        if least == -np.inf:
+            self.products += dim * len(alive)
+            return alive
+        # sums of products of this size are off by less than this
+        slack = 1e-9 * (1 + np.abs(q).max(initial=0) * self.top * dim)
+        order = np.argsort(-np.abs(q), kind="stable")
+        whole = self.squares[alive]
+        known, sums, squares, done = np.zeros(len(alive)), self.sums[alive], whole, 0
+        for level in self.levels:
+            at = order[done:level]
+            part = self.by_component[np.ix_(at, alive)]
+            self.products += part.size
+            known, done = known + q[at] @ part, level
+            bound = known + slack
+            if done < dim:
+                sums, squares = sums - part.sum(axis=0), squares - np.einsum("ij,ij->j", part, part)
+                rest = q[order[done:]]
+                off = 1e-14 * dim
+                bound += rest_bound(sums, squares + off * whole, rest.sum(), rest @ rest * (1 + off), dim - done)
+            keep = ~(bound < least)  # sums beyond all numbers stay
+            alive, known, sums, squares, whole = alive[keep], known[keep], sums[keep], squares[keep], whole[keep]
+        return alive
 
 
 def top_products(
@@ -129,13 +164,27 @@ def top_products(
     dealt = base.join(F.broadcast(blocks), "dim").select(
         "dim", block_of(F.col("id"), F.col("parts")).alias("part"), every_block(F.col("turns")).alias("turn"), "id", "vec"
     )
-    asking = asked.join(F.broadcast(blocks), "dim").select(
-        "dim", every_block(F.col("parts")).alias("part"), block_of(F.col("id"), F.col("turns")).alias("turn"), "id", "vec"
-    )
+    early = F.col("part") % SEED_STRIDE == 0
+
+    def asking(queries: DataFrame, least: Column) -> DataFrame:
+        return queries.join(F.broadcast(blocks), "dim").select(
+            "dim", every_block(F.col("parts")).alias("part"), block_of(F.col("id"), F.col("turns")).alias("turn"),
+            "id", "vec", F.coalesce(least, F.lit(-np.inf)).alias("least"),
+        )
+
+    first = ranked(_searched(dealt.where(early), asking(asked, F.lit(-np.inf)).where(early), k), k)
+    first = store(first.drop("rank"), "first")
+    # a score that k rows reach, for each query that has found so many
+    bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("have"), F.min("score").alias("low"))
+    known = F.when(F.col("have") == k, F.col("low").cast("double"))
+    rest = _searched(dealt.where(~early), asking(asked.join(bounds, "id", "left"), known).where(~early), k)
+    return ranked(first.unionByName(rest), k)
+
+
+def _searched(dealt: DataFrame, asking: DataFrame, k: int) -> DataFrame:
     group = ["dim", "part", "turn"]
-    found = (
+    return (
         dealt.groupBy(*group)
         .cogroup(asking.groupBy(*group))
         .applyInPandas(lambda v, q: best_in_block(v, q, k), "query_id long, vec_id long, score long")
     )
-    return ranked(found, k)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from edge_rows import CLASHING
 
@@ -82,12 +83,42 @@ def test_top_products_in_small_blocks(spark, monkeypatch, dim):
     assert got == brute(rows, True, integer_product)
 
 
-def test_bounds_hold():
-    rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(50, 20)) * 100, rng.normal(size=(60, 20)) * 100
-    for n in (1, 4, 8, 20):
-        bound = topk.segment_statistics(a, n) @ topk.segment_statistics(b, n).T
-        assert (bound >= a @ b.T - 1e-6).all()
+@pytest.mark.parametrize("width", [1, 2, 20])
+def test_bounds_hold(width):
+    rng = np.random.default_rng(width)
+    a, b = rng.normal(size=(50, 1, width)) * 100, rng.normal(size=(1, 60, width)) * 100
+    b[0, :10] = a[:10, 0]
+    bound = topk.rest_bound(a.sum(2), (a * a).sum(2), b.sum(2), (b * b).sum(2), width)
+    assert (bound >= (a * b).sum(2) - 1e-6).all()
+
+
+@pytest.mark.parametrize("folder, most", [("sf0.01", 0.75), ("sf0.1", 0.5)])
+def test_bounds_save_products(folder, most):
+    """Of the products of a full search, in one block without a bound from other blocks."""
+    data = pq.read_table(f"/root/testdata/{folder}/embeddings.parquet").to_pandas()
+    x, ids = topk.quantised(np.array(data.embedding.tolist(), float)), data.vec_id.to_numpy()
+    block = topk.Block(x, ids, 5)
+    asked = np.flatnonzero(ids % 50 == 0)
+    for i in asked:
+        score = (x @ x[i]).astype(np.int64)
+        order = np.lexsort((ids, -score))
+        order = order[order != i][:5]
+        got = block.best(x[i], ids[i], -np.inf)
+        assert got[:, 1].tolist() == ids[order].tolist() and got[:, 2].tolist() == score[order].tolist()
+    assert block.products <= most * len(asked) * x.size
+    before = block.products
+    for i in asked:
+        # with the final bound, as most blocks have it
+        got = block.best(x[i], ids[i], np.sort(x @ x[i])[-6])
+        assert len(got) == 5
+    assert block.products - before <= (most - 0.04) * len(asked) * x.size
+
+
+def test_top_products_of_the_largest_numbers(spark):
+    rows = [(i, [1e308 * (-1) ** i, 1.0, float(i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(topk.top_products(df, df.where("vec_id % 50 = 0")))
+    assert got[0] == [(i, 2**63 - 1) for i in (2, 4, 6, 8, 10)]
 
 
 def test_hadamard_is_a_rotation():
