@@ -116,13 +116,9 @@ def _probes(segment: int, key: Column, masks: list[int]) -> Column:
     )
 
 
-def hamming_links(
-    fingerprints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS
-) -> DataFrame:
-    """(u, v), u < v: all pairs of the distinct BIGINT `fp` at `distance` differing bits or fewer.
-
-    A pair may appear more than once. Only verified pairs leave the join.
-    """
+def _table_and_probes(fingerprints: DataFrame, distance: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of (segment, key) with the columns of `fingerprints` as `row`: the keys of each
+    `fp`, and all keys that one at `distance` or less may have in a segment."""
     tables, probes, shift = [], [], 0
     for i, (width, radius) in enumerate(
         zip(segment_widths(segments), probe_radii(segments, distance))
@@ -133,15 +129,70 @@ def hamming_links(
             continue
         tables.append(F.struct(F.lit(i).alias("segment"), key.alias("key")))
         probes.append(_probes(i, key, _ball(width, radius)))
-    table = fingerprints.select("fp", F.explode(F.array(*tables)).alias("s")).select(
-        F.col("fp").alias("v"), "s.segment", "s.key"
+    row = F.struct("*").alias("row")
+    table = fingerprints.select(row, F.inline(F.array(*tables)))
+    return table, fingerprints.select(row, F.inline(F.flatten(F.array(*probes))))
+
+
+def _near(a: Column | str, b: Column | str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def hamming_links(
+    fingerprints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS
+) -> DataFrame:
+    """(u, v), u < v: all pairs of the distinct BIGINT `fp` at `distance` differing bits or fewer.
+
+    A pair may appear more than once. Only verified pairs leave the join.
+    """
+    table, probe = _table_and_probes(fingerprints.select("fp"), distance, segments)
+    met = probe.select("segment", "key", F.col("row.fp").alias("u")).join(
+        table.select("segment", "key", F.col("row.fp").alias("v")), ["segment", "key"]
     )
-    probe = fingerprints.select("fp", F.explode(F.flatten(F.array(*probes))).alias("s")).select(
-        F.col("fp").alias("u"), "s.segment", "s.key"
+    return met.where((F.col("u") < F.col("v")) & _near("u", "v", distance)).select("u", "v")
+
+
+def first_links(fingerprints: DataFrame, distance: int, segments: int) -> DataFrame:
+    """(u, v), at most one for each `fp` u: the smallest v among the smallest fingerprints of the
+    buckets that u looks up, where it is at `distance` or less. The work is a row per probe,
+    however many fingerprints a bucket holds."""
+    table, probe = _table_and_probes(fingerprints.select("fp"), distance, segments)
+    lowest = table.groupBy("segment", "key").agg(F.min("row.fp").alias("v"))
+    met = probe.select("segment", "key", F.col("row.fp").alias("u")).join(lowest, ["segment", "key"])
+    return met.where((F.col("u") > F.col("v")) & _near("u", "v", distance)).groupBy("u").agg(F.min("v").alias("v"))
+
+
+def crossing_links(grouped: DataFrame, distance: int, segments: int) -> DataFrame:
+    """(u, v), u < v, each once: the pairs of groups that a link joins. `grouped`: (fp, root).
+
+    Pairs inside a group end in the join, and equal pairs of groups are made one before the
+    shuffle.
+    """
+    table, probe = _table_and_probes(grouped.select("fp", "root"), distance, segments)
+    met = probe.select("segment", "key", F.col("row.fp").alias("a"), F.col("row.root").alias("u")).join(
+        table.select("segment", "key", F.col("row.fp").alias("b"), F.col("row.root").alias("v")), ["segment", "key"]
     )
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    same = (probe.segment == table.segment) & (probe.key == table.key)
-    return probe.join(table, same & (F.col("u") < F.col("v")) & near).select("u", "v")
+    return met.where((F.col("u") < F.col("v")) & _near("a", "b", distance)).select("u", "v").distinct()
+
+
+def fingerprint_roots(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, root) for distinct `fp`: fingerprints that links join, over any number of them, have
+    the same root, one of them.
+
+    Links are followed in two steps, so that a dense family of k fingerprints does not write its
+    k^2 / 2 pairs: first one link for each fingerprint, contracted; then only links between what
+    is still apart.
+    """
+    fps = distinct.select("fp")
+    parts = connected_components(first_links(fps, distance, segments))
+    grouped = store(_rooted(fps, F.col("fp"), parts).select("fp", "root"), "groups")
+    joined = connected_components(crossing_links(grouped, distance, segments))
+    grouped = grouped.withColumnRenamed("root", "part")
+    return _rooted(grouped, F.col("part"), joined).select("fp", "root")
+
+
+def _rooted(rows: DataFrame, node: Column, components: DataFrame) -> DataFrame:
+    return rows.join(components, node == components.node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def fingerprint_groups(
@@ -153,10 +204,7 @@ def fingerprint_groups(
     non-null id in it, null only if all its ids are null.
     """
     distinct = store(marked.groupBy("fp").agg(F.min(id_column).alias("low")), "fingerprints")
-    roots = connected_components(hamming_links(distinct, distance, segments))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = distinct.join(fingerprint_roots(distinct, distance, segments), "fp")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rooted.select("fp", "root").join(lows, "root")
 

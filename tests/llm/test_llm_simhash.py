@@ -80,6 +80,34 @@ def test_links_are_all_pairs_within_the_distance(spark, segments):
     assert got == want
 
 
+def test_dense_families_write_few_links(spark):
+    """Two balls of variants and a chain: whole components, without a row for each linked pair."""
+    rng = random.Random(7)
+
+    def varied(fp):
+        for bit in rng.sample(range(64), rng.randint(1, 4)):
+            fp ^= 1 << bit
+        return fp
+
+    found = {rng.getrandbits(64) for _ in range(300)}
+    for centre in (rng.getrandbits(64), 0):
+        found |= {varied(centre) for _ in range(600)}
+    link = rng.getrandbits(64)
+    for _ in range(600):
+        found.add(link)
+        link = varied(link)
+    want = {f: root for f, _, root in plain_components([(f, f) for f in found])}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in found}
+    df = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
+    got = {r.fp: r.root for r in simhash.fingerprint_roots(df).collect()}
+    assert len(got) == len(found)
+    assert len({(want[f], got[signed[f]]) for f in found}) == len(set(want.values())) == len(set(got.values()))
+    first = simhash.first_links(df, 4, 3)
+    parts = simhash._rooted(df, df.fp, connected_components(first)).select("fp", "root")
+    written = first.count() + simhash.crossing_links(parts, 4, 3).count()
+    assert written <= len(found) < simhash.hamming_links(df).distinct().count() / 10
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200)]
     links += [(7, 7), (300, 300), (0, 1)]
