@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from riskweave.catalog import QUERIES
 from riskweave.operators import requests
 
 
@@ -163,3 +164,27 @@ def test_release_gate_names_what_does_not_hold(spark):
     late = spark.createDataFrame([(9, 9)], "rollout_end_us long, load_end_us long")
     again = requests.release_gate(failures, late, new, counted, "phase")
     assert "rollout ended under load" in requests.gate_passes(again).first()["problems"]
+
+
+def events_from(spark, folder, first_day):
+    """An event of each run per half hour, over five days."""
+    ts = F.timestamp_add("minute", F.col("id") * 10, F.lit(first_day).cast("timestamp_ntz"))
+    spark.range(5 * 144).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(5.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    ).write.parquet(f"{folder}/events.parquet")
+
+
+def test_bucket_windows_are_points_in_time(spark, tmp_path):
+    """Windows lie where they lie, whenever the first request was."""
+    events_from(spark, str(tmp_path), "2024-01-05")
+    windows = {
+        (r["run"], r["window"]): r["full_buckets"]
+        for r in QUERIES["l5_bucket_windows"](spark, str(tmp_path)).collect()
+    }
+    # the 5th lies in the middle window; from the 9th to the last full hour in the late one
+    assert {windows[f"run{i}", "early"] or 0 for i in range(3)} == {0}
+    assert {windows[f"run{i}", "middle"] for i in range(3)} == {24}
+    assert {windows[f"run{i}", "late"] for i in range(3)} == {23}
+    held = QUERIES["j5_contained_buckets"](spark, str(tmp_path)).collect()
+    assert {(r["full_buckets"], r["requests"]) for r in held} == {(96, 192)}
