@@ -203,3 +203,12 @@ def test_the_estimator_reads_vectors(rows):
                           F.col("y").alias("is_fraud"), F.col("w").alias("weight"))
     model = boosting.Booster(Growth(3)).fit(vectors)
     assert model.transform(vectors).where("p > 0 and p < 1").count() == 1500
+
+
+@pytest.mark.parametrize("name", ["logreg", "forest"])
+def test_models_of_spark_carry_no_summary(spark, name):
+    """The summary would drag the session into the tasks that score."""
+    train = table(spark, 300, 7)
+    model = detector.fit(train, name, rounds=3)
+    assert not model.stages[-1].hasSummary
+    assert detector.score(model, train).where("p between 0 and 1").count() == 300
