@@ -13,12 +13,14 @@ engine gets the same rows. It makes n rows per resample; the `*_of_draws` functi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from riskweave.functions.scores import confidence, ratio
 from riskweave.operators.ordered import row_positions
@@ -34,6 +36,9 @@ from riskweave.session import store
 PER_DIGEST = 2
 # rows of a window beyond which 60 bits would draw unevenly by more than one in a million
 MOST_ROWS = 2**40
+# positions whose rows one task holds, and resamples that it counts for
+PAGE = 1 << 18
+SLAB = 32
 # groups whose counts are held as one matrix
 SLICE = 1024
 _BLOCKS = 1 << 16
@@ -49,7 +54,27 @@ def drawn_rows(
 ) -> DataFrame:
     """(resample, within, *columns, w): how often each distinct row is drawn, n draws with
     replacement per resample and `within` window. Windows over 2^40 rows are an error."""
+    parts = drawn_parts(rows, columns, resamples, seed, within, tie)
+    keys = [c for c in parts.columns if c != "w"]
+    return parts.groupBy(*keys).agg(F.sum("w").alias("w"))
+
+
+def drawn_parts(
+    rows: DataFrame,
+    columns: Sequence[str],
+    resamples: int,
+    seed: int,
+    within: str | None = None,
+    tie: str = "transaction_id",
+) -> DataFrame:
+    """`drawn_rows` before the counts of equal rows are added up, enough for what sums them.
+
+    Draws never become rows. A task draws some blocks of a resample and sends the positions that
+    fall into one page of the window as an array; another one meets the rows of that page and
+    counts for some resamples at a time."""
     by = [within] if within else []
+    if within:
+        rows = rows.where(F.col(within).isNotNull())
     window = F.col(within).cast("string") if within else F.lit("")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("_name", window)
     sizes = sizes.withColumn(
@@ -59,36 +84,97 @@ def drawn_rows(
         ),
     )
     blocks = F.ceil(F.col("n") / PER_DIGEST)
-    # in two steps, so that no array grows with the table
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     spread = (
-        sizes.withColumn("_of", F.explode(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)), F.lit(_BLOCKS))))
+        sizes.where("n > 0")
+        .withColumn("_of", F.explode(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)), F.lit(_BLOCKS))))
         .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn(
-            "block", F.explode(F.sequence("_of", F.least(F.col("_of") + _BLOCKS, blocks) - 1))
-        )
-        .where("n > 0")
+        .withColumn("_to", F.least(F.col("_of") + _BLOCKS, blocks))
+        .select(*by, "_name", "n", "resample", F.col("_of").cast("long"), F.col("_to").cast("long"))
+        .repartition(tasks, *by, "resample", "_of")
     )
-    name = F.concat_ws(":", F.lit(seed), F.col("_name"), "resample", "block")
-    digest = F.md5(name.cast("binary"))
-    parts = F.array(
-        *[
-            F.struct(
-                (F.col("block") * PER_DIGEST + k).alias("j"),
-                (F.conv(F.substring(digest, 1 + 16 * k, 15), 16, 10).cast("long") % F.col("n")).alias("position"),
-            )
-            for k in range(PER_DIGEST)
-        ]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for unit in b.to_dict("records"):
+                head = f"{seed}:{unit['_name']}:{unit['resample']}:"
+                drawn = _positions(head, unit["_of"], unit["_to"], unit["n"])
+                page = drawn // PAGE
+                order = np.argsort(page, kind="stable")
+                pages, starts = np.unique(page[order], return_index=True)
+                held = np.split((drawn % PAGE).astype(np.uint32)[order], starts[1:])
+                out = pd.DataFrame({"_page": pages, "_at": [h.tobytes() for h in held]})
+                yield out.assign(resample=unit["resample"], **{c: unit[c] for c in by})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in by}
+    draws = spread.mapInPandas(
+        draw, ", ".join(["_page long", "_at binary", "resample int", *[f"`{c}` {k}" for c, k in kinds.items()]])
+    ).withColumn("_slab", F.floor(F.col("resample") / SLAB).cast("int"))
+    wanted = list(dict.fromkeys([*by, *columns]))
+    placed = row_positions(rows.select(*dict.fromkeys([*wanted, tie])), [tie], "_position", by)
+    paged = placed.select(
+        *wanted,
+        F.floor(F.col("_position") / PAGE).cast("long").alias("_page"),
+        (F.col("_position") % PAGE).cast("int").alias("_place"),
+        F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // SLAB))).alias("_slab"),
     )
-    draws = spread.select(*by, "resample", "n", F.explode(parts).alias("d")).where("d.j < n")
-    placed = row_positions(rows.select(*by, *columns, tie), [tie], "position", by)
-    return (
-        draws.select(*by, "resample", "d.position")
-        .hint("merge")
-        .join(placed.select(*by, *columns, "position"), [*by, "position"])
-        .groupBy("resample", *by, *columns)
-        .agg(F.count(F.lit(1)).alias("w"))
+    keys = [*by, "_page", "_slab"]
+    schema = StructType(
+        [StructField("resample", IntegerType()), *[paged.schema[c] for c in wanted], StructField("w", LongType())]
     )
 
+    def count(page, drawn):
+        import pyarrow as pa
+
+        group, firsts = _row_groups(page.select(wanted))
+        at = np.empty(page.num_rows, np.int64)
+        at[page["_place"].to_numpy()] = group
+        samples = drawn["resample"].to_numpy()
+        held = drawn["_at"].to_pylist()
+        chosen, names, counts = [], [], []
+        for r in np.unique(samples):
+            places = np.concatenate([np.frombuffer(held[i], np.uint32) for i in np.flatnonzero(samples == r)])
+            w = np.bincount(at[places], minlength=len(firsts))
+            hit = np.flatnonzero(w)
+            chosen.append(firsts[hit])
+            names.append(np.full(len(hit), r, np.int32))
+            counts.append(w[hit])
+        if not chosen:
+            return page.select(wanted).slice(0, 0).add_column(0, "resample", pa.array([], pa.int32())).append_column(
+                "w", pa.array([], pa.int64())
+            )
+        out = page.select(wanted).take(pa.array(np.concatenate(chosen)))
+        out = out.add_column(0, "resample", pa.array(np.concatenate(names), pa.int32()))
+        return out.append_column("w", pa.array(np.concatenate(counts), pa.int64()))
+
+    return paged.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInArrow(count, schema)
+
+
+def _positions(head: str, first: int, last: int, n: int) -> np.ndarray:
+    """The draws of blocks first to last - 1 from n positions: 60 bits each, two in an md5."""
+    start, whole = hashlib.md5(head.encode()), []
+    for block in range(first, last):
+        one = start.copy()
+        one.update(b"%d" % block)
+        whole.append(one.digest())
+    bits = np.frombuffer(b"".join(whole), ">u8").astype(np.uint64) >> np.uint64(4)
+    return (bits % np.uint64(n)).astype(np.int64)[: n - PER_DIGEST * first]
+
+
+def _row_groups(rows) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each Arrow row's group of equal rows, and a row of every group. Values that
+    Spark holds for equal may be apart: counts are added up later."""
+    import pyarrow.compute as pc
+
+    group = np.zeros(rows.num_rows, np.int64)
+    firsts = np.zeros(min(rows.num_rows, 1), np.int64)
+    for column in rows.columns:
+        coded = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+        key = group * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+        _, firsts, group = np.unique(key, return_index=True, return_inverse=True)
+    return group, firsts
+
 
 def _uniforms(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """A number in (0, 1) for each key and resample: the SplitMix64 finaliser of their mix."""
@@ -322,7 +408,7 @@ def headline_bootstrap(scored: DataFrame, resamples: int, seed: int) -> DataFram
 
 def headline_of_draws(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
     """`headline_bootstrap` of rows drawn one by one."""
-    drawn = drawn_rows(scored, ["p", "y"], resamples, seed)
+    drawn = drawn_parts(scored, ["p", "y"], resamples, seed)
     return _headline(ranking_metrics(score_groups(drawn, ["resample"], "w"), ["resample"]), scored)
 
 
@@ -367,7 +453,7 @@ def paired_delta_bootstrap(scored: DataFrame, resamples: int, seed: int) -> Data
 
 def paired_delta_of_draws(scored: DataFrame, resamples: int, seed: int) -> DataFrame:
     """`paired_delta_bootstrap` of rows drawn one by one."""
-    both = _both(drawn_rows(scored, PAIR, resamples, seed), ["resample", "y", "w"])
+    both = _both(drawn_parts(scored, PAIR, resamples, seed), ["resample", "y", "w"])
     keys = ["resample", "scorer"]
     return _paired(_delta(["resample"], ranking_metrics(score_groups(both, keys, "w"), keys)), scored)
 
@@ -434,7 +520,7 @@ def policy_of_draws(scored: DataFrame, t: float, resamples: int, seed: int) -> D
     def total(where: Column, what: Column) -> Column:
         return F.coalesce(F.sum(F.when(where, what)), F.lit(0)).cast("double")
 
-    drawn = drawn_rows(_policy_rows(scored, t), POLICY, resamples, seed)
+    drawn = drawn_parts(_policy_rows(scored, t), POLICY, resamples, seed)
     return _policy_intervals(
         drawn.groupBy("resample").agg(
             *[total(v, w).alias(k) for k, v in counted.items()],
@@ -525,7 +611,7 @@ def window_bootstrap(scored: DataFrame, resamples: int, seed: int, bins: int = 1
 
 def window_of_draws(scored: DataFrame, resamples: int, seed: int, bins: int = 10) -> DataFrame:
     """`window_bootstrap` of rows drawn one by one."""
-    drawn = drawn_rows(scored, WINDOW, resamples, seed, within="fold")
+    drawn = drawn_parts(scored, WINDOW, resamples, seed, within="fold")
     ap, ece = _window_values(_pooled(drawn, scored), ["resample", "fold"], bins)
     return _window_intervals(ap, ece, scored, bins)
 

@@ -1,3 +1,6 @@
+import collections
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +145,27 @@ def test_window_bootstrap_has_a_pool(table):
     assert {(r["fold"], r["metric"]) for r in got} == {
         (f, m) for f in (0, 1, 2) for m in ("average_precision", "ece")
     }
+
+
+@pytest.mark.parametrize("within", [None, "fold"])
+def test_draws_of_many_pages(table, monkeypatch, within):
+    """Pages, slabs and blocks much smaller than the table, against md5 row by row."""
+    data, df = table
+    for name, value in (("PAGE", 64), ("SLAB", 3), ("_BLOCKS", 16)):
+        monkeypatch.setattr(resample, name, value)
+    want = collections.Counter()
+    for fold in (1, 2) if within else ("",):
+        rows = sorted(d for d in data if fold in ("", d[1]))
+        for r in range(7):
+            for j in range(len(rows)):
+                digest = hashlib.md5(f"9:{fold}:{r}:{j // 2}".encode()).hexdigest()
+                row = rows[int(digest[16 * (j % 2) :][:15], 16) % len(rows)]
+                want[(r, fold, row[4], row[3])] += 1
+    got = resample.drawn_rows(df, ["p", "y"], 7, 9, within).collect()
+    assert {(g["resample"], g["fold"] if within else "", g["p"], g["y"]): g["w"] for g in got} == want
+
+
+def test_draws_tell_null_from_nan(spark):
+    df = spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 1.0), ("d", None)], "transaction_id string, p double")
+    got = resample.drawn_rows(df, ["p"], 40, 1).groupBy("p").agg(F.sum("w").alias("w")).collect()
+    assert len(got) == 3 and sum(g["w"] for g in got) == 160
