@@ -2,10 +2,10 @@
 
 Generators of high recall propose spans, which may overlap. Spans that pass the strict check of
 their kind are always kept. The others are judged by gradient-boosted trees on format and
-context features. The trees learn from a bounded sample of candidates with weak labels: strict
+context features. The trees learn from three quarters of all candidates with weak labels: strict
 spans and what overlaps them count as personal, failed checks and spans inside longer tokens do
-not. The threshold is the lowest probability at which the rest of that sample reaches the
-wanted precision.
+not. The threshold is the lowest probability at which the other quarter reaches the wanted
+precision.
 
 Everything on this path is SQL expressions and `pyspark.ml`.
 """
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from riskweave.llm.spans import match_spans, replace_spans, span_text
 from riskweave.session import store
 
-SAMPLE_ROWS = 20_000  # candidates to learn from and to set the threshold on, at most
 PRECISION = 0.98
 TREES, DEPTH, SEED = 10, 4, 42
 BEFORE, AFTER = 24, 8
@@ -190,19 +189,16 @@ class Judge:
         return scored.where(vector_to_array("probability")[1] >= self.threshold)
 
 
-def fit_judge(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Judge:
-    """Trees and threshold from at most `sample_rows` weakly labelled candidates.
+def fit_judge(rows: DataFrame) -> Judge:
+    """Trees and threshold from all weakly labelled candidates.
 
-    Three quarters of the sample are learnt from, the threshold comes from the rest. Without
-    candidates of both labels there is nothing to learn, and no candidate is accepted.
+    Three quarters of them, chosen by hash, are learnt from, the threshold comes from the rest.
+    Without candidates of both labels there is nothing to learn, and no candidate is accepted.
     """
     order = F.xxhash64("_row", "start", "end", "gen")
-    sample = store(
-        weak_labels(rows).withColumn("_order", order).orderBy("_order", "_row", "start", "gen").limit(sample_rows),
-        "candidates",
-    )
+    known = store(weak_labels(rows).withColumn("_order", order), "candidates")
     rest = F.pmod(F.col("_order"), F.lit(4)) == 3
-    learn, check = _assembled(sample.where(~rest)), sample.where(rest)
+    learn, check = _assembled(known.where(~rest)), known.where(rest)
     if learn.select("label").distinct().count() < 2:
         return Judge(None, 1.0)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
@@ -227,9 +223,7 @@ def _span(rank: Column, kind: Column) -> Column:
     )
 
 
-def detect(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def detect(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, spans): the ids of `docs` and an array of found spans for each row.
 
     Spans are sorted by start, then by kind, strict kinds first; positions are code points, the
@@ -243,7 +237,7 @@ def detect(
         "spans",
     )
     rows = _with_overlaps(marked.select("_row", F.explode("_candidates").alias("c")).select("_row", "c.*"))
-    judge = fit_judge(rows, sample_rows)
+    judge = fit_judge(rows)
     loose = F.array(*[F.lit(g.loose) for g in GENERATORS])
     added = (
         judge.accepted(rows.where(~F.col("strict")))
