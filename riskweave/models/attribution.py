@@ -54,26 +54,46 @@ def leaf_paths(forest: Forest, tree: int) -> tuple[list[tuple[float, list[Step]]
     return paths, expected
 
 
-def leaf_contributions(x: np.ndarray, value: float, steps: Sequence[Step]) -> dict[int, np.ndarray]:
+def _took(x: np.ndarray, feature: int, cut: float, missing_left: bool) -> np.ndarray:
+    """Whether a test sends rows to the left."""
+    column = x[:, feature]
+    return np.where(np.isnan(column), missing_left, column <= cut)
+
+
+def leaf_contributions(
+    x: np.ndarray, value: float, steps: Sequence[Step], known: dict | None = None
+) -> dict[int, np.ndarray]:
     """Shapley values of one leaf for all rows of x. A feature on the path lets a row through (1)
     or not (0); left out, it passes the share of train rows that took this way.
 
     The weighted sum over all subsets of the others is the integral over t in [0, 1] of the
     product of share * (1 - t) + pass * t, a polynomial, which Gauss-Legendre nodes, half as many
-    as there are features, integrate exactly.
+    as there are features, integrate exactly. It depends only on which features let a row
+    through, so it is worked out once for each such pattern where there are fewer than rows.
+    `known` keeps the outcomes of tests for other leaves and the same rows.
     """
+    known = {} if known is None else known
     passes: dict[int, np.ndarray] = {}
     shares: dict[int, float] = {}
     for feature, cut, missing_left, left, share in steps:
-        column = x[:, feature]
-        took = np.where(np.isnan(column), missing_left, column <= cut) == left
+        test = feature, cut, missing_left
+        if test not in known:
+            known[test] = _took(x, *test)
+        took = known[test] == left
         passes[feature] = passes[feature] & took if feature in passes else took
         shares[feature] = shares.get(feature, 1.0) * share
     features = list(passes)
     m = len(features)
     if not m:
         return {}
-    through = np.stack([passes[f] for f in features]).astype(np.float64)
+    pattern = None
+    if 1 << m < len(x):
+        pattern = np.zeros(len(x), np.int64)
+        for i, f in enumerate(features):
+            pattern |= passes[f].astype(np.int64) << i
+        through = (np.arange(1 << m) >> np.arange(m)[:, None] & 1).astype(np.float64)
+    else:
+        through = np.stack([passes[f] for f in features]).astype(np.float64)
     share = np.array([shares[f] for f in features])[:, None]
     reach = np.zeros_like(through)
     nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
@@ -84,7 +104,7 @@ def leaf_contributions(x: np.ndarray, value: float, steps: Sequence[Step]) -> di
         behind[:-1] = np.cumprod(factor[:0:-1], axis=0)[::-1]
         reach += weight * ahead * behind
     found = value * reach * (through - share)
-    return dict(zip(features, found))
+    return dict(zip(features, found if pattern is None else found[:, pattern]))
 
 
 def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -113,8 +133,9 @@ def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
             x = np.stack(batch["x"].to_numpy()).astype(np.float64)
             total = np.zeros_like(x)
             for paths, _ in trees:
+                known: dict = {}
                 for value, steps in paths:
-                    for feature, part in leaf_contributions(x, value, steps).items():
+                    for feature, part in leaf_contributions(x, value, steps, known).items():
                         total[:, feature] += part
             out = batch.drop(columns=["x"])
             out["margin"] = forest.margins(x)

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskweave.models import boosting, detector, forest
+from riskweave.models import attribution, boosting, detector, forest
 from riskweave.models.boosting import Growth
 from riskweave.operators.ranking import average_precision
 
@@ -212,3 +212,16 @@ def test_models_of_spark_carry_no_summary(spark, name):
     model = detector.fit(train, name, rounds=3)
     assert not model.stages[-1].hasSummary
     assert detector.score(model, train).where("p between 0 and 1").count() == 300
+
+
+def test_contributions_by_pattern_equal_those_row_by_row(coded):
+    """Many rows share the patterns of a path; a single row has none to share."""
+    trees = boosting.grown(coded, Growth(2, 0.3, 15, 10, 0.0))
+    x, _ = made(600, 11)
+    for value, steps in attribution.leaf_paths(trees, 1)[0]:
+        known: dict = {}
+        found = attribution.leaf_contributions(x, value, steps, known)
+        assert set(known) == {step[:3] for step in steps}
+        for i in (0, 5, 599):
+            alone = attribution.leaf_contributions(x[i : i + 1], value, steps)
+            assert {f: part[i] for f, part in found.items()} == {f: part[0] for f, part in alone.items()}
