@@ -1,5 +1,7 @@
 """Boosted trees: coding, growth, number of tasks, missing values, scoring, saving."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -225,3 +227,16 @@ def test_contributions_by_pattern_equal_those_row_by_row(coded):
         for i in (0, 5, 599):
             alone = attribution.leaf_contributions(x[i : i + 1], value, steps)
             assert {f: part[i] for f, part in found.items()} == {f: part[0] for f, part in alone.items()}
+
+
+def test_tasks_meet_by_files(tmp_path):
+    """Sums over tasks without a message of Spark's; only the last exchange's files stay."""
+
+    def task(rank):
+        swap = boosting._by_file(str(tmp_path), rank, 3)
+        return [swap(np.full((2, 3), 10 * step + rank, np.int64)).tolist() for step in range(40)]
+
+    with ThreadPoolExecutor(3) as pool:
+        sums = list(pool.map(task, range(3)))
+    assert sums == [[[[30 * step + 3] * 3] * 2 for step in range(40)]] * 3
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["39-0", "39-1", "39-2"]
