@@ -60,7 +60,8 @@ class Growth:
 
 @dataclass(frozen=True)
 class Coded:
-    """Rows as codes: `blocks` holds (n, codes, y, w), the codes feature by feature."""
+    """Rows as codes: `blocks` holds (n, codes, y, w, block), the codes feature by feature, `block`
+    a number that stays with them."""
 
     blocks: DataFrame
     edges: list[np.ndarray]
@@ -82,7 +83,7 @@ def feature_edges(values: np.ndarray, counts: np.ndarray, bins: int = BINS) -> n
     return np.where(middle < v[1:], middle, v[:-1])
 
 
-def coded_rows(df: DataFrame, x: str = "x", y: str = "y", w: str = "w") -> Coded:
+def coded_rows(df: DataFrame, x: str = "x", y: str = "y", w: str = "w", bins: int = BINS) -> Coded:
     """`df` (x ARRAY<DOUBLE> of one width, null or NaN where missing; y 0 or 1; w the weight)
     written as codes. Edges come from distinct rows chosen by their hash, all of them up to
     EDGE_ROWS, so they depend neither on partitions nor on how often a row repeats."""
@@ -98,7 +99,7 @@ def coded_rows(df: DataFrame, x: str = "x", y: str = "y", w: str = "w") -> Coded
         seen = slim.groupBy("x").agg(F.count(F.lit(1)).alias("n")).limit(EDGE_ROWS).toPandas()
     sample = np.stack([np.asarray(v, np.float64) for v in seen["x"]])
     counts = seen["n"].to_numpy(np.float64)
-    edges = [feature_edges(sample[:, f], counts) for f in range(sample.shape[1])]
+    edges = [feature_edges(sample[:, f], counts, bins) for f in range(sample.shape[1])]
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -118,7 +119,8 @@ def coded_rows(df: DataFrame, x: str = "x", y: str = "y", w: str = "w") -> Coded
                 }
             )
 
-    blocks = store(slim.mapInPandas(code, "n int, codes binary, y binary, w binary"), "coded")
+    blocks = slim.mapInPandas(code, "n int, codes binary, y binary, w binary")
+    blocks = store(blocks.withColumn("block", F.monotonically_increasing_id()), "coded")
     return Coded(blocks, edges, int(n), float(positive or 0.0), float(weight))
 
 
@@ -394,9 +396,17 @@ def _forest(found: pd.DataFrame, edges: list[np.ndarray], base: float) -> Forest
     )
 
 
-class BoosterModel(Model, DefaultParamsWritable, DefaultParamsReadable):
-    """Adds `p`, the probability of label 1, from the vector column. Saved with its pipeline."""
+def coded_vectors(dataset: DataFrame, features: str, label: str, weight: str, bins: int = BINS) -> Coded:
+    """`coded_rows` of a vector column."""
+    x = vector_to_array(F.col(features)).alias("x")
+    return coded_rows(dataset.select(x, F.col(label).alias("y"), F.col(weight).alias("w")), bins=bins)
 
+
+class TreesModel(Model, DefaultParamsWritable, DefaultParamsReadable):
+    """Adds `p`, the probability of label 1, from the vector column: `probability` of the sums of
+    the trees' values. Saved with its pipeline."""
+
+    probability: Callable[[np.ndarray], np.ndarray]
     featuresCol = Param(Params._dummy(), "featuresCol", "vectors", typeConverter=TypeConverters.toString)
     forest = Param(Params._dummy(), "forest", "packed trees", typeConverter=TypeConverters.toString)
 
@@ -404,7 +414,7 @@ class BoosterModel(Model, DefaultParamsWritable, DefaultParamsReadable):
         return unpacked(self.getOrDefault("forest"))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        text = self.getOrDefault("forest")
+        text, probability = self.getOrDefault("forest"), self.probability
 
         @F.arrow_udf("double")
         def score(rows):
@@ -412,11 +422,15 @@ class BoosterModel(Model, DefaultParamsWritable, DefaultParamsReadable):
 
             x = rows.flatten().to_numpy(zero_copy_only=False)
             x = x.reshape(len(rows), -1) if len(rows) else x.reshape(0, 1)
-            return pa.array(probabilities(unpacked(text).margins(x)) if len(rows) else [], pa.float64())
+            return pa.array(probability(unpacked(text).margins(x)) if len(rows) else [], pa.float64())
 
         return dataset.withColumn("p", score(vector_to_array(F.col(self.getOrDefault("featuresCol")))))
 
 
+class BoosterModel(TreesModel):
+    probability = staticmethod(probabilities)
+
+
 class Booster(Estimator):
     """pyspark.ml estimator of the above on the columns `features`, `is_fraud` and `weight`."""
 
@@ -425,8 +439,7 @@ class Booster(Estimator):
         self.growth, self.columns = growth, (features, label, weight)
 
     def coded(self, dataset: DataFrame) -> Coded:
-        features, label, weight = self.columns
-        return coded_rows(dataset.select(vector_to_array(F.col(features)).alias("x"), F.col(label).alias("y"), F.col(weight).alias("w")))
+        return coded_vectors(dataset, *self.columns)
 
     def fitted(self, coded: Coded) -> BoosterModel:
         model = BoosterModel()

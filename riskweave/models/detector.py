@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.features import class_weights, with_absent_inputs
 from riskweave.functions.scores import confidence, decide
 from riskweave.models import registry
-from riskweave.models.boosting import Booster, BoosterModel
+from riskweave.models.boosting import Booster, TreesModel
 from riskweave.schema import numeric_columns
 from riskweave.session import scratch_path, side_by_side
 
@@ -145,7 +145,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds `p`, the probability of fraud. Inputs the frame lacks count as missing."""
     ready = with_absent_inputs(df, expected_inputs(model))
     scored = model.transform(ready)
-    if not isinstance(model.stages[-1], BoosterModel):  # which adds `p` itself
+    if not isinstance(model.stages[-1], TreesModel):  # which adds `p` itself
         scored = scored.withColumn("p", vector_to_array("probability")[1])
     return scored.select(*[F.col(f"`{c}`") for c in df.columns if c != "p"], "p")
 
