@@ -1,43 +1,132 @@
 """Trailing-window features over the stream and over each entity.
 
-A window [t-w, t) of running totals is a difference of two prefix sums, so one global scan of
-the time points and their shifted copies answers every window at once. It costs the same under
-any skew: a burst of rows in one second or on one entity is summed up before the shuffle, and
-the range order spreads what is left.
+A window [t-w, t) of running totals is a difference of two prefix sums. A burst of rows in one
+second is summed up to one time point before the shuffle. Entities of up to `POINTS_AT_ONCE` time
+points are answered many at a time inside tasks. For longer ones, and for the stream as a whole, one
+global scan of the time points and their shifted copies answers every window at once; the range
+order spreads them, so no entity sits in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.ordered import scan
 from riskweave.options import VELOCITY_WINDOWS
 from riskweave.schema import NO_ENTITY
+from riskweave.session import store
 
 STREAM_PREFIX = "f_vel_"
 ENTITY_PREFIX = "f_ent_"
 # Sums of amounts are taken in decimal: differences of double prefix sums lose digits.
 MONEY = "decimal(20,6)"
+POINTS_AT_ONCE = 1 << 18  # time points of the longest entity that a task takes whole
 
 
-def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) -> DataFrame:
-    """One row per (entity,) time point: totals at the point and at each window's start."""
-    keys = [entity] if entity else []
-    points = (
+def _points(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (entity,) time point."""
+    return (
         df.select(*keys, F.unix_micros("timestamp").alias("_us"), "transaction_id", "amount")
         .groupBy(*keys, "_us")
         .agg(
             F.count("amount").alias("_n"),
-            F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).alias("_amt"),
+            F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).cast("decimal(30,6)").alias("_amt"),
             F.min("transaction_id").alias("_first_id"),
         )
         # longs from here on: text buffers would turn the later aggregation into a sort
         .withColumn("_first", F.xxhash64("_first_id"))
         .drop("_first_id")
     )
+
+
+def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) -> DataFrame:
+    """One row per (entity,) time point: totals of every window in front of it."""
+    if not entity:
+        return _by_scan(_points(df, []), windows, None)
+    points = store(_points(df, [entity]).where("_us IS NOT NULL"), "points")
+    sizes = points.groupBy(entity).agg(F.count(F.lit(1)).alias("_size"))
+    long = F.col("_size") > POINTS_AT_ONCE
+    n, longest = sizes.agg(F.sum("_size"), F.count_if(long)).first()
+    if not longest:
+        return _by_entity(points, n or 0, windows, entity)
+    # at most one row per POINTS_AT_ONCE points
+    spread = F.broadcast(store(sizes.where(long).select(entity), "long"))
+    return _by_entity(points.join(spread, entity, "left_anti"), n, windows, entity).unionByName(
+        _by_scan(points.join(spread, entity, "left_semi"), windows, entity)
+    )
+
+
+def _sums(amounts: pa.Array) -> list[np.ndarray]:
+    """Running sums in front of every place, and in front of the end, of 128-bit decimals: lowest
+    32 bits, next 32 bits, the rest. Exact up to 2^31 amounts."""
+    whole = np.frombuffer(amounts.buffers()[1], np.uint64)
+    whole = whole[2 * amounts.offset : 2 * (amounts.offset + len(amounts))].reshape(-1, 2)
+    low, rest = whole[:, 0], whole[:, 1].astype(np.int64)
+    parts = (low & np.uint64(0xFFFFFFFF)).astype(np.int64), (low >> np.uint64(32)).astype(np.int64), rest
+    return [np.r_[np.int64(0), np.cumsum(p)] for p in parts]
+
+
+def _money(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The nearest double to a decimal of six places, given in the parts of `_sums`."""
+    about = low + middle * 2.0**32 + high * 2.0**64
+    out = (low + (middle << 32)) / 1e6
+    for i in np.flatnonzero(np.abs(about) >= 2.0**52):
+        out[i] = (int(low[i]) + (int(middle[i]) << 32) + (int(high[i]) << 64)) / 10**6
+    return out
+
+
+def window_totals(table: pa.Table, windows: Mapping[str, int], entity: str) -> pa.Table:
+    """The result of `_trailing` for time points of whole entities, in any order."""
+    code = table[entity].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    us = table["_us"].to_numpy()
+    order = np.lexsort((us, code))
+    table = table.take(pa.array(order))
+    code, us = code[order].astype(np.int64), us[order]
+    times = np.unique(us)
+    place = code * (len(times) + 1)
+    keys = place + np.searchsorted(times, us)
+    own = np.arange(len(us))
+    counts = np.r_[0, np.cumsum(table["_n"].to_numpy())]
+    sums = _sums(table["_amt"].combine_chunks())
+    first = np.r_[True, code[1:] != code[:-1]][: len(us)]
+    out = {
+        entity: table[entity],
+        "_us": table["_us"],
+        "_first": table["_first"],
+        "_prev_us": pa.array(np.r_[us[:1], us[:-1]], pa.int64(), mask=first),
+    }
+    starts = {
+        label: np.searchsorted(keys, place + np.searchsorted(times, us - width))
+        for label, width in windows.items()
+    }
+    out |= {f"_n_{label}": pa.array(counts[own] - counts[at], pa.int64()) for label, at in starts.items()}
+    out |= {
+        f"_amt_{label}": pa.array(_money(*[s[own] - s[at] for s in sums]), pa.float64())
+        for label, at in starts.items()
+    }
+    return pa.table(out)
+
+
+def _by_entity(points: DataFrame, n: int, windows: Mapping[str, int], entity: str) -> DataFrame:
+    """Whole entities, as many at a time as a task can hold."""
+    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = F.pmod(F.xxhash64(entity), F.lit(max(least, -(-n // POINTS_AT_ONCE)))).alias("_group")
+    schema = ", ".join(
+        [f"`{entity}` string, _us long, _first long, _prev_us long"]
+        + [f"`_n_{label}` long" for label in windows]
+        + [f"`_amt_{label}` double" for label in windows]
+    )
+    return points.groupBy(groups).applyInArrow(lambda t: window_totals(t, windows, entity), schema)
+
+
+def _by_scan(points: DataFrame, windows: Mapping[str, int], entity: str | None) -> DataFrame:
+    """The same by one scan over all points and their copies at each window's start."""
+    keys = [entity] if entity else []
     nil = F.lit(0)
     asks = [
         F.struct(
@@ -53,7 +142,7 @@ def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) ->
         F.lit("").alias("label"),
         F.col("_us").alias("at"),
         F.col("_n").alias("n"),
-        F.col("_amt").cast("decimal(30,6)").alias("amt"),
+        F.col("_amt").alias("amt"),
         F.col("_us").alias("point"),
     )
     rows = points.select(

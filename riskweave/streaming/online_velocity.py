@@ -1,8 +1,8 @@
 """Trailing counts and sums per entity for a stream.
 
 State is a table of the entities' recent time points, written per micro-batch and partitioned by
-day; each batch reads the days that its windows reach back to and runs the same skew-safe scan
-as the batch operator. A hot entity therefore never sits in one task's state store.
+day; each batch reads the days that its windows reach back to and runs the same skew-safe
+operator as a batch job. A hot entity therefore never sits in one task's state store.
 
 The gap to an entity's latest transaction may reach back further than any window. It comes from a
 second table, a row per entity that a batch touched; every so often a batch writes all entities'

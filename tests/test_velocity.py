@@ -89,6 +89,40 @@ def test_against_brute_force_with_a_burst_and_missing_amounts(spark, by_entity):
             assert math.isclose(row[f"{prefix}amt_sum_{label}"], total, abs_tol=1e-6)
 
 
+def test_long_entities_go_by_the_scan_and_others_in_tasks(spark, monkeypatch):
+    """Both ways, and both at once, give the same rows; amounts of any size and sign."""
+    rng = random.Random(5)
+    odd = [None, 0.0, -3.25, 1e12, 9e13, -9e13, 0.1, 1e-6]
+    entries = [
+        (rng.randrange(300) / 8, "hot" if i % 2 else f"e{rng.randrange(6)}", rng.choice(odd))
+        for i in range(300)
+    ]
+    entries += [(rng.choice([1e8, -1e9]), "hot", 5.5), (3, None, 2.0), (4, None, 3.0)]
+    df = frame(spark, entries)
+    windows = {"1s": 1_000_000, "10s": 10_000_000, "9000d": 777_600_000_000_000}
+    want = None
+    for most in (0, 20, 1 << 18):
+        monkeypatch.setattr(velocity, "POINTS_AT_ONCE", most or 1)
+        got = sorted(map(repr, velocity.entity_velocity(df, windows).collect()))
+        want = want or got
+        assert len(got) == len(entries) and got == want
+
+
+def test_short_entities_write_one_row_per_time_point(spark, monkeypatch):
+    """No shifted copies, one for every window, where an entity fits into a task."""
+
+    def never(*a, **k):
+        raise AssertionError("scanned")
+
+    monkeypatch.setattr(velocity, "scan", never)
+    df = frame(spark, [(0, "a", 1.0), (30, "a", 2.0), (30, "b", 4.0), (30, "a", 8.0), (90, "a", 16.0)])
+    out = velocity.entity_velocity(df, {"1min": 60_000_000, "1h": 3_600_000_000})
+    assert column(out, "f_ent_count_1min") == [0, 1, 0, 1, 2]
+    assert column(out, "f_ent_amt_sum_1h") == [0, 1, 0, 1, 11]
+    assert column(out, "f_ent_seconds_since_prev") == [None, 30, None, 0, 60]
+    assert not velocity.entity_velocity(df.limit(0)).count()
+
+
 def test_later_rows_never_change_earlier_features(spark):
     entries = [(i * 7, f"e{i % 3}", float(i)) for i in range(60)]
     full = column(velocity.entity_velocity(frame(spark, entries)), "f_ent_amt_sum_5min")
