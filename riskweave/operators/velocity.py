@@ -48,10 +48,14 @@ def _trailing(df: DataFrame, windows: Mapping[str, int], entity: str | None) ->
     """One row per (entity,) time point: totals of every window in front of it."""
     if not entity:
         return _by_scan(_points(df, []), windows, None)
-    points = store(_points(df, [entity]).where("_us IS NOT NULL"), "points")
-    sizes = points.groupBy(entity).agg(F.count(F.lit(1)).alias("_size"))
+    points = store(_points(df, [entity]), "points")
+    sizes = points.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("_size"), F.count_if(F.col("_us").isNull()).alias("_untimed")
+    )
     long = F.col("_size") > POINTS_AT_ONCE
-    n, longest = sizes.agg(F.sum("_size"), F.count_if(long)).first()
+    n, longest, untimed = sizes.agg(F.sum("_size"), F.count_if(long), F.sum("_untimed")).first()
+    if untimed:  # an entity's first gap looks past its rows without a time, which needs all entities
+        return _by_scan(points, windows, entity)
     if not longest:
         return _by_entity(points, n or 0, windows, entity)
     # at most one row per POINTS_AT_ONCE points

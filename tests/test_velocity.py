@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.operators import velocity
 
@@ -123,6 +124,15 @@ def test_short_entities_write_one_row_per_time_point(spark, monkeypatch):
     assert not velocity.entity_velocity(df.limit(0)).count()
 
 
+def test_rows_without_a_time_change_no_windows(spark):
+    entries = [(0, "a", 1.0), (30, "a", 2.0), (40, "b", 4.0), (90, "b", 8.0)]
+    df = frame(spark, entries)
+    lost = df.where("transaction_id = 't0003'").withColumn("timestamp", F.lit(None).cast("timestamp"))
+    with_lost = velocity.entity_velocity(df.unionByName(lost)).drop("f_ent_seconds_since_prev")
+    plain = velocity.entity_velocity(df).drop("f_ent_seconds_since_prev")
+    assert sorted(map(repr, with_lost.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_later_rows_never_change_earlier_features(spark):
     entries = [(i * 7, f"e{i % 3}", float(i)) for i in range(60)]
     full = column(velocity.entity_velocity(frame(spark, entries)), "f_ent_amt_sum_5min")
