@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = both.where("v > u").join(low, "u")
+    moved = both.where("v > u").hint("merge").join(low, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.hint("merge").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,8 +34,9 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     The root is the smallest node of the component. Each round leaves at most as many edges as
     before, is written to the shared folder, and only two numbers about it reach the driver.
-    Hub nodes are joined, never gathered. An empty link table gives an empty result; repeated
-    links and links of a node to itself change nothing.
+    Hub nodes are joined, never gathered, and no table is broadcast, however small its file. An
+    empty link table gives an empty result; repeated links and links of a node to itself change
+    nothing.
     """
     edges = store(links.select("u", "v").where("u <> v").distinct(), "links")
     seen = _state(edges)

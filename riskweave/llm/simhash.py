@@ -5,6 +5,9 @@ agree in some segment up to a small radius, so the Hamming ball of that radius a
 segment is enumerated, matching table rows are fetched, and whole distances are verified inside
 the join. With `distance = segments * a + b`, the first b + 1 segments need radius a and the
 others radius a - 1. Fewer segments mean longer keys, so fewer false matches, and more probes.
+
+Joins are sort-merge joins by hint. Left to itself Spark sizes a table by its file: a few MB of
+fingerprints look small enough to broadcast, also when an array of keys is made of each of them.
 """
 
 from __future__ import annotations
@@ -146,7 +149,7 @@ def hamming_links(
     A pair may appear more than once. Only verified pairs leave the join.
     """
     table, probe = _table_and_probes(fingerprints.select("fp"), distance, segments)
-    met = probe.select("segment", "key", F.col("row.fp").alias("u")).join(
+    met = probe.select("segment", "key", F.col("row.fp").alias("u")).hint("merge").join(
         table.select("segment", "key", F.col("row.fp").alias("v")), ["segment", "key"]
     )
     return met.where((F.col("u") < F.col("v")) & _near("u", "v", distance)).select("u", "v")
@@ -158,7 +161,7 @@ def first_links(fingerprints: DataFrame, distance: int, segments: int) -> DataFr
     however many fingerprints a bucket holds."""
     table, probe = _table_and_probes(fingerprints.select("fp"), distance, segments)
     lowest = table.groupBy("segment", "key").agg(F.min("row.fp").alias("v"))
-    met = probe.select("segment", "key", F.col("row.fp").alias("u")).join(lowest, ["segment", "key"])
+    met = probe.select("segment", "key", F.col("row.fp").alias("u")).hint("merge").join(lowest, ["segment", "key"])
     return met.where((F.col("u") > F.col("v")) & _near("u", "v", distance)).groupBy("u").agg(F.min("v").alias("v"))
 
 
@@ -169,7 +172,7 @@ def crossing_links(grouped: DataFrame, distance: int, segments: int) -> DataFram
     shuffle.
     """
     table, probe = _table_and_probes(grouped.select("fp", "root"), distance, segments)
-    met = probe.select("segment", "key", F.col("row.fp").alias("a"), F.col("row.root").alias("u")).join(
+    met = probe.select("segment", "key", F.col("row.fp").alias("a"), F.col("row.root").alias("u")).hint("merge").join(
         table.select("segment", "key", F.col("row.fp").alias("b"), F.col("row.root").alias("v")), ["segment", "key"]
     )
     return met.where((F.col("u") < F.col("v")) & _near("a", "b", distance)).select("u", "v").distinct()
@@ -192,7 +195,7 @@ def fingerprint_roots(distinct: DataFrame, distance: int = DISTANCE, segments: i
 
 
 def _rooted(rows: DataFrame, node: Column, components: DataFrame) -> DataFrame:
-    return rows.join(components, node == components.node, "left").withColumn("root", F.coalesce("root", node))
+    return rows.hint("merge").join(components, node == components.node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def fingerprint_groups(
@@ -204,9 +207,9 @@ def fingerprint_groups(
     non-null id in it, null only if all its ids are null.
     """
     distinct = store(marked.groupBy("fp").agg(F.min(id_column).alias("low")), "fingerprints")
-    rooted = distinct.join(fingerprint_roots(distinct, distance, segments), "fp")
+    rooted = distinct.hint("merge").join(fingerprint_roots(distinct, distance, segments), "fp")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.select("fp", "root").join(lows, "root")
+    return rooted.select("fp", "root").hint("merge").join(lows, "root")
 
 
 def near_duplicates(
@@ -227,7 +230,7 @@ def near_duplicates(
         "simhash",
     )
     groups = fingerprint_groups(marked, "id", distance, segments)
-    return marked.join(groups, "fp").select(
+    return marked.hint("merge").join(groups, "fp").select(
         F.col("id").alias(id_column), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
@@ -256,7 +259,7 @@ def keep_first(
         F.col("fp").alias("group_fp"), "root", "component_id"
     )
     # the rows to keep are chosen among narrow ones; whole rows are joined once
-    first = marked.select("id", "fp", "row").join(
+    first = marked.select("id", "fp", "row").hint("merge").join(
         groups, (F.col("fp") == F.col("group_fp")) & F.col("id").eqNullSafe(F.col("component_id"))
     )
     kept = first.groupBy("root").agg(F.min("row").alias("row"))

@@ -7,9 +7,11 @@ from collections import defaultdict
 import pytest
 import xxhash
 from edge_rows import LONG, edge_documents, empty_documents
+from pyspark.sql import functions as F
 
 from riskweave.llm import simhash
-from riskweave.llm.components import connected_components
+from riskweave.llm.components import _large_star, _small_star, connected_components
+from riskweave.session import store
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -139,3 +141,22 @@ def test_edge_rows(spark):
     assert kept.where("doc_id is null").count() == 1  # its text has no near copy
     assert simhash.near_duplicates(empty_documents(spark)).count() == 0
     assert simhash.keep_first(empty_documents(spark)).count() == 0
+
+
+def test_joins_broadcast_nothing(spark):
+    """A few MB of fingerprints look small enough, but their keys are many times as large."""
+    fps = store(spark.range(200).select(F.xxhash64("id").alias("fp")), "fps")
+    grouped = fps.withColumn("root", F.col("fp"))
+    marked = fps.withColumn("id", F.col("fp"))
+    found = [
+        simhash.hamming_links(fps),
+        simhash.first_links(fps, 4, 3),
+        simhash.crossing_links(grouped, 4, 3),
+        simhash.fingerprint_groups(marked, "id"),
+        _large_star(fps.select(F.col("fp").alias("u"), F.shiftright("fp", 1).alias("v"))),
+        _small_star(fps.select(F.col("fp").alias("u"), F.shiftright("fp", 1).alias("v"))),
+    ]
+    for df in found:
+        assert df.count() >= 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
