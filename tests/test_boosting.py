@@ -240,3 +240,21 @@ def test_tasks_meet_by_files(tmp_path):
         sums = list(pool.map(task, range(3)))
     assert sums == [[[[30 * step + 3] * 3] * 2 for step in range(40)]] * 3
     assert sorted(f.name for f in tmp_path.iterdir()) == ["39-0", "39-1", "39-2"]
+
+
+def test_features_share_passes():
+    """Joint sums of packed codes are the sums per feature, with many rows and with few."""
+    rng = np.random.default_rng(3)
+    known = [254, 1, 200, 23, 1, 0, 6]
+    codes = np.stack([rng.integers(0, k + 1, 40_000) for k in known]).astype(np.uint8)
+    codes[:, rng.random(40_000) < 0.1] = boosting.MISSING
+    held = boosting._Codes(known)
+    held.packed = held.pack(codes)
+    assert len(held.packs) < len(known) / 2
+    g, h = rng.integers(-(2**28), 2**28, (2, 40_000)).astype(float)
+    for rows in (None, np.arange(0, 40_000, 2), np.arange(7)):
+        at = slice(None) if rows is None else rows
+        got = held.histogram(rows, g[at], h[at])
+        for f, column in enumerate(codes):
+            want = [np.bincount(column[at], w, 256) for w in (g[at], h[at], None)]
+            assert (got[:, f] == want).all()
