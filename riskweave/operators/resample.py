@@ -14,12 +14,14 @@ engine gets the same rows. It makes n rows per resample; the `*_of_draws` functi
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from riskweave.functions.scores import confidence, ratio
@@ -41,7 +43,11 @@ PAGE = 1 << 18
 SLAB = 32
 # groups whose counts are held as one matrix
 SLICE = 1024
-_BLOCKS = 1 << 16
+# digests that a task draws and sorts as one array, and those drawn at a time
+_BLOCKS = 1 << 23
+_DIGESTS = 1 << 16
+# rows that a task sends on at a time, or somewhat more
+_OUT = 1 << 16
 
 
 def drawn_rows(
@@ -70,8 +76,9 @@ def drawn_parts(
     """`drawn_rows` before the counts of equal rows are added up, enough for what sums them.
 
     Draws never become rows. A task draws some blocks of a resample and sends the positions that
-    fall into one page of the window as an array; another one meets the rows of that page and
-    counts for some resamples at a time."""
+    fall into one page of the window as an array. The rows of a page are sent as one array as well,
+    once for some resamples at a time, to where those are counted page by page. So what is written
+    is about four bits per draw, and the counts that leave a task are added up over all pages."""
     by = [within] if within else []
     if within:
         rows = rows.where(F.col(within).isNotNull())
@@ -99,56 +106,119 @@ def drawn_parts(
         for b in batches:
             for unit in b.to_dict("records"):
                 head = f"{seed}:{unit['_name']}:{unit['resample']}:"
-                drawn = _positions(head, unit["_of"], unit["_to"], unit["n"])
-                page = drawn // PAGE
-                order = np.argsort(page, kind="stable")
-                pages, starts = np.unique(page[order], return_index=True)
-                held = np.split((drawn % PAGE).astype(np.uint32)[order], starts[1:])
-                out = pd.DataFrame({"_page": pages, "_at": [h.tobytes() for h in held]})
+                drawn = np.concatenate(
+                    [
+                        _positions(head, at, min(at + _DIGESTS, unit["_to"]), unit["n"])
+                        for at in range(unit["_of"], unit["_to"], _DIGESTS)
+                    ]
+                )
+                drawn.sort()
+                pages = np.arange(drawn[0] // PAGE, drawn[-1] // PAGE + 1, dtype=np.int64)
+                cuts = np.r_[0, np.searchsorted(drawn, (pages[1:] * PAGE).astype(drawn.dtype)), len(drawn)]
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                held = [_squeezed(drawn[cuts[i] : cuts[i + 1]] % PAGE) for i in some]
+                out = pd.DataFrame({"_page": pages[some], "_at": held})
                 yield out.assign(resample=unit["resample"], **{c: unit[c] for c in by})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in by}
-    draws = spread.mapInPandas(
-        draw, ", ".join(["_page long", "_at binary", "resample int", *[f"`{c}` {k}" for c, k in kinds.items()]])
-    ).withColumn("_slab", F.floor(F.col("resample") / SLAB).cast("int"))
+    named = "".join(f", `{c}` {k}" for c, k in kinds.items())
+    draws = spread.mapInPandas(draw, f"_page long, _at binary, resample int{named}").withColumn(
+        "_slab", F.floor(F.col("resample") / SLAB).cast("int")
+    )
     wanted = list(dict.fromkeys([*by, *columns]))
     placed = row_positions(rows.select(*dict.fromkeys([*wanted, tie])), [tie], "_position", by)
     paged = placed.select(
         *wanted,
         F.floor(F.col("_position") / PAGE).cast("long").alias("_page"),
         (F.col("_position") % PAGE).cast("int").alias("_place"),
-        F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // SLAB))).alias("_slab"),
     )
-    keys = [*by, "_page", "_slab"]
+
+    def pack(page):
+        """One row: the codes of the page's rows in their places, and its distinct rows."""
+        import pyarrow as pa
+
+        group, firsts = _row_groups(page.select(wanted))
+        at = np.empty(page.num_rows, np.uint32)
+        at[page["_place"].to_numpy()] = group
+        known = page.select(wanted).take(pa.array(firsts)).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, known.schema) as out:
+            out.write_table(known)
+        if len(firsts) <= 1 << 16:
+            at = at.astype(np.uint16)
+        one = {"_page": page["_page"][:1], "_at": pa.array([zlib.compress(at.tobytes(), 1)], pa.binary())}
+        one["_rows"] = pa.array([zlib.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())
+        return pa.table(one | {c: page[c][:1] for c in by})
+
+    of_page = T.StructType(
+        [T.StructField("_page", LongType()), T.StructField("_at", T.BinaryType()), T.StructField("_rows", T.BinaryType())]
+        + [placed.schema[c] for c in by]
+    )
+    slabs = F.sequence(F.lit(0), F.lit((resamples - 1) // SLAB))
+    pages = (
+        paged.groupBy(*by, "_page")
+        .applyInArrow(pack, of_page)
+        .withColumn("_slab", F.explode(slabs))
+        .withColumn("resample", F.lit(-1))
+    )
     schema = StructType(
         [StructField("resample", IntegerType()), *[paged.schema[c] for c in wanted], StructField("w", LongType())]
     )
 
-    def count(page, drawn):
+    def count(batches):
+        """Counts of one page and resample after another. A page comes ahead of its draws."""
         import pyarrow as pa
 
-        group, firsts = _row_groups(page.select(wanted))
-        at = np.empty(page.num_rows, np.int64)
-        at[page["_place"].to_numpy()] = group
-        samples = drawn["resample"].to_numpy()
-        held = drawn["_at"].to_pylist()
-        chosen, names, counts = [], [], []
-        for r in np.unique(samples):
-            places = np.concatenate([np.frombuffer(held[i], np.uint32) for i in np.flatnonzero(samples == r)])
-            w = np.bincount(at[places], minlength=len(firsts))
+        codes, known, held, held_of, made, size = None, None, [], -1, [], 0
+
+        def counted():
+            w = np.bincount(codes.take(np.concatenate(held)), minlength=known.num_rows)
             hit = np.flatnonzero(w)
-            chosen.append(firsts[hit])
-            names.append(np.full(len(hit), r, np.int32))
-            counts.append(w[hit])
-        if not chosen:
-            return page.select(wanted).slice(0, 0).add_column(0, "resample", pa.array([], pa.int32())).append_column(
-                "w", pa.array([], pa.int64())
-            )
-        out = page.select(wanted).take(pa.array(np.concatenate(chosen)))
-        out = out.add_column(0, "resample", pa.array(np.concatenate(names), pa.int32()))
-        return out.append_column("w", pa.array(np.concatenate(counts), pa.int64()))
+            out = known.take(pa.array(hit))
+            out = out.add_column(0, "resample", pa.array(np.full(len(hit), held_of, np.int32)))
+            return out.append_column("w", pa.array(w[hit], pa.int64()))
 
-    return paged.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInArrow(count, schema)
+        for b in batches:
+            for resample, at, rows_ in zip(b["resample"].to_pylist(), b["_at"], b["_rows"]):
+                if held and (resample != held_of or rows_.is_valid):
+                    made.append(counted())
+                    size, held = size + made[-1].num_rows, []
+                    if size >= _OUT:
+                        yield from pa.concat_tables(made).combine_chunks().to_batches()
+                        made, size = [], 0
+                if rows_.is_valid:
+                    known = pa.ipc.open_stream(zlib.decompress(rows_.as_py())).read_all()
+                    kind = np.uint16 if known.num_rows <= 1 << 16 else np.uint32
+                    codes = np.frombuffer(zlib.decompress(at.as_py()), kind)
+                else:
+                    held_of = resample
+                    held.append(_unsqueezed(at.as_py()))
+        if held:
+            made.append(counted())
+        if made:
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    keys = [*by, "_slab", "_page", "resample"]
+    both = pages.select(*keys, "_at", "_rows").unionByName(draws.select(*keys, "_at", F.lit(None).cast("binary").alias("_rows")))
+    # all pages of a window's slab meet in one task, neighbouring slabs in different ones
+    task = F.pmod(F.xxhash64(*by) + F.col("_slab"), F.lit(tasks)) if by else F.pmod("_slab", F.lit(tasks))
+    met = both.repartitionById(tasks, task.cast("int")).sortWithinPartitions(*keys)
+    return met.mapInArrow(count, schema)
+
+
+def _squeezed(places: np.ndarray) -> bytes:
+    """Ascending places as gaps of one byte (255: more follows), in Huffman code."""
+    gaps = np.diff(places.astype(np.int64), prepend=0)
+    longer = gaps // 255
+    out = np.full(len(gaps) + int(longer.sum()), 255, np.uint8)
+    out[np.cumsum(longer + 1) - 1] = gaps % 255
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(out) + coder.flush()
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zlib.decompress(data, -15), np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
 
 
 def _positions(head: str, first: int, last: int, n: int) -> np.ndarray:
@@ -159,7 +229,8 @@ def _positions(head: str, first: int, last: int, n: int) -> np.ndarray:
         one.update(b"%d" % block)
         whole.append(one.digest())
     bits = np.frombuffer(b"".join(whole), ">u8").astype(np.uint64) >> np.uint64(4)
-    return (bits % np.uint64(n)).astype(np.int64)[: n - PER_DIGEST * first]
+    kind = np.uint32 if n <= 1 << 32 else np.uint64
+    return (bits % np.uint64(n)).astype(kind)[: n - PER_DIGEST * first]
 
 
 def _row_groups(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -611,7 +682,8 @@ def window_bootstrap(scored: DataFrame, resamples: int, seed: int, bins: int = 1
 
 def window_of_draws(scored: DataFrame, resamples: int, seed: int, bins: int = 10) -> DataFrame:
     """`window_bootstrap` of rows drawn one by one."""
-    drawn = drawn_parts(scored, WINDOW, resamples, seed, within="fold")
+    # written below, so counts of equal rows are added up over all pages first
+    drawn = drawn_rows(scored, WINDOW, resamples, seed, within="fold")
     ap, ece = _window_values(_pooled(drawn, scored), ["resample", "fold"], bins)
     return _window_intervals(ap, ece, scored, bins)
 

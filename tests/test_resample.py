@@ -169,3 +169,31 @@ def test_draws_tell_null_from_nan(spark):
     df = spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 1.0), ("d", None)], "transaction_id string, p double")
     got = resample.drawn_rows(df, ["p"], 40, 1).groupBy("p").agg(F.sum("w").alias("w")).collect()
     assert len(got) == 3 and sum(g["w"] for g in got) == 160
+
+
+def test_draws_travel_in_few_bits():
+    rng = np.random.default_rng(4)
+    for n, most in ((1 << 18, 3), (1 << 12, 9), (3, 1000)):
+        places = np.sort(rng.integers(0, 1 << 18, n)).astype(np.uint32)
+        sent = resample._squeezed(places)
+        assert (resample._unsqueezed(sent) == places).all()
+        assert len(sent) * 8 <= most * n
+
+
+def test_windows_are_written_added_up(table, monkeypatch):
+    """Equal rows of several pages are one row by the time they are written."""
+    kept, plain = [], resample.store
+
+    def keep(rows, name="stored"):
+        found = plain(rows, name)
+        if name == "pooled":
+            kept.append(found)
+        return found
+
+    _, df = table
+    monkeypatch.setattr(resample, "PAGE", 16)
+    monkeypatch.setattr(resample, "store", keep)
+    rows = df.select("transaction_id", "fold", "y", F.lit(0.5).alias("p"), F.lit(0.25).alias("p_calibrated"))
+    resample.window_of_draws(rows, 5, 1)
+    drawn = next(k for k in kept if "resample" in k.columns)
+    assert drawn.count() == drawn.where("fold <> 0").select("resample", "fold", "y").distinct().count() * 2
